@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact, lines, mixing, sharding, urlrank
+from . import exact, lines, mixing, pieces, quality, sharding, urlrank
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
+    "op2_quality_pu": quality.query,
     "op4_shard_shuffle": sharding.query,
     "op5_exact_dedup": exact.query,
     "op6_line_dedup": lines.query,
+    "op8_sentencepiece": pieces.query,
     "op10_url_filter": urlrank.query,
 }
 
