@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -63,21 +64,27 @@ class Transducer:
         self.known: dict[str, bytes] = {}
         self.follows: dict[tuple[str, str], bool] = {}
         self.parts: dict[str, tuple[str, str] | None] = {}
-        #: Of pieces that merging can make; those of one character come before all merges.
-        self.rank = {p: i for i, p in enumerate(sorted((p for p in self.ids if len(p) > 1), key=self.score.get, reverse=True))}
-        if self.bpe and len({self.score[p] for p in self.rank}) < len(self.rank):
-            raise ValueError("the merges of a BPE model need different scores")
+        #: By score, the best is 0; pieces of one character come before all merges and have none.
+        order = {x: i for i, x in enumerate(sorted({self.score[p] for p in self.ids if len(p) > 1}, reverse=True))}
+        self.rank = {p: order[self.score[p]] for p in self.ids if len(p) > 1}
+        met = Counter(self.rank.values())
+        self.tied = {p for p, i in self.rank.items() if met[i] > 1}
+
+    def merge(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
+        """What merging the best-ranked neighbours, the left ones first, makes of a text, and its last merge."""
+        parts, made = list(text), None
+        while len(parts) > 1:
+            best = min(range(len(parts) - 1), key=lambda i: (self.rank.get(parts[i] + parts[i + 1], np.inf), i))
+            if parts[best] + parts[best + 1] not in self.rank:
+                break
+            made = parts[best], parts[best + 1]
+            parts[best : best + 2] = [made[0] + made[1]]
+        return parts, made
 
     def last_merge(self, piece: str) -> tuple[str, str] | None:
         """The two parts of which merging by rank makes a piece last; None if it never makes it."""
         if piece not in self.parts:
-            parts, made = list(piece), None
-            while len(parts) > 1:
-                best = min(range(len(parts) - 1), key=lambda i: (self.rank.get(parts[i] + parts[i + 1], np.inf), i))
-                made = parts[best], parts[best + 1]
-                if made[0] + made[1] not in self.rank:
-                    break
-                parts[best : best + 2] = [made[0] + made[1]]
+            parts, made = self.merge(piece)
             self.parts[piece] = made if len(parts) == 1 else None
         return self.parts[piece]
 
@@ -88,7 +95,7 @@ class Transducer:
         merge than the one undone. Of equal merges the left one comes first."""
         if (found := self.follows.get((a, b))) is None:
             rank, limit, left, right = self.rank, np.inf, a, b
-            while True:
+            while a not in self.tied and b not in self.tied:
                 if rank.get(left + right, np.inf) < limit:
                     found = False
                     break
@@ -100,6 +107,8 @@ class Transducer:
                     break
                 else:
                     limit, right = of_right + 1, self.last_merge(right)[0]
+            if found is None:  # among equal ranks time isn't told by rank: merge them
+                found = self.merge(a + b)[0] == [a, b]
             self.follows[a, b] = found
         return found
 
