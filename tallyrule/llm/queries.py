@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-from . import exact, lines, mixing, pieces, quality, sharding, urlrank
+from . import bagminhash, exact, lines, mixing, pieces, quality, sharding, substring, topk, urlrank
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
     "op2_quality_pu": quality.query,
+    "op3_substring_dedup": substring.query,
     "op4_shard_shuffle": sharding.query,
     "op5_exact_dedup": exact.query,
     "op6_line_dedup": lines.query,
+    "op7_topk_search": topk.query,
     "op8_sentencepiece": pieces.query,
+    "op9_near_dedup": bagminhash.query,
     "op10_url_filter": urlrank.query,
 }
 
 ORACLES = {
     "op1_mix_sources": mixing.SQL,
+    "op3_substring_dedup": substring.SQL,
     "op5_exact_dedup": exact.SQL,
     "op6_line_dedup": lines.SQL,
+    "op7_topk_search": topk.SQL,
 }
