@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyrule.llm import lines, mixing
+from tallyrule.llm import bagminhash, lines, mixing, pieces, quality
 
+#: Each takes (spark, docs, sf_dir). All but the last return the columns of documents.
 STAGES = [
+    ("quality_classifier", quality.stage),
     ("line_dedup", lines.stage),
+    ("near_dedup", bagminhash.stage),
     ("mix_sources", mixing.stage),
+    ("sentencepiece", pieces.stage),
 ]
 
-#: SQL has no SentencePiece and no learnt classifier.
+#: SQL has no learnt classifier, no signatures and no SentencePiece.
 ORACLE_SQL = None
 
 
