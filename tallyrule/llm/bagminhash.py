@@ -175,25 +175,20 @@ def star_pairs(groups: DataFrame, pivots: int = 2) -> DataFrame:
     return pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
 
 
-def cross_pairs(groups: DataFrame, label: DataFrame, limit: int = 48, depth: int = 2) -> DataFrame:
+def cross_pairs(groups: DataFrame, label: DataFrame, limit: int = 32) -> DataFrame:
     """Pairs of members of a group that have different components, which stars have left apart.
 
-    Groups of one component have nothing to find. Larger mixed groups are split by the further bands that their members
-    share, where pairs as similar as asked meet again with a chance above 0.9999; what is then still large is paired
-    as it is."""
+    Groups of one component have nothing to find. Mixed groups of at most `limit` members give all such pairs. In
+    larger ones the members meet a pivot of the least and one of the greatest component, so that pairs grow with the
+    members; what links a larger group's components besides is found in other bands, where its members meet others."""
     known = groups.join(label, "node")
-    mixed = known.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key", "size")
-    mixed = stored(known.join(mixed, "key"), "mixed")
-    near = mixed if depth == 0 else mixed.where(F.col("size") <= limit)
+    mixed = known.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("comp", F.xxhash64("node", F.lit(7)).alias("h"), "node")).alias("lo"), F.max(F.struct("comp", F.xxhash64("node", F.lit(8)).alias("h"), "node")).alias("hi"))
+    mixed = stored(known.join(mixed.where("lo.comp != hi.comp"), "key").select("key", "node", "comp", "size", "lo", "hi"), "mixed")
+    near = mixed.where(F.col("size") <= limit)
     left, right = near.select("key", F.col("node").alias("a"), F.col("comp").alias("ca")), near.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"))
-    pairs = left.join(right, "key").where("a < b AND ca != cb").select("a", "b").distinct()
-    if depth == 0:
-        return pairs
-    wide = mixed.where(F.col("size") > limit).select("key", "node")
-    if not wide.limit(1).count():
-        return pairs
-    more = wide.join(groups.select("node", F.col("key").alias("other")), "node").where("other != key").select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "node").distinct()
-    return pairs.unionByName(cross_pairs(stored(more, "split"), label, limit, depth - 1)).distinct()
+    pairs = left.join(right, "key").where("a < b AND ca != cb").select("a", "b")
+    wide = mixed.where(F.col("size") > limit).select("node", "comp", F.explode(F.array("lo", "hi")).alias("p")).where("comp != p.comp")
+    return pairs.unionByName(wide.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))).distinct()
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -208,7 +203,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Equal multisets collapse into one representative before anything is paired. Signatures of bands * rows numbers
     from bands; a pair of similarity 0.8 shares none of the 32 bands of 6 with a chance of 6e-5, one of 0.9 with 1e-11.
     In each band's groups, however large, members are compared with pivots, so that pairs grow with the members. Where
-    that leaves a group in several components, the pairs between these are compared as well. All pairs are verified on
+    that leaves a group of at most 32 in several components, all pairs between these are compared; larger ones get two
+    pivots more. All pairs are verified on
     the multisets themselves. Labels, links and components stay distributed."""
     plain = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text_col)
     digest = stored(plain.mapInArrow(_digest(size, bands, rows), "id long, bag long, n long, bands array<long>"), "signatures")
