@@ -168,27 +168,101 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return label
 
 
-def star_pairs(groups: DataFrame, pivots: int = 2) -> DataFrame:
+def star_pairs(groups: DataFrame, similarity: float, pivots: int = 2) -> DataFrame:
     """Pairs of each member of a group with the group's pivots: the members of the least hashes under `pivots` hashes."""
-    heads = groups.groupBy("key").agg(F.count("*").alias("size"), *(F.min(F.struct(F.xxhash64("node", F.lit(i)), "node"))["node"].alias(f"p{i}") for i in range(pivots))).where("size > 1")
-    pairs = groups.join(heads, "key").select("node", F.explode(F.array(*(f"p{i}" for i in range(pivots)))).alias("pivot")).where("node != pivot")
-    return pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    heads = groups.groupBy("key").agg(F.count("*").alias("size"), *(F.min(F.struct(F.xxhash64("node", F.lit(i)), "node", "n"))[c].alias(f"{c}{i}") for i in range(pivots) for c in ("node", "n"))).where("size > 1")
+    pairs = groups.join(heads, "key").select("node", "n", F.explode(F.array(*(F.struct(F.col(f"node{i}").alias("node"), F.col(f"n{i}").alias("n")) for i in range(pivots)))).alias("p"))
+    pairs = pairs.where("node != p.node").select(F.col("node").alias("a"), F.col("n").alias("na"), F.lit(0).alias("ia"), F.col("p.node").alias("b"), F.col("p.n").alias("nb"), F.lit(0).alias("ib"))
+    return _pairs(pairs, similarity)
 
 
-def cross_pairs(groups: DataFrame, label: DataFrame, limit: int = 32) -> DataFrame:
-    """Pairs of members of a group that have different components, which stars have left apart.
+def _pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b, of the pairs (a, na, ia, b, nb, ib) whose numbers of shingles allow the similarity.
+
+    ia and ib count a text's shingles before the one that the two share, in an order of all shingles. If it is the
+    first that they share, no more than the fewer of those from there on are common; a pair that is near passes for
+    the first one."""
+    most = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
+    fits = most >= (F.col("na") + F.col("nb")) * F.lit(similarity / (1 + similarity)) - 1e-6
+    return rows.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def cross_pairs(groups: DataFrame, label: DataFrame, similarity: float, limit: int = 32, pivots: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Pairs of members of a group that have different components, and the members of groups that need more rounds.
 
     Groups of one component have nothing to find. Mixed groups of at most `limit` members give all such pairs. In
-    larger ones the members meet a pivot of the least and one of the greatest component, so that pairs grow with the
-    members; what links a larger group's components besides is found in other bands, where its members meet others."""
+    larger ones about `pivots` members, drawn by hash, meet all others; the others are left for another round, as
+    (key, node, n, place)."""
     known = groups.join(label, "node")
-    mixed = known.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("comp", F.xxhash64("node", F.lit(7)).alias("h"), "node")).alias("lo"), F.max(F.struct("comp", F.xxhash64("node", F.lit(8)).alias("h"), "node")).alias("hi"))
-    mixed = stored(known.join(mixed.where("lo.comp != hi.comp"), "key").select("key", "node", "comp", "size", "lo", "hi"), "mixed")
-    near = mixed.where(F.col("size") <= limit)
-    left, right = near.select("key", F.col("node").alias("a"), F.col("comp").alias("ca")), near.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"))
-    pairs = left.join(right, "key").where("a < b AND ca != cb").select("a", "b")
-    wide = mixed.where(F.col("size") > limit).select("node", "comp", F.explode(F.array("lo", "hi")).alias("p")).where("comp != p.comp")
-    return pairs.unionByName(wide.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))).distinct()
+    heads = known.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node"))["node"].alias("first")).where("lo != hi")
+    share = F.pmod(F.xxhash64("key", "node"), F.ceil(F.col("size") / pivots)) == 0
+    turn = F.when(F.col("size") > limit, share | (F.col("node") == F.col("first"))).otherwise(F.lit(True))
+    mixed = stored(known.join(heads, "key").select("key", "node", "n", "place", "comp", turn.alias("pivot")), "mixed")
+    left, right = (mixed.select("key", F.col("node").alias(x), F.col("n").alias("n" + x), F.col("place").alias("i" + x), F.col("comp").alias("c" + x), F.col("pivot").alias("p" + x)) for x in "ab")
+    # Two pivots meet once.
+    met = left.where("pa").join(right, "key").where("a != b AND ca != cb AND (a < b OR NOT pb)")
+    return _pairs(met, similarity), mixed.where("NOT pivot").select("key", "node", "n", "place")
+
+
+def _elements(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash) of each element of the texts' multisets, a shingle's second occurrence being another element; the numbers of elements."""
+    of, h, count, total = shingles(column, size)
+    entry = np.repeat(np.arange(len(h)), count)
+    nth = np.arange(len(entry)) - np.repeat(np.cumsum(count) - count, count)
+    return of[entry], W.mix(h[entry] + nth.astype(np.uint64) * np.uint64(W.BASE)), total
+
+
+def _cells(size: int, cells: int):
+    def run(batches):
+        held = np.zeros(cells, np.int64)
+        for batch in batches:
+            for part in _pieces([batch]):
+                held += np.bincount((_elements(part.column(1), size)[1] % np.uint64(cells)).astype(np.int64), minlength=cells)
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], ["cell", "held"])
+
+    return run
+
+
+def _prefixes(size: int, similarity: float, often):
+    def run(batches):
+        for batch in batches:
+            for part in _pieces([batch]):
+                of, e, total = _elements(part.column(1), size)
+                order = np.lexsort((e, often.value[(e % np.uint64(len(often.value))).astype(np.int64)], of))
+                of, e = of[order], e[order]
+                place = np.arange(len(of)) - (np.cumsum(total) - total)[of]
+                first = place <= (total - np.ceil(total * similarity - 1e-9))[of]
+                ids = part.column(0).to_numpy(zero_copy_only=False)[of[first]]
+                yield pa.RecordBatch.from_arrays([pa.array(e[first].view(np.int64)), pa.array(ids), pa.array(total[of[first]]), pa.array(place[first])], ["key", "node", "n", "place"])
+
+    return run
+
+
+def rare_groups(texts: DataFrame, size: int, similarity: float, cells: int = 1 << 20) -> DataFrame:
+    """(key, node, n, place): groups of texts (id, text) such that each pair of the similarity shares one at least.
+
+    Prefix filter: of two multisets with a Jaccard of at least s, the n - ceil(s * n) + 1 first elements in any order
+    that all texts share have one in common. The order is by rarity, so that passages which many texts hold come last:
+    counts of elements in `cells` hashed cells, a table of fixed size whatever the number of texts."""
+    spark = texts.sparkSession
+    counts = texts.mapInArrow(_cells(size, cells), "cell long, held long").groupBy("cell").agg(F.sum("held").alias("held")).toPandas()  # at most `cells` rows
+    often = np.zeros(cells, np.int64)
+    often[counts["cell"].to_numpy(np.int64)] = counts["held"].to_numpy(np.int64)
+    groups = stored(texts.mapInArrow(_prefixes(size, similarity, spark.sparkContext.broadcast(often)), "key long, node long, n long, place long").distinct(), "rare")
+    shared = groups.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
+    return stored(groups.join(shared, "key", "left_semi"), "rare-shared")
+
+
+def merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """label after more links; only the components that they touch are worked on."""
+    ends = links.join(label.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(label.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
+    ends = stored(ends.where("ca != cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), "merges")
+    if not ends.limit(1).count():
+        return label
+    top = components(ends.select(F.col("a").alias("node")).unionByName(ends.select(F.col("b").alias("node"))).distinct(), ends)
+    top = small(stored(top.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "tops"))
+    return stored(label.join(top, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")), "labels")
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -203,8 +277,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Equal multisets collapse into one representative before anything is paired. Signatures of bands * rows numbers
     from bands; a pair of similarity 0.8 shares none of the 32 bands of 6 with a chance of 6e-5, one of 0.9 with 1e-11.
     In each band's groups, however large, members are compared with pivots, so that pairs grow with the members. Where
-    that leaves a group of at most 32 in several components, all pairs between these are compared; larger ones get two
-    pivots more. All pairs are verified on
+    that leaves a group of at most 32 in several components, all pairs between these are compared. Texts of larger such
+    groups, which share much without being near, are grouped once more by their rarest shingles, so that no link
+    between them is lost; groups that are still large there meet pivots, more each round, until none is mixed. All pairs
+    are verified on
     the multisets themselves. Labels, links and components stay distributed."""
     plain = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text_col)
     digest = stored(plain.mapInArrow(_digest(size, bands, rows), "id long, bag long, n long, bands array<long>"), "signatures")
@@ -215,23 +291,34 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     same = own.where("id != node").select(F.col("id").alias("a"), F.col("node").alias("b")).join(nodes.select(F.col("node").alias("a")), "a", "left_semi").distinct()
 
     heads = digest.where("n > 0").join(bags.withColumnRenamed("node", "id"), ["bag", "n", "id"], "left_semi")
-    groups = heads.select(F.col("id").alias("node"), F.explode("bands").alias("key")).distinct()
+    groups = heads.select(F.col("id").alias("node"), "n", F.lit(0).cast("long").alias("place"), F.explode("bands").alias("key")).distinct()
     crowded = groups.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
     groups = stored(groups.join(crowded, "key", "left_semi"), "bands")
 
+    met = None
+
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs, "pairs")
+        nonlocal met
+        pairs = stored(pairs.join(met, ["a", "b"], "left_anti") if met else pairs, "pairs")
+        met = met.unionByName(pairs) if met else pairs
         wanted = stored(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "wanted")
         some = stored(plain.join(small(wanted), "id", "left_semi").mapInArrow(_bags(size), "id long, h binary, c binary").dropDuplicates(["id"]), "multisets")
         first = pairs.join(some.select(F.col("id").alias("a"), F.col("h").alias("h1"), F.col("c").alias("c1")), "a")
         full = first.join(some.select(F.col("id").alias("b"), F.col("h").alias("h2"), F.col("c").alias("c2")), "b")
         return stored(full.select("a", "b", "h1", "c1", "h2", "c2").mapInArrow(_verify(similarity), "a long, b long, linked boolean").where("linked").select("a", "b"), "linked")
 
-    links = verified(star_pairs(groups)).unionByName(same)
-    label = components(nodes, links)
-    across = stored(cross_pairs(groups, label), "across")
-    if across.limit(1).count():
-        label = components(nodes, links.unionByName(verified(across)))
+    label = components(nodes, verified(star_pairs(groups, similarity)).unionByName(same))
+    across, rest = cross_pairs(groups, label, similarity)
+    label = merged(label, verified(across))
+    rest = rest.join(label, "node")
+    crowd = rest.join(rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi"), "key", "left_semi").select(F.col("node").alias("id")).distinct()
+    crowd = stored(crowd, "crowd")
+    if crowd.limit(1).count():
+        texts = plain.join(small(crowd), "id", "left_semi")
+        rest, pivots = rare_groups(texts, size, similarity), 32
+        while rest.limit(1).count():
+            across, rest = cross_pairs(rest, label, similarity, pivots=pivots)
+            label, rest, pivots = merged(label, verified(across)), stored(rest, "rest"), 2 * pivots
     out = own.join(label, "node")
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return out.select(real("id").alias("doc_id"), real("comp").alias("class_id"), F.col("n").alias("n_shingles"), (F.col("id") == F.col("comp")).alias("kept"))

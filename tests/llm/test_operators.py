@@ -235,6 +235,42 @@ def test_near_families(spark):
     assert {x.doc_id: x.class_id for x in bagminhash.near_classes(df).collect()} == want
 
 
+def test_near_crowd(spark, monkeypatch):
+    """Many texts that share most of a passage without being near, with near twins among them."""
+    r, out = random.Random(8), []
+    base = prose(2000, 100).split()
+    for k in range(240):
+        w = list(base)
+        for _ in range(2):
+            w[r.randrange(len(w))] = prose(r.random(), 1)
+        out.append((len(out), " ".join(w)))
+        if k % 6 == 0:
+            w[r.randrange(len(w))] = prose(r.random(), 1)
+            out.append((len(out), " ".join(w)))
+    crowds = []
+    kept = bagminhash.rare_groups
+    monkeypatch.setattr(bagminhash, "rare_groups", lambda texts, *a, **k: crowds.append(texts.count()) or kept(texts, *a, **k))
+    df = spark.createDataFrame(out, "doc_id long, text string")
+    assert {x.doc_id: x.class_id for x in bagminhash.near_classes(df).collect()} == classes_of(out)
+    assert crowds and crowds[0] > 32
+
+
+def test_rare_groups(spark):
+    """Every near pair meets, with few shingles before the first that it shares."""
+    r, texts = random.Random(9), []
+    for family in range(10):
+        w = prose(3000 + family, r.randint(6, 90)).split()
+        for _ in range(6):
+            texts.append((len(texts), " ".join(w)))
+            w.insert(r.randrange(len(w)), r.choice([*w, "new"]))
+    groups = bagminhash.rare_groups(spark.createDataFrame(texts, "id long, text string"), 5, 0.8, cells=64)
+    sides = [groups.select("key", F.col("node").alias(x), F.col("n").alias("n" + x), F.col("place").alias("i" + x)) for x in "ab"]
+    met = {tuple(x) for x in bagminhash._pairs(sides[0].join(sides[1], "key").where("a < b"), 0.8).collect()}
+    bags = [bag(t) for _, t in texts]
+    want = {(a, b) for b in range(len(bags)) for a in range(b) if similar(bags[a], bags[b]) >= 0.8}
+    assert want and want <= met
+
+
 def test_quality(spark, docs):
     labels = table(spark, [(i, 1, 0) for i in range(8)] + [(9, 0, 0), (10, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     got = quality.score_quality(docs, labels).collect()
