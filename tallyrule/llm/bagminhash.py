@@ -229,10 +229,12 @@ def _prefixes(size: int, similarity: float, often):
         for batch in batches:
             for part in _pieces([batch]):
                 of, e, total = _elements(part.column(1), size)
-                order = np.lexsort((e, often.value[(e % np.uint64(len(often.value))).astype(np.int64)], of))
-                of, e = of[order], e[order]
+                held = often.value[(e % np.uint64(len(often.value))).astype(np.int64)]
+                order = np.lexsort((e, held, of))
+                of, e, held = of[order], e[order], held[order]
                 place = np.arange(len(of)) - (np.cumsum(total) - total)[of]
-                first = place <= (total - np.ceil(total * similarity - 1e-9))[of]
+                # What is alone in its cell is in no other text.
+                first = (held > 1) & (place <= (total - np.ceil(total * similarity - 1e-9))[of])
                 ids = part.column(0).to_numpy(zero_copy_only=False)[of[first]]
                 yield pa.RecordBatch.from_arrays([pa.array(e[first].view(np.int64)), pa.array(ids), pa.array(total[of[first]]), pa.array(place[first])], ["key", "node", "n", "place"])
 
