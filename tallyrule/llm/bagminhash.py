@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -318,9 +319,14 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if crowd.limit(1).count():
         texts = plain.join(small(crowd), "id", "left_semi")
         rest, pivots = rare_groups(texts, size, similarity), 32
+        local = label.join(small(crowd.withColumnRenamed("id", "node")), "node", "left_semi")
+        found = []
         while rest.limit(1).count():
-            across, rest = cross_pairs(rest, label, similarity, pivots=pivots)
-            label, rest, pivots = merged(label, verified(across)), stored(rest, "rest"), 2 * pivots
+            across, rest = cross_pairs(rest, local, similarity, pivots=pivots)
+            found.append(verified(across))
+            local, rest, pivots = merged(local, found[-1]), stored(rest, "rest"), 2 * pivots
+        if found:
+            label = merged(label, reduce(DataFrame.unionByName, found))
     out = own.join(label, "node")
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return out.select(real("id").alias("doc_id"), real("comp").alias("class_id"), F.col("n").alias("n_shingles"), (F.col("id") == F.col("comp")).alias("kept"))
