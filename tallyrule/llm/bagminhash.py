@@ -317,7 +317,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     crowd = rest.join(rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi"), "key", "left_semi").select(F.col("node").alias("id")).distinct()
     crowd = stored(crowd, "crowd")
     if crowd.limit(1).count():
-        texts = plain.join(small(crowd), "id", "left_semi")
+        # Stored: read twice, and in splits of a size of its own, each of which sends one count for each of its cells.
+        texts = stored(plain.join(small(crowd), "id", "left_semi"), "crowd-texts")
         rest, pivots = rare_groups(texts, size, similarity), 32
         local = label.join(small(crowd.withColumnRenamed("id", "node")), "node", "left_semi")
         found = []
