@@ -16,8 +16,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Units that a worker remembers; then it forgets all and goes on.
-REMEMBERED = 400_000
+#: Units that a worker remembers, and as many older ones, of which those not met again are then forgotten; neighbours.
+REMEMBERED = 200_000
+FOLLOWS = 400_000
 
 
 class Transducer:
@@ -51,17 +52,13 @@ class Transducer:
         self.unk = next(i for i, p in enumerate(m.pieces) if p.type == UNKNOWN)
         if self.bytes and len(self.bytes) != 256:
             raise ValueError("byte fallback needs 256 byte pieces")
-        self.longest = max(map(len, self.ids), default=1)
         self.worst = min(self.score.values(), default=0.0) - 10.0
         self.out = [b"" if p.type == CONTROL else bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else p.piece.replace(SPACE, " ").encode() if p.type == NORMAL else b" \xe2\x81\x87 " for p in m.pieces]
-        self.lengths = {}
-        for p in self.ids:
-            self.lengths.setdefault(p[0], set()).add(len(p))
-        self.lengths = {c: sorted(n) for c, n in self.lengths.items()}
         inner = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         alone = "".join(c for c in map(chr, range(32)) if not any(c in p for p in self.ids))
         self.units = re.compile("(?s).+" if inner else f"[{re.escape(alone)}]|{SPACE}*[^{SPACE}{re.escape(alone)}]+|{SPACE}+" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.follows: dict[tuple[str, str], bool] = {}
         self.parts: dict[str, tuple[str, str] | None] = {}
         #: By score, the best is 0; pieces of one character come before all merges and have none.
@@ -69,6 +66,15 @@ class Transducer:
         self.rank = {p: order[self.score[p]] for p in self.ids if len(p) > 1}
         met = Counter(self.rank.values())
         self.tied = {p for p, i in self.rank.items() if met[i] > 1}
+        self.code = {p: np.int32(i).tobytes() for p, i in self.ids.items()}
+        #: The pieces as a trie: by character, the piece that ends there (if merging makes it) and what leads on.
+        trie: dict = {}
+        for p in self.ids:
+            node = trie
+            for c in p[:-1]:
+                node = node.setdefault(c, [None, {}])[1]
+            node.setdefault(p[-1], [None, {}])[0] = p if not self.bpe or len(p) == 1 or self.last_merge(p) else None
+        self.trie = trie
 
     def merge(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
         """What merging the best-ranked neighbours, the left ones first, makes of a text, and its last merge."""
@@ -112,28 +118,55 @@ class Transducer:
             self.follows[a, b] = found
         return found
 
+    def arcs(self, unit: str, start: int) -> list[str]:
+        """What the arcs from a position read, the shortest first: pieces, and a character that is none."""
+        node, found = self.trie, []
+        for c in unit[start:]:
+            if (step := node.get(c)) is None:
+                break
+            arc, node = step
+            if arc:
+                found.append(arc)
+        return found if found and len(found[0]) == 1 else [unit[start], *found]
+
     def shortest(self, unit: str) -> list[str]:
         """The arcs of the shortest path through a unit."""
+        return self.free_path(unit) if self.bpe else self.cheapest_path(unit)
+
+    def free_path(self, unit: str) -> list[str]:
+        """The path of weight 0, found by going on with the longest arc that may follow, and back where none leads to the
+        end. A position has one state, so a position left that way is never tried again."""
+        n, follows = len(unit), self.follows
+        path, at, choices, dead = [], [0], [self.arcs(unit, 0)], set()
+        while at[-1] < n:
+            if not choices[-1]:
+                dead.add(at.pop())
+                choices.pop()
+                path.pop()
+                continue
+            arc = choices[-1].pop()
+            end = at[-1] + len(arc)
+            if end in dead:
+                continue
+            if path:
+                ok = follows.get((path[-1], arc))
+                if not (self.may_follow(path[-1], arc) if ok is None else ok):
+                    continue
+            path.append(arc)
+            at.append(end)
+            if end < n:
+                choices.append(self.arcs(unit, end))
+        return path
+
+    def cheapest_path(self, unit: str) -> list[str]:
         n = len(unit)
         cost, last = [np.inf] * (n + 1), [""] * (n + 1)
         cost[0] = 0.0
         for i in range(n):
             if cost[i] == np.inf:
                 continue
-            first = unit[i]
-            arcs = self.lengths.get(first, ())
-            if first not in self.ids:
-                arcs = [1, *arcs]
-            for size in arcs:
-                if (j := i + size) > n:
-                    break
-                arc = unit[i:j]
-                if size > 1 and arc not in self.ids:
-                    continue
-                if self.bpe:
-                    if cost[j] and (not i or self.may_follow(last[i], arc)) and (size == 1 or self.last_merge(arc)):
-                        cost[j], last[j] = 0.0, arc
-                elif (w := cost[i] - self.score.get(arc, self.worst)) < cost[j]:
+            for arc in self.arcs(unit, i):
+                if (w := cost[i] - self.score.get(arc, self.worst)) < cost[j := i + len(arc)]:
                     cost[j], last[j] = w, arc
         path = []
         while n:
@@ -143,8 +176,15 @@ class Transducer:
 
     def write(self, unit: str) -> bytes:
         """The ids of a unit, four bytes each."""
+        arcs, code = self.shortest(unit), self.code
+        try:
+            return b"".join([code[arc] for arc in arcs])
+        except KeyError:
+            return self.write_unknown(arcs)
+
+    def write_unknown(self, arcs: list[str]) -> bytes:
         ids: list[int] = []
-        for arc in self.shortest(unit):
+        for arc in arcs:
             if (i := self.ids.get(arc)) is not None:
                 ids.append(i)
             elif self.bytes:
@@ -153,20 +193,26 @@ class Transducer:
                 ids.append(self.unk)
         return np.array(ids, dtype=np.int32).tobytes()
 
+    def recall(self, unit: str) -> bytes:
+        """The ids of a unit, remembered."""
+        if (ids := self.known.get(unit)) is None:
+            if (ids := self.older.get(unit)) is None:
+                ids = self.write(unit)
+            if len(unit) <= 64:
+                if len(self.known) >= REMEMBERED:
+                    self.older, self.known = self.known, {}
+                if len(self.follows) >= FOLLOWS:
+                    self.follows.clear()
+                self.known[unit] = ids
+        return ids
+
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, dtype=np.int32)
-        known, parts = self.known, []
-        for unit in self.units((SPACE if self.prefix else "") + text.replace(" ", SPACE)):
-            ids = known.get(unit)
-            if ids is None:
-                ids = self.write(unit)
-                if len(unit) <= 64:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                        self.follows.clear()
-                    known[unit] = ids
-            parts.append(ids)
+        units = self.units((SPACE if self.prefix else "") + text.replace(" ", SPACE))
+        parts = list(map(self.known.get, units))
+        if None in parts:
+            parts = [self.recall(u) if ids is None else ids for u, ids in zip(units, parts, strict=True)]
         return np.frombuffer(b"".join(parts), dtype=np.int32)
 
     def decode(self, ids) -> str:
