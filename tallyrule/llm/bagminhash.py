@@ -72,7 +72,11 @@ def signatures(of: np.ndarray, h: np.ndarray, count: np.ndarray, total: np.ndarr
                     e = live[part]
                     t = np.arange(drawn, drawn + step, dtype=np.uint64)
                     u = W.mix(seed[e][:, None] + (t + np.uint64(1)) * np.uint64(W.BASE))
-                    x = time[part][:, None] + np.cumsum(-np.log(((u >> np.uint64(11)).astype(np.float64) + 1) * U53) / (m * width[e])[:, None], axis=1)
+                    # The carried time is added to from left to right, so that a point's bits don't depend on step.
+                    x = np.empty((len(e), step + 1))
+                    x[:, 0] = time[part]
+                    x[:, 1:] = -np.log(((u >> np.uint64(11)).astype(np.float64) + 1) * U53) / (m * width[e])[:, None]
+                    x = np.cumsum(x, axis=1)[:, 1:]
                     r = W.mix(u ^ np.uint64(0xA5A5A5A5A5A5A5A5))
                     place = (r >> np.uint64(32)) % np.uint64(m)
                     seen = x <= limit[text[e]][:, None]

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -255,6 +256,19 @@ def test_near_crowd(spark, monkeypatch):
     assert crowds and crowds[0] > 32
 
 
+@pytest.mark.parametrize("n", [64, 128, 256])
+def test_signatures_across_sizes(n):
+    """Repetitive multisets on both sides of n shingles agree by bits wherever they agree at all."""
+    r = np.random.default_rng(n)
+    low, high = np.array([n - 10 - 4 * (n // 10), *[n // 10] * 4]), np.array([n + 10 - 4 * (n // 10), *[n // 10] * 4])
+    bits = close = 0
+    for _ in range(40):
+        h = r.integers(0, 2**63, 5).astype(np.uint64)
+        a, b = bagminhash.signatures(np.repeat([0, 1], 5), np.tile(h, 2), np.concatenate([low, high]), np.array([low.sum(), high.sum()]), 192)
+        bits, close = bits + np.count_nonzero(a == b), close + np.count_nonzero(np.isclose(a, b, rtol=1e-9, atol=0))
+    assert bits == close and abs(bits / (40 * 192) - low.sum() / high.sum()) < 0.05
+
+
 def test_rare_groups(spark):
     """Every near pair meets, with few shingles before the first that it shares."""
     r, texts = random.Random(9), []
