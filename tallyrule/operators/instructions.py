@@ -252,9 +252,11 @@ def rephrase_marked(x: Column, original: Column) -> Column:
     return F.when(x.rlike(marked) & original.rlike(marked), F.regexp_replace(x, marked, "") == F.regexp_replace(original, marked, ""))
 
 
-def shared_words(x: Column, original: Column) -> Column:
-    """The size of the overlap of two bags of words."""
-    bag = lambda t: F.regexp_extract_all(F.lower(t), F.lit(f"({X.W}+)"), 1)
-    a, b = bag(x), bag(original)
-    times = lambda words, w: F.size(F.filter(words, lambda y: y == w))
-    return F.aggregate(F.array_intersect(a, b), F.lit(0), lambda n, w: n + F.least(times(a, w), times(b, w))).cast("long")
+def shared_words(pairs: DataFrame, id_col: str, x: str, original: str) -> DataFrame:
+    """id_col and value: the size of the overlap of the two texts' bags of words, for each id of pairs; 0 if one has no words.
+
+    The words of both texts are counted once each, so the work grows with the words."""
+    both = pairs.select(id_col, F.explode(F.array(*(F.struct(F.lit(i).alias("second"), F.col(c).alias("text")) for i, c in enumerate((x, original))))).alias("s"))
+    words = both.select(id_col, "s.second", F.explode_outer(F.regexp_extract_all(F.lower("s.text"), F.lit(f"({X.W}+)"), 1)).alias("word"))
+    counts = words.groupBy(id_col, "word").agg(F.sum(1 - F.col("second")).alias("a"), F.sum("second").alias("b"))
+    return counts.groupBy(id_col).agg(F.sum(F.when(F.col("word").isNotNull(), F.least("a", "b")).otherwise(0)).alias("value"))

@@ -101,7 +101,6 @@ measure("blank_filter", "plain", X.blank, f"NOT regexp_matches(text, '{NS}')")
 measure("number_sentences_rule", "plain", lambda x: F.size(split_sentences(x)).cast("long"), None)
 measure("number_sentences_rule_ko", "korean", lambda x: F.size(split_sentences(x, korean=True)).cast("long"), "CAST(1 AS BIGINT)")
 measure("loose_variants", "stars", lambda x: F.size(X.loose_variants(x)).cast("long"), None)
-measure("rephrase_overlap", "plain", lambda x: I.shared_words(F.substring(x, 1, 200), F.substring(x, 100, 200)), None)
 measure("formal_text_ko", "korean", formal_text, "doc_id % 2 = 0")
 measure("language_guess", "plain", lambda x: F.get(detect(F.array(x)), F.lit(0)), None)
 
@@ -140,6 +139,17 @@ rule("key_sentences", "ko:keywords:key_sentences", "korean", "doc_id % 2 = 1", k
 measure("constrained_start", "plain", lambda x: I.constrained_start(x, F.lit("The")), f"regexp_matches(text, '(?m)^{S}*The')")
 measure("rephrase_marked", "bold", lambda x: F.coalesce(I.rephrase_marked(x, x), F.lit(False)), r"regexp_matches(text, '\*.*\*')")
 
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with the text of the next id, if there is one."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("original")), "doc_id", "left")
+
+
+BAGS = f"SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{W}+')) AS word FROM documents) GROUP BY doc_id, word"
+QUERIES["rephrase_overlap"] = lambda s, d: I.shared_words(_pairs(s, d), "doc_id", "text", "original")
+ORACLES["rephrase_overlap"] = f"WITH bags AS ({BAGS}) SELECT doc_id, CAST(coalesce(value, 0) AS BIGINT) AS value FROM documents LEFT JOIN (SELECT a.doc_id, sum(least(a.n, b.n)) AS value FROM bags a JOIN bags b ON b.doc_id = a.doc_id + 1 AND b.word = a.word GROUP BY a.doc_id) USING (doc_id)"
+
 # Evaluation of documents against three instructions.
 SPECS = [("en:punctuation:no_comma", {}), ("en:length_constraints:number_words", {"num_words": 300, "relation": "at least"}), ("en:keywords:existence", {"keywords": ["the"]}), ("xx:no:such", {}), ("keywords", {}), ("ko:length_constraints:number_words", {"num_words": "7"})]
 IDS = [i for i, _ in SPECS if i in I.REGISTRY]
