@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import OWN, read_table, small, stored
+from .common import OWN, read_table, shared_dir, stored
 
 SHARD, BUCKET, SLOT, SIZE = (OWN + x for x in ("shard", "bucket", "slot", "size"))
 
@@ -36,22 +38,23 @@ def shuffle_shards(rows: DataFrame, id_col: str = "doc_id", size_col: str = "siz
     first = Window.partitionBy(SHARD).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(SHARD, BUCKET, F.coalesce(F.sum("n").over(first), F.lit(0)).alias("start"))
 
-    held = d.groupBy(SHARD, BUCKET).agg(F.collect_list("row").alias("rows"))
+    # By ranges, so that the partitions hold the shards' slots in order and need no second exchange.
+    held = d.repartitionByRange(SHARD, BUCKET).groupBy(SHARD, BUCKET).agg(F.collect_list("row").alias("rows"))
     in_order = F.array_sort("rows") if len(plain) == len(rows.columns) else F.col("rows")
     held = held.select(SHARD, BUCKET, in_order.alias("rows")).sortWithinPartitions(SHARD, BUCKET)
     held = held.select(SHARD, BUCKET, F.shuffle("rows", F.lit(seed)).alias("rows"))
-    out = held.join(small(stored(starts, "shard-starts")), [SHARD, BUCKET]).select(SHARD, "start", F.posexplode("rows").alias("pos", "row"))
+    out = held.join(F.broadcast(stored(starts, "shard-starts")), [SHARD, BUCKET]).select(SHARD, "start", F.posexplode("rows").alias("pos", "row"))
     return out.select(*(F.col("row").getField(c).alias(c) for c in rows.columns), SHARD, (F.col("start") + F.col("pos")).alias(SLOT))
 
 
 def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", **options) -> None:
-    """Whole records as Parquet, a folder for each shard (column shard), its rows in order of column slot."""
+    """Whole records as Parquet, a folder for each shard (column shard), its rows in order of column slot, file by file."""
     sized = docs.withColumn(SIZE, record_size(F.col(text_col)))
     out = shuffle_shards(sized, id_col, SIZE, **options).drop(SIZE)
     clash = [c for c in ("shard", "slot") if c in docs.columns]
     if clash:
         raise ValueError(f"rename the columns {clash} first")
-    out.withColumnsRenamed({SHARD: "shard", SLOT: "slot"}).repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    out.withColumnsRenamed({SHARD: "shard", SLOT: "slot"}).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def record_size(text: Column) -> Column:
@@ -60,8 +63,10 @@ def record_size(text: Column) -> Column:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the shards of whole documents to the shared folder; each row tells of a record as read back from there."""
     docs = read_table(spark, sf_dir, "documents")
-    digest = docs.select("doc_id", record_size(F.col("text")).alias("size"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "utf-8")).alias("text_crc32"))
-    digest = stored(digest, "shard-digest")
-    out = shuffle_shards(digest)
-    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), F.col(SHARD).alias("shard"), F.col(SLOT).cast("long").alias("slot"), shard_of(F.col("doc_id"), 25, 11).alias("grown_shard"))
+    path = f"{shared_dir(spark)}/tables/shards-{uuid.uuid4().hex}"
+    write_shards(docs, path)
+    out = spark.read.schema(docs.withColumns({"slot": F.lit(0).cast("long"), "shard": F.lit(0)}).schema).parquet(path)
+    crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "utf-8"))
+    return out.select("doc_id", record_size(F.col("text")).alias("size"), crc.alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", shard_of(F.col("doc_id"), 25, 11).alias("grown_shard"))

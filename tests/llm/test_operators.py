@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -162,6 +163,23 @@ def test_write_shards(docs, tmp_path):
     assert back.count() == docs.count() and set(back.columns) == {"doc_id", "text", "shard", "slot"}
 
 
+def test_shard_files_are_in_order(docs, tmp_path):
+    sharding.write_shards(docs.select("doc_id", "text"), f"{tmp_path}/s", shards=3, bucket_bytes=500)
+    for shard in range(3):
+        slots = [x for p in sorted((tmp_path / "s" / f"shard={shard}").glob("*.parquet")) for x in pq.ParquetFile(p).read(["slot"])["slot"].to_pylist()]
+        assert slots and slots == list(range(len(slots)))
+
+
+def test_shard_query_writes_whole_records(spark, monkeypatch):
+    paths, write = [], sharding.write_shards
+    monkeypatch.setattr(sharding, "write_shards", lambda d, path, **o: (paths.append(path), write(d, path, **o)))
+    got = sharding.query(spark, "/root/testdata/sf0.001").collect()
+    back, docs = spark.read.parquet(*paths).collect(), spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert Counter(tuple(r[c] for c in docs.columns) for r in back) == Counter(map(tuple, docs.collect()))
+    want = [(r.doc_id, len((r.text or "").encode()) + 8, zlib.crc32((r.text or "").encode()), r.shard, r.slot) for r in back]
+    assert Counter(want) == Counter((r.doc_id, r["size"], r.text_crc32, r.shard, r.slot) for r in got)
+
+
 def test_topk(spark):
     r = random.Random(1)
     vectors = [(i, [r.gauss(0, 1) * (1 + i % 7) for _ in range(8)]) for i in range(300)]
