@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,14 +37,15 @@ def matched_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return rule, verdict
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float, tolerance: float, rounds: int) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float, tolerance: float, rounds: int | None = None) -> DataFrame:
     """(host, rank): personalised PageRank. seeds: (host, seed); edges: (src, dst, share), shares of a src sum to 1.
 
     rank = (1 - damping) * seed + damping * sum of share * rank over the links in. Each round is stored; it ends when
-    no host's rank moved by more than tolerance."""
+    no host's rank moved by more than tolerance. The sum of all moves shrinks by damping each round, so that comes; a
+    number of rounds ends it before."""
     start = seeds.where("seed > 0").select("host", ((1 - damping) * F.col("seed")).alias("base"))
     rank = stored(start.withColumnRenamed("base", "rank"), "rank")
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         flow = rank.join(small(edges), rank.host == edges.src).select(F.col("dst").alias("host"), (damping * F.col("rank") * F.col("share")).alias("part"))
         new = stored(start.withColumnRenamed("base", "part").unionByName(flow).groupBy("host").agg(F.sum("part").alias("rank")), "rank")
         moved = new.alias("n").join(rank.alias("o"), "host", "left").agg(F.max(F.col("n.rank") - F.coalesce(F.col("o.rank"), F.lit(0.0)))).first()[0]
@@ -52,7 +55,7 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float, tolerance: flo
     return rank
 
 
-def judge_urls(pages: DataFrame, rules=RULES, damping: float = 0.85, threshold: float = 0.5, tolerance: float = 1e-6, rounds: int = 50) -> DataFrame:
+def judge_urls(pages: DataFrame, rules=RULES, damping: float = 0.85, threshold: float = 0.5, tolerance: float = 1e-6, rounds: int | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust for each row of pages (page_id, url, html).
 
     The longest rule that fits decides. For the other pages: a host's trust seed is the share of its pages that rules

@@ -336,6 +336,12 @@ def test_urls(spark):
     assert urlrank.judge_urls(table(spark, rows, PAGES).limit(0)).count() == 0
 
 
+def test_rank_of_a_cycle_meets_the_tolerance(spark):
+    rows = [(i, url, f'<a href="{to}">', "", "") for i, (url, to) in enumerate([("https://x.org/fr/", "https://good.site/"), ("https://good.site/", "https://x.org/")])]
+    got = {r.host: r.trust for r in urlrank.judge_urls(table(spark, rows, PAGES)).collect()}
+    assert got == pytest.approx({"x.org": 1 / (1 - 0.85**2), "good.site": 0.85 / (1 - 0.85**2)}, abs=1e-4)
+
+
 def test_rank_equals_iteration(spark):
     hosts, edges = list("abcde"), [("a", "b", 0.5), ("a", "c", 0.5), ("b", "c", 1.0), ("c", "a", 1.0), ("d", "c", 1.0)]
     seed = {"a": 1.0, "d": 0.5}
