@@ -7,7 +7,8 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -16,8 +17,12 @@ from .common import OWN, read_table, small, stored
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 6
-NO_ID = -(2**63)
 U53 = float(2**-53)
+#: Points drawn at once, and bytes of text taken at once: the bounds of a worker's memory, whatever the batches.
+POINTS, PIECE = 1 << 18, 1 << 19
+#: Rows whose text and id are the same share this key.
+ROW = ["id", "t1", "t2"]
+BAG = ["bag", "bag2", "n"]
 
 
 def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -68,7 +73,7 @@ def signatures(of: np.ndarray, h: np.ndarray, count: np.ndarray, total: np.ndarr
             step = int(np.clip(m * (math.log(m) + 4) / 2.0**s / 2, 4, 1024))
             live, time, drawn = chosen, np.zeros(len(chosen)), 0
             while len(live):
-                for part in np.array_split(np.arange(len(live)), max(1, len(live) * step // 2_000_000)):
+                for part in np.array_split(np.arange(len(live)), max(1, len(live) * step // POINTS)):
                     e = live[part]
                     t = np.arange(drawn, drawn + step, dtype=np.uint64)
                     u = W.mix(seed[e][:, None] + (t + np.uint64(1)) * np.uint64(W.BASE))
@@ -99,64 +104,61 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _pieces(batches, size: int = 2 << 20):
+def _pieces(batches, text: int, size: int = PIECE):
     """Batches of at most about `size` bytes of text, or of one text."""
     for batch in batches:
-        lengths = np.array([len(x) if x else 0 for x in batch.column(1).to_pylist()])
-        group = np.cumsum(lengths) // size
+        lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        group = np.cumsum(lengths, dtype=np.int64) // size
         at = [0, *(np.flatnonzero(np.diff(group)) + 1), batch.num_rows]
         for a, b in zip(at[:-1], at[1:], strict=True):
             if b > a:
                 yield batch.slice(a, b - a)
 
 
+def _lists(ends: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.view(np.int64)))
+
+
 def _digest(size: int, bands: int, rows: int):
     def run(batches):
-        for batch in _pieces(batches):
-            of, h, count, total = shingles(batch.column(1), size)
+        for batch in _pieces(batches, 3):
+            of, h, count, total = shingles(batch.column(3), size)
             keys = band_keys(signatures(of, h, count, total, bands * rows), bands, rows)
-            # Equal multisets have equal sums of well-mixed hashes.
-            whole = np.zeros(len(total), np.uint64)
-            np.add.at(whole, of, W.mix(W.mix(h) ^ count.astype(np.uint64)))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(total) * bands + 1, bands, dtype=np.int32)), pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole.view(np.int64)), pa.array(total), lists], ["id", "bag", "n", "bands"])
+            # Equal multisets have equal sums of well-mixed hashes; two sums make 128 bits.
+            sums = np.zeros((2, len(total)), np.uint64)
+            for k, salt in enumerate((0, 0x632BE59BD9B4E019)):
+                np.add.at(sums[k], of, W.mix(W.mix(h ^ np.uint64(salt)) ^ count.astype(np.uint64)))
+            lists = _lists(np.arange(0, len(total) * bands + 1, bands), keys.reshape(-1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *map(pa.array, sums.view(np.int64)), pa.array(total), lists], [*ROW, *BAG, "bands"])
 
     return run
 
 
-def _bags(size: int):
-    def run(batches):
-        for batch in _pieces(batches):
-            of, h, count, total = shingles(batch.column(1), size)
-            at = np.searchsorted(of, np.arange(len(total) + 1))
-            count = count.astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([h[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()), pa.array([count[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())],
-                ["id", "h", "c"],
-            )
-
-    return run
-
+def _elements(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash) of each element of the texts' multisets, a shingle's second occurrence being another element; the numbers of elements.
 
-def overlap(h1: bytes, c1: bytes, h2: bytes, c2: bytes) -> float:
-    """Weighted Jaccard of two multisets: the sum of the smaller counts by the sum of the larger."""
-    h1, h2, c1, c2 = np.frombuffer(h1, np.uint64), np.frombuffer(h2, np.uint64), np.frombuffer(c1, np.int32), np.frombuffer(c2, np.int32)
-    if not len(h1) or not len(h2):
-        return 0.0
-    at = np.minimum(np.searchsorted(h1, h2), len(h1) - 1)
-    both = np.minimum(c1[at], c2)[h1[at] == h2].sum(dtype=np.int64)
-    return float(both / (c1.sum(dtype=np.int64) + c2.sum(dtype=np.int64) - both))
+    So multisets become sets, and their weighted Jaccard that of the sets."""
+    of, h, count, total = shingles(column, size)
+    entry = np.repeat(np.arange(len(h)), count)
+    nth = np.arange(len(entry)) - np.repeat(np.cumsum(count) - count, count)
+    return of[entry], W.mix(h[entry] + nth.astype(np.uint64) * np.uint64(W.BASE)), total
 
 
-def _verify(least: float):
+def _bags(size: int):
     def run(batches):
-        for batch in batches:
-            good = [overlap(*x) >= least for x in zip(*(batch.column(c).to_pylist() for c in ("h1", "c1", "h2", "c2")), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(good, pa.bool_())], ["a", "b", "linked"])
+        for batch in _pieces(batches, 1):
+            _, e, total = _elements(batch.column(1), size)
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(np.concatenate([[0], np.cumsum(total)]), e)], ["node", "e"])
 
     return run
 
 
+def similar(a: str, b: str, least: float) -> Column:
+    """Whether two sets of elements have a Jaccard similarity of at least `least`; computed in the JVM."""
+    both = F.size(F.array_intersect(a, b))
+    return both / (F.size(a) + F.size(b) - both) >= least
+
+
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, comp): the least node that links lead to. Each round takes the least label among neighbours, then the
     label of that label; rounds are stored, so none is computed twice."""
@@ -209,54 +211,61 @@ def cross_pairs(groups: DataFrame, label: DataFrame, similarity: float, limit: i
     return _pairs(met, similarity), mixed.where("NOT pivot").select("key", "node", "n", "place")
 
 
-def _elements(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, hash) of each element of the texts' multisets, a shingle's second occurrence being another element; the numbers of elements."""
-    of, h, count, total = shingles(column, size)
-    entry = np.repeat(np.arange(len(h)), count)
-    nth = np.arange(len(entry)) - np.repeat(np.cumsum(count) - count, count)
-    return of[entry], W.mix(h[entry] + nth.astype(np.uint64) * np.uint64(W.BASE)), total
+def _counts(cells: int, lone=None):
+    """Each batch's elements by hashed cell, a row for each cell that it uses; with lone, only cells of which that is 1."""
 
-
-def _cells(size: int, cells: int):
     def run(batches):
-        held = np.zeros(cells, np.int64)
         for batch in batches:
-            for part in _pieces([batch]):
-                held += np.bincount((_elements(part.column(1), size)[1] % np.uint64(cells)).astype(np.int64), minlength=cells)
-        at = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], ["cell", "held"])
+            cell = (_flat(batch.column(0)).view(np.uint64) % np.uint64(cells)).astype(np.int64)
+            if lone is not None:
+                cell = cell[lone.value[cell] == 1]
+            at, held = np.unique(cell, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held.astype(np.int64))], ["cell", "held"])
 
     return run
 
 
-def _prefixes(size: int, similarity: float, often):
+def _flat(lists: pa.Array) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _prefixes(similarity: float, often):
     def run(batches):
         for batch in batches:
-            for part in _pieces([batch]):
-                of, e, total = _elements(part.column(1), size)
-                held = often.value[(e % np.uint64(len(often.value))).astype(np.int64)]
-                order = np.lexsort((e, held, of))
-                of, e, held = of[order], e[order], held[order]
-                place = np.arange(len(of)) - (np.cumsum(total) - total)[of]
-                # What is alone in its cell is in no other text.
-                first = (held > 1) & (place <= (total - np.ceil(total * similarity - 1e-9))[of])
-                ids = part.column(0).to_numpy(zero_copy_only=False)[of[first]]
-                yield pa.RecordBatch.from_arrays([pa.array(e[first].view(np.int64)), pa.array(ids), pa.array(total[of[first]]), pa.array(place[first])], ["key", "node", "n", "place"])
+            e, total = _flat(batch.column(1)), pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+            of = np.repeat(np.arange(len(total)), total)
+            held = often.value[(e.view(np.uint64) % np.uint64(len(often.value))).astype(np.int64)]
+            order = np.lexsort((e, held, of))
+            of, e, held = of[order], e[order], held[order]
+            place = np.arange(len(of)) - (np.cumsum(total) - total)[of]
+            # What no text that is looked for holds, or one of them alone, is no link.
+            first = (held > 1) & (place <= (total - np.ceil(total * similarity - 1e-9))[of])
+            ids = batch.column(0).to_numpy(zero_copy_only=False)[of[first]]
+            yield pa.RecordBatch.from_arrays([pa.array(e[first]), pa.array(ids), pa.array(total[of[first]]), pa.array(place[first])], ["key", "node", "n", "place"])
 
     return run
 
 
-def rare_groups(texts: DataFrame, size: int, similarity: float, cells: int = 1 << 20) -> DataFrame:
-    """(key, node, n, place): groups of texts (id, text) such that each pair of the similarity shares one at least.
+def rare_groups(bags: DataFrame, similarity: float, cells: int = 1 << 20) -> DataFrame:
+    """(key, node, n, place): groups of bags (node, e, minor) such that each pair of the similarity, of which one at least is
+    minor, shares a group.
+
+    Prefix filter: of two sets with a Jaccard of at least s, the n - ceil(s * n) + 1 first elements in any order that all
+    share have one in common. The order is by how many minor sets hold an element, so that what none holds comes first
+    and passages that many hold come last: counts of elements in hashed cells, a table whose size the caller fixes (the
+    order, not the result, depends on it). Only minor sets are counted, and of the others what just one minor set holds."""
+    spark = bags.sparkSession
+
+    def table(found: DataFrame) -> np.ndarray:
+        out, rows = np.zeros(cells, np.int64), found.groupBy("cell").agg(F.sum("held").alias("held")).toPandas()  # at most `cells` rows
+        out[rows["cell"].to_numpy(np.int64)] = rows["held"].to_numpy(np.int64)
+        return out
 
-    Prefix filter: of two multisets with a Jaccard of at least s, the n - ceil(s * n) + 1 first elements in any order
-    that all texts share have one in common. The order is by rarity, so that passages which many texts hold come last:
-    counts of elements in `cells` hashed cells, a table of fixed size whatever the number of texts."""
-    spark = texts.sparkSession
-    counts = texts.mapInArrow(_cells(size, cells), "cell long, held long").groupBy("cell").agg(F.sum("held").alias("held")).toPandas()  # at most `cells` rows
-    often = np.zeros(cells, np.int64)
-    often[counts["cell"].to_numpy(np.int64)] = counts["held"].to_numpy(np.int64)
-    groups = stored(texts.mapInArrow(_prefixes(size, similarity, spark.sparkContext.broadcast(often)), "key long, node long, n long, place long").distinct(), "rare")
+    kind = "cell long, held long"
+    held = table(bags.where("minor").select("e").mapInArrow(_counts(cells), kind))
+    held += table(bags.where("NOT minor").select("e").mapInArrow(_counts(cells, spark.sparkContext.broadcast(held)), kind))
+    groups = bags.select("node", "e").mapInArrow(_prefixes(similarity, spark.sparkContext.broadcast(held)), "key long, node long, n long, place long")
+    groups = stored(groups, "rare")
     shared = groups.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
     return stored(groups.join(shared, "key", "left_semi"), "rare-shared")
 
@@ -272,35 +281,37 @@ def merged(label: DataFrame, links: DataFrame) -> DataFrame:
     return stored(label.join(top, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")), "labels")
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, class_id, n_shingles, kept for each row of docs; class_id is the least doc_id of the class.
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t1"), F.hash(text_col).alias("t2"), F.col(text_col).alias("text"))
 
-    Two documents are linked if the multisets of their five-word shingles (words as they are, whole texts) have a
-    weighted Jaccard similarity of at least 0.8; a class is what links connect. Texts with fewer than five words have
-    one shingle of all their words. Texts without words, nulls too, are alike and one class. Rows without an id are one
-    document before all others, and so are rows that share an id; their class_id is null if it is that one's. An empty
-    table gives no rows; other columns are not looked at.
-
-    Equal multisets collapse into one representative before anything is paired. Signatures of bands * rows numbers
-    from bands; a pair of similarity 0.8 shares none of the 32 bands of 6 with a chance of 6e-5, one of 0.9 with 1e-11.
-    In each band's groups, however large, members are compared with pivots, so that pairs grow with the members. Where
-    that leaves a group of at most 32 in several components, all pairs between these are compared. Texts of larger such
-    groups, which share much without being near, are grouped once more by their rarest shingles, so that no link
-    between them is lost; groups that are still large there meet pivots, more each round, until none is mixed. All pairs
-    are verified on
-    the multisets themselves. Labels, links and components stay distributed."""
-    plain = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text_col)
-    digest = stored(plain.mapInArrow(_digest(size, bands, rows), "id long, bag long, n long, bands array<long>"), "signatures")
-    bags = stored(digest.groupBy("bag", "n").agg(F.min("id").alias("node")), "bags")
-    # An id that stands for several multisets (rows that share it) ties them together.
-    nodes = stored(bags.select("node").distinct(), "nodes")
-    own = digest.join(bags, ["bag", "n"])
-    same = own.where("id != node").select(F.col("id").alias("a"), F.col("node").alias("b")).join(nodes.select(F.col("node").alias("a")), "a", "left_semi").distinct()
-
-    heads = digest.where("n > 0").join(bags.withColumnRenamed("node", "id"), ["bag", "n", "id"], "left_semi")
-    groups = heads.select(F.col("id").alias("node"), "n", F.lit(0).cast("long").alias("place"), F.explode("bands").alias("key")).distinct()
+
+def _same_row(a: str, b: str) -> Column:
+    return reduce(Column.__and__, (F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in ROW))
+
+
+def near_members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """id, t1, t2 (hashes of the text), n and rep (the id and text hashes of the class's row that stays) for each row of docs.
+
+    1. A digest of each row: its multiset's 128-bit sum and its bands. 2. Equal multisets are one node from here on; the
+    row that stands for a node has the least id. 3. Nodes that share a band with others are read again, once, and their
+    multisets stored. 4. Pairs of a group's members with pivots, then within small mixed groups, then by rarest
+    elements; each pair is decided on the stored multisets, in the JVM. 5. Components of the links, and back to the rows."""
+    plain = _rows(docs, id_col, text_col)
+    kinds = dict(plain.dtypes)
+    row = ", ".join(f"`{c}` {kinds[c]}" for c in ROW)
+    digest = stored(plain.mapInArrow(_digest(size, bands, rows), f"{row}, bag long, bag2 long, n long, bands array<long>"), "signatures")
+    lead = F.struct(F.col("id").isNull().alias("none"), *ROW)
+    nodes = digest.groupBy(*BAG).agg(F.min(lead).alias("lead"), F.any_value("bands").alias("bands"))
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+
+    groups = nodes.where("n > 0").select("node", "n", F.lit(0).cast("long").alias("place"), F.explode("bands").alias("key"))
     crowded = groups.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
     groups = stored(groups.join(crowded, "key", "left_semi"), "bands")
+    wanted = stored(nodes.join(groups.select("node").distinct(), "node", "left_semi").select("node", *(F.col(f"lead.{c}").alias(c) for c in ROW)), "wanted")
+    texts = plain.alias("p").join(small(wanted).alias("w"), _same_row("p", "w")).select("w.node", "p.text")
+    bags = stored(texts.mapInArrow(_bags(size), "node long, e array<long>"), "multisets")
+    if bags.select("node").count() > wanted.count():  # rows that repeat
+        bags = stored(bags.groupBy("node").agg(F.any_value("e").alias("e")), "multisets")
 
     met = None
 
@@ -308,23 +319,17 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         nonlocal met
         pairs = stored(pairs.join(met, ["a", "b"], "left_anti") if met else pairs, "pairs")
         met = met.unionByName(pairs) if met else pairs
-        wanted = stored(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "wanted")
-        some = stored(plain.join(small(wanted), "id", "left_semi").mapInArrow(_bags(size), "id long, h binary, c binary").dropDuplicates(["id"]), "multisets")
-        first = pairs.join(some.select(F.col("id").alias("a"), F.col("h").alias("h1"), F.col("c").alias("c1")), "a")
-        full = first.join(some.select(F.col("id").alias("b"), F.col("h").alias("h2"), F.col("c").alias("c2")), "b")
-        return stored(full.select("a", "b", "h1", "c1", "h2", "c2").mapInArrow(_verify(similarity), "a long, b long, linked boolean").where("linked").select("a", "b"), "linked")
+        first = pairs.join(bags.select(F.col("node").alias("a"), F.col("e").alias("ea")), "a")
+        full = first.join(bags.select(F.col("node").alias("b"), F.col("e").alias("eb")), "b")
+        return stored(full.where(similar("ea", "eb", similarity)).select("a", "b"), "linked")
 
-    label = components(nodes, verified(star_pairs(groups, similarity)).unionByName(same))
+    label = components(nodes.select("node"), verified(star_pairs(groups, similarity)))
     across, rest = cross_pairs(groups, label, similarity)
     label = merged(label, verified(across))
-    rest = rest.join(label, "node")
-    crowd = rest.join(rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi"), "key", "left_semi").select(F.col("node").alias("id")).distinct()
-    crowd = stored(crowd, "crowd")
+    crowd = stored(_crowd(rest, label), "crowd")
     if crowd.limit(1).count():
-        # Stored: read twice, and in splits of a size of its own, each of which sends one count for each of its cells.
-        texts = stored(plain.join(small(crowd), "id", "left_semi"), "crowd-texts")
-        rest, pivots = rare_groups(texts, size, similarity), 32
-        local = label.join(small(crowd.withColumnRenamed("id", "node")), "node", "left_semi")
+        rest, pivots = rare_groups(stored(bags.join(small(crowd), "node"), "crowd-multisets"), similarity), 32
+        local = label.join(small(crowd.select("node")), "node", "left_semi")
         found = []
         while rest.limit(1).count():
             across, rest = cross_pairs(rest, local, similarity, pivots=pivots)
@@ -332,23 +337,60 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             local, rest, pivots = merged(local, found[-1]), stored(rest, "rest"), 2 * pivots
         if found:
             label = merged(label, reduce(DataFrame.unionByName, found))
-    out = own.join(label, "node")
-    real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return out.select(real("id").alias("doc_id"), real("comp").alias("class_id"), F.col("n").alias("n_shingles"), (F.col("id") == F.col("comp")).alias("kept"))
+    known = nodes.select("node", *BAG, "lead").join(label, "node")
+    reps = known.groupBy("comp").agg(F.min("lead").alias("rep"))
+    known = stored(known.join(reps, "comp").select(*BAG, "rep"), "classes")
+    return digest.select(*ROW, *BAG).join(known, BAG).select(*ROW, "n", "rep", reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"rep.{c}")) for c in ROW)).alias("kept"))
+
+
+def _crowd(rest: DataFrame, label: DataFrame) -> DataFrame:
+    """(node, minor) of the members (key, node, ...) of groups of several components.
+
+    minor: outside the component that has most members in some group. A link that is still missing in a group joins two
+    components, so one of its ends at least is minor."""
+    known = stored(rest.join(label, "node").select("key", "node", "comp"), "crowd-members")
+    parts = known.groupBy("key", "comp").agg(F.count("*").alias("size"))
+    tops = parts.groupBy("key").agg(F.max_by("comp", F.struct("size", "comp")).alias("top"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    return known.join(tops, "key").groupBy("node").agg(F.max(F.col("comp") != F.col("top")).alias("minor"))
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """doc_id, class_id, n_shingles, kept for each row of docs; class_id is the least doc_id of the class.
+
+    Two documents are linked if the multisets of their five-word shingles (words as they are, whole texts) have a
+    weighted Jaccard similarity of at least 0.8; a class is what links connect. Texts with fewer than five words have
+    one shingle of all their words. Texts without words, nulls too, are alike and one class. An empty table gives no
+    rows; other columns are not looked at.
+
+    Texts alone decide: rows without an id stand each for themselves, and rows that share an id may be in several
+    classes. kept marks the row of the least id (rows without one last, then by a hash of the text); rows that repeat it
+    in id and text are marked too. class_id is null if no row of the class has an id.
+
+    Equal multisets collapse into one node before anything is paired. Signatures of bands * rows numbers from bands; a
+    pair of similarity 0.8 shares none of the 32 bands of 6 with a chance of 6e-5, one of 0.9 with 1e-11. In each band's
+    groups, however large, members are compared with pivots, so that pairs grow with the members. Where that leaves a
+    group of at most 32 in several components, all pairs between these are compared: 31 a member at most. A link that is
+    still missing in a larger group has an end outside the group's largest component; such texts, and what shares their
+    rarest shingles, are grouped once more by these, so that no link is lost; groups that are still large there meet
+    pivots, more each round, until none is mixed. All pairs are verified on the multisets themselves. Labels, links and
+    components stay distributed."""
+    rows = near_members(docs, id_col, text_col, **options)
+    return rows.select(F.col("id").alias("doc_id"), F.col("rep.id").alias("class_id"), F.col("n").alias("n_shingles"), "kept")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of each class, with the columns of docs: that of the least id.
+    """One row of each class, with the columns of docs: that of the least id, see near_classes.
 
-    Of rows that share an id, the first in order of their texts stays."""
-    classes = stored(near_classes(docs, id_col, text_col, **options), "classes")
-    gone = classes.where("NOT kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias(OWN + "id")).distinct()
-    ident: Column = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    out = docs.join(gone, ident == F.col(OWN + "id"), "left_anti")
-    if classes.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        order = Window.partitionBy(OWN + "id").orderBy(F.col(text_col))
-        out = out.withColumn(OWN + "id", ident).withColumn(OWN + "n", F.row_number().over(order)).where(F.col(OWN + "n") == 1).select(docs.columns)
-    return out
+    Of rows that repeat it in id and text, any one stays."""
+    winners = near_members(docs, id_col, text_col, **options).where("kept").groupBy(*ROW).agg(F.count("*").alias("copies"))
+    winners = stored(winners, "winners").select(*(F.col(c).alias(OWN + c) for c in ROW), "copies")
+    keys = {OWN + "r" + c: x for c, x in zip(ROW, (F.col(id_col), F.xxhash64(text_col), F.hash(text_col)), strict=True)}
+    rows = docs.withColumns(keys)
+    same = reduce(Column.__and__, (F.col(OWN + "r" + c).eqNullSafe(F.col(OWN + c)) for c in ROW))
+    out = rows.join(winners.where("copies = 1"), same, "left_semi")
+    if winners.where("copies > 1").limit(1).count():
+        out = out.unionByName(rows.join(winners.where("copies > 1"), same, "left_semi").dropDuplicates(list(keys)))
+    return out.select(docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -356,4 +398,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
     return near_dedup(docs)

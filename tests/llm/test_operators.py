@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import sentencepiece
@@ -217,28 +218,41 @@ def bag(text):
 
 
 def classes_of(pairs):
-    bags = {}
-    for i, t in pairs:
-        bags.setdefault(-1 if i is None else i, []).append(bag(t))
-    comp = {i: i for i in bags}
-    for a in sorted(bags):
-        for b in sorted(bags):
-            if a < b and any(x == y or similar(x, y) >= 0.8 for x in bags[a] for y in bags[b]):
-                lo, hi = sorted((comp[a], comp[b]))
-                comp = {k: lo if v == hi else v for k, v in comp.items()}
-    return comp
+    """Of each row the least id of its class, None if no row of it has one."""
+    bags = [bag(t) for _, t in pairs]
+    comp = list(range(len(pairs)))
+    for a in range(len(pairs)):
+        for b in range(a):
+            if comp[a] != comp[b] and (bags[a] == bags[b] or similar(bags[a], bags[b]) >= 0.8):
+                comp = [comp[b] if c == comp[a] else c for c in comp]
+    least = {}
+    for (i, _), c in zip(pairs, comp, strict=True):
+        least[c] = min((x for x in (i, least.get(c)) if x is not None), default=None)
+    return [least[c] for c in comp]
 
 
 def test_near(spark, docs, rows):
     want = classes_of(rows)
-    for r in bagminhash.near_classes(docs).collect():
-        assert (-1 if r.class_id is None else r.class_id) == want[-1 if r.doc_id is None else r.doc_id]
+    got = bagminhash.near_classes(docs).collect()
+    sizes = [bag(t).total() for _, t in rows]
+    assert Counter((r.doc_id, r.class_id, r.n_shingles) for r in got) == Counter((i, c, n) for (i, _), c, n in zip(rows, want, sizes, strict=True))
     kept = bagminhash.near_dedup(docs)
     assert kept.columns == docs.columns
-    assert sorted(-1 if r.doc_id is None else r.doc_id for r in kept.collect()) == sorted(set(want.values()))
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(set(want))
     assert bagminhash.near_classes(empty(docs)).count() == 0
 
 
+def test_near_without_or_with_shared_ids(spark):
+    """Texts decide: neither a missing nor a shared id ties different texts together or hides a link."""
+    one, two, three = prose(1, 60), prose(2, 60), prose(3, 60)
+    rows = [(None, one), (None, two), (5, three), (5, one), (5, one), (7, three + " end"), (8, prose(4, 60)), (None, prose(5, 60)), (None, prose(5, 60))]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, t1 string")
+    got = bagminhash.near_classes(df).collect()
+    assert Counter((r.doc_id, r.class_id) for r in got) == Counter(zip((i for i, _ in rows), classes_of(rows), strict=True))
+    kept = Counter((r.doc_id, r.text) for r in bagminhash.near_dedup(df).collect())
+    assert kept == Counter([(None, two), (5, three), (5, one), (8, prose(4, 60)), (None, prose(5, 60))])
+
+
 def test_near_families(spark):
     """Chains of edits, of which only neighbours are alike, and repeated shingles."""
     r, out = random.Random(5), []
@@ -250,8 +264,7 @@ def test_near_families(spark):
                 w[r.randrange(len(w))] = prose(r.random(), 1)
     out += [(len(out) + k, "a b c d e " * (50 + 10 * k)) for k in range(5)]
     df = spark.createDataFrame(out, "doc_id long, text string")
-    want = classes_of(out)
-    assert {x.doc_id: x.class_id for x in bagminhash.near_classes(df).collect()} == want
+    assert {x.doc_id: x.class_id for x in bagminhash.near_classes(df).collect()} == dict(enumerate(classes_of(out)))
 
 
 def test_near_crowd(spark, monkeypatch):
@@ -268,9 +281,9 @@ def test_near_crowd(spark, monkeypatch):
             out.append((len(out), " ".join(w)))
     crowds = []
     kept = bagminhash.rare_groups
-    monkeypatch.setattr(bagminhash, "rare_groups", lambda texts, *a, **k: crowds.append(texts.count()) or kept(texts, *a, **k))
+    monkeypatch.setattr(bagminhash, "rare_groups", lambda bags, *a, **k: crowds.append(bags.count()) or kept(bags, *a, **k))
     df = spark.createDataFrame(out, "doc_id long, text string")
-    assert {x.doc_id: x.class_id for x in bagminhash.near_classes(df).collect()} == classes_of(out)
+    assert {x.doc_id: x.class_id for x in bagminhash.near_classes(df).collect()} == dict(enumerate(classes_of(out)))
     assert crowds and crowds[0] > 32
 
 
@@ -288,18 +301,23 @@ def test_signatures_across_sizes(n):
 
 
 def test_rare_groups(spark):
-    """Every near pair meets, with few shingles before the first that it shares."""
+    """Every near pair with a minor end meets, with few shingles before the first that it shares."""
     r, texts = random.Random(9), []
     for family in range(10):
         w = prose(3000 + family, r.randint(6, 90)).split()
         for _ in range(6):
             texts.append((len(texts), " ".join(w)))
             w.insert(r.randrange(len(w)), r.choice([*w, "new"]))
-    groups = bagminhash.rare_groups(spark.createDataFrame(texts, "id long, text string"), 5, 0.8, cells=64)
+    of, e, total = bagminhash._elements(pa.array([t for _, t in texts]), 5)
+    sets = [e[of == i].view(np.int64).tolist() for i in range(len(texts))]
+    assert [len(x) for x in sets] == total.tolist() and all(len(set(x)) == len(x) for x in sets)
+    minor = [i % 3 == 0 for i in range(len(texts))]
+    df = spark.createDataFrame(list(zip(range(len(texts)), sets, minor, strict=True)), "node long, e array<long>, minor boolean")
+    groups = bagminhash.rare_groups(df, 0.8, cells=64)
     sides = [groups.select("key", F.col("node").alias(x), F.col("n").alias("n" + x), F.col("place").alias("i" + x)) for x in "ab"]
     met = {tuple(x) for x in bagminhash._pairs(sides[0].join(sides[1], "key").where("a < b"), 0.8).collect()}
     bags = [bag(t) for _, t in texts]
-    want = {(a, b) for b in range(len(bags)) for a in range(b) if similar(bags[a], bags[b]) >= 0.8}
+    want = {(a, b) for b in range(len(bags)) for a in range(b) if (minor[a] or minor[b]) and similar(bags[a], bags[b]) >= 0.8}
     assert want and want <= met
 
 
