@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -32,11 +33,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where that is unset a temporary one."""
+    """The folder that all executors share: spark.checkpoint.dir. A local master may do without; a cluster may not."""
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder
     if (held := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
         return held.get()
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tallyrule-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
