@@ -7,22 +7,21 @@ from pyspark.sql import functions as F
 
 from .common import OWN, read_table, small, stored, word_count
 
-SIZE, HASH, CELL, AT, TAKEN, COPIES, SOURCE, SHARD = (OWN + x for x in ("size", "hash", "cell", "at", "taken", "copies", "source", "shard"))
-#: Finest cut of a source; its shards are unions of these cells.
-CELLS = 4096
+SIZE, HASH, AT, TAKEN, COPIES, SOURCE, SHARD, ID, ROWS, RANK = (OWN + x for x in ("size", "hash", "at", "taken", "copies", "source", "shard", "id", "rows", "rank"))
 
 
 def _hash(id_col: str, seed: int) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
+    """A seeded hash of the id; rows without one are told apart by their sizes."""
+    return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null|"), F.col(SIZE).cast("string")))))
 
 
-def source_targets(cells: DataFrame, weights: tuple[int, ...], share: float, repeat: int) -> DataFrame:
+def source_targets(rows: DataFrame, weights: tuple[int, ...], share: float, repeat: int) -> DataFrame:
     """source, rank, size, target: weights repeat over the sources by code point, null last; a target above repeat
     times its source's size is cut to it and the excess goes to the others by weight, until none is above.
 
     The sources that are cut are a prefix in order of size / weight, so running sums find them at once. The tables
     have a row for each source, as a list of mixing weights has."""
-    sizes = cells.groupBy(SOURCE).agg(F.sum(SIZE).alias("size"))
+    sizes = rows.groupBy(SOURCE).agg(F.sum(SIZE).alias("size"))
     ranked = sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.col(SOURCE).isNull(), F.col(SOURCE).cast("binary"))) - 1)
     ranked = ranked.withColumn("weight", F.get(F.array(*map(F.lit, weights)), F.col("rank") % len(weights)).cast("double"))
     ranked = ranked.withColumn("cap", (F.col("size") * repeat).cast("double"))
@@ -72,42 +71,48 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     by Sainte-Lague over their words: integer quotas. A shard lays its documents end to end in seeded order, `repeat`
     times, and takes the blocks of its quota from the start of that line. taken counts a document's words in them,
     repeats included, and is at most repeat * size; copies counts the times that its middle word is in them, for use of
-    whole documents. A source with a third of all rows has as many more shards.
+    whole documents. A source has as many shards as its words ask for, however many that are.
 
     Null texts and texts without words have size 0 and take nothing. Null sources are a source of their own, the last.
-    Rows that repeat an id have the same place in the order; their sizes lie side by side, so reruns take the same
-    numbers. An empty table gives no rows. size_col: a column that already holds the size."""
-    d = docs.withColumns({SIZE: F.col(size_col) if size_col else word_count(F.col(text_col)), HASH: _hash(id_col, seed), SOURCE: F.col(source_col)})
-    d = d.withColumn(CELL, F.conv(F.substring(HASH, 1, 3), 16, 10).cast("int"))
-    cells = stored(d.groupBy(SOURCE, CELL).agg(F.sum(SIZE).alias(SIZE)), "mix-cells")
-    sources = source_targets(cells, weights, share, repeat)
+    Rows that repeat an id, a source and a size lie side by side and share evenly what they take, rounded down; so reruns
+    take the same numbers. An empty table gives no rows. size_col: a column that already holds the size.
+
+    Ids and sizes alone go through the shuffles of the mix; texts are counted once, and meet the result at the end."""
+    size = F.col(size_col) if size_col else word_count(F.col(text_col))
+    rows = stored(docs.select(F.col(id_col).alias(ID), F.col(source_col).alias(SOURCE), size.alias(SIZE)), "mix-sizes")
+    d = rows.withColumn(HASH, _hash(ID, seed))
+    sources = source_targets(rows, weights, share, repeat)
     sources = apportion(sources, [], "target", F.round(F.col("budget") / block).cast("long"), "rank")
-    # 2 ** (number of bits of (shards wanted - 1)) shards, so that each is a union of cells.
+    # A power of two, so that a source that grows splits its shards.
     wanted = F.ceil(F.col("size") / shard_words)
-    shards = F.when(wanted <= 1, F.lit(1)).otherwise(F.least(F.lit(CELLS), F.expr("shiftleft(1, length(bin(CAST(ceil(size / %d) AS BIGINT) - 1)))" % shard_words)))
+    shards = F.when(wanted <= 1, F.lit(1).cast("long")).otherwise(F.expr(f"shiftleft(1L, length(bin(CAST(ceil(size / {shard_words}) AS BIGINT) - 1)))"))
     sources = stored(sources.withColumn("shards", shards), "mix-sources")
-    cells = cells.alias("c").join(small(sources).alias("s"), F.col(f"c.{SOURCE}").eqNullSafe(F.col(f"s.{SOURCE}")))
-    parts = cells.groupBy("s.rank", (F.col(CELL) % F.col("shards")).alias(SHARD), "s.quota").agg(F.sum(f"c.{SIZE}").alias("words")).withColumnRenamed("quota", "blocks")
-    parts = apportion(parts, ["rank"], "words", F.col("blocks"), SHARD)
-    parts = stored(parts.select(F.col("rank").alias(OWN + "rank"), SHARD, (F.col("quota") * block).alias(OWN + "take"), F.col("words").alias(OWN + "words")), "mix-shards")
-
-    known = small(sources).select(F.col(SOURCE).alias(OWN + "key"), F.col("rank").alias(OWN + "rank"), F.col("size").alias(OWN + "source_size"), F.col("target").alias(OWN + "target"), F.col("shards").alias(OWN + "shards"))
-    d = d.join(known, F.col(SOURCE).eqNullSafe(F.col(OWN + "key"))).withColumn(SHARD, F.col(CELL) % F.col(OWN + "shards"))
-    line = Window.partitionBy(OWN + "rank", SHARD).orderBy(HASH, F.col(id_col), SIZE).rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn(AT, F.coalesce(F.sum(SIZE).over(line), F.lit(0))).join(small(parts), [OWN + "rank", SHARD])
+    known = small(sources).select(F.col(SOURCE).alias(OWN + "key"), F.col("rank").alias(RANK), F.col("size").alias(OWN + "source_size"), F.col("target").alias(OWN + "target"), F.col("shards").alias(OWN + "shards"), F.col("quota").alias(OWN + "quota"))
+    d = d.join(known, F.col(SOURCE).eqNullSafe(F.col(OWN + "key"))).withColumn(SHARD, F.conv(F.substring(HASH, 1, 12), 16, 10).cast("long") % F.col(OWN + "shards"))
+    stacks = stored(d.groupBy(RANK, SHARD, HASH, ID, SOURCE, SIZE).agg(F.count("*").alias(ROWS), *(F.first(OWN + c).alias(OWN + c) for c in ("source_size", "target", "quota"))), "mix-stacks")
+    parts = stacks.groupBy(RANK, SHARD).agg(F.sum(F.col(SIZE) * F.col(ROWS)).alias("words"), F.first(OWN + "quota").alias("blocks"))
+    parts = apportion(parts, [RANK], "words", F.col("blocks"), SHARD)
+    parts = stored(parts.select(RANK, SHARD, (F.col("quota") * block).alias(OWN + "take"), F.col("words").alias(OWN + "words")), "mix-shards")
+
+    line = Window.partitionBy(RANK, SHARD).orderBy(HASH, ID, SIZE).rowsBetween(Window.unboundedPreceding, -1)
+    long = F.col(SIZE) * F.col(ROWS)
+    mixed = stacks.withColumn(AT, F.coalesce(F.sum(long).over(line), F.lit(0))).join(small(parts), [RANK, SHARD])
     taken, copies = F.lit(0), F.lit(0)
     for n in range(repeat):  # the n-th time that the line is laid
         left = F.col(OWN + "take") - n * F.col(OWN + "words")
-        taken = taken + F.least(F.greatest(left - F.col(AT), F.lit(0)), F.col(SIZE))
-        copies = copies + F.when((F.col(SIZE) > 0) & (F.col(AT) + F.floor(F.col(SIZE) / 2) < left), 1).otherwise(0)
-    d = d.withColumns({TAKEN: taken.cast("long"), COPIES: copies})
-    return d.select(*docs.columns, SIZE, OWN + "source_size", OWN + "target", TAKEN, COPIES)
+        taken = taken + F.least(F.greatest(left - F.col(AT), F.lit(0)), long)
+        copies = copies + F.when((long > 0) & (F.col(AT) + F.floor(long / 2) < left), 1).otherwise(0)
+    mixed = mixed.select(*(F.col(c).alias(c + "_") for c in (ID, SOURCE, SIZE)), OWN + "source_size", OWN + "target", F.floor(taken / F.col(ROWS)).cast("long").alias(TAKEN), copies.alias(COPIES))
+    mixed = stored(mixed, "mix-taken")
+    keys = dict(zip((ID, SOURCE, SIZE), (F.col(id_col), F.col(source_col), size), strict=True))
+    same = F.col(ID).eqNullSafe(F.col(ID + "_")) & F.col(SOURCE).eqNullSafe(F.col(SOURCE + "_")) & (F.col(SIZE) == F.col(SIZE + "_"))
+    return docs.withColumns(keys).join(mixed, same).select(*docs.columns, SIZE, OWN + "source_size", OWN + "target", TAKEN, COPIES)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    # The sizes are counted once; neither texts nor counting go through the shuffles.
-    sized = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    # Only what the mix needs is carried: sizes are counted once, and no text is joined.
+    sized = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-counted")
     out = mix_sources(sized, size_col="size")
     return out.select("doc_id", "size", F.col(OWN + "source_size").alias("source_size"), F.col(OWN + "target").alias("target"), F.col(TAKEN).alias("taken"))
 
@@ -118,7 +123,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('7|' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents),
+WITH d0 AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+d AS (SELECT *, md5('7|' || coalesce(CAST(doc_id AS VARCHAR), 'null|' || CAST(size AS VARCHAR))) AS h FROM d0),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 s1 AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS rnk FROM s0),
 s2 AS (SELECT *, CAST([5, 2, 1][CAST(rnk % 3 AS INTEGER) + 1] AS DOUBLE) AS w, CAST(source_size * 2 AS DOUBLE) AS cap, CAST(sum(source_size) OVER () AS DOUBLE) * 1.5 AS budget FROM s1),
@@ -128,8 +134,8 @@ s5 AS (SELECT *, CASE WHEN is_cut THEN cap ELSE w * ((budget - coalesce(sum(CASE
 q AS (SELECT rnk, target / (2 * k + 1) AS quotient, k, budget FROM s5, LATERAL (SELECT unnest(range(0, CAST(target / 32 AS BIGINT) + 50)) AS k) WHERE target > 0),
 qr AS (SELECT *, row_number() OVER (ORDER BY quotient DESC, rnk, k) AS r FROM q),
 blocks AS (SELECT rnk, count(*) AS blocks FROM qr WHERE r <= round(budget / 32) GROUP BY rnk),
-s6 AS (SELECT s5.*, coalesce(blocks, 0) AS blocks, CASE WHEN ceil(source_size / 65536.0) <= 1 THEN 1 ELSE least(4096, 1 << length(bin(CAST(ceil(source_size / 65536.0) AS BIGINT) - 1))) END AS shards FROM s5 LEFT JOIN blocks ON s5.rnk = blocks.rnk),
-e AS (SELECT d.*, s6.rnk, s6.source_size, s6.target, s6.blocks, CAST('0x' || substr(h, 1, 3) AS BIGINT) % shards AS shard FROM d JOIN s6 ON d.source IS NOT DISTINCT FROM s6.source),
+s6 AS (SELECT s5.*, coalesce(blocks, 0) AS blocks, CASE WHEN ceil(source_size / 65536.0) <= 1 THEN 1 ELSE 1 << length(bin(CAST(ceil(source_size / 65536.0) AS BIGINT) - 1)) END AS shards FROM s5 LEFT JOIN blocks ON s5.rnk = blocks.rnk),
+e AS (SELECT d.*, s6.rnk, s6.source_size, s6.target, s6.blocks, CAST('0x' || substr(h, 1, 12) AS BIGINT) % shards AS shard FROM d JOIN s6 ON d.source IS NOT DISTINCT FROM s6.source),
 p AS (SELECT rnk, shard, any_value(blocks) AS blocks, sum(size) AS words FROM e GROUP BY rnk, shard),
 pq AS (SELECT rnk, shard, words / (2 * k + 1) AS quotient, k, blocks FROM p, LATERAL (SELECT unnest(range(0, CAST(words * 2 / 32 AS BIGINT) + 50)) AS k) WHERE words > 0),
 pr AS (SELECT *, row_number() OVER (PARTITION BY rnk ORDER BY quotient DESC, shard, k) AS r FROM pq),
