@@ -17,6 +17,8 @@ RATIO = 1.1
 #: From this local cosine threshold on, coordinates prune better than lengths.
 COORDINATE_FROM = 0.7
 LONG = 2**63 - 1
+#: The bucket of vectors of length 0.
+LOWEST = -(2**40)
 
 
 def _packed(keys: list[str]):
@@ -126,33 +128,50 @@ def scaled(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> Data
     return vectors.where(good).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(e * scale).cast("long")).alias("v"))
 
 
+def _bucket(length: Column) -> Column:
+    """The number of a length's bucket; null lengths have none, 0 is below all."""
+    return F.when(length > 0, F.floor(F.log(length) / math.log(RATIO))).when(length.isNotNull(), F.lit(LOWEST)).cast("long")
+
+
+def reachable(asked: DataFrame, reached: DataFrame, buckets: DataFrame, block_of) -> DataFrame:
+    """(dim, block, chunks): so many first chunks a block's queries have to meet.
+
+    A query meets the buckets whose vectors may be long enough to reach its least score, one bucket more for rounding;
+    without such a score, or with one that isn't above 0, all. buckets has some hundred rows for each size of vectors."""
+    need = F.when((F.col("least") > 0) & (F.col("length") > 0), _bucket(F.col("least") / F.col("length")) - 1).otherwise(F.lit(LOWEST))
+    of = block_of(asked.join(small(reached), asked.vec_id == F.col("query_id"), "left").withColumn("need", need))
+    least = of.groupBy("dim", "block").agg(F.min("need").alias("need"))
+    met = least.join(F.broadcast(buckets.withColumnRenamed("dim", "d")), (F.col("dim") == F.col("d")) & (F.col("bucket") >= F.col("need")))
+    return met.groupBy("dim", "block").agg(F.max(F.col("first") + F.col("salts")).alias("chunks"))
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024, chunk_rows: int = 4096, block_rows: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest integer products of each query with the other vectors of its size.
 
     is_query: a condition on vec_id. Ties go to the smaller vec_id; fewer than k others give fewer rows. Vectors that
-    are null, empty or hold null or non-finite components, and rows without an id, take no part. Rows that repeat an
-    id and its components are one vector, and a query never finds its own id. Empty tables give no rows; other columns
-    are not looked at.
+    are null, empty or hold null or non-finite components, and rows without an id, take no part. A query never finds its
+    own id. Rows that repeat an id are candidates each for itself; as queries they are one, which finds what any of its
+    rows finds, as often as they find it. Empty tables give no rows; other columns are not looked at.
 
     Vectors are grouped by size and length (buckets of RATIO), large buckets are dealt into chunks of about chunk_rows.
-    Queries come in blocks of about block_rows; each block meets each chunk. A first pass over the chunk of the longest
-    vectors gives each query a score that it reaches at least; with it the second pass prunes."""
-    v = scaled(vectors, id_col, vector_col, scale).distinct().withColumns({
-        "dim": F.size("v").cast("long"),
-        "bucket": F.coalesce(F.floor(F.log(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, e: a + e.cast("double") * e))) / math.log(RATIO)), F.lit(-1)).cast("long"),
-    })
+    Queries come in blocks of about block_rows. A first pass over the chunk of the longest vectors gives each query a
+    score that it reaches at least. A block's vectors then go only to chunks long enough for one of its queries to reach
+    that score: chunks are numbered from the longest bucket down, so these are the first ones, and no vector is shipped
+    to be turned down. Within a chunk the second pass prunes query by query."""
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, e: a + e.cast("double") * e))
+    v = scaled(vectors, id_col, vector_col, scale).withColumns({"dim": F.size("v").cast("long"), "length": length, "bucket": _bucket(length)})
     v = stored(v, "vectors")
     buckets = v.groupBy("dim", "bucket").agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / chunk_rows).cast("long"))
     order = Window.partitionBy("dim").orderBy(F.desc("bucket"))
     buckets = stored(buckets.withColumn("first", F.sum("salts").over(order) - F.col("salts")), "buckets")
-    kinds = stored(buckets.groupBy("dim").agg(F.sum("salts").alias("chunks")), "sizes")
     keyed = v.join(small(buckets), ["dim", "bucket"]).withColumn("chunk", F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("salts")))
     packed = "dim long, %s long, ids binary, m binary"
     chunks = stored(keyed.select("dim", "chunk", "vec_id", "v").groupBy("dim", "chunk").applyInArrow(_packed(["dim", "chunk"]), packed % "chunk"), "chunks")
 
     asked = v.where(is_query)
     blocks = stored(asked.groupBy("dim").agg(F.ceil(F.count("*") / block_rows).cast("long").alias("blocks")), "query-sizes")
-    asked = asked.join(small(blocks), "dim").withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("blocks")))
+    block_of = lambda q: q.join(small(blocks), "dim").withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("blocks")))
+    asked = block_of(asked)
     asked = asked.select("dim", "block", "vec_id", "v").groupBy("dim", "block").applyInArrow(_packed(["dim", "block"]), packed % "block")
     asked = stored(asked.select("dim", "block", F.col("ids").alias("q_ids"), F.col("m").alias("q_m")), "queries")
 
@@ -160,10 +179,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     lists = F.lit(None).cast("array<long>")
     first = asked.withColumns({"chunk": F.lit(0).cast("long"), "least": lists}).join(chunks, ["dim", "chunk"]).mapInArrow(_search(k), schema)
     reached = stored(first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("least")), "reached")
+    wanted = stored(reachable(v.where(is_query), reached, buckets, block_of), "wanted")
 
     by_block = asked.select("dim", "block", F.posexplode(_ids("q_ids")).alias("pos", "query_id")).join(small(reached), "query_id", "left")
     by_block = by_block.groupBy("dim", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "least"))), lambda s: s["least"]).alias("least"))
-    pairs = asked.join(by_block, ["dim", "block"]).join(small(kinds), "dim").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    pairs = asked.join(by_block, ["dim", "block"]).join(small(wanted), ["dim", "block"]).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     found = pairs.join(chunks, ["dim", "chunk"]).mapInArrow(_search(k), schema)
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
