@@ -1,8 +1,10 @@
 """Brute force, awkward rows and empty tables for each operator."""
 
 import hashlib
+import operator
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,6 +13,8 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import sentencepiece
+import xxhash
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyrule.llm import bagminhash, exact, lines, mixing, pieces, quality, sharding, substring, topk, urlrank
@@ -61,13 +65,35 @@ def test_exact(docs, rows):
     groups = defaultdict(list)
     for i, t in rows:
         groups[low(t)].append(i)
-    got = Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in exact.exact_classes(docs, capacity=2, max_depth=6).collect())
+    got = Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in exact.exact_classes(docs, capacity=2).collect())
     want = Counter((i, max((x for x in groups[low(t)] if x is not None), default=None), len(groups[low(t)]), sha(low(t))) for i, t in rows)
     assert got == want
     assert exact.exact_classes(empty(docs)).count() == 0
     assert exact.exact_dedup(docs).columns == docs.columns
 
 
+def test_exact_dedup_keeps_other_texts_of_an_id(spark):
+    df = spark.createDataFrame([(5, "a", 1), (9, "A", 2), (5, "unique text b", 3), (7, "c", 4), (None, "c", 5), (None, "d", 6)], f"doc_id long, text string, `{exact.KEY[5:]}` int")
+    assert Counter((r.doc_id, r.text) for r in exact.exact_dedup(df).collect()) == Counter([(9, "A"), (5, "unique text b"), (7, "c"), (None, "d")])
+
+
+def test_exact_index(spark, monkeypatch):
+    """Buckets split until they hold no more than they may, each is in one file, and answers are found through the directory."""
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), (F.col("id") % 2000).cast("string").alias("text"))
+    kept = []
+    build = exact.build_index
+    monkeypatch.setattr(exact, "build_index", lambda rows, capacity: kept.append(build(rows, capacity)) or kept[-1])
+    assert exact.exact_classes(df, capacity=64).where("kept").count() == 2000
+    slots, index, bits = kept[-1]
+    assert slots.count() == 2**bits == slots.select("slot").distinct().count()
+    held = index.withColumn("file", F.input_file_name()).groupBy("bucket", "depth").agg(F.count("*").alias("n"), F.count_distinct("file").alias("files")).collect()
+    assert all(r.n <= 64 and r.files == 1 for r in held) and len({r.depth for r in held}) > 1
+    assert all(r.n == 2 ** (bits - r.depth) for r in slots.groupBy("bucket", "depth").agg(F.count("*").alias("n")).collect())
+    assert index.where("held > 1").count() == 1000 and index.where("size(chain) = 1").count() == 2000
+    monkeypatch.setattr(exact, "build_index", lambda rows, capacity: (slots.where("slot < 0"), index, bits))
+    assert exact.exact_classes(df, capacity=64).count() == 0
+
+
 def test_lines(docs, rows):
     holders = defaultdict(set)
     key = lambda line: low(line.strip(" \t\n\x0b\x0c\r"))
@@ -157,6 +183,47 @@ def test_sharding(docs, rows):
     assert sharding.shuffle_shards(empty(d)).count() == 0
 
 
+def spark_hash(*values):
+    """xxhash64 of Spark over ints and longs: (value, width)."""
+    h = 42
+    for value, width in values:
+        h = xxhash.xxh64(struct.pack("<i" if width == 4 else "<q", value), seed=h & (2**64 - 1)).intdigest()
+    return h - 2**64 if h >= 2**63 else h
+
+
+def test_shards_by_brute_force(spark):
+    """Shards by the highest draw, pages by hash, and Fisher-Yates within a page, restated in Python; partitions don't matter."""
+    shards, seed, n, page = 3, 11, 200, 20
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(10).cast("long").alias("size"))
+    got = {r.doc_id: (r[sharding.SHARD], r[sharding.SLOT]) for r in sharding.shuffle_shards(df, shards=shards, bucket_bytes=150, bucket_rows=page, seed=seed).collect()}
+    per_shard = -(-n * 10 // (shards * 150))
+    pages = max(1, -(-n // (shards * per_shard * page)))
+    held = defaultdict(list)
+    for i in range(n):
+        draws = [spark_hash((i, 8), (k, 4), (seed, 4)) for k in range(shards)]
+        place = spark_hash((i, 8), (10, 8), (seed + 1, 4)) % (per_shard * pages)
+        held[draws.index(max(draws)), place // pages, place % pages].append(i)
+    want, slot = {}, Counter()
+    for (shard, bucket, at), ids in sorted(held.items()):
+        order = list(range(len(ids)))
+        for i in range(len(ids) - 1, 0, -1):
+            j = spark_hash((seed, 4), (shard, 4), (bucket, 4), (at, 4), (i, 4)) % (i + 1)
+            order[i], order[j] = order[j], order[i]
+        for k in order:
+            want[ids[k]] = (shard, slot[shard])
+            slot[shard] += 1
+    assert got == want
+    again = sharding.shuffle_shards(df.repartition(5), shards=shards, bucket_bytes=150, bucket_rows=page, seed=seed)
+    assert {r.doc_id: (r[sharding.SHARD], r[sharding.SLOT]) for r in again.repartition(3).collect()} == want
+
+
+def test_write_shards_beside_clashing_columns(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", "x", "y"), (2, "b", "x", "z")], "doc_id long, text string, Shard string, slot string")
+    sharding.write_shards(df, f"{tmp_path}/s", shards=2)
+    back = spark.read.parquet(f"{tmp_path}/s")
+    assert set(back.columns) == {"doc_id", "text", "Shard", "slot", "shard_", "slot_"} and back.count() == 2
+
+
 def test_write_shards(docs, tmp_path):
     plain = docs.select("doc_id", "text")
     sharding.write_shards(plain, f"{tmp_path}/s", shards=3)
@@ -196,6 +263,32 @@ def test_topk(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_topk_keeps_rows_that_repeat(spark):
+    rows = [(20, [1.0, 0.0]), (1, [3.0, 1.0]), (1, [3.0, 1.0]), (2, [2.0, 0.0]), (20, [1.0, 0.0]), (3, [1.0, 5.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0, k=5).collect()
+    assert sorted((r["rank"], r.vec_id, r.score) for r in got) == [(1, 1, 3 * 1024**2), (2, 1, 3 * 1024**2), (3, 1, 3 * 1024**2), (4, 1, 3 * 1024**2), (5, 2, 2 * 1024**2)]
+
+
+def test_topk_ships_no_chunk_that_is_too_short(spark):
+    """Blocks meet the buckets that can reach their queries' least scores, and no others."""
+    r = random.Random(4)
+    rows = [(i, [r.gauss(0, 1) * 1.3 ** (i % 12) for _ in range(4)]) for i in range(1200)]
+    v = topk.scaled(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding", 1024)
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, e: a + e.cast("double") * e))
+    v = v.withColumns({"dim": F.size("v").cast("long"), "length": length, "bucket": topk._bucket(length)})
+    buckets = v.groupBy("dim", "bucket").agg(F.lit(1).cast("long").alias("salts")).withColumn("first", F.row_number().over(Window.partitionBy("dim").orderBy(F.desc("bucket"))).cast("long") - 1)
+    ints = {x.vec_id: x.v for x in v.collect()}
+    dot = lambda a, b: sum(map(operator.mul, a, b))
+    least = {q: sorted((dot(ints[q], x) for i, x in ints.items() if i != q), reverse=True)[9] for q in range(0, 1200, 100)}
+    asked, reached = v.where("vec_id % 100 = 0"), spark.createDataFrame(list(least.items()), "query_id long, least long")
+    chunks = {x.block: x.chunks for x in topk.reachable(asked, reached, buckets, lambda d: d.withColumn("block", F.col("vec_id"))).collect()}
+    order = {x.bucket: x["first"] for x in buckets.collect()}
+    of = {x.vec_id: order[x.bucket] for x in v.collect()}
+    for q, b in least.items():
+        assert all(of[i] < chunks[q] for i, x in ints.items() if i != q and dot(ints[q], x) >= b)
+    assert min(chunks.values()) < len(order)
+
+
 def test_pieces(docs, rows):
     sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
     got = pieces.tokenize(docs)
