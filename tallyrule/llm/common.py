@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Prefix of columns that live only inside an operator, so that no input column clashes with them.
 OWN = "__tr_"
+#: Bytes of an Arrow batch between the JVM and a Python worker: both hold some at a time, and texts may be long.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 #: Rows up to which a side is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 
@@ -51,6 +55,26 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def trimmed(run, spark: SparkSession):
+    """run, for mapInArrow; at its end the worker, which lives on between stages, gives back the memory that it no longer needs.
+
+    Where the session sets no size of its own for Arrow batches, it gets one, so that memory doesn't depend on how long
+    texts are; results don't depend on it."""
+    key, size = BATCH
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, size)
+
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # another C library
+            pass
+
+    return whole
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A stored df with a broadcast hint if it has few enough rows; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

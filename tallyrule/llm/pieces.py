@@ -10,71 +10,159 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import OWN, read_table
+from .common import read_table, trimmed
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Units that a worker remembers, and as many older ones, of which those not met again are then forgotten; neighbours.
-REMEMBERED = 200_000
-FOLLOWS = 400_000
+REMEMBERED = 120_000
+FOLLOWS = 100_000
+
+
+def rewrites(charsmap: bytes) -> dict[str, str]:
+    """What a model's character map rewrites: the keys of its double-array trie with their replacements.
+
+    The map is the trie's length in bytes, its 32-bit units, and the replacements, each ended by a zero."""
+    if not charsmap:
+        return {}
+    size = int.from_bytes(charsmap[:4], "little")
+    units, pool = np.frombuffer(charsmap, "<u4", size // 4, 4).astype(np.int64), charsmap[4 + size :]
+    base = lambda u: (u >> 10) << ((u & 512) >> 6)
+    labels, found, stack = np.arange(1, 256), {}, [(b"", int(base(units[0])))]
+    while stack:
+        key, at = stack.pop()
+        places = at ^ labels
+        inside = places < len(units)
+        for c, place in zip(labels[inside], places[inside][: inside.sum()], strict=True):
+            unit = int(units[place])
+            if unit & 0x800000FF != c:
+                continue
+            to = place ^ base(unit)
+            if unit >> 8 & 1:
+                value = int(units[to]) & 0x7FFFFFFF
+                found[key + bytes([c])] = pool[value : pool.index(b"\0", value)]
+            stack.append((key + bytes([c]), int(to)))
+    return {k.decode(): v.decode() for k, v in found.items()}
+
+
+def trie_of(words) -> dict:
+    """Nested {character: [the word that ends there or None, what leads on]}."""
+    root: dict = {}
+    for w in words:
+        node = root
+        for c in w[:-1]:
+            node = node.setdefault(c, [None, {}])[1]
+        node.setdefault(w[-1], [None, {}])[0] = w
+    return root
+
+
+def longest(trie: dict, text: str, at: int) -> str | None:
+    """The longest word of a trie at a place of a text."""
+    found = None
+    for c in text[at:] if len(text) - at < 64 else text[at : at + 64]:
+        if (step := trie.get(c)) is None:
+            break
+        word, trie = step
+        found = word or found
+    return found
+
+
+class Normaliser:
+    """The transducer from a text to what the pieces are read from.
+
+    Its arcs rewrite the longest key of the character map, copy a user-defined piece, or copy a character. Its states say
+    whether the text so far is empty or ends with a space; in them, a model that removes extra spaces writes none. At the
+    start or at the end it writes the dummy space, and every space as U+2581 if the model escapes them."""
+
+    def __init__(self, spec, users: list[str], suffix: bool):
+        self.map, self.users = rewrites(spec.precompiled_charsmap), trie_of(users)
+        self.keys = trie_of(self.map)
+        self.squeeze, self.dummy, self.suffix = spec.remove_extra_whitespaces, spec.add_dummy_prefix, suffix
+        self.space = SPACE if spec.escape_whitespaces else " "
+        self.plain = not (self.map or self.squeeze)
+
+    def __call__(self, text: str) -> str:
+        if not self.plain:
+            text = self.rewritten(text)
+        if not text:
+            return ""
+        text = text.replace(" ", self.space)
+        return text if not self.dummy else text + self.space if self.suffix else self.space + text
+
+    def rewritten(self, text: str) -> str:
+        out, at, spaced = [], 0, self.squeeze
+        while at < len(text):
+            if word := longest(self.users, text, at):
+                read = write = word
+            else:
+                read = longest(self.keys, text, at) or text[at]
+                write = self.map.get(read, read)
+            at += len(read)
+            if spaced:
+                write = write.lstrip(" ")
+            if write:
+                out.append(write)
+                spaced = self.squeeze and write[-1] == " "
+        joined = "".join(out)
+        return joined.rstrip(" ") if self.squeeze else joined
 
 
 class Transducer:
     """Normaliser, pieces and byte fallback of a model, composed with a text as the text is read.
 
-    Normaliser: a state for the start, which writes the dummy prefix, and one that writes U+2581 for a space and any
-    other character as it is. Pieces: arcs from position to position of the normalised text. A character that no piece
-    holds has an arc that writes its bytes. The weights are tropical, added along a path:
+    Normaliser: see there. Pieces: arcs from position to position of the normalised text, which write a piece's id. A
+    character that no piece holds has an arc that writes its bytes, or the unknown id. The weights are tropical: a path
+    weighs the sum of its arcs, and the lightest path is the encoding (shortest).
 
-    - unigram models: an arc weighs minus its piece's score, the shortest path is the encoding;
+    - unigram models: an arc weighs minus its piece's score;
     - BPE models: an arc weighs 0 if it may follow the arc before it, else infinity. A sequence of pieces is what
-      merging by rank gives if and only if that holds for each two neighbours, so exactly one path of weight 0 reaches
-      each position, and a state is a position with the last piece on its path.
+      merging by rank gives if and only if that holds for each two neighbours, so exactly one path of finite weight
+      reaches each position, and a state is a position with the last piece on its path.
 
-    Pieces that cross from a character into a space don't exist in such models (checked here), so the machine is run
-    on one unit - spaces with the characters after them - at a time, and units seen before are remembered."""
+    Pieces that cross from a character into a space don't exist in most models (checked here), so the machine is composed
+    with one unit - spaces with the characters after them - at a time, and units seen before are remembered."""
 
     def __init__(self, model: bytes):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         m = pb.ModelProto.FromString(model)
-        norm, kind = m.normalizer_spec, m.trainer_spec.model_type
-        if norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.escape_whitespaces or m.trainer_spec.treat_whitespace_as_suffix:
-            raise ValueError("only models whose normaliser keeps characters and escapes spaces are handled")
-        if kind not in (1, 2) or any(p.type in (USER, UNUSED) for p in m.pieces):
-            raise ValueError("only unigram and BPE models without user-defined or unused pieces are handled")
-        self.bpe, self.prefix = kind == 2, norm.add_dummy_prefix
-        self.ids = {p.piece: i for i, p in enumerate(m.pieces) if p.type == NORMAL}
+        kind = m.trainer_spec.model_type
+        self.bpe = kind == 2
+        if kind not in (1, 2) or self.bpe and any(p.type == UNUSED for p in m.pieces):
+            raise ValueError("only unigram models, and BPE models without unused pieces, are handled")
+        users = [p.piece for p in m.pieces if p.type == USER]
+        self.normalise = Normaliser(m.normalizer_spec, users, m.trainer_spec.treat_whitespace_as_suffix)
+        self.ids = {p.piece: i for i, p in enumerate(m.pieces) if p.type in (NORMAL, USER)}
         self.score = {p.piece: p.score for p in m.pieces if p.type == NORMAL}
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(m.pieces) if p.type == BYTE}
+        self.byte_ids = frozenset(self.bytes.values())
         self.unk = next(i for i, p in enumerate(m.pieces) if p.type == UNKNOWN)
         if self.bytes and len(self.bytes) != 256:
             raise ValueError("byte fallback needs 256 byte pieces")
-        self.worst = min(self.score.values(), default=0.0) - 10.0
-        self.out = [b"" if p.type == CONTROL else bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else p.piece.replace(SPACE, " ").encode() if p.type == NORMAL else b" \xe2\x81\x87 " for p in m.pieces]
-        inner = any(SPACE in p.lstrip(SPACE) for p in self.ids)
+        self.worst, best = 10.0 - min(self.score.values(), default=0.0), max(self.score.values(), default=0.0)
+        self.cost = {p: -x for p, x in self.score.items()} | {p: 0.1 - len(p.encode()) * best for p in users}
+        self.out = [b"" if p.type == CONTROL else bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else p.piece.replace(SPACE, " ").encode() if p.type != UNKNOWN else b" \xe2\x81\x87 " for p in m.pieces]
+        inner = any(SPACE in p.lstrip(SPACE) for p in self.ids) or self.normalise.space != SPACE
         alone = "".join(c for c in map(chr, range(32)) if not any(c in p for p in self.ids))
         self.units = re.compile("(?s).+" if inner else f"[{re.escape(alone)}]|{SPACE}*[^{SPACE}{re.escape(alone)}]+|{SPACE}+" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
+        #: Merging by rank leaves user-defined pieces alone, and does not cross them.
+        self.frozen = re.compile("(" + "|".join(map(re.escape, sorted(users, key=len, reverse=True))) + ")").split if self.bpe and users else None
+        self.users = frozenset(users) if self.bpe else frozenset()
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.follows: dict[tuple[str, str], bool] = {}
         self.parts: dict[str, tuple[str, str] | None] = {}
         #: By score, the best is 0; pieces of one character come before all merges and have none.
-        order = {x: i for i, x in enumerate(sorted({self.score[p] for p in self.ids if len(p) > 1}, reverse=True))}
-        self.rank = {p: order[self.score[p]] for p in self.ids if len(p) > 1}
+        merged = [p for p in self.score if len(p) > 1] if self.bpe else []
+        order = {x: i for i, x in enumerate(sorted({self.score[p] for p in merged}, reverse=True))}
+        self.rank = {p: order[self.score[p]] for p in merged}
         met = Counter(self.rank.values())
         self.tied = {p for p, i in self.rank.items() if met[i] > 1}
         self.code = {p: np.int32(i).tobytes() for p, i in self.ids.items()}
-        #: The pieces as a trie: by character, the piece that ends there (if merging makes it) and what leads on.
-        trie: dict = {}
-        for p in self.ids:
-            node = trie
-            for c in p[:-1]:
-                node = node.setdefault(c, [None, {}])[1]
-            node.setdefault(p[-1], [None, {}])[0] = p if not self.bpe or len(p) == 1 or self.last_merge(p) else None
-        self.trie = trie
+        #: The pieces as a trie; of a BPE model those that merging makes.
+        self.trie = trie_of(p for p in self.score if len(p) == 1 or self.last_merge(p)) if self.bpe else trie_of(self.ids)
 
     def merge(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
         """What merging the best-ranked neighbours, the left ones first, makes of a text, and its last merge."""
@@ -121,21 +209,52 @@ class Transducer:
     def arcs(self, unit: str, start: int) -> list[str]:
         """What the arcs from a position read, the shortest first: pieces, and a character that is none."""
         node, found = self.trie, []
-        for c in unit[start:]:
-            if (step := node.get(c)) is None:
+        for at in range(start, len(unit)):
+            if (step := node.get(unit[at])) is None:
                 break
-            arc, node = step
-            if arc:
-                found.append(arc)
+            if step[0]:
+                found.append(step[0])
+            node = step[1]
         return found if found and len(found[0]) == 1 else [unit[start], *found]
 
+    def weight(self, before: str | None, arc: str) -> float:
+        """The tropical weight of an arc after another one."""
+        if not self.bpe:
+            return self.cost.get(arc, self.worst)
+        if before is None:
+            return 0.0
+        ok = self.follows.get((before, arc))
+        return 0.0 if (self.may_follow(before, arc) if ok is None else ok) else np.inf
+
     def shortest(self, unit: str) -> list[str]:
-        """The arcs of the shortest path through a unit."""
-        return self.free_path(unit) if self.bpe else self.cheapest_path(unit)
+        """The arcs of the shortest path through the machine composed with a unit."""
+        return self.free_path(unit) if self.bpe else self.lightest_path(unit)
+
+    def lightest_path(self, unit: str) -> list[str]:
+        """The shortest path for any weights: sums along paths, the least of the paths to a position.
+
+        Of paths of one weight (the same pieces in another order) the one stays whose last arc begins first."""
+        n, inf = len(unit), np.inf
+        least, last = [inf] * (n + 1), [None] * (n + 1)
+        least[0] = 0.0
+        for i in range(n):
+            if (so_far := least[i]) == inf:
+                continue
+            for arc in self.arcs(unit, i):
+                if (w := so_far + self.weight(last[i], arc)) < least[to := i + len(arc)]:
+                    least[to], last[to] = w, arc
+        path = []
+        while n:
+            path.append(last[n])
+            n -= len(last[n])
+        return path[::-1]
 
     def free_path(self, unit: str) -> list[str]:
-        """The path of weight 0, found by going on with the longest arc that may follow, and back where none leads to the
-        end. A position has one state, so a position left that way is never tried again."""
+        """The shortest path where weights are 0 or infinite, which is the first one found of weight 0.
+
+        Uniform-cost search: of the open states, all of weight 0, the latest is gone on from, by its longest arc of weight 0,
+        and the machine is composed only as far as that leads. A position has one state of finite weight, so a position
+        that was left for want of such an arc is never entered again."""
         n, follows = len(unit), self.follows
         path, at, choices, dead = [], [0], [self.arcs(unit, 0)], set()
         while at[-1] < n:
@@ -149,8 +268,8 @@ class Transducer:
             if end in dead:
                 continue
             if path:
-                ok = follows.get((path[-1], arc))
-                if not (self.may_follow(path[-1], arc) if ok is None else ok):
+                free = follows.get((path[-1], arc))
+                if not (self.weight(path[-1], arc) == 0 if free is None else free):
                     continue
             path.append(arc)
             at.append(end)
@@ -158,25 +277,9 @@ class Transducer:
                 choices.append(self.arcs(unit, end))
         return path
 
-    def cheapest_path(self, unit: str) -> list[str]:
-        n = len(unit)
-        cost, last = [np.inf] * (n + 1), [""] * (n + 1)
-        cost[0] = 0.0
-        for i in range(n):
-            if cost[i] == np.inf:
-                continue
-            for arc in self.arcs(unit, i):
-                if (w := cost[i] - self.score.get(arc, self.worst)) < cost[j := i + len(arc)]:
-                    cost[j], last[j] = w, arc
-        path = []
-        while n:
-            path.append(last[n])
-            n -= len(last[n])
-        return path[::-1]
-
     def write(self, unit: str) -> bytes:
         """The ids of a unit, four bytes each."""
-        arcs, code = self.shortest(unit), self.code
+        arcs, code = [unit] if unit in self.users else self.shortest(unit), self.code
         try:
             return b"".join([code[arc] for arc in arcs])
         except KeyError:
@@ -189,7 +292,7 @@ class Transducer:
                 ids.append(i)
             elif self.bytes:
                 ids += [self.bytes[b] for b in arc.encode("utf-8", "replace")]
-            elif not ids or ids[-1] != self.unk:
+            else:
                 ids.append(self.unk)
         return np.array(ids, dtype=np.int32).tobytes()
 
@@ -207,18 +310,36 @@ class Transducer:
         return ids
 
     def encode(self, text: str) -> np.ndarray:
-        if not text:
+        if not (text := self.normalise(text)):
             return np.zeros(0, dtype=np.int32)
-        units = self.units((SPACE if self.prefix else "") + text.replace(" ", SPACE))
+        units = self.units(text) if self.frozen is None else [u for part in self.frozen(text) for u in ([part] if part in self.users else self.units(part))]
         parts = list(map(self.known.get, units))
         if None in parts:
             parts = [self.recall(u) if ids is None else ids for u, ids in zip(units, parts, strict=True)]
-        return np.frombuffer(b"".join(parts), dtype=np.int32)
+        ids = np.frombuffer(b"".join(parts), dtype=np.int32)
+        if not self.bytes:  # unknown characters side by side are one
+            ids = ids[np.append(True, (ids[1:] != self.unk) | (ids[:-1] != self.unk))]
+        return ids
 
-    def decode(self, ids) -> str:
-        """The text of ids; bytes that aren't UTF-8 become U+FFFD."""
-        text = b"".join(map(self.out.__getitem__, ids.tolist() if hasattr(ids, "tolist") else ids)).decode("utf-8", "replace")
-        return text[1:] if self.prefix and text.startswith(" ") else text
+    def decode(self, ids) -> str | None:
+        """The text of ids; bytes that aren't UTF-8 become U+FFFD. None if an id is null or outside the vocabulary."""
+        ids = ids.tolist() if hasattr(ids, "tolist") else list(ids)
+        if None in ids or ids and not 0 <= min(ids) <= max(ids) < len(self.out):
+            return None
+        text = b"".join(map(self.out.__getitem__, ids)).decode("utf-8", "replace")
+        norm = self.normalise
+        if norm.dummy and norm.suffix:
+            return text.removesuffix(" ")
+        if norm.dummy or norm.squeeze:
+            # A space goes from the first piece; with extra spaces removed, also from those after it while nothing else was read.
+            for i in ids:
+                if self.out[i] and (i == self.unk or self.out[i][:1] != b" " or i in self.byte_ids):
+                    break
+                if self.out[i]:
+                    text = text[1:]
+                    if not norm.squeeze or len(self.out[i]) > 1:
+                        break
+        return text
 
 
 @lru_cache(2)
@@ -237,8 +358,8 @@ def load(spark: SparkSession, path: str) -> bytes:
 def tokenize(docs: DataFrame, model_path: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids, decoded_equal for each row of docs.
 
-    ids are those of the whole text; decoded_equal tells whether they decode to it again, which fails only for texts
-    that hold U+2581 (it stands for a space). Null and empty texts have no ids and are equal (null: as empty). Rows that
+    ids are those of the whole text; decoded_equal tells whether they decode to it again. With a model that rewrites
+    nothing that fails only for texts that hold U+2581 (it stands for a space). Null and empty texts have no ids and are equal (null: as empty). Rows that
     repeat are encoded alike, empty tables stay empty, other columns are not looked at."""
     model = load(docs.sparkSession, model_path)
 
@@ -255,11 +376,14 @@ def tokenize(docs: DataFrame, model_path: str = MODEL, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), ids, pa.array(equal, pa.bool_())], ["doc_id", "n_tokens", "ids", "decoded_equal"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_tokens int, ids array<int>, decoded_equal boolean")
+    return docs.select(id_col, text_col).mapInArrow(trimmed(run, docs.sparkSession), f"doc_id {kind}, n_tokens int, ids array<int>, decoded_equal boolean")
 
 
 def decode_ids(tokens: DataFrame, model_path: str = MODEL, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """doc_id, text: the texts of ids. Null ids give a null text."""
+    """doc_id, text: the texts of ids.
+
+    The text is null for null ids, and where one of the ids is null or outside the vocabulary (below 0 or too large); no
+    ids give an empty text. Empty tables stay empty, rows that repeat are decoded alike."""
     model = load(tokens.sparkSession, model_path)
 
     def run(batches):
@@ -269,7 +393,7 @@ def decode_ids(tokens: DataFrame, model_path: str = MODEL, id_col: str = "doc_id
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     kind = tokens.schema[id_col].dataType.simpleString()
-    return tokens.select(id_col, ids_col).mapInArrow(run, f"doc_id {kind}, text string")
+    return tokens.select(id_col, ids_col).mapInArrow(trimmed(run, tokens.sparkSession), f"doc_id {kind}, text string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,4 +401,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each document's whole text."""
     return tokenize(docs)

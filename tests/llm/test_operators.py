@@ -300,6 +300,75 @@ def test_pieces(docs, rows):
     assert pieces.tokenize(empty(docs)).count() == 0
 
 
+def model_of(pieces_, kind, **spec):
+    """A model's bytes: unknown, control and given (piece, score, type)."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m = pb.ModelProto()
+    m.trainer_spec.model_type = kind
+    m.trainer_spec.byte_fallback = any(t == pieces.BYTE for _, _, t in pieces_)
+    for text, score, what in [("<unk>", 0, pieces.UNKNOWN), ("<s>", 0, pieces.CONTROL), ("</s>", 0, pieces.CONTROL), *pieces_]:
+        m.pieces.add(piece=text, score=score, type=what)
+    m.normalizer_spec.add_dummy_prefix, m.normalizer_spec.escape_whitespaces = spec.get("dummy", True), True
+    m.normalizer_spec.remove_extra_whitespaces = spec.get("squeeze", False)
+    m.normalizer_spec.precompiled_charsmap = spec.get("charsmap", b"")
+    return m.SerializeToString()
+
+
+LETTERS = "abcdeé中▁"
+ODD = ["", " ", "a", "  ab  ba ", "abcabcabc", "xx yy", "a\u0301b", "ｱ①ab ｶﾞ", "e\u0301 é", "<u> a<u>b<u><u>", "中中 中x\n", "ab" * 40, "\u3000a\u3000 b", "ﬁ №"]
+
+
+@pytest.mark.parametrize("squeeze", [False, True])
+@pytest.mark.parametrize("rule", [None, "nmt_nfkc"])
+def test_unigram_models_equal_the_library(squeeze, rule):
+    """Normaliser with character map and blanks, scores, user-defined and unused pieces, unknown characters, byte fallback."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    charsmap = pb.ModelProto.FromString(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto()).normalizer_spec.precompiled_charsmap if rule else b""
+    r = random.Random(5)
+    words = sorted({"".join(r.choices(LETTERS, k=r.randint(2, 5))) for _ in range(80)})
+    words = [w for w in words if "▁" not in w[1:]]
+    normal = [(w, -r.uniform(3, 9), pieces.NORMAL) for w in (*words, *LETTERS[:-2], "▁")] + [("<u>", 0.0, pieces.USER), ("abcd", -1.0, pieces.UNUSED)]
+    same = 0
+    for fallback in (False, True):
+        given = normal + [(f"<0x{b:02X}>", 0.0, pieces.BYTE) for b in range(256)] * fallback
+        model = model_of(given, 1, squeeze=squeeze, charsmap=charsmap)
+        ours, library = pieces.Transducer(model), sentencepiece.SentencePieceProcessor(model_proto=model)
+        for text in [*ODD, *("".join(r.choices(LETTERS[:-1] + " x", k=r.randint(1, 30))) for _ in range(150))]:
+            ids = library.encode(text)
+            got = ours.encode(text).tolist()
+            # The same pieces in another order weigh the same, and sums of 32 bits, as the library's are, prefer either.
+            assert got == ids or sorted(got) == sorted(ids) and library.decode(got) == library.decode(ids), (text, fallback)
+            same += got == ids
+            assert ours.decode(ids) == library.decode(ids), (text, fallback)
+        assert same > 155
+        same = 0
+
+
+def test_bpe_path_is_the_shortest(docs):
+    """The search and the general shortest path agree, without the weights neither is the encoding, and user-defined pieces stay whole."""
+    model = pieces.load(docs.sparkSession, pieces.MODEL)
+    t, r = pieces.transducer(model), random.Random(6)
+    for _ in range(400):
+        unit = "".join(r.choices("▁theraningsou", k=r.randint(1, 24)))
+        path = t.free_path(unit)
+        assert path == t.lightest_path(unit)
+        assert sum(t.weight(a, b) for a, b in zip([None, *path], path, strict=False)) == 0
+        shorter = [unit[:i] for i in range(1, len(unit)) if unit[:i] in t.ids and unit[i:] in t.ids and [unit[:i], unit[i:]] != path]
+        assert all(t.weight(a, unit[len(a) :]) == np.inf for a in shorter)
+    given = [("a", 0, 1), ("b", 0, 1), ("▁", 0, 1), ("ab", -1, 1), ("▁a", -2, 1), ("aba", -3, 1), ("<u>", 0, pieces.USER)]
+    own = model_of(given, 2)
+    ours, library = pieces.Transducer(own), sentencepiece.SentencePieceProcessor(model_proto=own)
+    for text in ["ab<u>ab", "<u><u>", "a <u>b", "abab aba", "x<u>xx<u"]:
+        assert ours.encode(text).tolist() == library.encode(text), text
+
+
+def test_decode_defines_odd_ids(spark):
+    df = spark.createDataFrame([(1, [32000]), (2, [-1]), (3, [None, 5]), (4, []), (5, None), (6, [1, 2])], "doc_id long, ids array<int>")
+    assert {r.doc_id: r.text for r in pieces.decode_ids(df).collect()} == {1: None, 2: None, 3: None, 4: "", 5: None, 6: ""}
+
+
 def similar(a, b):
     both = sum((a & b).values())
     return both / (a.total() + b.total() - both) if both else 0.0
