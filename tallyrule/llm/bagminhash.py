@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import OWN, read_table, small, stored
+from .common import OWN, read_table, small, stored, trimmed
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -257,14 +257,14 @@ def rare_groups(bags: DataFrame, similarity: float, cells: int = 1 << 20) -> Dat
     spark = bags.sparkSession
 
     def table(found: DataFrame) -> np.ndarray:
-        out, rows = np.zeros(cells, np.int64), found.groupBy("cell").agg(F.sum("held").alias("held")).toPandas()  # at most `cells` rows
-        out[rows["cell"].to_numpy(np.int64)] = rows["held"].to_numpy(np.int64)
+        out, rows = np.zeros(cells, np.int64), found.groupBy("cell").agg(F.sum("held").alias("held")).toArrow()  # at most `cells` rows
+        out[rows["cell"].to_numpy()] = rows["held"].to_numpy()
         return out
 
     kind = "cell long, held long"
     held = table(bags.where("minor").select("e").mapInArrow(_counts(cells), kind))
     held += table(bags.where("NOT minor").select("e").mapInArrow(_counts(cells, spark.sparkContext.broadcast(held)), kind))
-    groups = bags.select("node", "e").mapInArrow(_prefixes(similarity, spark.sparkContext.broadcast(held)), "key long, node long, n long, place long")
+    groups = bags.select("node", "e").mapInArrow(trimmed(_prefixes(similarity, spark.sparkContext.broadcast(held)), spark), "key long, node long, n long, place long")
     groups = stored(groups, "rare")
     shared = groups.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
     return stored(groups.join(shared, "key", "left_semi"), "rare-shared")
@@ -299,7 +299,7 @@ def near_members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     plain = _rows(docs, id_col, text_col)
     kinds = dict(plain.dtypes)
     row = ", ".join(f"`{c}` {kinds[c]}" for c in ROW)
-    digest = stored(plain.mapInArrow(_digest(size, bands, rows), f"{row}, bag long, bag2 long, n long, bands array<long>"), "signatures")
+    digest = stored(plain.mapInArrow(trimmed(_digest(size, bands, rows), docs.sparkSession), f"{row}, bag long, bag2 long, n long, bands array<long>"), "signatures")
     lead = F.struct(F.col("id").isNull().alias("none"), *ROW)
     nodes = digest.groupBy(*BAG).agg(F.min(lead).alias("lead"), F.any_value("bands").alias("bands"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
@@ -309,7 +309,7 @@ def near_members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups = stored(groups.join(crowded, "key", "left_semi"), "bands")
     wanted = stored(nodes.join(groups.select("node").distinct(), "node", "left_semi").select("node", *(F.col(f"lead.{c}").alias(c) for c in ROW)), "wanted")
     texts = plain.alias("p").join(small(wanted).alias("w"), _same_row("p", "w")).select("w.node", "p.text")
-    bags = stored(texts.mapInArrow(_bags(size), "node long, e array<long>"), "multisets")
+    bags = stored(texts.mapInArrow(trimmed(_bags(size), docs.sparkSession), "node long, e array<long>"), "multisets")
     if bags.select("node").count() > wanted.count():  # rows that repeat
         bags = stored(bags.groupBy("node").agg(F.any_value("e").alias("e")), "multisets")
 
