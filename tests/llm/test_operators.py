@@ -491,6 +491,43 @@ def test_quality(spark, docs):
     assert quality.score_quality(empty(docs), labels).count() == 0
 
 
+def test_risk_and_its_minimum():
+    """The risk as it is written, its gradient by differences, and a minimum that no other weights go below."""
+    r = np.random.default_rng(3)
+    drawn = lambda centre, n: np.append(r.normal(centre, 2, (n, 2)), np.ones((n, 1)), 1).astype(np.float32)
+    p, u, prior = drawn(1, 300), np.concatenate([drawn(1, 600), drawn(-1, 400)]), 0.6
+    loss = lambda z: np.log1p(np.exp(-z))
+
+    def risk(w):
+        plus, minus = prior * np.mean([loss(x @ w) for x in p]), np.mean([loss(-(x @ w)) for x in u]) - prior * np.mean([loss(-(x @ w)) for x in p])
+        assert quality.risk_parts(p, u, w, prior) == pytest.approx((plus, minus), abs=1e-5)
+        return plus + max(0.0, minus)
+
+    w = quality.descend(p, u, np.zeros(3), prior, 800, 0.02, l2=0.0).astype(np.float64)
+    least = risk(w)
+    assert least < risk(np.zeros(3)) and all(least <= risk(w + d) + 1e-4 for d in r.normal(0, 0.3, (40, 3)))
+    # Where the unlabelled part is negative, it is driven back, though the risk of positives would fall further.
+    low = quality.descend(p, u[-40:], np.array([4.0, 4.0, 4.0]), 0.99, 30, 0.05, l2=0.0)
+    assert quality.risk_parts(p, u[-40:], low, 0.99)[1] > quality.risk_parts(p, u[-40:], np.array([4.0, 4.0, 4.0]), 0.99)[1]
+
+
+def test_prior_needs_no_negatives():
+    r = np.random.default_rng(1)
+    bins = lambda x: np.histogram(x, quality.BINS, (0, 1))[0]
+    for prior in (0.2, 0.5, 0.9):
+        mixed = np.where(r.random(50_000) < prior, r.beta(6, 2, 50_000), r.beta(1, 9, 50_000))
+        assert quality.estimated_prior(bins(r.beta(6, 2, 10_000)), bins(mixed)) == pytest.approx(prior, abs=0.04)
+
+
+def test_labels_of_negatives_decide_nothing(spark):
+    """The same trusted rows give the same model whether the others are labelled 0 or not at all."""
+    docs = spark.createDataFrame([(i, prose(i, 30) if i % 3 else "## 1 2 " * (i % 7 + 1)) for i in range(300)], "id long, text string")
+    feats = quality.featured(docs, spark)
+    both = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(200)], "doc_id long, quality int")
+    a, b = quality.fit(feats, both), quality.fit(feats, both.where("quality = 1"))
+    assert np.allclose(a[2], b[2]) and a[3] == b[3]
+
+
 def test_quality_held_out(spark):
     d = quality.query(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("held_out").toPandas()
     assert (d.predicted == d.quality).mean() > 0.95
