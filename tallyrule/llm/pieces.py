@@ -18,7 +18,7 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Units that a worker remembers, and as many older ones, of which those not met again are then forgotten; neighbours.
 REMEMBERED = 120_000
-FOLLOWS = 100_000
+FOLLOWS = 200_000
 
 
 def rewrites(charsmap: bytes) -> dict[str, str]:
@@ -326,6 +326,10 @@ class Transducer:
         ids = ids.tolist() if hasattr(ids, "tolist") else list(ids)
         if None in ids or ids and not 0 <= min(ids) <= max(ids) < len(self.out):
             return None
+        return self.read(ids)
+
+    def read(self, ids: list[int]) -> str:
+        """The text of ids of the vocabulary."""
         text = b"".join(map(self.out.__getitem__, ids)).decode("utf-8", "replace")
         norm = self.normalise
         if norm.dummy and norm.suffix:
@@ -369,7 +373,7 @@ def tokenize(docs: DataFrame, model_path: str = MODEL, id_col: str = "doc_id", t
             encoded, equal = [], []
             for text in batch.column(1).to_pylist():
                 encoded.append(ids := t.encode(text or ""))
-                equal.append(t.decode(ids) == (text or ""))
+                equal.append(t.read(ids.tolist()) == (text or ""))
             sizes = np.array([len(x) for x in encoded], dtype=np.int32)
             offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(encoded) if encoded else np.zeros(0, np.int32)))
