@@ -85,8 +85,10 @@ def confirms(text: str | None, prompt: str | None, least: float = 0.4) -> bool:
 
 
 def confirms_each(texts: pd.Series, prompts: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else [confirms(x, p) for x in t] for t, p in zip(texts, prompts, strict=True)])
+    """For each prompt whether each text confirms it; nothing where there is no prompt."""
+    one = lambda t, p: [confirms(x, p) for x in t] if p else [False] * len(t)
+    return pd.Series([None if t is None else [one(t, p) for p in ps] for t, ps in zip(texts, prompts, strict=True)])
 
 
-def confirming(variants: Column, prompt: Column) -> Column:
-    return F.pandas_udf(confirms_each, T.ArrayType(T.BooleanType()))(variants, prompt)
+def confirming(variants: Column, prompts: Column) -> Column:
+    return F.pandas_udf(confirms_each, T.ArrayType(T.ArrayType(T.BooleanType())))(variants, prompts)

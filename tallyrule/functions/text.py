@@ -14,8 +14,12 @@ W = r"[\p{L}\p{N}_]"
 D = r"\p{Nd}"
 
 
+#: The same white space, one by one: trimming by a list looks at the ends of a text alone.
+SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(x: Column) -> Column:
-    return F.regexp_replace(x, rf"\A{S}+|{S}+\z", "")
+    return F.btrim(x, F.lit(SPACES))
 
 
 def blank(x: Column) -> Column:

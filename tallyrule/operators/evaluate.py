@@ -2,111 +2,165 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.korean import confirming
 from ..functions.language import detect
-from .instructions import ARGS_SCHEMA, LIST_ARGS, NUMBER_ARGS, REGISTRY, TEXT_ARGS, Context, Instruction, registry_table
+from .instructions import ARGS_SCHEMA, LIST_ARGS, NORMALISED, NUMBER_ARGS, REGISTRY, Context, Instruction, nfc
 
+SPECS, TEXTS, PAIRS, CONFIRMED, OUTCOMES = ("__specs", "__texts", "__pairs", "__confirmed", "__outcomes")
+EVALUATED = ("ok", "fallback_en")
 
-def resolve(specs: DataFrame, spark: SparkSession) -> DataFrame:
-    """specs with resolved_id and status: ok, fallback_en, unsupported or malformed_id.
 
-    An unknown id falls back on en: and what follows its first colon. The registry has some sixty rows: the bound of
-    these broadcasts."""
-    known = registry_table(spark).select("instruction_id")
-    exact, english = F.broadcast(known.select(F.col("instruction_id").alias("exact_id"))), F.broadcast(known.select(F.col("instruction_id").alias("english_id")))
-    fallback = F.concat(F.lit("en:"), F.substring_index("instruction_id", ":", -(2**31) + 1))
-    fallback = F.when(F.instr("instruction_id", ":") > 0, F.concat(F.lit("en:"), F.regexp_replace("instruction_id", "^[^:]*:", "")))
-    out = specs.join(exact, specs.instruction_id == F.col("exact_id"), "left").join(english, fallback == F.col("english_id"), "left")
-    status = F.when(F.col("exact_id").isNotNull(), "ok").when(F.instr("instruction_id", ":") == 0, "malformed_id").when(F.col("english_id").isNotNull(), "fallback_en").otherwise("unsupported")
-    return out.withColumns({"resolved_id": F.coalesce("exact_id", "english_id"), "status": status}).drop("exact_id", "english_id")
+def resolve(instruction_id: Column, assume_lang: str | None = None) -> tuple[Column, Column]:
+    """The id that decides, and the status: ok, fallback_en, unsupported or malformed_id.
 
+    An unknown id falls back on en: and what follows its first colon. assume_lang: the language of ids without one."""
+    known = lambda c: c.isin(*REGISTRY)
+    if assume_lang:
+        named = F.concat(F.lit(f"{assume_lang}:"), instruction_id)
+        instruction_id = F.when(~known(instruction_id) & known(named), named).otherwise(instruction_id)
+    english = F.concat(F.lit("en:"), F.regexp_replace(instruction_id, "^[^:]*:", ""))
+    colon = F.instr(instruction_id, ":") > 0
+    resolved = F.when(known(instruction_id), instruction_id).when(colon & known(english), english)
+    status = F.when(known(instruction_id), "ok").when(~colon, "malformed_id").when(known(english), "fallback_en").otherwise("unsupported")
+    return resolved, status
 
-def bind(specs: DataFrame) -> DataFrame:
-    """specs with args, the typed arguments of kwargs (a JSON object), and mistyped, the arguments of another type."""
-    raw = F.get_json_object
-    args = F.from_json("kwargs", ARGS_SCHEMA)
-    wrong = [F.when(raw("kwargs", f"$.{a}").isNotNull() & F.col("args")[a].isNull(), F.lit(a)) for a in [*NUMBER_ARGS, *LIST_ARGS]]
-    quoted = [F.when(F.col("kwargs").rlike(rf'"{a}"\s*:\s*"'), F.lit(a)) for a in NUMBER_ARGS]
-    unquoted = [F.when(F.col("kwargs").rlike(rf'"{a}"\s*:\s*[-0-9\[{{tf]'), F.lit(a)) for a in TEXT_ARGS]
-    return specs.withColumn("args", args).withColumn("mistyped", F.array_compact(F.array(*wrong, *quoted, *unquoted)))
 
+def bound(specs: Column, assume_lang: str | None = None) -> Column:
+    """An array of (instruction_id, kwargs) with resolved_id, status and args, the typed arguments of kwargs (a JSON object).
+
+    Expected texts of Korean instructions are brought into NFC; the response never is."""
+
+    def parsed(s: Column) -> Column:
+        resolved, status = resolve(s["instruction_id"], assume_lang)
+        return F.struct(s["instruction_id"].alias("instruction_id"), s["kwargs"].alias("kwargs"), resolved.alias("resolved_id"), status.alias("status"), F.from_json(s["kwargs"], ARGS_SCHEMA).alias("args"))
+
+    def normalised(s: Column) -> Column:
+        args = s["args"]
+        for a in NORMALISED:
+            args = args.withField(a, F.transform(s["args"][a], nfc) if a in LIST_ARGS else nfc(s["args"][a]))
+        return s.withField("args", F.when(F.startswith(s["resolved_id"], F.lit("ko:")), args).otherwise(s["args"]))
+
+    return F.transform(F.transform(specs, parsed), normalised)
+
+
+def mistyped(kwargs: Column, name: str) -> Column:
+    """Whether an argument is there with a type that its instruction can't use."""
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(kwargs), f"$.{name}", "variant"))
+    fits = "^(BIGINT|DECIMAL|DOUBLE|FLOAT)" if name in NUMBER_ARGS else "^ARRAY<(STRING|VOID)" if name in LIST_ARGS else "^STRING"
+    return F.coalesce((kind != "VOID") & ~kind.rlike(fits), F.lit(False))
 
-def _decide(i: Instruction, lang: str) -> tuple[Column, Column, Column, Column]:
-    """Whether the arguments are bad, whether they are fatal, and the verdicts on the response and on its variants."""
-    c = Context(F.col("args"), lang, F.col("draw"))
-    bad = i.bad(c) if i.bad else F.lit(False)
-    fatal = i.fatal(c) if i.fatal else F.lit(False)
-    ok = lambda v: ~X.blank(v["x"]) & F.coalesce(i.rule(v["x"], v["l"], c), F.lit(False))
-    return bad | F.arrays_overlap("mistyped", F.array(*map(F.lit, i.accepts or ("",)))), fatal, ok(F.get("variants", F.lit(0))), F.exists("variants", ok)
 
+def _defaulted(i: Instruction, c: Context) -> Column:
+    """Whether an argument is missing, or negative where a number is counted."""
+    out = F.lit(False)
+    for a in i.accepts:
+        out = out | c[a].isNull() | (F.coalesce(c[a] < 0, F.lit(False)) if a in NUMBER_ARGS else F.lit(False))
+    return out
 
-def evaluate_specs(specs: DataFrame, key: list[str], ids: list[str] | None = None) -> DataFrame:
-    """specs (key..., pos, instruction_id, kwargs, response) with status, evaluated, strict and loose.
+
+def _decide(s: Column, pos: Column, draw: Column, name: str, i: Instruction) -> Column:
+    """status, strict, loose and args_defaulted of a spec that resolves to an instruction."""
+    c = Context(s["args"], name.split(":")[0], draw)
+    bad = i.bad(c) if i.bad else F.lit(False)
+    for a in i.accepts:
+        bad = bad | mistyped(s["kwargs"], a)
+    ok = lambda x, hint: ~X.blank(x) & F.coalesce(i.rule(x, hint, c), F.lit(False))
+    nothing = F.lit(None).cast("string")
+    if i.needs == "language":
+        tests = lambda first: F.exists(F.slice(PAIRS, 1, 1) if first else F.col(PAIRS), lambda p: ok(p["x"], p["l"]))
+    elif i.needs == "rephrase":
+        both = F.zip_with(TEXTS, F.get(F.col(CONFIRMED), pos), lambda x, b: F.struct(x.alias("x"), F.when(b, F.lit("yes")).alias("l")))
+        tests = lambda first: F.exists(F.slice(both, 1, 1) if first else both, lambda p: ok(p["x"], p["l"]))
+    else:
+        tests = lambda first: F.exists(F.slice(TEXTS, 1, 1) if first else F.col(TEXTS), lambda x: ok(x, nothing))
+    defaulted = _defaulted(i, c).alias("args_defaulted")
+    out = lambda status, strict, loose: F.struct(status.alias("status"), strict.alias("strict"), loose.alias("loose"), defaulted)
+    done = out(s["status"], tests(True), tests(False))
+    no = lambda status: out(F.lit(status), F.lit(False), F.lit(False))
+    return F.when(i.fatal(c), no("fatal")).when(bad, no("bad_args")).otherwise(done) if i.fatal else F.when(bad, no("bad_args")).otherwise(done)
+
+
+def with_outcomes(rows: DataFrame, specs: Column, response: Column, seed: Column, ids: list[str] | None = None, assume_lang: str | None = None) -> DataFrame:
+    """rows with __outcomes: (instruction_id, resolved_id, status, evaluated, strict, loose, args_defaulted) for each of specs.
+
+    One pass: nothing is shuffled or joined, and each row's variants are made once for all its instructions. Python runs
+    only if an instruction that needs a guess of the language, or the likeness to a prompt, may occur (ids), and gets the
+    texts of those rows alone. seed(pos) is what decides defaults."""
+    own = {n: i for n, i in REGISTRY.items() if ids is None or n in ids}
+    needs = lambda need: [n for n, i in own.items() if i.needs == need]
+    occurs = lambda need: F.exists(SPECS, lambda s: s["resolved_id"].isin(*needs(need)))
+    texts = F.coalesce(X.loose_variants(response), F.array(F.lit(None).cast("string")))
+    out = rows.withColumns({SPECS: bound(specs, assume_lang), TEXTS: texts})
+    if needs("language"):
+        out = out.withColumn(PAIRS, detect(F.when(occurs("language"), F.col(TEXTS))))
+        out = out.withColumn(PAIRS, F.zip_with(TEXTS, PAIRS, lambda x, l: F.struct(x.alias("x"), l.alias("l"))))
+    if needs("rephrase"):
+        out = out.withColumn(CONFIRMED, confirming(F.when(occurs("rephrase"), F.col(TEXTS)), F.transform(SPECS, lambda s: s["args"]["prompt_to_rephrase"])))
+
+    def outcome(s: Column, pos: Column) -> Column:
+        draw = F.pmod(seed(pos), F.lit(2**31))
+        none = F.struct(s["status"].alias("status"), F.lit(False).alias("strict"), F.lit(False).alias("loose"), F.lit(False).alias("args_defaulted"))
+        made = none if not own else None
+        for n, i in own.items():
+            one = _decide(s, pos, draw, n, i)
+            made = F.when(s["resolved_id"] == n, one) if made is None else made.when(s["resolved_id"] == n, one)
+        return F.struct(s["instruction_id"].alias("instruction_id"), s["resolved_id"].alias("resolved_id"), (made.otherwise(none) if own else none).alias("o"))
+
+    def flat(x: Column) -> Column:
+        o = x["o"]
+        return F.struct(x["instruction_id"].alias("instruction_id"), x["resolved_id"].alias("resolved_id"), o["status"].alias("status"), o["status"].isin(*EVALUATED).alias("evaluated"), o["strict"].alias("strict"), o["loose"].alias("loose"), o["args_defaulted"].alias("args_defaulted"))
+
+    out = out.withColumn(OUTCOMES, F.transform(F.transform(SPECS, outcome), flat))
+    return out.drop(SPECS, TEXTS, PAIRS, CONFIRMED)
+
+
+def evaluate_specs(specs: DataFrame, key: list[str], ids: list[str] | None = None, assume_lang: str | None = None) -> DataFrame:
+    """specs (key..., pos, instruction_id, kwargs, response) with resolved_id, status, evaluated, strict, loose and args_defaulted.
 
     strict is the verdict on the response, loose whether any of its variants complies. Blank responses comply with
     nothing but count as evaluated. Instructions that can't be used (unsupported, malformed_id, bad_args, fatal) are
-    neither followed nor evaluated. Missing arguments get defaults that the key and the position decide. kwargs: a JSON
-    object or null; other arguments than the instruction's own are ignored.
-
-    ids: the resolved ids that occur, where the caller knows them; rules of others are then left out of the plan.
-    Rows are only split by what a rule needs - the text, a guess of its language or its likeness to a prompt - so that
-    Python runs for the last two alone, and by instruction id, so that each expression stays small."""
-    spark = specs.sparkSession
-    rows = bind(resolve(specs, spark)).withColumn("draw", F.pmod(F.xxhash64(*key, "pos"), F.lit(2**31)))
-    texts = F.coalesce(X.loose_variants(F.col("response")), F.array(F.lit(None).cast("string")))
-    rows = rows.withColumn("texts", texts)
-    parts = []
-    for need in ("text", "language", "rephrase"):
-        own = {n: i for n, i in REGISTRY.items() if i.needs == need and (ids is None or n in ids)}
-        if not own:
-            continue
-        part = rows.where(F.col("resolved_id").isin(*own))
-        if need == "text":
-            hints = F.transform("texts", lambda _: F.lit(None).cast("string"))
-        elif need == "language":
-            hints = detect(F.col("texts"))
-        else:
-            hints = F.transform(confirming(F.col("texts"), F.col("args.prompt_to_rephrase")), lambda b: F.when(b, F.lit("yes")))
-        part = part.withColumn("hints", hints).withColumn("variants", F.transform(F.arrays_zip("texts", "hints"), lambda z: F.struct(z["texts"].alias("x"), z["hints"].alias("l"))))
-        for family in sorted({n.split(":")[1] for n in own}):
-            mine = {n: i for n, i in own.items() if n.split(":")[1] == family}
-            cases = [F.lit(None).cast("boolean")] * 4
-            for n, i in mine.items():
-                cases = [F.when(F.col("resolved_id") == n, x).otherwise(y) for x, y in zip(_decide(i, n.split(":")[0]), cases, strict=True)]
-            names = dict(zip(("bad", "fatal", "strict", "loose"), cases, strict=True))
-            parts.append(part.where(F.col("resolved_id").isin(*mine)).withColumns(names).drop("hints", "variants"))
-    unknown = F.col("resolved_id").isNull() if ids is None else F.col("resolved_id").isNull() | ~F.col("resolved_id").isin(*ids)
-    nothing = rows.where(unknown).withColumns({n: F.lit(n in ("bad",)) for n in ("bad", "fatal", "strict", "loose")})
-    out = nothing
-    for part in parts:
-        out = out.unionByName(part)
-    status = F.when(F.col("resolved_id").isNull(), F.col("status")).when(F.col("fatal"), "fatal").when(F.col("bad"), "bad_args").otherwise(F.col("status"))
-    out = out.withColumn("status", status).withColumn("evaluated", F.col("status").isin("ok", "fallback_en"))
-    verdicts = {m: F.col("evaluated") & F.coalesce(m, F.lit(False)) for m in ("strict", "loose")}
-    return out.withColumns(verdicts).select(*specs.columns, "resolved_id", "status", "evaluated", "strict", "loose")
+    neither followed nor evaluated; fatal are unknown language codes and patterns that don't compile. Missing arguments
+    get defaults that the key and the position decide, which args_defaulted tells. kwargs: a JSON object or null; other
+    arguments than the instruction's own are ignored.
+
+    ids: the resolved ids that occur, where the caller knows them; rules of others are then left out of the plan."""
+    one = F.array(F.struct(F.col("instruction_id").alias("instruction_id"), F.col("kwargs").alias("kwargs")))
+    out = with_outcomes(specs, one, F.col("response"), lambda _: F.xxhash64(*key, "pos"), ids, assume_lang)
+    o = F.get(F.col(OUTCOMES), F.lit(0))
+    return out.select(*specs.columns, *(o[c].alias(c) for c in ("resolved_id", "status", "evaluated", "strict", "loose", "args_defaulted")))
 
 
 def explode_specs(turns: DataFrame, keep: list[str]) -> DataFrame:
     """A row for each instruction of a turn: pos, instruction_id, kwargs. Turns without instructions give none."""
-    zipped = F.arrays_zip("instruction_id_list", "kwargs")
-    one = turns.select(*keep, F.posexplode(F.slice(zipped, F.lit(1), F.size("instruction_id_list"))).alias("pos", "spec"))
-    return one.select(*keep, "pos", F.col("spec.instruction_id_list").alias("instruction_id"), F.col("spec.kwargs").alias("kwargs"))
+    one = turns.select(*keep, F.posexplode(_specs()).alias("pos", "spec"))
+    return one.select(*keep, "pos", F.col("spec.instruction_id").alias("instruction_id"), F.col("spec.kwargs").alias("kwargs"))
+
 
+def _specs() -> Column:
+    """Ids with their arguments; missing arguments are null, those too many are left out."""
+    ids = F.coalesce("instruction_id_list", F.array().cast("array<string>"))
+    return F.transform(ids, lambda i, n: F.struct(i.alias("instruction_id"), F.get("kwargs", n).alias("kwargs")))
 
-def evaluate_turns(turns: DataFrame, key: list[str], ids: list[str] | None = None) -> DataFrame:
+
+def evaluate_turns(turns: DataFrame, key: list[str], ids: list[str] | None = None, assume_lang: str | None = None) -> DataFrame:
     """turns (key..., instruction_id_list, kwargs, response) with the outcome in both modes, in the instructions' order.
 
-    follow_all is true only if all instructions are evaluated and followed; with no instruction it is true."""
-    done = evaluate_specs(explode_specs(turns, [*key, "response"]), key, ids)
-    flags = F.array_sort(F.collect_list(F.struct("pos", "evaluated", "strict", "loose", "status")))
-    grouped = done.groupBy(*key).agg(flags.alias("flags"))
-    out = turns.join(grouped, key, "left").withColumn("flags", F.coalesce("flags", F.array().cast("array<struct<pos:int,evaluated:boolean,strict:boolean,loose:boolean,status:string>>")))
-    pick = lambda name: F.transform("flags", lambda f: f[name])
+    follow_all is true only if all instructions are evaluated and followed; with no instruction it is true. Rows stay as
+    they are, repeated ones too; empty tables stay empty."""
+    out = with_outcomes(turns, _specs(), F.col("response"), lambda pos: F.xxhash64(*key, pos), ids, assume_lang)
+    pick = lambda name: F.transform(OUTCOMES, lambda f: f[name])
     every = lambda a: F.forall(a, lambda f: f)
-    out = out.withColumns({"is_evaluated_list": pick("evaluated"), "strict_list": pick("strict"), "loose_list": pick("loose"), "status_list": pick("status")}).drop("flags")
+    out = out.withColumns({"is_evaluated_list": pick("evaluated"), "strict_list": pick("strict"), "loose_list": pick("loose"), "status_list": pick("status"), "args_defaulted_list": pick("args_defaulted")}).drop(OUTCOMES)
     done = every(F.col("is_evaluated_list"))
     return out.withColumns({"strict_all": done & every(F.col("strict_list")), "loose_all": done & every(F.col("loose_list"))})
+
+
+def exploded(outcome: DataFrame, keep: list[str]) -> DataFrame:
+    """A row for each instruction of evaluated turns: pos, instruction_id, status, evaluated, strict and loose."""
+    parts = {"instruction_id": "instruction_id_list", "status": "status_list", "evaluated": "is_evaluated_list", "strict": "strict_list", "loose": "loose_list"}
+    one = outcome.select(*keep, F.posexplode(F.arrays_zip(*parts.values())).alias("pos", "o"))
+    return one.select(*keep, "pos", *(F.col(f"o.{c}").alias(n) for n, c in parts.items()))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PASSED = ("turns", "responses", "language", "key", "turn_index")
@@ -61,9 +61,12 @@ def kwargs_of(cell: Column) -> Column:
 
 
 def dedup_first(rows: DataFrame, key: str, position: str) -> DataFrame:
-    """The first row of each key, nulls being one key."""
-    order = Window.partitionBy(key).orderBy(position)
-    return rows.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+    """The first row of each key, nulls being one key; of rows at one position, and of those without any, which come last, any one.
+
+    An aggregate, so that rows of a key that is everywhere collapse before they are shuffled."""
+    others = [c for c in rows.columns if c != key]
+    first = rows.groupBy(key).agg(F.min_by(F.struct(*others), F.struct(F.col(position).isNull(), position)).alias("__first"))
+    return first.select(*(F.col(c) if c == key else F.col("__first").getField(c).alias(c) for c in rows.columns))
 
 
 def last_wins(rows: DataFrame, key: str, value: str, position: str) -> DataFrame:
@@ -82,6 +85,61 @@ def invalid_arguments(specs: DataFrame, registry: DataFrame) -> DataFrame:
     return out.withColumn("problem", problem).drop("accepts")
 
 
+def first_problem(edits: DataFrame, registry: DataFrame, language: str) -> DataFrame:
+    """One row with problem: that of the first bad instruction of an edit (turn, pos, instruction_id, kwargs), null if all are good.
+
+    Ids are taken with the language's first two letters before them."""
+    named = edits.withColumn("instruction_id", F.concat(F.lit(language[:2].lower() + ":"), "instruction_id"))
+    bad = invalid_arguments(named, registry).where(F.col("problem").isNotNull())
+    return bad.agg(F.min_by("problem", F.struct("turn", "pos")).alias("problem"))
+
+
+def item_labels(items: DataFrame, key: str = "key", language: str = "language", position: str = "position") -> DataFrame:
+    """items with label: key (language); a missing key is item_<position>, a missing language Unknown."""
+    name = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("item_"), F.col(position).cast("string")))
+    return items.withColumn("label", F.concat(name, F.lit(" ("), F.coalesce(F.col(language), F.lit("Unknown")), F.lit(")")))
+
+
+def item_by_label(items: DataFrame, label: str, position: str = "position") -> DataFrame:
+    """The first item with a label; the first of all if none has it."""
+    return items.orderBy(F.coalesce(F.col("label") != label, F.lit(True)), position).limit(1)
+
+
+def turn_fields(items: DataFrame, turns: int = 3, of: str = "input") -> DataFrame:
+    """items with turn_<i>_prompt, turn_<i>_instruction_id_list and turn_<i>_kwargs of a map of turns: the prompt's text, the
+    others as indented JSON; '', [] and {} where they are missing."""
+    pretty = lambda c: F.to_json(F.try_parse_json(c), {"pretty": "true"})
+    fields = {}
+    for i in range(1, turns + 1):
+        t = F.try_element_at(of, F.lit(f"turn_{i}"))
+        fields[f"turn_{i}_prompt"] = F.coalesce(t["prompt"], F.lit(""))
+        fields[f"turn_{i}_instruction_id_list"] = F.coalesce(pretty(t["instruction_id_list"]), t["instruction_id_list"], F.lit("[]"))
+        fields[f"turn_{i}_kwargs"] = F.coalesce(pretty(t["kwargs"]), t["kwargs"], F.lit("{}"))
+    return items.withColumns(fields)
+
+
+def limited(rows: DataFrame, position: str, n: int | None) -> DataFrame:
+    """The first n rows; all of them without n, or with one that isn't positive."""
+    return rows.orderBy(position).limit(n) if n and n > 0 else rows
+
+
+def dataset_stats(items: DataFrame, input_col: str = "input", metadata_col: str = "metadata") -> DataFrame:
+    """One row: n, metadata_keys (in order) and input_types (name and count) of items whose input and metadata are JSON.
+
+    An object is dict, an array list, anything else that is text string, null unknown. No items give 0 and nothing."""
+    kind = F.schema_of_variant(F.try_parse_json(input_col))
+    name = F.when(F.col(input_col).isNull(), "unknown").when(F.startswith(kind, F.lit("OBJECT")), "dict").when(F.startswith(kind, F.lit("ARRAY")), "list").otherwise("string")
+    rows = items.select(name.alias("kind"), F.coalesce(F.json_object_keys(metadata_col), F.array().cast("array<string>")).alias("keys"))
+    by_kind = rows.groupBy("kind").agg(F.count("*").alias("n"), F.array_distinct(F.flatten(F.collect_set("keys"))).alias("keys"))
+    entry = F.array_sort(F.collect_list(F.struct("kind", "n")))
+    return by_kind.agg(F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("keys")))).alias("metadata_keys"), F.map_from_entries(entry).alias("input_types"))
+
+
+def samples(items: DataFrame, position: str, n: int = 2, chars: int = 200) -> DataFrame:
+    """The first n items, their input cut at so many characters for a look."""
+    return limited(items, position, n).withColumn("input", F.when(F.length("input") > chars, F.concat(F.left("input", F.lit(chars)), F.lit("..."))).otherwise(F.col("input")))
+
+
 def upsert(table: DataFrame, changed: DataFrame, key: str) -> DataFrame:
     """table with the rows of changed in place of those with the same key."""
     return table.join(changed.select(key), key, "left_anti").unionByName(changed)

@@ -17,6 +17,9 @@ NUMBER_ARGS = "num_sentences num_placeholders num_bullets num_digit_list num_hig
 LIST_ARGS = "keywords key_sentences forbidden_words choices".split()
 ARGS_SCHEMA = ", ".join([*(f"{a} string" for a in TEXT_ARGS), *(f"{a} double" for a in NUMBER_ARGS), *(f"{a} array<string>" for a in LIST_ARGS)])
 
+#: Expected texts that Korean instructions bring into NFC.
+NORMALISED = "keyword prompt_to_repeat end_phrase keywords key_sentences forbidden_words".split()
+
 # Options that an instruction falls back on.
 ANSWERS = {"en": ["My answer is yes.", "My answer is no.", "My answer is maybe."], "ko": ["제 답변은 예입니다.", "제 답변은 아니요입니다.", "제 답변은 아마도입니다."]}
 ENDINGS = {"en": ["Any other questions?", "Is there anything else I can help with?"], "ko": ["다른 질문이 있나요?", "제가 도와드릴 수 있는 다른 것이 있나요?"]}
@@ -60,6 +63,29 @@ class Context:
 Rule = Callable[[Column, Column, Context], Column]
 
 
+def nfc(x: Column) -> Column:
+    """x in NFC; below U+0300 a text is that already."""
+    composed = F.try_reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), x, F.lit(False))
+    return F.when(x.rlike(r"[^\x00-\x{2FF}]"), composed).otherwise(x)
+
+
+def pattern(x: Column) -> Column:
+    """A raw pattern of an argument in Java's dialect: braces that don't count are literal, groups are named without P."""
+    braces = F.regexp_replace(F.regexp_replace(x, r"(?<!\\)\{,(\d+)\}", r"{0,$1}"), r"(?<!\\)\{(?!\d+(?:,\d*)?\})", r"\\{")
+    return F.when(x.rlike(r"\{|\(\?P"), F.regexp_replace(F.replace(braces, F.lit("(?P<"), F.lit("(?<")), r"\(\?P=(\w+)\)", r"\\k<$1>")).otherwise(x)
+
+
+def uncompilable(x: Column) -> Column:
+    """Whether a pattern doesn't compile; false for null."""
+    tried = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("matches"), pattern(x), F.lit(""))
+    return F.coalesce(x.isNotNull() & tried.isNull(), F.lit(False))
+
+
+def groups(x: Column) -> Column:
+    """Number of capture groups of a pattern."""
+    return F.regexp_count(x, F.lit(r"(?<!\\)\((?!\?)|\(\?P?<[A-Za-z_]"))
+
+
 @dataclass(frozen=True)
 class Instruction:
     """rule(text, language, context) is true if the text complies; bad(context) if the arguments can't be used."""
@@ -82,6 +108,11 @@ def _any(conditions) -> Column:
     return out
 
 
+def _broken(name: str):
+    """A text or a list of texts holds a pattern that doesn't compile."""
+    return lambda c: F.coalesce(F.exists(c[name], uncompilable), F.lit(False)) if name in LIST_ARGS else uncompilable(c.stripped(name))
+
+
 def _empty(name: str):
     return lambda c: F.lit(False) if c.lang == "en" else F.coalesce(F.size(c[name]) < 1, F.lit(True))
 
@@ -111,7 +142,7 @@ def _letter_frequency(x: Column, _: Column, c: Context) -> Column:
 def _postscript(x: Column, _: Column, c: Context) -> Column:
     mark = F.coalesce(c.stripped("postscript_marker"), c.choice(POSTSCRIPTS))
     low = F.lower(x)
-    return F.when(mark == "P.P.S", low.rlike(rf"p\.{X.S}?p\.{X.S}?s")).when(mark == "P.S.", low.rlike(rf"p\.{X.S}?s\.")).otherwise(F.regexp(low, F.lower(mark)))
+    return F.when(mark == "P.P.S", low.rlike(rf"p\.{X.S}?p\.{X.S}?s")).when(mark == "P.S.", low.rlike(rf"p\.{X.S}?s\.")).otherwise(F.regexp(low, pattern(F.lower(mark))))
 
 
 def _nth(c: Context) -> tuple[Column, Column]:
@@ -141,14 +172,19 @@ def _first_sentence(x: Column, lang: Column, c: Context) -> Column:
 
 
 def _key_sentences(x: Column, _: Column, c: Context) -> Column:
-    s = split_sentences(x, korean=c.lang == "ko")
     n = F.when(c["num_sentences"] > 0, c["num_sentences"]).otherwise(F.pmod(c.draw, F.greatest(F.size(c["key_sentences"]), F.lit(1))) + 1)
-    return F.size(F.filter(c["key_sentences"], lambda k: F.array_contains(s, k))) == n
+    return key_sentences(x, c["key_sentences"], n, korean=c.lang == "ko")
+
+
+def _sections(x: Column, _: Column, c: Context) -> Column:
+    """Pieces after the first; a split at a pattern with groups also gives the groups' texts."""
+    splitter = F.coalesce(c.stripped("section_spliter"), c.choice(SPLITTERS[c.lang]))
+    return X.sections(x, pattern(splitter)) * (1 + groups(splitter)) >= c.number("num_sections", 1, 5)
 
 
 def _custom_choice(x: Column, _: Column, c: Context) -> Column:
     options = F.when(F.size(c["choices"]) > 0, c["choices"]).otherwise(F.array(*map(F.lit, ANSWERS["ko"])))
-    return F.exists(options, lambda o: F.regexp(x, F.concat(F.lit(f"(?md)^{X.S}*"), o)))
+    return F.exists(options, lambda o: F.regexp(x, F.concat(F.lit(f"(?md)^{X.S}*"), pattern(o))))
 
 
 def _end(x: Column, _: Column, c: Context) -> Column:
@@ -181,9 +217,9 @@ def rules(lang: str) -> dict[str, Instruction]:
     ko = lang == "ko"
     n_words = X.tokens if ko else X.words
     out = {
-        "keywords:existence": Instruction(("keywords",), lambda x, _, c: F.forall(_words_or_drawn(c, "keywords"), lambda k: F.regexp(x, F.concat(F.lit("(?iud)"), k))), _empty("keywords")),
-        "keywords:frequency": Instruction(("keyword", "frequency", "relation"), lambda x, _, c: c.relation("relation", X.count(x, F.concat(F.lit("(?iud)"), F.coalesce(c.stripped("keyword"), c.choice(KEYWORDS)))), c.number("frequency", 1, 3)), _either(_missing("keyword"), _rel())),
-        "keywords:forbidden_words": Instruction(("forbidden_words",), lambda x, _, c: ~F.exists(_words_or_drawn(c, "forbidden_words"), lambda w: F.regexp(x, F.concat(F.lit("(?iudU)\\b"), w, F.lit("\\b")))), _empty("forbidden_words")),
+        "keywords:existence": Instruction(("keywords",), lambda x, _, c: F.forall(_words_or_drawn(c, "keywords"), lambda k: F.regexp(x, F.concat(F.lit("(?iud)"), pattern(k)))), _empty("keywords"), _broken("keywords")),
+        "keywords:frequency": Instruction(("keyword", "frequency", "relation"), lambda x, _, c: c.relation("relation", X.count(x, F.concat(F.lit("(?iud)"), pattern(F.coalesce(c.stripped("keyword"), c.choice(KEYWORDS))))), c.number("frequency", 1, 3)), _either(_missing("keyword"), _rel()), _broken("keyword")),
+        "keywords:forbidden_words": Instruction(("forbidden_words",), lambda x, _, c: ~F.exists(_words_or_drawn(c, "forbidden_words"), lambda w: F.regexp(x, F.concat(F.lit("(?iudU)\\b"), pattern(w), F.lit("\\b")))), _empty("forbidden_words"), _broken("forbidden_words")),
         "keywords:letter_frequency": Instruction(("letter", "let_frequency", "let_relation"), _letter_frequency, _rel("let_relation")),
         "language:response_language": Instruction(("language",), lambda x, l, c: F.coalesce(l == F.coalesce(c["language"], c.choice(CODES)), F.lit(True)), fatal=_code_unknown, needs="language"),
         "length_constraints:number_sentences": Instruction(("num_sentences", "relation"), _counted(lambda x: F.size(split_sentences(x, korean=ko)).cast("long"), "num_sentences", 1, 20), _rel()),
@@ -191,11 +227,11 @@ def rules(lang: str) -> dict[str, Instruction]:
         "length_constraints:number_words": Instruction(("num_words", "relation"), _counted(n_words, "num_words", 100, 500), _rel()),
         "length_constraints:nth_paragraph_first_word": Instruction(("num_paragraphs", "nth_paragraph", "first_word"), _first_word, _missing("first_word")),
         "detectable_content:number_placeholders": Instruction(("num_placeholders",), lambda x, _, c: X.placeholders(x) >= c.number("num_placeholders", 1, 4)),
-        "detectable_content:postscript": Instruction(("postscript_marker",), _postscript),
+        "detectable_content:postscript": Instruction(("postscript_marker",), _postscript, fatal=_broken("postscript_marker")),
         "detectable_format:number_bullet_lists": Instruction(("num_bullets",), lambda x, _, c: X.bullets(x) == c.number("num_bullets", 1, 5)),
         "detectable_format:constrained_response": Instruction((), lambda x, _, c: _any(F.contains(x, F.lit(o)) for o in ANSWERS[c.lang])),
         "detectable_format:number_highlighted_sections": Instruction(("num_highlights",), lambda x, _, c: X.highlights(x) >= c.number("num_highlights", 1, 4)),
-        "detectable_format:multiple_sections": Instruction(("section_spliter", "num_sections"), lambda x, _, c: X.sections(x, F.coalesce(c.stripped("section_spliter"), c.choice(SPLITTERS[c.lang]))) >= c.number("num_sections", 1, 5)),
+        "detectable_format:multiple_sections": Instruction(("section_spliter", "num_sections"), _sections, fatal=_broken("section_spliter")),
         "detectable_format:json_format": Instruction((), lambda x, _, c: X.is_json(X.unfenced(x))),
         "detectable_format:title": Instruction((), lambda x, _, c: X.title(x)),
         "combination:two_responses": Instruction((), lambda x, _, c: X.two_responses(x)),
@@ -214,7 +250,7 @@ def rules(lang: str) -> dict[str, Instruction]:
             "length_constraints:number_syllables": Instruction(("num_syllables", "relation"), _counted(X.syllables, "num_syllables", 100, 500), _rel()),
             "length_constraints:nth_paragraph_first_sentence": Instruction(("num_paragraphs", "nth_paragraph", "first_sentence"), _first_sentence, _missing("first_sentence"), needs="language"),
             "detectable_format:number_digit_lists": Instruction(("num_digit_list",), lambda x, _, c: X.digit_items(x) == c.number("num_digit_list", 1, 5)),
-            "detectable_format:constrained_custom_response": Instruction(("choices",), _custom_choice),
+            "detectable_format:constrained_custom_response": Instruction(("choices",), _custom_choice, fatal=_broken("choices")),
             "detectable_format:markdown_format": Instruction((), lambda x, _, c: ~X.blank(X.unfenced(x))),
             "combination:rephrasing_prompt": Instruction(("prompt_to_rephrase",), lambda x, l, c: l == "yes", _required("prompt_to_rephrase"), needs="rephrase"),
             "punctuation:no_period": Instruction((), lambda x, _, c: ~F.contains(x, F.lit("."))),
@@ -243,7 +279,15 @@ def registry_table(spark: SparkSession) -> DataFrame:
 
 
 def constrained_start(x: Column, starter: Column) -> Column:
-    return F.regexp(x, F.concat(F.lit(f"(?md)^{X.S}*"), X.strip(starter)))
+    """Whether a line begins with a pattern; null if it doesn't compile."""
+    start = X.strip(starter)
+    return F.when(~uncompilable(start), F.regexp(x, F.concat(F.lit(f"(?md)^{X.S}*"), pattern(start))))
+
+
+def key_sentences(x: Column, expected: Column, n: Column, korean: bool = False) -> Column:
+    """Whether exactly n of the expected sentences are sentences of the text."""
+    s = split_sentences(x, korean=korean)
+    return F.size(F.filter(expected, lambda k: F.array_contains(s, k))) == n
 
 
 def rephrase_marked(x: Column, original: Column) -> Column:
@@ -260,3 +304,8 @@ def shared_words(pairs: DataFrame, id_col: str, x: str, original: str) -> DataFr
     words = both.select(id_col, "s.second", F.explode_outer(F.regexp_extract_all(F.lower("s.text"), F.lit(f"({X.W}+)"), 1)).alias("word"))
     counts = words.groupBy(id_col, "word").agg(F.sum(1 - F.col("second")).alias("a"), F.sum("second").alias("b"))
     return counts.groupBy(id_col).agg(F.sum(F.when(F.col("word").isNotNull(), F.least("a", "b")).otherwise(0)).alias("value"))
+
+
+def rephrased(pairs: DataFrame, id_col: str, x: str, original: str, low: int, high: int) -> DataFrame:
+    """id_col, value and follows: whether the number of shared words is from low to high."""
+    return shared_words(pairs, id_col, x, original).withColumn("follows", F.col("value").between(low, high))

@@ -13,7 +13,8 @@ from ..functions.korean import formal_text
 from ..functions.language import detect
 from ..functions.sentences import split_sentences
 from ..operators import ingest, instructions as I
-from ..operators.evaluate import evaluate_specs, evaluate_turns
+from ..operators.evaluate import evaluate_specs, evaluate_turns, explode_specs, exploded
+from ..sources.files import read_spread
 from ..streaming import dialogue
 from . import report
 
@@ -38,20 +39,37 @@ TEXTS = {
     "post": "CASE WHEN doc_id % 2 = 0 THEN concat(text, chr(10), 'P.S. end') ELSE text END",
     "json": "CASE WHEN doc_id % 3 = 0 THEN '{\"a\": [1, 2]}' WHEN doc_id % 3 = 1 THEN concat('{a:', text) ELSE concat('[', CAST(doc_id AS STRING), ']') END",
     "answer": "CASE WHEN doc_id % 2 = 0 THEN concat('My answer is yes. ', text) ELSE text END",
-    "korean": "concat('안녕 세상 ', CASE WHEN doc_id % 2 = 0 THEN '감사드립니다.' ELSE '먹었어' END)",
+    "register": "concat('안녕 세상 ', CASE WHEN doc_id % 2 = 0 THEN '감사드립니다.' ELSE '먹었어' END)",
+    "korean": "translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', '가나다라마바사아자차카타파하습니요했어먹갑오합입세를')",
+    "prose": "regexp_replace(replace(text, chr(10), '. '), '[.]+', '.')",
+    "fenced": "CASE WHEN doc_id % 3 = 0 THEN concat('```json', chr(10), '```') WHEN doc_id % 3 = 1 THEN concat('```', text, '```') ELSE text END",
 }
+#: Where the two engines spell a call differently.
+DUCK = {"STRING": "VARCHAR", "'[.]+', '.')": "'[.]+', '.', 'g')"}
+TEXTS["mixed"] = "CASE doc_id % 7 " + " ".join(f"WHEN {k} THEN {TEXTS[b]}" for k, b in enumerate(("bullets", "digits", "stars", "bold", "sections", "quoted"))) + f" ELSE {TEXTS['title']} END"
+
+
+def _duck(base: str) -> str:
+    out = TEXTS[base]
+    for spark_sql, duck_sql in DUCK.items():
+        out = out.replace(spark_sql, duck_sql)
+    return out
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_spread(spark, f"{sf_dir}/documents.parquet")
+
+
 def _texts(spark: SparkSession, sf_dir: str, base: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", F.expr(TEXTS[base]).alias("text"))
+    return _documents(spark, sf_dir).select("doc_id", F.expr(TEXTS[base]).alias("text"))
 
 
 def _from(base: str) -> str:
-    return f"(SELECT doc_id, {TEXTS[base].replace('STRING', 'VARCHAR')} AS text FROM documents)"
+    return f"(SELECT doc_id, {_duck(base)} AS text FROM documents)"
 
 
 def measure(name: str, base: str, column: Callable[[Column], Column], sql: str | None) -> None:
@@ -76,16 +94,42 @@ def args(**kw) -> I.Context:
     return I.Context(F.struct(*(lit(a, kind).alias(a) for a, kind in kinds.items())), kw.pop("lang", "en"), F.lit(0))
 
 
-def rule(name: str, instruction: str, base: str, sql: str | None, **kw) -> None:
-    """A query that returns doc_id and whether an instruction is followed."""
+#: Instructions with their arguments and SQL, for the evaluation of all of them at once.
+RULES: list[tuple[str, dict, str]] = []
+
+
+def rule(name: str, instruction: str, base: str, sql: str | None, hint: Callable[[Column], Column] | None = None, **kw) -> None:
+    """A query that returns doc_id and whether an instruction is followed. hint: a language for each text."""
     lang = instruction.split(":")[0]
+    if sql and not hint:
+        RULES.append((instruction, kw, sql))
 
     def column(x: Column) -> Column:
-        return ~X.blank(x) & F.coalesce(I.REGISTRY[instruction].rule(x, F.lit(None).cast("string"), args(lang=lang, **kw)), F.lit(False))
+        return ~X.blank(x) & F.coalesce(I.REGISTRY[instruction].rule(x, hint(x) if hint else F.lit(None).cast("string"), args(lang=lang, **kw)), F.lit(False))
 
     measure(name, base, column, sql and rf"coalesce(regexp_matches(text, '{NS}') AND ({sql}), false)")
 
 
+def sentences_sql(x: str, korean: bool = False) -> str:
+    """The number of sentences of a text without runs of dots, rule by rule."""
+    letter = "([A-Za-z가-힣])" if korean else "([A-Za-z])"
+    starters = rf"(Mr|Mrs|Ms|Dr|Prof|Capt|Cpt|Lt|He{S}|She{S}|It{S}|They{S}|Their{S}|Our{S}|We{S}|But{S}|However{S}|That{S}|This{S}|Wherever)"
+    steps = [(r"\n", " "), ("(Mr|St|Mrs|Ms|Dr)[.]", r"\1<prd>"), ("[.](com|net|org|io|gov|edu|me)", r"<prd>\1"), ("([0-9])[.]([0-9])", r"\1<prd>\2"), (r"Ph\.D\.", "Ph<prd>D<prd>")]
+    if not korean:
+        steps += [(rf"{S}([A-Za-z])[.] ", r" \1<prd> "), (f"([A-Z][.][A-Z][.](?:[A-Z][.])?) {starters}", r"\1<stop> \2")]
+    steps += [(f"{letter}[.]{letter}[.]{letter}[.]", r"\1<prd>\2<prd>\3<prd>"), (f"{letter}[.]{letter}[.]", r"\1<prd>\2<prd>")]
+    if not korean:
+        steps += [(f" (Inc|Ltd|Jr|Sr|Co)[.] {starters}", r" \1<stop> \2")]
+    steps += [(" (Inc|Ltd|Jr|Sr|Co)[.]", r" \1<prd>"), (" ([A-Za-z])[.]", r" \1<prd>")]
+    if korean:
+        steps += [(rf"{S}([A-Za-z])[.]{S}+([가-힣])", r" \1<prd> \2"), (rf"{S}([가나다라마바사])[.]{S}+", r" \1<prd> ")]
+    steps += [(r"\.”", "”."), (r'\."', '".'), ('!"', '"!'), (r'\?"', '"?'), ("([.?!])", r"\1<stop>"), ("<prd>", ".")]
+    out = f"concat(' ', {x}, '  ')"
+    for pattern, to in steps:
+        out = f"regexp_replace({out}, '{pattern}', '{to}', 'g')"
+    return f"(SELECT CAST(len(p) - CASE WHEN regexp_matches(p[len(p)], '{NS}') THEN 0 ELSE 1 END AS BIGINT) FROM (SELECT string_split({out}, '<stop>') AS p))"
+
+
 # Measurements.
 measure("number_words", "plain", X.words, n(W + "+"))
 measure("number_words_ws", "plain", X.tokens, n(NS + "+"))
@@ -98,10 +142,13 @@ measure("highlights", "bold", X.highlights, rf"CAST(len(list_filter(regexp_extra
 measure("sections", "sections", lambda x: X.sections(x, F.lit("SECTION")), n(rf"{S}?SECTION{S}?{D}+{S}?"))
 measure("capital_words", "upper", X.capital_words, rf"CAST(len(list_filter(regexp_extract_all(text, '{W}+(?:[-'']{W}+)*'), lambda w: regexp_matches(w, '\p{{Lu}}') AND NOT regexp_matches(w, '[\p{{Ll}}\p{{Lt}}]'))) AS BIGINT)")
 measure("blank_filter", "plain", X.blank, f"NOT regexp_matches(text, '{NS}')")
-measure("number_sentences_rule", "plain", lambda x: F.size(split_sentences(x)).cast("long"), None)
-measure("number_sentences_rule_ko", "korean", lambda x: F.size(split_sentences(x, korean=True)).cast("long"), "CAST(1 AS BIGINT)")
-measure("loose_variants", "stars", lambda x: F.size(X.loose_variants(x)).cast("long"), None)
-measure("formal_text_ko", "korean", formal_text, "doc_id % 2 = 0")
+measure("number_sentences_rule", "prose", lambda x: F.size(split_sentences(x)).cast("long"), sentences_sql("text"))
+measure("number_sentences_rule_ko", "korean", lambda x: F.size(split_sentences(F.regexp_replace(x, r"\.+", "."), korean=True)).cast("long"), sentences_sql(r"regexp_replace(text, '[.]+', '.', 'g')", korean=True))
+LINES = "string_split(text, chr(10))"
+CUTS = ["text", strip_sql(f"array_to_string({LINES}[2:len({LINES})], chr(10))"), strip_sql(f"array_to_string({LINES}[1:len({LINES}) - 1], chr(10))"), strip_sql(f"array_to_string({LINES}[2:len({LINES}) - 1], chr(10))")]
+VARIANTS = ", ".join([*(f"coalesce({c}, '')" for c in CUTS), *(f"replace(coalesce({c}, ''), '*', '')" for c in CUTS)])
+measure("loose_variants", "mixed", lambda x: F.size(X.loose_variants(x)).cast("long"), f"CAST(len(list_distinct([{VARIANTS}])) AS BIGINT)")
+measure("formal_text_ko", "register", formal_text, "doc_id % 2 = 0")
 measure("language_guess", "plain", lambda x: F.get(detect(F.array(x)), F.lit(0)), None)
 
 # Instructions.
@@ -117,27 +164,38 @@ rule("two_responses", "en:combination:two_responses", "twice", f"len(list_filter
 par = "string_split(text, chr(10) || chr(10))"
 word = rf"lower(regexp_extract(regexp_extract({strip_sql(par + '[2]')}, '{NS}+'), '^''*\"*([^.,?!''\"]*)', 1))"
 rule("nth_paragraph_first_word", "en:length_constraints:nth_paragraph_first_word", "paragraphs", f"len(list_filter({par}, lambda y: regexp_matches(y, '{NS}'))) = 2 AND {word} = 'the'", num_paragraphs=2, nth_paragraph=2, first_word="the")
-rule("nth_paragraph_first_sentence", "ko:length_constraints:nth_paragraph_first_sentence", "korean", None, num_paragraphs=1, nth_paragraph=1, first_sentence="안녕 세상 먹었어")
+rule("nth_paragraph_first_sentence", "ko:length_constraints:nth_paragraph_first_sentence", "register", "doc_id % 2 = 1", lambda x: F.lit("ko"), num_paragraphs=1, nth_paragraph=1, first_sentence="안녕 세상 먹었어")
 rule("postscript", "en:detectable_content:postscript", "post", rf"regexp_matches(lower(text), 'p\.{S}?s\.')", postscript_marker="P.S.")
 rule("constrained_response", "en:detectable_format:constrained_response", "answer", "contains(text, 'My answer is yes.') OR contains(text, 'My answer is no.') OR contains(text, 'My answer is maybe.')")
 rule("constrained_custom", "ko:detectable_format:constrained_custom_response", "answer", f"regexp_matches(text, '(?m)^{S}*My answer')", choices=["My answer"])
 rule("title", "en:detectable_format:title", "title", rf"len(list_filter(regexp_extract_all(text, '<<[^\n]+>>'), lambda t: regexp_matches(regexp_replace(t, '\A<+|>+\z', '', 'g'), '{NS}'))) > 0")
 rule("json_format", "en:detectable_format:json_format", "json", "json_valid(text)")
-rule("markdown_format", "ko:detectable_format:markdown_format", "plain", "true")
+rule("markdown_format", "ko:detectable_format:markdown_format", "fenced", rf"regexp_matches(regexp_replace(regexp_replace({strip_sql('text')}, '\A```(json|Json|JSON)?', ''), '```\z', ''), '{NS}')")
 rule("end_checker", "en:startend:end_checker", "quoted", rf"ends_with(lower(regexp_replace({strip_sql('text')}, '\A\"+|\"+\z', '', 'g')), 'the.')", end_phrase="the.")
 rule("quotation", "en:startend:quotation", "quoted", f"length({strip_sql('text')}) > 1 AND starts_with({strip_sql('text')}, '\"') AND ends_with({strip_sql('text')}, '\"')")
 rule("single_quote", "ko:startend:single_quote", "quoted", f"length({strip_sql('text')}) > 1 AND starts_with({strip_sql('text')}, chr(39)) AND ends_with({strip_sql('text')}, chr(39))")
 rule("repeat_prompt", "en:combination:repeat_prompt", "plain", f"starts_with(lower({strip_sql('text')}), 'the')", prompt_to_repeat=" The ")
 rule("no_comma", "en:punctuation:no_comma", "plain", "NOT contains(text, ',')")
 rule("no_period", "ko:punctuation:no_period", "plain", "NOT contains(text, '.')")
-rule("all_upper", "en:change_case:english_capital", "upper", r"regexp_matches(text, '\p{Lu}') AND NOT regexp_matches(text, '[\p{Ll}\p{Lt}]')")
-rule("all_lower", "en:change_case:english_lowercase", "upper", r"regexp_matches(text, '\p{Ll}') AND NOT regexp_matches(text, '[\p{Lu}\p{Lt}]')")
+#: A language that the number of words decides: German, English or not known.
+english = lambda x: F.when(X.tokens(x) % 3 == 0, "de").when(X.tokens(x) % 3 == 1, "en")
+rule("all_upper", "en:change_case:english_capital", "upper", r"regexp_matches(text, '\p{Lu}') AND NOT regexp_matches(text, '[\p{Ll}\p{Lt}]') AND " + n(NS + "+") + " % 3 > 0", english)
+rule("all_lower", "en:change_case:english_lowercase", "upper", r"regexp_matches(text, '\p{Ll}') AND NOT regexp_matches(text, '[\p{Lu}\p{Lt}]') AND " + n(NS + "+") + " % 3 > 0", english)
 rule("bullets_equal", "en:detectable_format:number_bullet_lists", "bullets", f"({n(rf'(?m)^{S}*-.*$')} + {n(rf'(?m)^{S}*\*[^*].*$')}) = 2", num_bullets=2)
 rule("digits_equal", "ko:detectable_format:number_digit_lists", "digits", f"({n(rf'(?m)^{S}*{D}+\).*$')} + {n(rf'(?m)^{S}*{D}+\..*$')}) = 3", num_digit_list=3)
-rule("syllables_equal", "ko:length_constraints:number_syllables", "korean", n("[가-힣]") + " = 7", num_syllables=7, relation="equal to")
-rule("key_sentences", "ko:keywords:key_sentences", "korean", "doc_id % 2 = 1", key_sentences=["안녕 세상 먹었어"], num_sentences=1)
+rule("syllables_equal", "ko:length_constraints:number_syllables", "korean", n("[가-힣]") + " >= 800", num_syllables=800, relation="at least")
+rule("key_sentences", "ko:keywords:key_sentences", "register", "text = '안녕 세상 먹었어'", key_sentences=["안녕 세상 먹었어"], num_sentences=1)
 measure("constrained_start", "plain", lambda x: I.constrained_start(x, F.lit("The")), f"regexp_matches(text, '(?m)^{S}*The')")
-measure("rephrase_marked", "bold", lambda x: F.coalesce(I.rephrase_marked(x, x), F.lit(False)), r"regexp_matches(text, '\*.*\*')")
+other = lambda x: F.when(F.length(x) % 2 == 0, F.concat(x, F.lit(" end"))).otherwise(F.replace(x, F.lit("*o"), F.lit("*u")))
+OTHER = "CASE WHEN length(text) % 2 = 0 THEN concat(text, ' end') ELSE replace(text, '*o', '*u') END"
+measure("rephrase_marked", "bold", lambda x: F.coalesce(I.rephrase_marked(x, other(x)), F.lit(False)), rf"regexp_matches(text, '\*.*\*') AND regexp_replace(text, '\*.*\*', '', 'g') = regexp_replace({OTHER}, '\*.*\*', '', 'g')")
+
+# The rest of what both languages have, for the evaluation of all rules.
+rule("placeholders_at_least", "en:detectable_content:number_placeholders", "brackets", n(r"\[.*?\]") + " >= 2", num_placeholders=2)
+rule("sections_at_least", "en:detectable_format:multiple_sections", "sections", n(rf"{S}?SECTION{S}?{D}+{S}?") + " >= 2", section_spliter="SECTION", num_sections=2)
+rule("capital_words_at_least", "en:change_case:capital_word_frequency", "upper", rf"len(list_filter(regexp_extract_all(text, '{W}+(?:[-'']{W}+)*'), lambda w: regexp_matches(w, '\p{{Lu}}') AND NOT regexp_matches(w, '[\p{{Ll}}\p{{Lt}}]'))) >= 5", capital_frequency=5, capital_relation="at least")
+rule("highlights_at_least", "en:detectable_format:number_highlighted_sections", "bold", ORACLES["highlights"].partition("SELECT doc_id, ")[2].partition(" AS value")[0] + " >= 2", num_highlights=2)
+rule("sentences_at_least", "en:length_constraints:number_sentences", "prose", sentences_sql("text") + " >= 12", num_sentences=12, relation="at least")
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,19 +215,15 @@ IDS = [i for i, _ in SPECS if i in I.REGISTRY]
 
 def _turns(spark: SparkSession, sf_dir: str, specs=SPECS) -> DataFrame:
     ids, kwargs = F.array(*(F.lit(i) for i, _ in specs)), F.array(*(F.lit(json.dumps(k)) for _, k in specs))
-    return _table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("response"), ids.alias("instruction_id_list"), kwargs.alias("kwargs"))
+    return _documents(spark, sf_dir).select("doc_id", F.col("text").alias("response"), ids.alias("instruction_id_list"), kwargs.alias("kwargs"))
 
 
 def _done(spark: SparkSession, sf_dir: str, specs=SPECS) -> DataFrame:
-    t = _turns(spark, sf_dir, specs).select("doc_id", "response", F.posexplode(F.arrays_zip("instruction_id_list", "kwargs")).alias("pos", "s"))
-    t = t.select("doc_id", "response", "pos", F.col("s.instruction_id_list").alias("instruction_id"), F.col("s.kwargs").alias("kwargs"))
-    return evaluate_specs(t, ["doc_id"], IDS).drop("response", "kwargs")
+    t = explode_specs(_turns(spark, sf_dir, specs), ["doc_id", "response"])
+    return evaluate_specs(t, ["doc_id"], IDS).drop("response", "kwargs", "args_defaulted")
 
 
 FOLLOW = [("en:punctuation:no_comma", "NOT contains(v, ',')"), ("en:length_constraints:number_words", n(W + "+", "v") + " >= 300"), ("en:keywords:existence", "regexp_matches(v, '(?i)the')")]
-LINES = "string_split(text, chr(10))"
-CUTS = ["text", strip_sql(f"array_to_string({LINES}[2:len({LINES})], chr(10))"), strip_sql(f"array_to_string({LINES}[1:len({LINES}) - 1], chr(10))"), strip_sql(f"array_to_string({LINES}[2:len({LINES}) - 1], chr(10))")]
-VARIANTS = ", ".join([*(f"coalesce({c}, '')" for c in CUTS), *(f"replace(coalesce({c}, ''), '*', '')" for c in CUTS)])
 DONE = " UNION ALL ".join(
     f"SELECT doc_id, CAST({p} AS INTEGER) AS pos, '{i}' AS instruction_id, '{i}' AS resolved_id, 'ok' AS status, true AS evaluated, len(list_filter([text], lambda v: regexp_matches(v, '{NS}') AND {sql})) > 0 AS strict, len(list_filter([{VARIANTS}], lambda v: regexp_matches(v, '{NS}') AND {sql})) > 0 AS loose FROM documents"
     for p, (i, sql) in enumerate(FOLLOW)
@@ -177,6 +231,25 @@ DONE = " UNION ALL ".join(
 GOOD = SPECS[:3]
 DONE3 = f"SELECT * FROM ({DONE}) WHERE pos < 3"
 
+#: Rules that mean the same in both languages are evaluated in both; sentences of texts with runs of dots aren't in SQL.
+ALL = [(i, kw, sql) for i, kw, sql in RULES if "number_sentences" not in i and "key_sentences" not in i]
+ALL += [(f"ko:{i[3:]}", kw, sql) for i, kw, sql in ALL if i.startswith("en:") and not any(x in i for x in ("number_words", "constrained_response"))]
+ALL += [("ko:length_constraints:number_words", {"num_words": 300, "relation": "at least"}, n(NS + "+") + " >= 300"), ("ko:keywords:frequency", {"keyword": "the", "frequency": 3, "relation": "equal to"}, n("(?i)the") + " = 3")]
+
+
+def _all_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, with markup, against all these rules in one pass: what is followed in either mode, rule by rule."""
+    ids, kwargs = F.array(*(F.lit(i) for i, _, _ in ALL)), F.array(*(F.lit(json.dumps(k)) for _, k, _ in ALL))
+    turns = _texts(spark, sf_dir, "mixed").select("doc_id", F.col("text").alias("response"), ids.alias("instruction_id_list"), kwargs.alias("kwargs"))
+    return exploded(evaluate_turns(turns, ["doc_id"], sorted({i for i, _, _ in ALL})), ["doc_id"])
+
+
+QUERIES["eval_all_rules"] = _all_rules
+MIXED = f"WITH m AS (SELECT doc_id, {_duck('mixed')} AS text FROM documents), v AS (SELECT doc_id, unnest([{VARIANTS}]) AS text, generate_subscripts([{VARIANTS}], 1) AS k FROM m)"
+FLAGS = ", ".join(rf"coalesce(regexp_matches(text, '{NS}') AND ({sql}), false) AS r{p}" for p, (_, _, sql) in enumerate(ALL))
+BOTH = ", ".join(f"{{'pos': {p}, 'instruction_id': '{i}', 'strict': bool_or(k = 1 AND r{p}), 'loose': bool_or(r{p})}}" for p, (i, _, _) in enumerate(ALL))
+ORACLES["eval_all_rules"] = f"{MIXED} SELECT doc_id, CAST(o.pos AS INTEGER) AS pos, o.instruction_id, 'ok' AS status, true AS evaluated, o.strict, o.loose FROM (SELECT doc_id, unnest([{BOTH}]) AS o FROM (SELECT doc_id, k, {FLAGS} FROM v) GROUP BY doc_id)"
+
 QUERIES["eval_specs"] = _done
 ORACLES["eval_specs"] = DONE
 
@@ -188,7 +261,7 @@ def _outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["eval_turns"] = lambda s, d: _outcome(s, d).select("doc_id", "strict_all", "loose_all", F.size(F.filter("strict_list", lambda x: x)).cast("long").alias("n_strict"), F.size("loose_list").cast("long").alias("n"))
 ORACLES["eval_turns"] = f"SELECT doc_id, bool_and(strict) AS strict_all, bool_and(loose) AS loose_all, CAST(count(*) FILTER (WHERE strict) AS BIGINT) AS n_strict, CAST(count(*) AS BIGINT) AS n FROM ({DONE3}) GROUP BY doc_id"
 for mode in ("strict", "loose"):
-    QUERIES[f"report_tiers_{mode}"] = lambda s, d, m=mode: report.tier_report(_done(s, d), m)
+    QUERIES[f"report_tiers_{mode}"] = lambda s, d, m=mode: report.tier_report(evaluate_turns(_turns(s, d), ["doc_id"], IDS), m)
     ORACLES[f"report_tiers_{mode}"] = f"SELECT CASE WHEN grouping(t0) = 1 THEN 'total' WHEN grouping(t1) = 1 THEN 'tier0' ELSE 'tier1' END AS tier, coalesce(t1, t0, 'all') AS name, CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE {mode}) AS BIGINT) AS correct, CAST(count(*) FILTER (WHERE {mode}) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS accuracy FROM (SELECT split_part(instruction_id, ':', 1) AS t0, instruction_id AS t1, {mode} FROM ({DONE}) WHERE evaluated) GROUP BY GROUPING SETS ((t0), (t0, t1), ())"
 QUERIES["eval_strict_report"] = lambda s, d: report.prompt_report(_outcome(s, d))
 ORACLES["eval_strict_report"] = f"SELECT CAST(count(*) AS BIGINT) AS total_prompts, CAST(count(*) FILTER (WHERE f) AS BIGINT) AS correct_prompts, CAST(count(*) FILTER (WHERE f) AS DOUBLE) / count(*) AS prompt_level_accuracy, 1.0::DOUBLE AS evaluated_prompts_ratio FROM (SELECT doc_id, bool_and(strict) AS f FROM ({DONE3}) GROUP BY doc_id)"
@@ -221,8 +294,7 @@ ORACLES["overall_analysis"] = f"SELECT {', '.join(f'round(avg({c}), 9) AS {c}' f
 
 
 def _leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, done = _outcome(spark, sf_dir), _done(spark, sf_dir, GOOD)
-    board = report.leaderboard(report.full_report(out, done), report.full_report(out, done, "loose"), "m", "c", "t", "d")
+    board = report.leaderboard(_outcome(spark, sf_dir), "m", "c", "t", "d")
     return board.select("model_name", "dataset_category", "dataset_task", "dataset_name", *(F.round(f"metrics.{m}", 9).alias(m) for m in ("prompt_level_strict_acc", "inst_level_strict_acc", "prompt_level_loose_acc", "inst_level_loose_acc")))
 
 
@@ -253,8 +325,17 @@ QUERIES["kwargs_parse"] = lambda s, d: _table(s, d, "events").select("event_id",
 ORACLES["kwargs_parse"] = "SELECT event_id, CASE WHEN json_valid(props) THEN concat(CAST(json(props) AS VARCHAR), '|{}') ELSE '{}' END AS kwargs FROM events"
 QUERIES["prompt_extract"] = lambda s, d: _table(s, d, "events").select("event_id", ingest.prompt_of(F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(F.col("event_type"))).alias("prompt"))
 ORACLES["prompt_extract"] = "SELECT event_id, CASE WHEN event_id % 2 = 0 AND json_valid(props) THEN '' ELSE coalesce(CASE WHEN event_id % 2 = 0 THEN props ELSE event_type END, '') END AS prompt FROM events"
-QUERIES["dataset_stats"] = lambda s, d: _table(s, d, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"), F.max("n_chars").alias("longest"))
-ORACLES["dataset_stats"] = "SELECT lang, source, CAST(count(*) AS BIGINT) AS n, max(n_chars) AS longest FROM documents GROUP BY lang, source"
+QUERIES["dataset_stats"] = lambda s, d: ingest.dataset_stats(_table(s, d, "events"), "props", "props").select("n", F.array_join("metadata_keys", ",").alias("metadata_keys"), F.col("input_types")["dict"].alias("dicts"), F.coalesce(F.col("input_types")["string"], F.lit(0)).cast("long").alias("strings"))
+ORACLES["dataset_stats"] = "SELECT CAST(count(*) AS BIGINT) AS n, (SELECT string_agg(k, ',' ORDER BY k) FROM (SELECT DISTINCT unnest(json_keys(props)) AS k FROM events WHERE json_valid(props))) AS metadata_keys, CAST(count(*) FILTER (WHERE json_valid(props)) AS BIGINT) AS dicts, CAST(count(*) FILTER (WHERE NOT json_valid(props)) AS BIGINT) AS strings FROM events"
+QUERIES["clean_cells"] = lambda s, d: ingest.clean_cells(_table(s, d, "events").select("event_id", F.col("props").alias("turn_1_kwargs"), F.when(F.col("event_id") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("value")).alias("value")))
+ORACLES["clean_cells"] = "SELECT event_id, CASE WHEN json_valid(props) THEN CAST(json(props) AS VARCHAR) ELSE props END AS turn_1_kwargs, CASE WHEN event_id % 3 > 0 THEN value END AS value FROM events"
+QUERIES["item_labels"] = lambda s, d: ingest.item_labels(_table(s, d, "documents"), "source", "lang", "doc_id").select("doc_id", "label")
+ORACLES["item_labels"] = "SELECT doc_id, concat(coalesce(source, concat('item_', doc_id)), ' (', coalesce(lang, 'Unknown'), ')') AS label FROM documents"
+QUERIES["raw_accuracy"] = lambda s, d: report.raw_accuracy(_outcome(s, d)).select(F.round("accuracy", 9).alias("accuracy"))
+ORACLES["raw_accuracy"] = f"SELECT round(avg(strict_prompt_score), 9) AS accuracy FROM ({SCORED})"
+QUERIES["success_counts"] = lambda s, d: report.success_counts(_exchanges(s, d).withColumn("error", F.when(F.col("response").isNull(), F.lit("no response"))), "conv_id", "error")
+QUERIES["nested_results"] = lambda s, d: report.nested_results(report.flat_results(report.turn_scores(_outcome(s, d)).withColumns({"item": F.col("doc_id") % 50, "turn_index": (F.col("doc_id") / 50).cast("int")}), "item")).select("item_index", F.size("results").cast("long").alias("n"), F.element_at("results", 1)["turn_index"].alias("first_turn"))
+ORACLES["nested_results"] = "SELECT doc_id % 50 AS item_index, CAST(count(*) AS BIGINT) AS n, CAST(min(doc_id // 50) AS INTEGER) AS first_turn FROM documents GROUP BY 1"
 QUERIES["kwargs_validation"] = lambda s, d: ingest.invalid_arguments(_table(s, d, "events").select("event_id", F.lit("en:punctuation:no_comma").alias("instruction_id"), F.col("props").alias("kwargs")), I.registry_table(s)).select("event_id", "problem")
 ORACLES["kwargs_validation"] = "SELECT event_id, CASE WHEN json_valid(props) AND len(json_keys(props)) > 0 THEN concat('Invalid parameter: ', json_keys(props)[1]) END AS problem FROM events"
 QUERIES["dataset_upsert"] = lambda s, d: ingest.upsert(_table(s, d, "labels"), _table(s, d, "labels").where("doc_id % 2 = 0").withColumn("toxic", F.lit(1).cast("int")), "doc_id").select("doc_id", "quality", F.col("toxic").cast("int").alias("toxic"))
@@ -270,6 +351,7 @@ def _exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["user_assistant_pairs"] = _exchanges
 ORACLES["user_assistant_pairs"] = f"SELECT * FROM {PAIRS}"
+ORACLES["success_counts"] = f"SELECT CAST(count(*) FILTER (WHERE e = 0) AS BIGINT) AS successful, CAST(count(*) FILTER (WHERE e > 0) AS BIGINT) AS failed FROM (SELECT conv_id, count(*) FILTER (WHERE response IS NULL) AS e FROM {PAIRS} GROUP BY conv_id)"
 QUERIES["prompt_response_join"] = lambda s, d: _exchanges(s, d).select("conv_id", "turn", "prompt").join(ingest.last_wins(_exchanges(s, d).where("response IS NOT NULL").withColumn("at", F.struct("conv_id", "turn")), "prompt", "response", "at"), "prompt").select("conv_id", "turn", "response")
 ORACLES["prompt_response_join"] = f"SELECT p.conv_id, p.turn, r.response FROM {PAIRS} p JOIN (SELECT prompt, arg_max(response, conv_id * 1000000 + turn) AS response FROM {PAIRS} WHERE response IS NOT NULL GROUP BY prompt) r ON p.prompt = r.prompt"
 for kind, how in (("answered_semi", "left_semi"), ("missing_responses_anti", "left_anti")):
@@ -282,11 +364,9 @@ ORACLES["stop_after_error"] = f"SELECT conv_id, turn, error FROM (SELECT *, coal
 
 
 def _fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import tempfile
-
-    from ..streaming.sinks import collected
+    from ..streaming.sinks import collected, stream_folder
 
-    return collected(dialogue.fold_stream(spark.readStream.schema("conv_id long, turn long, role string, text string").parquet(f"{sf_dir}/conversations.parquet*")), tempfile.mkdtemp(prefix="fold-"))
+    return collected(dialogue.fold_stream(spark.readStream.schema("conv_id long, turn long, role string, text string").parquet(f"{sf_dir}/conversations.parquet*")), stream_folder(spark))
 
 
 QUERIES["dialogue_stream_fold"] = _fold

@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def stream_folder(spark: SparkSession) -> str:
+    """Where a stream keeps its state: spark.checkpoint.dir, which all executors share; only a local master may do without."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return f"{folder}/streams"
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="streams-")
 
 
 def collected(stream: DataFrame, folder: str) -> DataFrame:
