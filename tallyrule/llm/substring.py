@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import read_table, stored
+from .common import read_table, stored, trimmed
 
 WINDOW = 20
 #: A difference cover: for any two residues there is a shift below PERIOD that brings both into COVER.
@@ -20,6 +20,8 @@ PERIOD, COVER = 13, (0, 1, 3, 9)
 #: An anchor at any such shift lies within the window.
 ANCHOR = WINDOW - PERIOD + 1
 NO_ID = -(2**63)
+#: A window's words are told apart by 96 bits: two hashes of different bases.
+KEY = np.dtype([("h", np.uint64), ("check", np.uint32)])
 
 
 class Block:
@@ -47,16 +49,20 @@ class Block:
         at = np.flatnonzero(self.inside(ANCHOR) & cover[self.place[: max(0, len(self.hashes) - ANCHOR + 1)] % PERIOD])
         return at, W.runs(self.hashes, ANCHOR)[at]
 
-    def windows(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of the windows that hold an anchor of `shared`, and their hashes."""
-        at, anchor = self.anchors()
-        near = np.zeros(len(self.hashes) + 1, np.int64)
-        hit = at[np.isin(anchor, shared)]
-        np.add.at(near, np.maximum(hit - (PERIOD - 1), 0), 1)
-        np.add.at(near, hit + 1, -1)
+    def near(self, hit: np.ndarray) -> np.ndarray:
+        """Starts of the windows that hold an anchor at one of the places hit."""
+        covered = np.zeros(len(self.hashes) + 1, np.int64)
+        np.add.at(covered, np.maximum(hit - (PERIOD - 1), 0), 1)
+        np.add.at(covered, hit + 1, -1)
         inside = self.inside(WINDOW)
-        start = np.flatnonzero(inside & (np.cumsum(near)[: len(inside)] > 0))
-        return start, W.runs(self.hashes, WINDOW)[start]
+        return np.flatnonzero(inside & (np.cumsum(covered)[: len(inside)] > 0))
+
+    def windows(self, start: np.ndarray) -> np.ndarray:
+        """The 96-bit hashes of the windows that begin at start."""
+        out = np.empty(len(start), KEY)
+        out["h"] = W.runs(self.hashes, WINDOW)[start]
+        out["check"] = W.runs(self.hashes, WINDOW, W.OTHER)[start] >> np.uint64(32)
+        return out
 
 
 def to_blocks(block_bytes: int):
@@ -89,22 +95,27 @@ def cut(h: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(h, np.array(edges, np.uint64)), [len(h)]]).astype(np.int64)
 
 
-def sent(block: int, columns: dict[str, np.ndarray], buckets: int) -> pa.RecordBatch:
-    """Rows (bucket, block, ...) of a block's sorted hashes h with what belongs to them."""
-    at = cut(columns["h"], buckets)
+def sent(block: int, h: np.ndarray, columns: dict[str, np.ndarray], buckets: int) -> pa.RecordBatch:
+    """Rows (bucket, block, ...) of what belongs to a block's sorted hashes h: one for each bucket that gets any."""
+    at = cut(h, buckets)
     full = np.flatnonzero(np.diff(at))
     out = {"bucket": full.astype(np.int64), "block": np.full(len(full), block, np.int64)}
     return pa.RecordBatch.from_pydict(out | {k: pa.array([v[at[b] : at[b + 1]].tobytes() for b in full], pa.binary()) for k, v in columns.items()})
 
 
+def low(h: np.ndarray) -> np.ndarray:
+    """What an anchor is known by within its bucket, which holds a bounded number of them; a false match costs work, no more."""
+    return (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
 def send_anchors(buckets: int):
-    """Each block's anchor hashes, once each, with whether the block holds it several times."""
+    """Each block's anchors, once each, with whether the block holds it several times."""
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 h, n = np.unique(Block(row["ids"], row["sizes"], row["texts"]).anchors()[1], return_counts=True)
-                yield sent(row["block"], {"h": h, "many": n > 1}, buckets)
+                yield sent(row["block"], h, {"h": low(h), "many": n > 1}, buckets)
 
     return run
 
@@ -115,18 +126,19 @@ def _gathered(table: pa.Table, **kinds) -> tuple[np.ndarray, ...]:
     return (*(np.concatenate(p) for p in parts), np.repeat(np.arange(table.num_rows), [len(x) for x in parts[0]]))
 
 
-def _answers(table: pa.Table, h: np.ndarray, row: np.ndarray) -> pa.Table:
-    order = np.lexsort((h, row))
-    h, row = h[order], row[order]
+def _answers(table: pa.Table, keys: np.ndarray, row: np.ndarray) -> pa.Table:
+    """For each block (and bucket) its part of keys, which row tells."""
+    order = np.argsort(row, kind="stable")
+    keys, row = keys[order], row[order]
     at = np.searchsorted(row, np.arange(table.num_rows + 1))
     full = np.flatnonzero(np.diff(at))
-    blocks = table.column("block").to_numpy()[full]
-    return pa.Table.from_pydict({"block": pa.array(blocks, pa.int64()), "h": pa.array([h[at[b] : at[b + 1]].tobytes() for b in full], pa.binary())})
+    held = {c: pa.array(table.column(c).to_numpy()[full], pa.int64()) for c in ("block", "bucket")}
+    return pa.Table.from_pydict(held | {"h": pa.array([keys[at[b] : at[b + 1]].tobytes() for b in full], pa.binary())})
 
 
 def shared_anchors(table: pa.Table) -> pa.Table:
     """For each block, its anchors that some block holds as well, or itself again."""
-    h, many, row = _gathered(table, h=np.uint64, many=np.bool_)
+    h, many, row = _gathered(table, h=np.uint32, many=np.bool_)
     values, place, count = np.unique(h, return_inverse=True, return_counts=True)
     again = np.zeros(len(values), bool)
     again[place[many]] = True
@@ -134,36 +146,47 @@ def shared_anchors(table: pa.Table) -> pa.Table:
     return _answers(table, h[hit], row[hit])
 
 
-def first_here(h: np.ndarray, ids: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """The order of (hash, id, place), and in it the first of each hash: (order, is_first)."""
-    order = np.lexsort((place, ids, h))
-    return order, np.concatenate([[True], h[order][1:] != h[order][:-1]]) if len(h) else np.zeros(0, bool)
+def first_here(keys: np.ndarray, ids: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of (hashes, id, place), and in it the first of each pair of hashes: (order, is_first)."""
+    order = np.lexsort((place, ids, keys["check"], keys["h"]))
+    k = keys[order]
+    return order, np.concatenate([[True], (k["h"][1:] != k["h"][:-1]) | (k["check"][1:] != k["check"][:-1])]) if len(k) else np.zeros(0, bool)
 
 
 def send_windows(buckets: int):
-    """Each block's candidate windows, of equal ones the earliest."""
+    """Each block's candidate windows, around its shared anchors; of equal ones the earliest."""
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 b = Block(row["ids"], row["sizes"], row["texts"])
-                start, h = b.windows(np.concatenate([np.frombuffer(x, np.uint64) for x in row["shared"]]))
-                ids, place = b.ids[b.text[start]], b.place[start].astype(np.int32)
-                order, first = first_here(h, ids, place)
+                at, anchor = b.anchors()
+                bucket = np.searchsorted(np.array([(x << 64) // buckets for x in range(1, buckets)], np.uint64), anchor, "right").astype(np.uint64)
+                shared = np.concatenate([np.frombuffer(x["h"], np.uint32).astype(np.uint64) | np.uint64(x["bucket"] << 32) for x in row["shared"]])
+                start = b.near(at[np.isin(low(anchor).astype(np.uint64) | bucket << np.uint64(32), shared)])
+                keys, ids, place = b.windows(start), b.ids[b.text[start]], b.place[start].astype(np.int32)
+                order, first = first_here(keys, ids, place)
                 order = order[first]
-                yield sent(row["block"], {"h": h[order], "ids": ids[order], "place": place[order]}, buckets)
+                yield sent(row["block"], keys["h"][order], {"h": keys[order], "ids": ids[order], "place": place[order]}, buckets)
 
     return run
 
 
+def _late(keys: np.ndarray, ids: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Whether the same words start earlier."""
+    order, first = first_here(keys, ids, place)
+    out = np.zeros(len(keys), bool)
+    if len(order):
+        best = order[first][np.cumsum(first) - 1]  # the earliest of each one's words
+        out[order] = (ids[order] != ids[best]) | (place[order] != place[best])
+    return out
+
+
 def later_windows(table: pa.Table) -> pa.Table:
     """For each block, its windows that start earlier in another block."""
-    h, ids, place, row = _gathered(table, h=np.uint64, ids=np.int64, place=np.int32)
-    order, first = first_here(h, ids, place)
-    group = np.cumsum(first) - 1
-    best = order[first][group]  # the earliest of each one's hash
-    late = (ids[order] != ids[best]) | (place[order] != place[best])
-    return _answers(table, h[order][late], row[order][late])
+    keys, ids, place, row = _gathered(table, h=KEY, ids=np.int64, place=np.int32)
+    late = _late(keys, ids, place)
+    return _answers(table, keys[late], row[late])
 
 
 def finish(batches):
@@ -173,17 +196,17 @@ def finish(batches):
             b = Block(row["ids"], row["sizes"], row["texts"])
             gone = np.zeros(len(b.hashes) + 1, np.int64)
             start = np.flatnonzero(b.inside(WINDOW))
-            h = W.runs(b.hashes, WINDOW)[start]
-            ids, place = b.ids[b.text[start]], b.place[start]
-            order, first = first_here(h, ids, place)
-            if len(order):
-                best = order[first][np.cumsum(first) - 1]
-                late = np.zeros(len(start), bool)
-                late[order] = (ids[order] != ids[best]) | (place[order] != place[best])
-                if row["late"]:
-                    late |= np.isin(h, np.concatenate([np.frombuffer(x, np.uint64) for x in row["late"]]))
-                np.add.at(gone, start[late], 1)
-                np.add.at(gone, start[late] + WINDOW, -1)
+            keys = b.windows(start)
+            late = _late(keys, b.ids[b.text[start]], b.place[start])
+            if row["late"]:
+                told = np.sort(np.concatenate([np.frombuffer(x["h"], KEY) for x in row["late"]]), order=("h", "check"))
+                # Two windows of one h among the told are as good as excluded; all that share the h are looked at.
+                at = np.searchsorted(told["h"], keys["h"])
+                for ahead in range(int(_longest_run(told["h"]))):
+                    here = np.minimum(at + ahead, len(told) - 1)
+                    late |= (told["h"][here] == keys["h"]) & (told["check"][here] == keys["check"])
+            np.add.at(gone, start[late], 1)
+            np.add.at(gone, start[late] + WINDOW, -1)
             kept = np.cumsum(gone)[:-1] == 0
             before = np.concatenate([[0], np.cumsum(kept)])
             left = b.words.filter(pa.array(kept)).to_pylist()
@@ -193,6 +216,12 @@ def finish(batches):
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(b.ids, mask=b.ids == NO_ID), "n_words": n, "n_removed": removed, "kept": pa.array(texts, pa.string())})
 
 
+def _longest_run(h: np.ndarray) -> int:
+    """The length of the longest run of equal numbers among sorted ones."""
+    starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    return int(np.diff(np.append(starts, len(h))).max(initial=0))
+
+
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20, bucket_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, n_words, n_removed, kept for each row of docs: kept is the words that stay, joined by one space.
 
@@ -205,20 +234,23 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     1. Whole documents go into compressed blocks in a shared table. 2. Anchors of 8 words are hashed only at places
     whose residue modulo 13 is in the difference cover {0, 1, 3, 9}: any two equal windows have an anchor in common at
     the same shift. Blocks send each of their anchors once to the bucket of its hash and hear which are held elsewhere
-    too. 3. Around those the match is extended to whole windows, whose hashes and first places meet in the same way;
-    blocks hear which of theirs start earlier elsewhere. 4. Each block removes the words. A passage that is everywhere
-    is sent once by each block. The buckets grow in number with the text."""
+    too. 3. Around those the match is extended to whole windows; their words, as 96 bits of two hashes, and their first places
+    meet in the same way; blocks hear which of theirs start earlier elsewhere. A false match would need two windows alike
+    in all 96 bits: some 1e-3 are to be expected among the 1e13 windows of 100 TB. 4. Each block removes the words. A
+    passage that is everywhere is sent once by each block. Buckets grow in number with the text, so each stays small; a
+    block sends a row for each bucket that it has hashes for, so never more rows than hashes."""
     blocks = stored(docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(to_blocks(block_bytes), "block long, ids binary, sizes binary, texts binary"), "blocks")
     # Bytes of compressed text; an anchor's hash takes about as much as the text it stands for.
     total = blocks.agg(F.sum(F.octet_length("texts"))).first()[0] or 0
     buckets = max(1, -(-int(total) // bucket_bytes))
-    sent_anchors = blocks.mapInArrow(send_anchors(buckets), "bucket long, block long, h binary, many binary")
-    shared = sent_anchors.groupBy("bucket").applyInArrow(lambda t: shared_anchors(t), "block long, h binary")
-    shared = shared.groupBy("block").agg(F.collect_list("h").alias("shared"))
-    sent_windows = blocks.join(shared, "block").mapInArrow(send_windows(buckets), "bucket long, block long, h binary, ids binary, place binary")
-    late = sent_windows.groupBy("bucket").applyInArrow(lambda t: later_windows(t), "block long, h binary")
-    late = late.groupBy("block").agg(F.collect_list("h").alias("late"))
-    return blocks.join(late, "block", "left").mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept string")
+    sent_anchors = blocks.mapInArrow(trimmed(send_anchors(buckets), docs.sparkSession), "bucket long, block long, h binary, many binary")
+    answer = "block long, bucket long, h binary"
+    shared = sent_anchors.groupBy("bucket").applyInArrow(lambda t: shared_anchors(t), answer)
+    shared = shared.groupBy("block").agg(F.collect_list(F.struct("bucket", "h")).alias("shared"))
+    sent_windows = blocks.join(shared, "block").mapInArrow(trimmed(send_windows(buckets), docs.sparkSession), "bucket long, block long, h binary, ids binary, place binary")
+    late = sent_windows.groupBy("bucket").applyInArrow(lambda t: later_windows(t), answer)
+    late = late.groupBy("block").agg(F.collect_list(F.struct("bucket", "h")).alias("late"))
+    return blocks.join(late, "block", "left").mapInArrow(trimmed(finish, docs.sparkSession), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import xxhash
 
 #: Odd, so that it has an inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 2**64)
+OTHER = 0xD6E8FEB86659FD93
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -39,14 +39,14 @@ def hashes(words: pa.Array) -> np.ndarray:
     return known[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.uint64)
 
 
-def runs(h: np.ndarray, size: int) -> np.ndarray:
-    """A 64-bit hash of each `size` consecutive words, whatever text they are of."""
+def runs(h: np.ndarray, size: int, base: int = BASE) -> np.ndarray:
+    """A 64-bit hash of each `size` consecutive words, whatever text they are of; another odd base gives another hash."""
     n = len(h)
     if n < size:
         return np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
-        power = np.cumprod(np.full(n, BASE, np.uint64))
-        back = np.cumprod(np.full(n, INVERSE, np.uint64))
+        power = np.cumprod(np.full(n, base, np.uint64))
+        back = np.cumprod(np.full(n, pow(base, -1, 2**64), np.uint64))
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power)])
         return mix((total[size:] - total[:-size]) * back[: n - size + 1])
 

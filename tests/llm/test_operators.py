@@ -129,6 +129,18 @@ def test_substring(docs, rows):
     assert substring.substring_dedup(empty(docs)).count() == 0
 
 
+def test_windows_of_one_hash_are_told_apart(docs, rows, monkeypatch):
+    """With a first hash of a few bits most windows collide; the second one still tells their words apart."""
+    runs = substring.W.runs
+    monkeypatch.setattr(substring.W, "runs", lambda h, size, base=substring.W.BASE: runs(h, size, base) & np.uint64(15) if size == substring.WINDOW and base == substring.W.BASE else runs(h, size, base))
+    texts = [(i, t) for i, t in rows if i is not None and len(t or "") < 5000]
+    blocks = [x for b in substring.to_blocks(1 << 20)([pa.RecordBatch.from_pydict({"id": pa.array([i for i, _ in texts]), "text": [t for _, t in texts]})]) for x in b.to_pylist()]
+    got = [r for b in substring.finish([pa.RecordBatch.from_pylist([x | {"late": None} for x in blocks])]) for r in b.to_pylist()]
+    monkeypatch.undo()
+    want = [r for b in substring.finish([pa.RecordBatch.from_pylist([x | {"late": None} for x in blocks])]) for r in b.to_pylist()]
+    assert got == want and any(r["n_removed"] for r in want)
+
+
 def test_cover():
     for a in range(substring.PERIOD):
         for b in range(substring.PERIOD):
