@@ -171,7 +171,7 @@ def _binned(x, mean, scale, w) -> np.ndarray:
     return np.bincount(np.minimum((sigmoid(centred(x, mean, scale) @ w) * BINS).astype(np.int64), BINS - 1), minlength=BINS)
 
 
-def fit(feats: DataFrame, labels: DataFrame, max_rows: int = 4000, seed: int = 3):
+def fit(feats: DataFrame, labels: DataFrame, max_rows: int = 2000, seed: int = 3):
     """A model from all rows (id, x) of feats that aren't held out, as unlabelled ones, and trusted positives.
 
     Trusted positives are documents that all their labels call 1; the model is fitted on at most max_rows of them, those of
@@ -205,11 +205,11 @@ def fit(feats: DataFrame, labels: DataFrame, max_rows: int = 4000, seed: int = 3
         binned = partial(_binned, mean=mean, scale=scale, w=w)
         return estimated_prior(_sums(trusted.where("half = 1"), binned, BINS), _sums(unlabelled, binned, BINS))
 
-    prior = prior_by(mixed(np.zeros(SIZE + 1), p[first], None, 100, 0.02))
+    prior = prior_by(mixed(np.zeros(SIZE + 1), p[first], None, 60, 0.05))
     w = np.append(np.zeros(SIZE), np.log(prior / (1 - prior)))
-    w = mixed(w, p[first], prior, 150, 0.03)
+    w = mixed(w, p[first], prior, 80, 0.05)
     prior = prior_by(w)
-    for steps, rate in ((150, 0.05), (80, 0.02)):
+    for steps, rate in ((100, 0.05), (50, 0.02)):
         w = mixed(w, p, prior, steps, rate)
     return mean, scale, w, prior
 
@@ -230,7 +230,7 @@ def scorer(model, of_text: bool):
     return F.pandas_udf(score, T.DoubleType())
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 2000) -> DataFrame:
     """docs with __tr_score. Texts alone are scored, whole; null counts as empty and is scored like any text.
 
     Rows that repeat are scored alike. Empty docs stay empty; with empty labels every score is 0.5. Other columns of
