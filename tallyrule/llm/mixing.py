@@ -106,7 +106,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     mixed = stored(mixed, "mix-taken")
     keys = dict(zip((ID, SOURCE, SIZE), (F.col(id_col), F.col(source_col), size), strict=True))
     same = F.col(ID).eqNullSafe(F.col(ID + "_")) & F.col(SOURCE).eqNullSafe(F.col(SOURCE + "_")) & (F.col(SIZE) == F.col(SIZE + "_"))
-    return docs.withColumns(keys).join(mixed, same).select(*docs.columns, SIZE, OWN + "source_size", OWN + "target", TAKEN, COPIES)
+    # Merged by key at any size, so that a small table's plan is a large one's.
+    return docs.withColumns(keys).join(mixed.hint("merge"), same).select(*docs.columns, SIZE, OWN + "source_size", OWN + "target", TAKEN, COPIES)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
