@@ -8,12 +8,6 @@ from pyspark.sql import functions as F
 from .common import BLANKS, OWN, ascii_lower, read_table, small, stored
 
 ID, ROW, POS, H1, H2, KEEP, DROP, LINES, TEXT, CUT = (OWN + x for x in ("id", "row", "pos", "h1", "h2", "keep", "drop", "lines", "text", "cut"))
-#: Rows without an id are one document, before all others.
-NO_ID = -(2**63)
-
-
-def _id(id_col: str) -> Column:
-    return F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
 
 
 def _lines(text_col: str) -> Column:
@@ -21,10 +15,13 @@ def _lines(text_col: str) -> Column:
 
 
 def shared_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int, min_chars: int) -> tuple[DataFrame, DataFrame]:
-    """All long lines as (id, position, 96-bit hash), and those in at least min_docs documents with the id that keeps them."""
-    lines = docs.select(_id(id_col).alias(ID), F.xxhash64(text_col).alias(ROW), F.posexplode(_lines(text_col)).alias(POS, "line")).withColumn("line", ascii_lower(F.btrim("line", F.lit(BLANKS))))
+    """All long lines as (id, row, position, 96-bit hash), and those in at least min_docs documents with the id that keeps them."""
+    lines = docs.select(F.col(id_col).alias(ID), F.xxhash64(text_col).alias(ROW), F.posexplode(_lines(text_col)).alias(POS, "line")).withColumn("line", ascii_lower(F.btrim("line", F.lit(BLANKS))))
     lines = lines.where(F.char_length("line") >= min_chars).select(ID, ROW, POS, F.xxhash64("line").alias(H1), F.hash("line").alias(H2))
-    found = lines.groupBy(H1, H2).agg(F.count_distinct(ID).alias("n"), F.max(ID).alias(KEEP)).where(F.col("n") >= min_docs).drop("n")
+    lines = stored(lines, "lines")  # texts are cut and hashed once
+    # Rows without an id are one document more.
+    documents = F.count_distinct(ID) + F.max(F.col(ID).isNull().cast("long"))
+    found = lines.groupBy(H1, H2).agg(documents.alias("n"), F.max(ID).alias(KEEP)).where(F.col("n") >= min_docs).drop("n")
     return lines, stored(found, "lines-shared")
 
 
@@ -39,13 +36,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Only hashes are shuffled to count; the positions to drop go back to the documents, whose line arrays are cut in
     place and joined again in order. A line in a third of all documents is counted by partial sums."""
     lines, found = shared_lines(docs, id_col, text_col, min_docs, min_chars)
-    gone = lines.join(small(found), [H1, H2]).where(F.col(ID) != F.col(KEEP)).groupBy(ID, ROW).agg(F.collect_set(POS).alias(DROP))
-    out = docs.withColumns({ID: _id(id_col), ROW: F.xxhash64(text_col)}).join(gone, [ID, ROW], "left").withColumn(CUT, _lines(text_col))
+    gone = lines.join(small(found), [H1, H2]).where(~F.col(ID).eqNullSafe(F.col(KEEP))).groupBy(ID, ROW).agg(F.collect_set(POS).alias(DROP))
+    gone = gone.select(F.col(ID).alias(ID + "_"), F.col(ROW).alias(ROW + "_"), DROP)
+    same = F.col(id_col).eqNullSafe(F.col(ID + "_")) & (F.xxhash64(text_col) == F.col(ROW + "_"))
+    out = docs.join(gone, same, "left").drop(ID + "_", ROW + "_").withColumn(CUT, _lines(text_col))
     at = F.array_except(F.sequence(F.lit(0), F.size(CUT) - 1), F.col(DROP))
     kept = F.when(F.col(DROP).isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(F.transform(at, lambda i: F.get(F.col(CUT), i)), "\n"))
     dropped = F.when(F.col(DROP).isNull(), F.lit(0)).otherwise(F.size(CUT) - F.size(at))
     out = out.withColumns({TEXT: kept, DROP: dropped.cast("long"), LINES: F.size(CUT).cast("long")})
-    return out.withColumn(text_col, F.col(TEXT)).drop(TEXT, CUT, ID, ROW)
+    return out.withColumn(text_col, F.col(TEXT)).drop(TEXT, CUT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +53,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without the lines that many share; one that loses all its lines stays, empty."""
     return line_dedup(docs).select(docs.columns)
 
 

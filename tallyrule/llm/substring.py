@@ -227,7 +227,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A word goes if a window of 20 consecutive words of its document holds it whose words also start earlier: in a
     document with a smaller id, or before it in the same one. Windows are those of the input. Null texts have no words.
-    Rows without an id come before all ids, as one document; of windows that start at the same place of rows with the
+    Rows without an id come before all ids, as one document (so would the id -2**63, which is their mark); of windows that start at the same place of rows with the
     same id, none is earlier, so repeated rows keep what one row keeps. Texts below 20 words stay whole, empty tables
     stay empty, other columns are not looked at.
 

@@ -565,6 +565,46 @@ def test_urls(spark):
     assert urlrank.judge_urls(table(spark, rows, PAGES).limit(0)).count() == 0
 
 
+def test_verdicts_of_a_link_graph(spark):
+    """Hosts with many links: ranks as the solution of the linear system, and the verdicts that follow from them."""
+    r = random.Random(11)
+    hosts = [f"h{i}.{r.choice(['com', 'net', 'org', 'site'])}" for i in range(40)]
+    rows = []
+    for page in range(300):
+        host, path = r.choice(hosts), r.choice(["/fr/a", "/en/b", "/x", "", "/de/c"])
+        to = r.sample([h for h in hosts if h != host], r.randint(0, 3))
+        rows.append((page, f"https://{host}{path}", "".join(f'<a href="{r.choice(["https:", ""])}//{h}/y">' for h in to) + '<a href="/local">', None, None))
+    rule_of = lambda host, path: "block" if host.endswith(".net") and path.startswith("/") else "allow" if host.endswith(".org") and path.startswith("/fr/") else None
+    pages_of, links = defaultdict(list), Counter()
+    for _, url, html, *_ in rows:
+        host, path = re.match(r"https://([^/]*)(.*)", url).groups()
+        pages_of[host].append(rule_of(host, path))
+        for to in re.findall(r'href="(?:https:)?//([^/]+)/', html):
+            links[host, to] += 1
+    names = sorted({*pages_of, *(b for _, b in links)})
+    n = {h: k for k, h in enumerate(names)}
+
+    def rank(seed, pairs):
+        a, base = np.zeros((len(names), len(names))), np.array([0.15 * seed(h) for h in names])
+        total = Counter()
+        for (src, _), c in pairs.items():
+            total[src] += c
+        for (src, dst), c in pairs.items():
+            a[n[dst], n[src]] += c / total[src]
+        return np.linalg.solve(np.eye(len(names)) - 0.85 * a, base) / 0.15
+
+    share = lambda what: lambda h: sum(x == what for x in pages_of[h]) / max(1, len(pages_of[h]))
+    trust, distrust = rank(share("allow"), links), rank(share("block"), {(b, a): c for (a, b), c in links.items()})
+    got = urlrank.judge_urls(table(spark, rows, PAGES), tolerance=1e-9).collect()
+    blocked = 0
+    for x in got:
+        assert (x.trust, x.distrust) == pytest.approx((trust[n[x.host]], distrust[n[x.host]]), abs=1e-6)
+        want = rule_of(x.host, x.path) or ("block" if distrust[n[x.host]] >= 0.5 and distrust[n[x.host]] > trust[n[x.host]] else "allow")
+        assert x.verdict == want
+        blocked += x.rule is None and want == "block"
+    assert len(got) == 300 and blocked > 10 and any(x.rule is None and x.verdict == "allow" for x in got)
+
+
 def test_rank_of_a_cycle_meets_the_tolerance(spark):
     rows = [(i, url, f'<a href="{to}">', "", "") for i, (url, to) in enumerate([("https://x.org/fr/", "https://good.site/"), ("https://good.site/", "https://x.org/")])]
     got = {r.host: r.trust for r in urlrank.judge_urls(table(spark, rows, PAGES)).collect()}
