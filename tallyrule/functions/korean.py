@@ -15,20 +15,20 @@ from .sentences import split_sentences
 from .text import S, strip
 
 # Endings and words of polite and of plain speech.
-FORMAL = [
-    "습니다$", "ㅂ니다$", "입니다$", "합니다$", "됩니다$", "있습니다$", "없습니다$", "갑니다$", "옵니다$", "같습니다$", "겠습니다$", "드립니다$", "받습니다$", "하겠습니다$", "이겠습니다$", "아니습니다$",
-    r"습니까\?$", r"ㅂ니까\?$", r"입니까\?$", r"합니까\?$", r"있습니까\?$", r"없습니까\?$", r"갑니까\?$", r"옵니까\?$", r"같습니까\?$", r"겠습니까\?$", r"드릴까요\?$", r"드립니까\?$", r"하시겠습니까\?$", r"이십니까\?$", r"계십니까\?$",
-    "하세요$", "하십시오$", "해주세요$", "해주십시오$", "가세요$", "가십시오$", "오세요$", "오십시오$", "드세요$", "드십시오$", "받으세요$", "받으십시오$", "보세요$", "보십시오$", "말씀해주세요$", "말씀하세요$", "주무세요$", "주무십시오$",
-    "합시다$", "갑시다$", "가겠습니다$", "하겠습니다$", "드리겠습니다$", "해보겠습니다$",
-    "군요!$", "네요!$", "습니다!$", "ㅂ니다!$",
-]
-INFORMAL = [
-    "한다$", "한다.$", "다$", "다.$", "야$", "이야$", "어$", "아$", "지$", "네$", "거야$", "이거든$", "이지$", "거든$", "거지$", "잖아$", "해$", "가$", "와$", "와.$", "간다$", "온다$", "있어$", "없어$",
-    r"[니냐]\?$", r"어\?$", r"아\?$", r"지\?$", r"야\?$", r"거야\?$", r"거니\?$", r"나\?$", r"까\?$", r"을까\?$", r"갈까\?$", r"할까\?$", r"뭐야\?$", r"뭐\?$",
-    "해$", "가$", "와$", "봐$", "줘$", "도$", "말아$", "하지마$", "가지마$", "오지마$", "먹어$", "자$",
-    "하자$", "가자$", "자자$", "해보자$",
-]
-HONORIFIC = "께서 이십니다 하십니다 하시는 하신 하실 계십니다 계시는 계신 계실 주십시오 주세요 드립니다 드리는 드린 드릴 말씀 여쭤 여쭙 모십니다 모시는 모신 모실 진지 댁 따님 아드님 영감 할머님 할아버님".split()
+FORMAL = {
+    "declarative": ["습니다$", "ㅂ니다$", "입니다$", "합니다$", "됩니다$", "있습니다$", "없습니다$", "갑니다$", "옵니다$", "같습니다$", "겠습니다$", "드립니다$", "받습니다$", "하겠습니다$", "이겠습니다$", "아니습니다$"],
+    "interrogative": [r"습니까\?$", r"ㅂ니까\?$", r"입니까\?$", r"합니까\?$", r"있습니까\?$", r"없습니까\?$", r"갑니까\?$", r"옵니까\?$", r"같습니까\?$", r"겠습니까\?$", r"드릴까요\?$", r"드립니까\?$", r"하시겠습니까\?$", r"이십니까\?$", r"계십니까\?$"],
+    "imperative": ["하세요$", "하십시오$", "해주세요$", "해주십시오$", "가세요$", "가십시오$", "오세요$", "오십시오$", "드세요$", "드십시오$", "받으세요$", "받으십시오$", "보세요$", "보십시오$", "말씀해주세요$", "말씀하세요$", "주무세요$", "주무십시오$"],
+    "propositive": ["합시다$", "갑시다$", "가겠습니다$", "하겠습니다$", "드리겠습니다$", "해보겠습니다$"],
+    "exclamatory": ["군요!$", "네요!$", "습니다!$", "ㅂ니다!$"],
+}
+INFORMAL = {
+    "declarative": ["한다$", "한다.$", "다$", "다.$", "야$", "이야$", "어$", "아$", "지$", "네$", "거야$", "이거든$", "이지$", "거든$", "거지$", "잖아$", "해$", "가$", "와$", "와.$", "간다$", "온다$", "있어$", "없어$"],
+    "interrogative": [r"[니냐]\?$", r"어\?$", r"아\?$", r"지\?$", r"야\?$", r"거야\?$", r"거니\?$", r"나\?$", r"까\?$", r"을까\?$", r"갈까\?$", r"할까\?$", r"뭐야\?$", r"뭐\?$"],
+    "imperative": ["해$", "가$", "와$", "봐$", "줘$", "도$", "말아$", "하지마$", "가지마$", "오지마$", "먹어$", "자$"],
+    "propositive": ["하자$", "가자$", "자자$", "해보자$"],
+}
+HONORIFIC = ["께서", "이십니다", "하십니다", "하시는", "하신", "하실", "계십니다", "계시는", "계신", "계실", "주십시오", "주세요", "드립니다", "드리는", "드린", "드릴", "말씀", "여쭤", "여쭙", "모십니다", "모시는", "모신", "모실", "진지", "댁", "따님", "아드님", "영감", "할머님", "할아버님"]
 
 # What confirms a request, how confirmations end, and what is no confirmation.
 CONFIRM = [
@@ -40,11 +40,23 @@ CONFIRM = [
     r"(?:문의|질문)[을를]?\s*(?:주셨습니다|하셨네요|드리셨네요)", r"(?:요청|부탁)[을를]?\s*(?:주셨습니다|하셨네요|드리셨네요)", r"(?:에\s*대해|관련해서?)\s*(?:문의|질문|궁금해)", r"[을를가]\s*(?:말씀|언급)[하해]?\s*(?:주셨|셨)", r"(?:라고|하고)\s*(?:하셨|말씀하셨)", r"(?:인지|는지)\s*(?:문의|질문|궁금)", r"(?:습니다|네요|군요|요)\.?$",
 ]
 NO_CONFIRM = [r"^(?:네|예|안녕|감사)", r"^(?:죄송|미안)", r"(?:답변|대답)[을를]?\s*(?:드리|해)", r"(?:설명|안내)[을를]?\s*(?:드리|해)", r"^(?:그렇|맞|틀)"]
-PARTICLES = "은는이가을를에서의와과도로부터까지만"
+PARTICLES = ["은", "는", "이", "가", "을", "를", "에", "서", "의", "와", "과", "도", "로", "부", "터", "까", "지", "만"]
+
+
+def add_patterns(formal: dict[str, list[str]] | None = None, informal: dict[str, list[str]] | None = None, honorific: list[str] | None = None) -> None:
+    """Adds patterns to the sets that the registry's rule reads, by kind of sentence; a kind that is new is made."""
+    for known, more in ((FORMAL, formal), (INFORMAL, informal)):
+        for kind, patterns in (more or {}).items():
+            known.setdefault(kind, []).extend(p for p in patterns if p not in known.get(kind, []))
+    HONORIFIC.extend(w for w in honorific or [] if w not in HONORIFIC)
+
 
+def formal_text(x: Column, formal: list[str] | None = None, informal: list[str] | None = None) -> Column:
+    """Every sentence of two characters or more is polite or neutral, and at least one is polite.
 
-def formal_text(x: Column, formal=tuple(FORMAL), informal=tuple(INFORMAL)) -> Column:
-    """Every sentence of two characters or more is polite or neutral, and at least one is polite."""
+    formal, informal: patterns in place of the registered sets, which are read when the column is made."""
+    formal = [p for kind in FORMAL.values() for p in kind] if formal is None else formal
+    informal = [p for kind in INFORMAL.values() for p in kind] if informal is None else informal
     clean = F.regexp_replace(F.regexp_replace(strip(x), f"{S}+", " "), r"[^\p{L}\p{N}_\x20가-힣ㄱ-ㅎㅏ-ㅣ.!?~]", "")
     sentences = F.filter(split_sentences(clean, korean=True), lambda s: F.length(s) >= 2)
     polite = "(?d)" + "|".join([*formal, *HONORIFIC])
@@ -58,7 +70,7 @@ def normalized(text: str) -> str:
 
 
 def keywords(text: str) -> set[str]:
-    stems = (re.sub(f"[{PARTICLES}]$", "", w) for w in re.findall(r"\w+", text))
+    stems = (re.sub(f"[{''.join(PARTICLES)}]$", "", w) for w in re.findall(r"\w+", text))
     return {w for w in stems if len(w) >= 2 and not w.isdigit()}
 
 

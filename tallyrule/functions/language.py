@@ -11,6 +11,10 @@ from pyspark.sql import types as T
 # The codes that instructions may name; zh is Korean-only.
 CODES = "en es pt ar hi fr ru de ja it bn uk th ur ta te bg ko pl he fa vi ne sw kn mr gu pa ml fi".split()
 CODES_KO = [*CODES, "zh"]
+NAMES = {
+    "en": "English", "es": "Spanish", "pt": "Portuguese", "ar": "Arabic", "hi": "Hindi", "fr": "French", "ru": "Russian", "de": "German", "ja": "Japanese", "it": "Italian", "bn": "Bengali", "uk": "Ukrainian", "th": "Thai", "ur": "Urdu", "ta": "Tamil", "te": "Telugu",
+    "bg": "Bulgarian", "ko": "Korean", "pl": "Polish", "he": "Hebrew", "fa": "Persian", "vi": "Vietnamese", "ne": "Nepali", "sw": "Swahili", "kn": "Kannada", "mr": "Marathi", "gu": "Gujarati", "pa": "Punjabi", "ml": "Malayalam", "fi": "Finnish", "zh": "Chinese",
+}
 
 SCRIPTS = [("ko", "[가-힣ㄱ-ㅣ]"), ("ja", "[぀-ヿ]"), ("zh", "[一-鿿]"), ("th", "[฀-๿]"), ("he", "[֐-׿]"), ("ar", "[؀-ۿ]"), ("hi", "[ऀ-ॿ]"), ("bn", "[ঀ-৿]"), ("pa", "[਀-੿]"), ("gu", "[઀-૿]"), ("ta", "[஀-௿]"), ("te", "[ఀ-౿]"), ("kn", "[ಀ-೿]"), ("ml", "[ഀ-ൿ]"), ("ru", "[Ѐ-ӿ]"), ("latin", "[A-Za-zÀ-ɏẠ-ỹ]")]
 SCRIPTS = [(code, re.compile(pattern)) for code, pattern in SCRIPTS]

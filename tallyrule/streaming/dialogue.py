@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -29,10 +30,11 @@ def until_error(turns: DataFrame, key: str, order: str, error: str) -> DataFrame
     return turns.withColumn("__before", before).where("__before = 0").drop("__before")
 
 
-def generate(prompts: DataFrame, answer: Callable[[list[tuple[str, str]]], str], key: str = "conv_id", order: str = "turn", system: str | None = None, retries: int = 5) -> DataFrame:
+def generate(prompts: DataFrame, answer: Callable[[list[tuple[str, str]]], str], key: str = "conv_id", order: str = "turn", system: str | None = None, retries: int = 5, delay: float = 0.0) -> DataFrame:
     """key, order, prompt, response, error: the answers of a generator, each turn seeing the earlier ones.
 
-    A conversation's turns run one after another in one task, conversations side by side."""
+    A conversation's turns run one after another in one task, conversations side by side. An answer that fails is asked for
+    again, retries times in all and delay seconds apart; then its error stands in place of the answer."""
     kinds = {f.name: f.dataType.simpleString() for f in prompts.schema}
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -41,7 +43,9 @@ def generate(prompts: DataFrame, answer: Callable[[list[tuple[str, str]]], str],
         for at, prompt in rows.sort_values(order)[[order, "prompt"]].itertuples(index=False):
             said.append(("user", prompt))
             text, error = None, None if prompt else "empty prompt"
-            for _ in range(retries if prompt else 0):
+            for attempt in range(retries if prompt else 0):
+                if attempt and delay:
+                    time.sleep(delay)
                 try:
                     text, error = answer(list(said)), None
                     break
@@ -54,6 +58,12 @@ def generate(prompts: DataFrame, answer: Callable[[list[tuple[str, str]]], str],
     return prompts.select(key, order, "prompt").groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, prompt string, response string, error string")
 
 
+def replay(prompts: DataFrame, responses: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
+    """key, order, prompt, response, error from answers that are there already (key, order, response): no generator is asked."""
+    out = prompts.select(key, order, "prompt").join(responses.select(key, order, "response"), [key, order], "left")
+    return out.withColumn("error", F.when(F.col("response").isNull(), F.lit("no response")))
+
+
 def fold_stream(messages: DataFrame) -> DataFrame:
     """conv_id, turn, n_messages, n_chars of a stream of messages: the running length of each conversation.
 

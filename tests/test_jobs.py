@@ -9,11 +9,13 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallyrule import jobs
+from tallyrule.functions import korean
 from tallyrule.functions import text as X
 from tallyrule.operators import ingest, instructions
 from tallyrule.operators.instructions import registry_table
 from tallyrule.plans import report
 from tallyrule.sources import files
+from tallyrule.streaming import dialogue
 
 
 def lines(path, rows):
@@ -150,6 +152,38 @@ def test_registered_instruction(spark):
         instructions.register_instruction("fr:x:y", None)
 
 
+def test_added_patterns_reach_the_registry(spark):
+    text = "우리 함께 가옵소서"
+    rows = spark.createDataFrame([(1, ["ko:language:formal_text"], ["{}"], text)], "k int, instruction_id_list array<string>, kwargs array<string>, response string")
+    follows = lambda: jobs.evaluate_turns(rows, ["k"]).first().strict_all
+    assert not follows()
+    korean.add_patterns(formal={"imperative": ["옵소서$"]})
+    try:
+        assert follows()
+    finally:
+        korean.FORMAL["imperative"].remove("옵소서$")
+
+
+def test_generator_is_asked_again_and_answers_replayed(spark, tmp_path):
+    """A marker file counts the calls, which run in workers."""
+    calls = str(tmp_path / "calls")
+
+    def answer(said):
+        with open(calls, "a") as f:
+            f.write("x")
+        if "always" in said[-1][1] or len(open(calls).read()) < 3:
+            raise ValueError("busy")
+        return "ok"
+
+    prompts = spark.createDataFrame([(1, 1, "a")], "conv_id int, turn int, prompt string")
+    got = dialogue.generate(prompts, answer, retries=3, delay=0.01).first()
+    assert (got.response, got.error, open(calls).read()) == ("ok", None, "xxx")
+    failed = dialogue.generate(prompts.withColumn("prompt", F.lit("always")), answer, retries=2).first()
+    assert (failed.response, failed.error, open(calls).read()) == (None, "busy", "xxxxx")
+    answers = spark.createDataFrame([(1, 2, "b")], "conv_id int, turn int, response string")
+    assert dialogue.replay(prompts, answers).first().error == "no response"
+
+
 WILD = st.text(st.one_of(st.characters(exclude_categories=("Cs", "Cn")), st.sampled_from("\n\n  **--[]<>,.1a　\x85\x1c")), max_size=40)
 
 
