@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import D, S, strip
+from .text import D, S, blank, count, strip
 
 # Abbreviations that don't end a sentence.
 TITLES = "(Mr|St|Mrs|Ms|Dr)[.]"
@@ -37,6 +37,20 @@ def split_sentences(x: Column, korean: bool = False) -> Column:
     return F.when(F.element_at(out, -1) == "", F.slice(out, F.lit(1), F.size(out) - 1)).otherwise(out)
 
 
+#: Abbreviations after which a period ends no sentence, and single letters; in any case.
+ABBREVIATIONS = "mr mrs ms dr prof st jr sr rev gen col capt lt sgt gov sen rep hon vs etc e.g i.e cf al inc ltd co corp bros dept est fig no vol pp ed eds u.s u.k u.n a.m p.m ph.d jan feb mar apr jun jul aug sep sept oct nov dec".split()
+CLOSING = "[\"'\u201d\u2019\u00bb)\\]}]*"
+
+
+def count_sentences(x: Column) -> Column:
+    """Number of sentences of an English text: ends are ?, ! and periods before white space.
+
+    A period after an abbreviation or a single letter is no end; dots in a row are one only before a capital."""
+    known = "|".join([*(a.replace(".", r"\.") for a in ABBREVIATIONS), r"\p{L}"])
+    end = rf"(?:[?!]{CLOSING}|\.{{2,}}{CLOSING}(?={S}+\p{{Lu}})|(?<!\.)(?<!(?:^|[^\p{{L}}\p{{N}}.])(?i:{known}))\.{CLOSING})(?={S}+[^\x00-\x20])"
+    return F.when(blank(x), F.lit(0)).otherwise(count(strip(x), end) + 1).cast("long")
+
+
 def first_sentence_key(x: Column) -> Column:
     """A sentence in lower case without quotes before it and marks behind it, each class in its turn."""
     out = F.lower(F.regexp_replace(F.regexp_replace(strip(x), r"\A'+", ""), r'\A"+', ""))
@@ -45,4 +59,4 @@ def first_sentence_key(x: Column) -> Column:
     return out
 
 
-__all__ = ["D", "first_sentence_key", "split_sentences"]
+__all__ = ["D", "count_sentences", "first_sentence_key", "split_sentences"]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import korean, text as X
 from ..functions.language import CODES, CODES_KO
-from ..functions.sentences import first_sentence_key, split_sentences
+from ..functions.sentences import count_sentences, first_sentence_key, split_sentences
 
 TEXT_ARGS = "language relation section_spliter postscript_marker keyword first_word first_sentence prompt_to_repeat prompt_to_rephrase end_phrase letter let_relation capital_relation starter original_message original_paragraph".split()
 NUMBER_ARGS = "num_sentences num_placeholders num_bullets num_digit_list num_highlights num_sections num_paragraphs nth_paragraph frequency num_words num_syllables let_frequency capital_frequency low high".split()
@@ -222,7 +222,7 @@ def rules(lang: str) -> dict[str, Instruction]:
         "keywords:forbidden_words": Instruction(("forbidden_words",), lambda x, _, c: ~F.exists(_words_or_drawn(c, "forbidden_words"), lambda w: F.regexp(x, F.concat(F.lit("(?iudU)\\b"), pattern(w), F.lit("\\b")))), _empty("forbidden_words"), _broken("forbidden_words")),
         "keywords:letter_frequency": Instruction(("letter", "let_frequency", "let_relation"), _letter_frequency, _rel("let_relation")),
         "language:response_language": Instruction(("language",), lambda x, l, c: F.coalesce(l == F.coalesce(c["language"], c.choice(CODES)), F.lit(True)), fatal=_code_unknown, needs="language"),
-        "length_constraints:number_sentences": Instruction(("num_sentences", "relation"), _counted(lambda x: F.size(split_sentences(x, korean=ko)).cast("long"), "num_sentences", 1, 20), _rel()),
+        "length_constraints:number_sentences": Instruction(("num_sentences", "relation"), _counted(lambda x: F.size(split_sentences(x, korean=True)).cast("long") if ko else count_sentences(x), "num_sentences", 1, 20), _rel()),
         "length_constraints:number_paragraphs": Instruction(("num_paragraphs",), lambda x, _, c: X.star_paragraphs(x) == c.number("num_paragraphs", 1, 5)),
         "length_constraints:number_words": Instruction(("num_words", "relation"), _counted(n_words, "num_words", 100, 500), _rel()),
         "length_constraints:nth_paragraph_first_word": Instruction(("num_paragraphs", "nth_paragraph", "first_word"), _first_word, _missing("first_word")),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.korean import formal_text
 from ..functions.language import detect
-from ..functions.sentences import split_sentences
+from ..functions.sentences import ABBREVIATIONS, count_sentences, split_sentences
 from ..operators import ingest, instructions as I
 from ..operators.evaluate import evaluate_specs, evaluate_turns, explode_specs, exploded
 from ..sources.files import read_spread
@@ -140,7 +140,11 @@ measure("digit_lists", "digits", X.digit_items, n(rf"(?m)^{S}*{D}+\).*$") + " +
 measure("placeholders", "brackets", X.placeholders, n(r"\[.*?\]"))
 measure("highlights", "bold", X.highlights, rf"CAST(len(list_filter(regexp_extract_all(text, '\*[^\n\*]*\*'), lambda h: regexp_matches(regexp_replace(h, '\A\*+|\*+\z', '', 'g'), '{NS}'))) + len(list_filter(regexp_extract_all(text, '\*\*[^\n\*]*\*\*'), lambda h: regexp_matches(regexp_replace(h, '\A\*\*|\*\*\z', '', 'g'), '{NS}'))) AS BIGINT)")
 measure("sections", "sections", lambda x: X.sections(x, F.lit("SECTION")), n(rf"{S}?SECTION{S}?{D}+{S}?"))
-measure("capital_words", "upper", X.capital_words, rf"CAST(len(list_filter(regexp_extract_all(text, '{W}+(?:[-'']{W}+)*'), lambda w: regexp_matches(w, '\p{{Lu}}') AND NOT regexp_matches(w, '[\p{{Ll}}\p{{Lt}}]'))) AS BIGINT)")
+#: Tokens in SQL: marks that stand alone become blanks, contractions are cut off, then white space separates.
+MARKS = r"regexp_replace(regexp_replace(text, '[?!;@#$%&()\[\]{}<>\"\x{201c}\x{201d}\x{ab}\x{bb}`]|--|\.{2,}', ' ', 'g'), '[:,](\P{Nd}|$)', ' \1', 'g')"
+TOKENS = rf"regexp_split_to_array(regexp_replace({MARKS}, '(?i)([^''])(n''t|''(?:ll|re|ve|s|m|d))({S}|$)', '\1 \2\3', 'g'), '{S}+')"
+CAPITALS = rf"len(list_filter({TOKENS}, lambda w: regexp_matches(w, '\p{{Lu}}') AND NOT regexp_matches(w, '[\p{{Ll}}\p{{Lt}}]')))"
+measure("capital_words", "upper", X.capital_words, f"CAST({CAPITALS} AS BIGINT)")
 measure("blank_filter", "plain", X.blank, f"NOT regexp_matches(text, '{NS}')")
 measure("number_sentences_rule", "prose", lambda x: F.size(split_sentences(x)).cast("long"), sentences_sql("text"))
 measure("number_sentences_rule_ko", "korean", lambda x: F.size(split_sentences(F.regexp_replace(x, r"\.+", "."), korean=True)).cast("long"), sentences_sql(r"regexp_replace(text, '[.]+', '.', 'g')", korean=True))
@@ -193,9 +197,13 @@ measure("rephrase_marked", "bold", lambda x: F.coalesce(I.rephrase_marked(x, oth
 # The rest of what both languages have, for the evaluation of all rules.
 rule("placeholders_at_least", "en:detectable_content:number_placeholders", "brackets", n(r"\[.*?\]") + " >= 2", num_placeholders=2)
 rule("sections_at_least", "en:detectable_format:multiple_sections", "sections", n(rf"{S}?SECTION{S}?{D}+{S}?") + " >= 2", section_spliter="SECTION", num_sections=2)
-rule("capital_words_at_least", "en:change_case:capital_word_frequency", "upper", rf"len(list_filter(regexp_extract_all(text, '{W}+(?:[-'']{W}+)*'), lambda w: regexp_matches(w, '\p{{Lu}}') AND NOT regexp_matches(w, '[\p{{Ll}}\p{{Lt}}]'))) >= 5", capital_frequency=5, capital_relation="at least")
+rule("capital_words_at_least", "en:change_case:capital_word_frequency", "upper", CAPITALS + " >= 5", capital_frequency=5, capital_relation="at least")
 rule("highlights_at_least", "en:detectable_format:number_highlighted_sections", "bold", ORACLES["highlights"].partition("SELECT doc_id, ")[2].partition(" AS value")[0] + " >= 2", num_highlights=2)
-rule("sentences_at_least", "en:length_constraints:number_sentences", "prose", sentences_sql("text") + " >= 12", num_sentences=12, relation="at least")
+rule("sentences_at_least", "ko:length_constraints:number_sentences", "prose", sentences_sql("text", korean=True) + " >= 12", num_sentences=12, relation="at least")
+#: English ends of sentences, in prose without runs of dots: marks before white space but for known abbreviations, blanked first.
+KNOWN = "|".join([*(a.replace(".", r"\.") for a in ABBREVIATIONS), r"\p{L}"])
+ENDS = rf"len(regexp_extract_all(concat(regexp_replace(regexp_replace({strip_sql('text')}, '(?i)(^|[^\p{{L}}\p{{N}}.])({KNOWN})\.', '\1\2', 'g'), '{S}+', ' ', 'g'), ''), '[.?!][\"''\x{{201d}}\x{{2019}}\x{{bb}})\]}}]* '))"
+measure("number_sentences_en", "prose", count_sentences, f"CAST(CASE WHEN regexp_matches(text, '{NS}') THEN {ENDS} + 1 ELSE 0 END AS BIGINT)")
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,7 +45,7 @@ GOLDENS = {
     ],
     "length_constraints:number_sentences": [
         (BOTH, {"num_sentences": 2, "relation": "at least"}, "One is here. Two is there.", True), (BOTH, {"num_sentences": 3, "relation": "at least"}, "One is here. Two is there.", False), (BOTH, {"num_sentences": 2, "relation": "less than"}, "Dr. Smith went home.", True),
-        (BOTH, {"num_sentences": "2", "relation": "at least"}, "a. b.", None), (BOTH, {"num_sentences": 2, "relation": "exactly"}, "a. b.", None), (BOTH, {"num_sentences": 2, "relation": "at least"}, "Is it? It is!", True), (KO, {"num_sentences": 2, "relation": "equal to"}, "하나입니다. 둘입니다.", True),
+        (BOTH, {"num_sentences": "2", "relation": "at least"}, "a. b.", None), (BOTH, {"num_sentences": 2, "relation": "exactly"}, "a. b.", None), (BOTH, {"num_sentences": 2, "relation": "at least"}, "Is it? It is!", True), (EN, {"num_sentences": 3, "relation": "less than"}, 'He said "no." She, e.g. Ann, left at 3.15 p.m. today.no', True), (EN, {"num_sentences": 2, "relation": "less than"}, "Wait... what is it", True), (EN, {"num_sentences": 2, "relation": "at least"}, "Wait... What is it", True), (KO, {"num_sentences": 2, "relation": "equal to"}, "하나입니다. 둘입니다.", True),
     ],
     "length_constraints:number_paragraphs": [
         (BOTH, {"num_paragraphs": 2}, "a***b", True), (BOTH, {"num_paragraphs": 2}, "***a *** b***", True), (BOTH, {"num_paragraphs": 2}, "a******b", False), (BOTH, {"num_paragraphs": 2}, "a*** ***b", False), (BOTH, {"num_paragraphs": 1}, "a", True), (BOTH, {"num_paragraphs": 3}, "a***b", False), (BOTH, {"num_paragraphs": "2"}, "a***b", None),
@@ -117,7 +117,7 @@ GOLDENS = {
     "startend:single_quote": [(KO, {}, "'a'", True), (KO, {}, "'", False), (KO, {}, " 'a b' ", True), (KO, {}, "'a", False), (KO, {}, '"a"', False), (KO, {}, "''", True)],
     "change_case:capital_word_frequency": [
         (BOTH, {"capital_frequency": 2, "capital_relation": "at least"}, "AB cd EF", True), (BOTH, {"capital_frequency": 3, "capital_relation": "at least"}, "AB cd EF", False), (BOTH, {"capital_frequency": 1, "capital_relation": "less than"}, "Ab cd", True),
-        (BOTH, {"capital_frequency": "2", "capital_relation": "at least"}, "AB", None), (BOTH, {"capital_frequency": 2, "capital_relation": "exactly"}, "AB", None), (BOTH, {"capital_frequency": 1, "capital_relation": "at least"}, "A1 b", True),
+        (BOTH, {"capital_frequency": "2", "capital_relation": "at least"}, "AB", None), (BOTH, {"capital_frequency": 2, "capital_relation": "exactly"}, "AB", None), (BOTH, {"capital_frequency": 1, "capital_relation": "at least"}, "A1 b", True), (BOTH, {"capital_frequency": 3, "capital_relation": "at least"}, "DON'T go, U.S.A.", True), (BOTH, {"capital_frequency": 2, "capital_relation": "at least"}, "A/B-C (x)", False),
     ],
     "change_case:english_capital": [
         (BOTH, {}, "THE CAT IS IN THE HAT", True), (BOTH, {}, "THE CAT is IN THE HAT", False), (BOTH, {}, "DER HUND IST NICHT AUF DER STRASSE UND DIE KATZE AUCH", False), (BOTH, {}, "123", False), (BOTH, {}, "THE CAT, IT IS 3!", True), (BOTH, {}, "the cat", False),
