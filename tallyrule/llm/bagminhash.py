@@ -204,10 +204,11 @@ def cross_pairs(groups: DataFrame, label: DataFrame, similarity: float, limit: i
     heads = known.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node"))["node"].alias("first")).where("lo != hi")
     share = F.pmod(F.xxhash64("key", "node"), F.ceil(F.col("size") / pivots)) == 0
     turn = F.when(F.col("size") > limit, share | (F.col("node") == F.col("first"))).otherwise(F.lit(True))
-    mixed = stored(known.join(heads, "key").select("key", "node", "n", "place", "comp", turn.alias("pivot")), "mixed")
+    # Few heads and few pivots are broadcast, so that the members of a large group stay where they are.
+    mixed = stored(known.join(small(stored(heads, "heads")), "key").select("key", "node", "n", "place", "comp", turn.alias("pivot")), "mixed")
     left, right = (mixed.select("key", F.col("node").alias(x), F.col("n").alias("n" + x), F.col("place").alias("i" + x), F.col("comp").alias("c" + x), F.col("pivot").alias("p" + x)) for x in "ab")
     # Two pivots meet once.
-    met = left.where("pa").join(right, "key").where("a != b AND ca != cb AND (a < b OR NOT pb)")
+    met = right.join(small(left.where("pa")), "key").where("a != b AND ca != cb AND (a < b OR NOT pb)")
     return _pairs(met, similarity), mixed.where("NOT pivot").select("key", "node", "n", "place")
 
 
@@ -328,7 +329,9 @@ def near_members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     label = merged(label, verified(across))
     crowd = stored(_crowd(rest, label), "crowd")
     if crowd.limit(1).count():
-        rest, pivots = rare_groups(stored(bags.join(small(crowd), "node"), "crowd-multisets"), similarity), 32
+        # Cells for the counted texts, some hundred elements each, from 2**20 to 2**22.
+        cells = 1 << min(22, max(20, (crowd.where("minor").count() * 256).bit_length()))
+        rest, pivots = rare_groups(stored(bags.join(small(crowd), "node"), "crowd-multisets"), similarity, cells), 32
         local = label.join(small(crowd.select("node")), "node", "left_semi")
         found = []
         while rest.limit(1).count():
