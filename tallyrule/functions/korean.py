@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .sentences import split_sentences
-from .text import S, strip
+from .text import S, W, strip
 
 # Endings and words of polite and of plain speech.
 FORMAL = {
@@ -74,6 +74,12 @@ def keywords(text: str) -> set[str]:
     return {w for w in stems if len(w) >= 2 and not w.isdigit()}
 
 
+def keyword_set(x: Column) -> Column:
+    """keywords as a column: distinct words of two characters or more without a particle at their end, numbers left out."""
+    stems = F.transform(F.regexp_extract_all(x, F.lit(f"({W}+)"), 1), lambda w: F.regexp_replace(w, f"[{''.join(PARTICLES)}]$", ""))
+    return F.array_distinct(F.filter(stems, lambda w: (F.length(w) >= 2) & ~w.rlike(r"^\p{Nd}+$")))
+
+
 def similarity(a: str, b: str) -> float:
     """1 if the shorter is part of the longer; else 0.7 of the shared keywords and 0.3 of the matching characters."""
     short, long = sorted((a, b), key=len)

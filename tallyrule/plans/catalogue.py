@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.korean import formal_text
+from ..functions.korean import PARTICLES, formal_text, keyword_set
 from ..functions.language import detect
 from ..functions.sentences import ABBREVIATIONS, count_sentences, split_sentences
 from ..operators import ingest, instructions as I
@@ -216,6 +216,12 @@ BAGS = f"SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_e
 QUERIES["rephrase_overlap"] = lambda s, d: I.shared_words(_pairs(s, d), "doc_id", "text", "original")
 ORACLES["rephrase_overlap"] = f"WITH bags AS ({BAGS}) SELECT doc_id, CAST(coalesce(value, 0) AS BIGINT) AS value FROM documents LEFT JOIN (SELECT a.doc_id, sum(least(a.n, b.n)) AS value FROM bags a JOIN bags b ON b.doc_id = a.doc_id + 1 AND b.word = a.word GROUP BY a.doc_id) USING (doc_id)"
 
+#: Distinct words without particles at their ends, of documents whose letters are Korean.
+STEMS = f"list_distinct(list_filter(list_transform(regexp_extract_all(text, '{W}+'), lambda w: regexp_replace(w, '[{''.join(PARTICLES)}]$', '')), lambda w: length(w) >= 2 AND NOT regexp_matches(w, '^\\p{{Nd}}+$')))"
+measure("keywords_ko", "korean", lambda x: F.size(keyword_set(x)).cast("long"), f"CAST(len({STEMS}) AS BIGINT)")
+QUERIES["keyword_overlap"] = lambda s, d: _texts(s, d, "korean").select("doc_id", F.size(F.array_intersect(keyword_set(F.col("text")), keyword_set(F.substring_index("text", "\n", 1)))).cast("long").alias("value"))
+ORACLES["keyword_overlap"] = f"SELECT doc_id, CAST(len(list_intersect({STEMS}, {STEMS.replace('(text,', '(string_split(text, chr(10))[1],', 1)})) AS BIGINT) AS value FROM {_from('korean')}"
+
 # Evaluation of documents against three instructions.
 SPECS = [("en:punctuation:no_comma", {}), ("en:length_constraints:number_words", {"num_words": 300, "relation": "at least"}), ("en:keywords:existence", {"keywords": ["the"]}), ("xx:no:such", {}), ("keywords", {}), ("ko:length_constraints:number_words", {"num_words": "7"})]
 IDS = [i for i, _ in SPECS if i in I.REGISTRY]

@@ -16,6 +16,7 @@ from tallyrule.operators.instructions import registry_table
 from tallyrule.plans import report
 from tallyrule.sources import files
 from tallyrule.streaming import dialogue
+from tallyrule.streaming.sinks import append_scores
 
 
 def lines(path, rows):
@@ -184,6 +185,26 @@ def test_generator_is_asked_again_and_answers_replayed(spark, tmp_path):
     assert dialogue.replay(prompts, answers).first().error == "no response"
 
 
+def test_likeness_of_a_rephrasing(spark):
+    assert korean.normalized(" ＡＢ  c ,d") == "ab c, d"
+    text = "배송을 빨리 12 확인은 a"
+    assert korean.keywords(text) == {"배송", "빨리", "확인"} == set(spark.range(1).select(korean.keyword_set(F.lit(text)).alias("k")).first().k)
+    assert korean.similarity("배송 확인", "오늘 배송 확인 부탁") == 1.0 and korean.similarity("배송", "12") == 0.0
+    assert 0.7 / 2 < korean.similarity("배송을 확인", "배송은 취소") < 0.7
+    assert korean.confirms("배송 상태 확인을 요청하셨네요.", "배송 상태 확인") and not korean.confirms("죄송합니다", "배송 상태 확인") and not korean.confirms("x", None)
+
+
+def test_scores_are_appended_once(spark, tmp_path):
+    spark.createDataFrame([("a", 1, "overall_score", 0.5)], "key string, turn_index int, name string, value double").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("key string, turn_index int, name string, value double").parquet(f"{tmp_path}/in")
+    for _ in range(2):  # the second start finds nothing new
+        q = append_scores(stream, "appended_scores", f"{tmp_path}/state")
+        q.processAllAvailable()
+        q.stop()
+    assert spark.table("appended_scores").count() == 1
+    spark.sql("DROP TABLE appended_scores")
+
+
 WILD = st.text(st.one_of(st.characters(exclude_categories=("Cs", "Cn")), st.sampled_from("\n\n  **--[]<>,.1a　\x85\x1c")), max_size=40)
 
 
