@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.korean import PARTICLES, formal_text, keyword_set
-from ..functions.language import detect
+from ..functions.language import LETTERS, SCRIPTS, WORDS, detect
 from ..functions.sentences import ABBREVIATIONS, count_sentences, split_sentences
 from ..operators import ingest, instructions as I
 from ..operators.evaluate import evaluate_specs, evaluate_turns, explode_specs, exploded
@@ -153,7 +153,25 @@ CUTS = ["text", strip_sql(f"array_to_string({LINES}[2:len({LINES})], chr(10))"),
 VARIANTS = ", ".join([*(f"coalesce({c}, '')" for c in CUTS), *(f"replace(coalesce({c}, ''), '*', '')" for c in CUTS)])
 measure("loose_variants", "mixed", lambda x: F.size(X.loose_variants(x)).cast("long"), f"CAST(len(list_distinct([{VARIANTS}])) AS BIGINT)")
 measure("formal_text_ko", "register", formal_text, "doc_id % 2 = 0")
-measure("language_guess", "plain", lambda x: F.get(detect(F.array(x)), F.lit(0)), None)
+
+
+def _first_best(scores: dict[str, str]) -> str:
+    """The first name whose score is the greatest."""
+    return "CASE greatest(" + ", ".join(scores.values()) + ") " + " ".join(f"WHEN {v} THEN '{k}'" for k, v in scores.items()) + " END"
+
+
+def _guess_sql() -> str:
+    """The most frequent script, and within Latin letters the most frequent words, in SQL."""
+    hits = lambda cls, x="text": f"len(regexp_extract_all({x}, '{cls}'))"
+    scripts = {code: hits(p.pattern) for code, p in SCRIPTS}
+    listed = lambda ws: "[" + ", ".join(f"'{w}'" for w in sorted(ws)) + "]"
+    latin = {code: f"(len(list_filter(w, lambda y: list_contains({listed(ws)}, y))) + 0.5 * {hits(f'[{LETTERS[code]}]', 'low') if code in LETTERS else 0})" for code, ws in WORDS.items()}
+    has = lambda cls: f"regexp_matches(text, '[{cls}]')"
+    inner = f"SELECT text, lower(text) AS low, regexp_extract_all(lower(text), '\\p{{L}}+') AS w, {_first_best(scripts)} AS script, greatest({', '.join(scripts.values())}) AS most, {scripts['ja']} AS kana"
+    return f"(SELECT CASE WHEN most = 0 THEN NULL WHEN script = 'zh' AND kana > 0 THEN 'ja' WHEN script = 'ar' THEN CASE WHEN {has('ٹڈڑےں')} THEN 'ur' WHEN {has('پچژگ')} THEN 'fa' ELSE 'ar' END WHEN script = 'ru' THEN CASE WHEN {has('іїєґ')} THEN 'uk' ELSE 'ru' END WHEN script <> 'latin' THEN script ELSE {_first_best(latin)} END FROM ({inner}))"
+
+
+measure("language_guess", "plain", lambda x: F.get(detect(F.array(x)), F.lit(0)), _guess_sql())
 
 # Instructions.
 ee, mid = "lambda y: NOT regexp_matches(y, '%s')" % NS, rf"regexp_split_to_array(text, '{S}?\*\*\*{S}?')"
