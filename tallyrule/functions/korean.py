@@ -91,7 +91,11 @@ def similarity(a: str, b: str) -> float:
     return 0.7 * len(x & y) / min(len(x), len(y)) + 0.3 * difflib.SequenceMatcher(None, a, b).ratio()
 
 
-def confirms(text: str | None, prompt: str | None, least: float = 0.4) -> bool:
+#: The least likeness of a rephrasing.
+LIKE = 0.4
+
+
+def confirms(text: str | None, prompt: str | None, least: float = LIKE) -> bool:
     """Whether a text's first line confirms the request in prompt."""
     first = (text or "").strip().split("\n")[0].lower()
     if not first or not prompt:
@@ -102,11 +106,34 @@ def confirms(text: str | None, prompt: str | None, least: float = 0.4) -> bool:
     return similarity(first, prompt) >= least
 
 
-def confirms_each(texts: pd.Series, prompts: pd.Series) -> pd.Series:
-    """For each prompt whether each text confirms it; nothing where there is no prompt."""
-    one = lambda t, p: [confirms(x, p) for x in t] if p else [False] * len(t)
-    return pd.Series([None if t is None else [one(t, p) for p in ps] for t, ps in zip(texts, prompts, strict=True)])
+def normalized_column(x: Column) -> Column:
+    """normalized as a column."""
+    composed = F.try_reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.lower(x), F.lit(True))
+    spaced = F.regexp_replace(F.regexp_replace(composed, f"{S}+", " "), f"{S}*([.?!,:;]){S}*", "$1 ")
+    return strip(spaced)
+
+
+def first_line(x: Column) -> Column:
+    return F.lower(F.substring_index(strip(x), "\n", 1))
+
+
+def may_confirm(line: Column) -> Column:
+    """Whether a normalised line reads like the confirmation of some request."""
+    any_of = lambda patterns: "|".join(p.replace(r"\s", S) for p in patterns)
+    return (line != "") & line.rlike("(?d)" + any_of(CONFIRM)) & ~line.rlike("(?d)" + any_of(NO_CONFIRM))
+
+
+def alike_each(lines: pd.Series, prompts: pd.Series) -> pd.Series:
+    """For each prompt whether each line is like it; nothing where either is missing."""
+    one = lambda ls, p: [bool(x and p) and similarity(x, p) >= LIKE for x in ls]
+    return pd.Series([None if ls is None else [one(ls, p) for p in ps] for ls, ps in zip(lines, prompts, strict=True)])
 
 
-def confirming(variants: Column, prompts: Column) -> Column:
-    return F.pandas_udf(confirms_each, T.ArrayType(T.ArrayType(T.BooleanType())))(variants, prompts)
+def confirming(texts: Column, prompts: Column) -> Column:
+    """For each prompt whether each text's first line confirms it. Patterns are native; Python compares the lines that pass them."""
+    lines = F.transform(texts, lambda t: normalized_column(first_line(t)))
+    likely = F.transform(lines, lambda x: F.when(may_confirm(x), x))
+    asked = F.when(F.exists(likely, lambda x: x.isNotNull()), likely)
+    wanted = F.transform(prompts, lambda p: F.when(p != "", normalized_column(p)))
+    alike = F.pandas_udf(alike_each, T.ArrayType(T.ArrayType(T.BooleanType())))(asked, wanted)
+    return F.coalesce(alike, F.transform(prompts, lambda _: F.transform(texts, lambda _: F.lit(False))))

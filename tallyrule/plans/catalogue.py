@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.korean import PARTICLES, formal_text, keyword_set
+from ..functions.korean import CONFIRM, NO_CONFIRM, PARTICLES, first_line, formal_text, keyword_set, may_confirm, normalized_column
 from ..functions.language import LETTERS, SCRIPTS, WORDS, detect
 from ..functions.sentences import ABBREVIATIONS, count_sentences, split_sentences
 from ..operators import ingest, instructions as I
@@ -240,6 +240,13 @@ measure("keywords_ko", "korean", lambda x: F.size(keyword_set(x)).cast("long"),
 QUERIES["keyword_overlap"] = lambda s, d: _texts(s, d, "korean").select("doc_id", F.size(F.array_intersect(keyword_set(F.col("text")), keyword_set(F.substring_index("text", "\n", 1)))).cast("long").alias("value"))
 ORACLES["keyword_overlap"] = f"SELECT doc_id, CAST(len(list_intersect({STEMS}, {STEMS.replace('(text,', '(string_split(text, chr(10))[1],', 1)})) AS BIGINT) AS value FROM {_from('korean')}"
 
+#: Requests and answers by turns, made of documents: which first lines read like a confirmation.
+TEXTS["requests"] = "concat(CASE doc_id % 4 WHEN 0 THEN '배송 상태 확인을  요청하셨네요 .' WHEN 1 THEN '네, 알려 주셨군요.' WHEN 2 THEN 'DOC 에 대해 문의' ELSE substr(text, 1, 30) END, chr(10), text)"
+LINE = rf"regexp_replace(regexp_replace(lower(string_split({strip_sql('text')}, chr(10))[1]), '{S}+', ' ', 'g'), '{S}*([.?!,:;]){S}*', '\1 ', 'g')"
+LIKELY = " OR ".join(f"regexp_matches({strip_sql(LINE)}, '{p.replace(chr(92) + 's', S)}')" for p in CONFIRM)
+UNLIKELY = " OR ".join(f"regexp_matches({strip_sql(LINE)}, '{p.replace(chr(92) + 's', S)}')" for p in NO_CONFIRM)
+measure("confirmation_patterns", "requests", lambda x: may_confirm(normalized_column(first_line(x))), f"({LIKELY}) AND NOT ({UNLIKELY})")
+
 # Evaluation of documents against three instructions.
 SPECS = [("en:punctuation:no_comma", {}), ("en:length_constraints:number_words", {"num_words": 300, "relation": "at least"}), ("en:keywords:existence", {"keywords": ["the"]}), ("xx:no:such", {}), ("keywords", {}), ("ko:length_constraints:number_words", {"num_words": "7"})]
 IDS = [i for i, _ in SPECS if i in I.REGISTRY]

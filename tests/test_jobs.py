@@ -194,6 +194,15 @@ def test_likeness_of_a_rephrasing(spark):
     assert korean.confirms("배송 상태 확인을 요청하셨네요.", "배송 상태 확인") and not korean.confirms("죄송합니다", "배송 상태 확인") and not korean.confirms("x", None)
 
 
+def test_confirmations_as_columns(spark):
+    """The columns decide as the plain function does."""
+    texts = ["배송 상태 확인을 요청하셨네요.\n답", "네, 배송 상태 확인을 요청하셨네요.", "ＡＢ 문의 주셨습니다 .", "오늘 날씨가 좋습니다.", "", " \n", None, "\n 배송 상태에 대해 문의하셨네요 \n", "죄송합니다만 배송 상태 확인", "배송 상태 확인 부탁하셨네요!"]
+    prompts = ["배송 상태 확인", "AB 문의", "", None]
+    df = spark.createDataFrame([(texts, prompts)], "t array<string>, p array<string>")
+    got = df.select(korean.confirming(F.col("t"), F.col("p")).alias("c")).first().c
+    assert got == [[korean.confirms(t, p) for t in texts] for p in prompts] and any(got[0]) and any(got[1])
+
+
 def test_scores_are_appended_once(spark, tmp_path):
     spark.createDataFrame([("a", 1, "overall_score", 0.5)], "key string, turn_index int, name string, value double").write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema("key string, turn_index int, name string, value double").parquet(f"{tmp_path}/in")
