@@ -148,9 +148,15 @@ def shared_anchors(table: pa.Table) -> pa.Table:
 
 def first_here(keys: np.ndarray, ids: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order of (hashes, id, place), and in it the first of each pair of hashes: (order, is_first)."""
-    order = np.lexsort((place, ids, keys["check"], keys["h"]))
-    k = keys[order]
-    return order, np.concatenate([[True], (k["h"][1:] != k["h"][:-1]) | (k["check"][1:] != k["check"][:-1])]) if len(k) else np.zeros(0, bool)
+    order = np.lexsort((place, ids))  # nearly in order as it comes
+    h, check = np.ascontiguousarray(keys["h"]), np.ascontiguousarray(keys["check"])
+    order = order[np.argsort(h[order], kind="stable")]
+    first = np.ones(len(keys), bool)
+    first[1:] = h[order[1:]] != h[order[:-1]]
+    if (check[order[1:]] != check[order[:-1]])[~first[1:]].any():  # words of one first hash: the second one tells them apart
+        order = np.lexsort((place, ids, check, h))
+        first[1:] = (h[order[1:]] != h[order[:-1]]) | (check[order[1:]] != check[order[:-1]])
+    return order, first
 
 
 def send_windows(buckets: int):
@@ -159,6 +165,8 @@ def send_windows(buckets: int):
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
+                if not row["shared"]:
+                    continue
                 b = Block(row["ids"], row["sizes"], row["texts"])
                 at, anchor = b.anchors()
                 bucket = np.searchsorted(np.array([(x << 64) // buckets for x in range(1, buckets)], np.uint64), anchor, "right").astype(np.uint64)
@@ -247,7 +255,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     answer = "block long, bucket long, h binary"
     shared = sent_anchors.groupBy("bucket").applyInArrow(lambda t: shared_anchors(t), answer)
     shared = shared.groupBy("block").agg(F.collect_list(F.struct("bucket", "h")).alias("shared"))
-    sent_windows = blocks.join(shared, "block").mapInArrow(trimmed(send_windows(buckets), docs.sparkSession), "bucket long, block long, h binary, ids binary, place binary")
+    # Both joins with the blocks are left ones, so that one exchange of the blocks serves them both.
+    sent_windows = blocks.join(shared, "block", "left").mapInArrow(trimmed(send_windows(buckets), docs.sparkSession), "bucket long, block long, h binary, ids binary, place binary")
     late = sent_windows.groupBy("bucket").applyInArrow(lambda t: later_windows(t), answer)
     late = late.groupBy("block").agg(F.collect_list(F.struct("bucket", "h")).alias("late"))
     return blocks.join(late, "block", "left").mapInArrow(trimmed(finish, docs.sparkSession), "doc_id long, n_words long, n_removed long, kept string")
