@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import argparse
+import shutil
+import tempfile
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +16,15 @@ from .operators.evaluate import evaluate_turns
 from .plans import report
 from .sources import files
 
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the package to the Python workers, for where it isn't installed on them: Spark serves it from the driver."""
+    package = Path(__file__).parent
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='tallyrule-')}/{package.name}", "zip", package.parent, package.name)
+    spark.sparkContext.addPyFile(archive)
+
+
 DETAIL = {"follow_all_instructions": "{m}_all", "follow_instruction_list": "{m}_list", "instruction_id_list": "instruction_id_list", "is_evaluated_list": "is_evaluated_list", "prompt": "prompt", "response": "response"}
 
 
@@ -117,6 +129,7 @@ def _parser() -> argparse.ArgumentParser:
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> None:
     args = _parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("tallyrule").config("spark.sql.variant.allowDuplicateKeys", "true").getOrCreate()
+    ship(spark)
     if args.job == "evaluate":
         print(evaluate_files(spark, args.input_data, args.input_response_data, args.output_dir, args.model_name, args.results_fname, args.legacy_report, args.assume_lang))
     elif args.job == "run":
