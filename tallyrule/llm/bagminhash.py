@@ -354,7 +354,7 @@ def _crowd(rest: DataFrame, label: DataFrame) -> DataFrame:
     known = stored(rest.join(label, "node").select("key", "node", "comp"), "crowd-members")
     parts = known.groupBy("key", "comp").agg(F.count("*").alias("size"))
     tops = parts.groupBy("key").agg(F.max_by("comp", F.struct("size", "comp")).alias("top"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    return known.join(tops, "key").groupBy("node").agg(F.max(F.col("comp") != F.col("top")).alias("minor"))
+    return known.join(small(stored(tops, "tops-of-groups")), "key").groupBy("node").agg(F.max(F.col("comp") != F.col("top")).alias("minor"))
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
