@@ -17,8 +17,8 @@ SPACE = "▁"
 #: Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Units that a worker remembers, and as many older ones, of which those not met again are then forgotten; neighbours.
-REMEMBERED = 120_000
-FOLLOWS = 200_000
+REMEMBERED = 200_000
+FOLLOWS = 300_000
 
 
 def rewrites(charsmap: bytes) -> dict[str, str]:
