@@ -18,6 +18,10 @@ D = r"\p{Nd}"
 SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
+#: Marks that are words of their own.
+MARKS = "?!;@#$%&()[]{}<>\"\u201c\u201d\u00ab\u00bb`"
+
+
 def strip(x: Column) -> Column:
     return F.btrim(x, F.lit(SPACES))
 
@@ -78,18 +82,20 @@ def has_lower_only(x: Column) -> Column:
     return x.rlike(r"\p{IsLowercase}") & ~x.rlike(r"[\p{IsUppercase}\p{Lt}]")
 
 
-def word_tokens(x: Column) -> Column:
-    """Words as a tree-bank tokenizer cuts them: at white space, marks that stand for themselves, and English contractions.
+def cut_words(x: Column) -> Column:
+    """A text with its words set apart by blanks as a tree-bank tokenizer does: at white space, at marks that stand for
+    themselves, and before the ends of English contractions.
 
     Periods, hyphens, slashes and colons or commas between digits stay inside words."""
-    marks = F.regexp_replace(x, r"[?!;@#$%&()\[\]{}<>\"\u201c\u201d\u00ab\u00bb`]|--|\.{2,}|[:,](?!\p{Nd})", " ")
-    apart = F.regexp_replace(marks, rf"(?i)(?<=[^'])(n't|'(?:ll|re|ve|s|m|d))(?={S}|\z)", " $1")
-    return F.filter(F.split(apart, f"{S}+", -1), lambda t: t != "")
+    marks = F.translate(x, SPACES + MARKS, " " * len(SPACES + MARKS))
+    marks = F.regexp_replace(marks, r"--|\.{2,}|[:,](?![0-9\p{Nd}])", " ")
+    ends = F.regexp_replace(marks, r"(?i)(?<=[^'])(n't|'(?:ll|re|ve|s|m|d))(?= |\z)", " $1")
+    return F.when(F.contains(x, F.lit("'")), ends).otherwise(marks)
 
 
 def capital_words(x: Column) -> Column:
-    """Tokens with a capital and no small letter."""
-    return F.size(F.filter(word_tokens(x), has_upper_only)).cast("long")
+    """Words with a capital and no small letter."""
+    return F.size(F.filter(F.split(cut_words(x), " +", -1), lambda w: (w != "") & has_upper_only(w))).cast("long")
 
 
 def star_paragraphs(x: Column) -> Column:

@@ -111,12 +111,17 @@ def write_dataset(df: DataFrame, name: str, valid: dict[str, str] | None = None)
     return marked.where("reason IS NOT NULL")
 
 
+#: A row group of Parquet, which one task reads, holds about so many bytes at most.
+ROW_GROUP = 128 << 20
+
+
 def read_spread(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table for work that is heavy by row: dealt out evenly if it comes in fewer splits than there are cores.
+    """A Parquet table for work that is heavy by row: dealt out evenly if it has too few row groups to occupy all cores.
 
-    That is so for small files, whose row groups can't be cut; large tables are read as they are, without a shuffle."""
+    That is so for small files, whatever splits they are cut into; large tables are read as they are, without a shuffle."""
     df, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if cores > 1 and size < cores * ROW_GROUP else df
 
 
 def drop_dataset(spark: SparkSession, name: str, yes: bool = False) -> None:
