@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bagminhash, exact, lines, mixing, pieces, quality, sharding, substring, topk, urlrank
+from . import bagminhash, exact, lines, media, mixing, pieces, quality, resample, sharding, spelling, substring, topk, urlrank
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_sentencepiece": pieces.query,
     "op9_near_dedup": bagminhash.query,
     "op10_url_filter": urlrank.query,
+    "op11_spelling_variants": spelling.query,
+    "op12_importance_sample": resample.query,
+    "op13_media_columns": media.query,
 }
 
 ORACLES = {
@@ -23,4 +26,7 @@ ORACLES = {
     "op5_exact_dedup": exact.SQL,
     "op6_line_dedup": lines.SQL,
     "op7_topk_search": topk.SQL,
+    "op11_spelling_variants": spelling.SQL,
+    "op12_importance_sample": resample.SQL,
+    "op13_media_columns": media.SQL,
 }
