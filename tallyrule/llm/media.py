@@ -235,14 +235,14 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Null and empty texts are one row of 0. Rows that repeat, or lack an id, have an image each; equal texts have equal ones."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = docs.select(F.col(id_col).alias("doc_id")).schema["doc_id"].dataType.simpleString()
-    return stored(rows.mapInArrow(trimmed(_drawn, docs.sparkSession), f"doc_id {kind}, n_bytes long, media binary"), "media-images")
+    return stored(rows.mapInArrow(trimmed(_drawn, docs.sparkSession), f"doc_id {kind}, n_bytes long, media binary"), "media-images", "zstd")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images of all texts go to the shared folder, are read back and decoded; their tiles and hashes go there too, and are read back."""
     images = text_media(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     held = media_tiles(images).withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)}).drop("media")
-    m = stored(held, "media-tiles")
+    m = stored(held, "media-tiles", "zstd")
     part = lambda f: F.col(OWN + "media").getField(f)
     return m.select("doc_id", "n_bytes", part("samples").alias("payload_bytes"), part("sha256").alias("payload_sha256"), part("tail_crc32").alias("tail_crc32"), "media_bytes", "media_sha256", part("dhash").alias("feature"))
 
