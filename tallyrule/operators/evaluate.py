@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.korean import confirming
 from ..functions.language import detect
+from ..functions.patterns import compiled
 from .instructions import ARGS_SCHEMA, LIST_ARGS, NORMALISED, NUMBER_ARGS, REGISTRY, Context, Instruction, nfc
 
-SPECS, TEXTS, PAIRS, CONFIRMED, OUTCOMES = ("__specs", "__texts", "__pairs", "__confirmed", "__outcomes")
+SPECS, TEXTS, PAIRS, CONFIRMED, PATTERNS, OUTCOMES = ("__specs", "__texts", "__pairs", "__confirmed", "__patterns", "__outcomes")
 EVALUATED = ("ok", "fallback_en")
 
 
@@ -64,7 +65,7 @@ def _defaulted(i: Instruction, c: Context) -> Column:
 
 def _decide(s: Column, pos: Column, draw: Column, name: str, i: Instruction) -> Column:
     """status, strict, loose and args_defaulted of a spec that resolves to an instruction."""
-    c = Context(s["args"], name.split(":")[0], draw)
+    c = Context(s["args"], name.split(":")[0], draw, F.get(F.col(PATTERNS), pos) if i.patterns else None)
     bad = i.bad(c) if i.bad else F.lit(False)
     for a in i.accepts:
         bad = bad | mistyped(s["kwargs"], a)
@@ -81,20 +82,35 @@ def _decide(s: Column, pos: Column, draw: Column, name: str, i: Instruction) ->
     out = lambda status, strict, loose: F.struct(status.alias("status"), strict.alias("strict"), loose.alias("loose"), defaulted)
     done = out(s["status"], tests(True), tests(False))
     no = lambda status: out(F.lit(status), F.lit(False), F.lit(False))
-    return F.when(i.fatal(c), no("fatal")).when(bad, no("bad_args")).otherwise(done) if i.fatal else F.when(bad, no("bad_args")).otherwise(done)
+    verdict = F.when(bad, no("bad_args")).otherwise(done)
+    if i.patterns:
+        broken = F.exists(c.compiled, lambda p: p.isNotNull() & p["java"].isNull())
+        verdict = F.when(F.coalesce(broken, F.lit(False)), no("fatal")).otherwise(verdict)
+    return F.when(i.fatal(c), no("fatal")).otherwise(verdict) if i.fatal else verdict
 
 
 def with_outcomes(rows: DataFrame, specs: Column, response: Column, seed: Column, ids: list[str] | None = None, assume_lang: str | None = None) -> DataFrame:
     """rows with __outcomes: (instruction_id, resolved_id, status, evaluated, strict, loose, args_defaulted) for each of specs.
 
     One pass: nothing is shuffled or joined, and each row's variants are made once for all its instructions. Python runs
-    only if an instruction that needs a guess of the language, or the likeness to a prompt, may occur (ids), and gets the
-    texts of those rows alone. seed(pos) is what decides defaults."""
+    only if an instruction that needs a guess of the language, the likeness to a prompt, or patterns may occur (ids), and
+    gets the texts of those rows alone; of patterns those that are more than words. seed(pos) is what decides defaults."""
     own = {n: i for n, i in REGISTRY.items() if ids is None or n in ids}
     needs = lambda need: [n for n, i in own.items() if i.needs == need]
     occurs = lambda need: F.exists(SPECS, lambda s: s["resolved_id"].isin(*needs(need)))
     texts = F.coalesce(X.loose_variants(response), F.array(F.lit(None).cast("string")))
-    out = rows.withColumns({SPECS: bound(specs, assume_lang), TEXTS: texts})
+    number = lambda pos: F.pmod(seed(pos), F.lit(2**31))
+    out = rows.withColumn(SPECS, bound(specs, assume_lang))
+    if patterned := {n: i for n, i in own.items() if i.patterns}:
+
+        def sources(s: Column, pos: Column) -> Column:
+            made = None
+            for n, i in patterned.items():
+                made = (F if made is None else made).when(s["resolved_id"] == n, i.patterns(Context(s["args"], n.split(":")[0], number(pos))))
+            return made
+
+        out = out.withColumn(PATTERNS, compiled(F.transform(SPECS, sources)))
+    out = out.withColumn(TEXTS, texts)
     if needs("language"):
         out = out.withColumn(PAIRS, detect(F.when(occurs("language"), F.col(TEXTS))))
         out = out.withColumn(PAIRS, F.zip_with(TEXTS, PAIRS, lambda x, l: F.struct(x.alias("x"), l.alias("l"))))
@@ -102,7 +118,7 @@ def with_outcomes(rows: DataFrame, specs: Column, response: Column, seed: Column
         out = out.withColumn(CONFIRMED, confirming(F.when(occurs("rephrase"), F.col(TEXTS)), F.transform(SPECS, lambda s: s["args"]["prompt_to_rephrase"])))
 
     def outcome(s: Column, pos: Column) -> Column:
-        draw = F.pmod(seed(pos), F.lit(2**31))
+        draw = number(pos)
         none = F.struct(s["status"].alias("status"), F.lit(False).alias("strict"), F.lit(False).alias("loose"), F.lit(False).alias("args_defaulted"))
         made = none if not own else None
         for n, i in own.items():
@@ -115,7 +131,7 @@ def with_outcomes(rows: DataFrame, specs: Column, response: Column, seed: Column
         return F.struct(x["instruction_id"].alias("instruction_id"), x["resolved_id"].alias("resolved_id"), o["status"].alias("status"), o["status"].isin(*EVALUATED).alias("evaluated"), o["strict"].alias("strict"), o["loose"].alias("loose"), o["args_defaulted"].alias("args_defaulted"))
 
     out = out.withColumn(OUTCOMES, F.transform(F.transform(SPECS, outcome), flat))
-    return out.drop(SPECS, TEXTS, PAIRS, CONFIRMED)
+    return out.drop(SPECS, TEXTS, PAIRS, CONFIRMED, PATTERNS)
 
 
 def evaluate_specs(specs: DataFrame, key: list[str], ids: list[str] | None = None, assume_lang: str | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import korean, text as X
+from ..functions import korean, patterns as P, text as X
 from ..functions.language import CODES, CODES_KO
 from ..functions.sentences import count_sentences, first_sentence_key, split_sentences
 
@@ -31,11 +31,13 @@ KEYWORDS = ["western", "sentence", "signal", "dump", "spot", "opposite", "bottom
 
 @dataclass(frozen=True)
 class Context:
-    """What a rule may use: args (a struct column), lang of the rule, and a stable number of the row for defaults."""
+    """What a rule may use: args (a struct column), lang of the rule, a stable number of the row for defaults, and the
+    instruction's patterns as compiled: (java, groups) each."""
 
     args: Column
     lang: str
     draw: Column
+    compiled: Column | None = None
 
     def __getitem__(self, name: str) -> Column:
         return self.args[name]
@@ -69,32 +71,19 @@ def nfc(x: Column) -> Column:
     return F.when(x.rlike(r"[^\x00-\x{2FF}]"), composed).otherwise(x)
 
 
-def pattern(x: Column) -> Column:
-    """A raw pattern of an argument in Java's dialect: braces that don't count are literal, groups are named without P."""
-    braces = F.regexp_replace(F.regexp_replace(x, r"(?<!\\)\{,(\d+)\}", r"{0,$1}"), r"(?<!\\)\{(?!\d+(?:,\d*)?\})", r"\\{")
-    return F.when(x.rlike(r"\{|\(\?P"), F.regexp_replace(F.replace(braces, F.lit("(?P<"), F.lit("(?<")), r"\(\?P=(\w+)\)", r"\\k<$1>")).otherwise(x)
-
-
-def uncompilable(x: Column) -> Column:
-    """Whether a pattern doesn't compile; false for null."""
-    tried = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("matches"), pattern(x), F.lit(""))
-    return F.coalesce(x.isNotNull() & tried.isNull(), F.lit(False))
-
-
-def groups(x: Column) -> Column:
-    """Number of capture groups of a pattern."""
-    return F.regexp_count(x, F.lit(r"(?<!\\)\((?!\?)|\(\?P?<[A-Za-z_]"))
-
-
 @dataclass(frozen=True)
 class Instruction:
-    """rule(text, language, context) is true if the text complies; bad(context) if the arguments can't be used."""
+    """rule(text, language, context) is true if the text complies; bad(context) if the arguments can't be used.
+
+    patterns(context): the sources (see functions.patterns) that the rule finds in context.compiled; the instruction is
+    fatal where one can't be compiled."""
 
     accepts: tuple[str, ...]
     rule: Rule
     bad: Callable[[Context], Column] | None = None
     fatal: Callable[[Context], Column] | None = None
     needs: str = "text"  # text, language or rephrase
+    patterns: Callable[[Context], Column] | None = None
 
 
 def _missing(*names: str):
@@ -108,11 +97,6 @@ def _any(conditions) -> Column:
     return out
 
 
-def _broken(name: str):
-    """A text or a list of texts holds a pattern that doesn't compile."""
-    return lambda c: F.coalesce(F.exists(c[name], uncompilable), F.lit(False)) if name in LIST_ARGS else uncompilable(c.stripped(name))
-
-
 def _empty(name: str):
     return lambda c: F.lit(False) if c.lang == "en" else F.coalesce(F.size(c[name]) < 1, F.lit(True))
 
@@ -139,10 +123,32 @@ def _letter_frequency(x: Column, _: Column, c: Context) -> Column:
     return c.relation("let_relation", n, least)
 
 
+def _mark(c: Context) -> Column:
+    return F.coalesce(c.stripped("postscript_marker"), c.choice(POSTSCRIPTS))
+
+
+def _marks(c: Context) -> Column:
+    """The marker's pattern, unless it is one of the fixed ones."""
+    return F.when(_mark(c).isin(POSTSCRIPTS), F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit(r"m:\s*"), F.lower(_mark(c)), F.lit(".*$"))))
+
+
 def _postscript(x: Column, _: Column, c: Context) -> Column:
-    mark = F.coalesce(c.stripped("postscript_marker"), c.choice(POSTSCRIPTS))
-    low = F.lower(x)
-    return F.when(mark == "P.P.S", low.rlike(rf"p\.{X.S}?p\.{X.S}?s")).when(mark == "P.S.", low.rlike(rf"p\.{X.S}?s\.")).otherwise(F.regexp(low, pattern(F.lower(mark))))
+    mark, low = _mark(c), F.lower(x)
+    return F.when(mark == "P.P.S", low.rlike(rf"p\.{X.S}?p\.{X.S}?s")).when(mark == "P.S.", low.rlike(rf"p\.{X.S}?s\.")).otherwise(F.regexp(low, _java(c)))
+
+
+def _java(c: Context) -> Column:
+    """The only pattern of an instruction."""
+    return F.get(c.compiled, F.lit(0))["java"]
+
+
+def _found(x: Column, c: Context, every: bool) -> Column:
+    return (F.forall if every else F.exists)(c.compiled, lambda p: F.regexp(x, p["java"]))
+
+
+def _sources(before: str, behind: str, of: Callable[[Context], Column]):
+    """Each text of a list between two pieces of pattern; the first begins with the flags."""
+    return lambda c: F.transform(of(c), lambda x: F.concat(F.lit(before), x, F.lit(behind)))
 
 
 def _nth(c: Context) -> tuple[Column, Column]:
@@ -176,15 +182,17 @@ def _key_sentences(x: Column, _: Column, c: Context) -> Column:
     return key_sentences(x, c["key_sentences"], n, korean=c.lang == "ko")
 
 
+def _splitter(c: Context) -> Column:
+    return F.array(F.coalesce(c.stripped("section_spliter"), c.choice(SPLITTERS[c.lang])))
+
+
 def _sections(x: Column, _: Column, c: Context) -> Column:
     """Pieces after the first; a split at a pattern with groups also gives the groups' texts."""
-    splitter = F.coalesce(c.stripped("section_spliter"), c.choice(SPLITTERS[c.lang]))
-    return X.sections(x, pattern(splitter)) * (1 + groups(splitter)) >= c.number("num_sections", 1, 5)
+    return X.count(x, _java(c)) * (1 + F.get(c.compiled, F.lit(0))["groups"]) >= c.number("num_sections", 1, 5)
 
 
-def _custom_choice(x: Column, _: Column, c: Context) -> Column:
-    options = F.when(F.size(c["choices"]) > 0, c["choices"]).otherwise(F.array(*map(F.lit, ANSWERS["ko"])))
-    return F.exists(options, lambda o: F.regexp(x, F.concat(F.lit(f"(?md)^{X.S}*"), pattern(o))))
+def _choices(c: Context) -> Column:
+    return F.when(F.size(c["choices"]) > 0, c["choices"]).otherwise(F.array(*map(F.lit, ANSWERS["ko"])))
 
 
 def _end(x: Column, _: Column, c: Context) -> Column:
@@ -217,9 +225,9 @@ def rules(lang: str) -> dict[str, Instruction]:
     ko = lang == "ko"
     n_words = X.tokens if ko else X.words
     out = {
-        "keywords:existence": Instruction(("keywords",), lambda x, _, c: F.forall(_words_or_drawn(c, "keywords"), lambda k: F.regexp(x, F.concat(F.lit("(?iud)"), pattern(k)))), _empty("keywords"), _broken("keywords")),
-        "keywords:frequency": Instruction(("keyword", "frequency", "relation"), lambda x, _, c: c.relation("relation", X.count(x, F.concat(F.lit("(?iud)"), pattern(F.coalesce(c.stripped("keyword"), c.choice(KEYWORDS))))), c.number("frequency", 1, 3)), _either(_missing("keyword"), _rel()), _broken("keyword")),
-        "keywords:forbidden_words": Instruction(("forbidden_words",), lambda x, _, c: ~F.exists(_words_or_drawn(c, "forbidden_words"), lambda w: F.regexp(x, F.concat(F.lit("(?iudU)\\b"), pattern(w), F.lit("\\b")))), _empty("forbidden_words"), _broken("forbidden_words")),
+        "keywords:existence": Instruction(("keywords",), lambda x, _, c: _found(x, c, every=True), _empty("keywords"), patterns=_sources("i:", "", lambda c: _words_or_drawn(c, "keywords"))),
+        "keywords:frequency": Instruction(("keyword", "frequency", "relation"), lambda x, _, c: c.relation("relation", X.count(x, _java(c)), c.number("frequency", 1, 3)), _either(_missing("keyword"), _rel()), patterns=_sources("i:", "", lambda c: F.array(F.coalesce(c.stripped("keyword"), c.choice(KEYWORDS))))),
+        "keywords:forbidden_words": Instruction(("forbidden_words",), lambda x, _, c: ~_found(x, c, every=False), _empty("forbidden_words"), patterns=_sources(r"i:\b", r"\b", lambda c: _words_or_drawn(c, "forbidden_words"))),
         "keywords:letter_frequency": Instruction(("letter", "let_frequency", "let_relation"), _letter_frequency, _rel("let_relation")),
         "language:response_language": Instruction(("language",), lambda x, l, c: F.coalesce(l == F.coalesce(c["language"], c.choice(CODES)), F.lit(True)), fatal=_code_unknown, needs="language"),
         "length_constraints:number_sentences": Instruction(("num_sentences", "relation"), _counted(lambda x: F.size(split_sentences(x, korean=True)).cast("long") if ko else count_sentences(x), "num_sentences", 1, 20), _rel()),
@@ -227,11 +235,11 @@ def rules(lang: str) -> dict[str, Instruction]:
         "length_constraints:number_words": Instruction(("num_words", "relation"), _counted(n_words, "num_words", 100, 500), _rel()),
         "length_constraints:nth_paragraph_first_word": Instruction(("num_paragraphs", "nth_paragraph", "first_word"), _first_word, _missing("first_word")),
         "detectable_content:number_placeholders": Instruction(("num_placeholders",), lambda x, _, c: X.placeholders(x) >= c.number("num_placeholders", 1, 4)),
-        "detectable_content:postscript": Instruction(("postscript_marker",), _postscript, fatal=_broken("postscript_marker")),
+        "detectable_content:postscript": Instruction(("postscript_marker",), _postscript, patterns=_marks),
         "detectable_format:number_bullet_lists": Instruction(("num_bullets",), lambda x, _, c: X.bullets(x) == c.number("num_bullets", 1, 5)),
         "detectable_format:constrained_response": Instruction((), lambda x, _, c: _any(F.contains(x, F.lit(o)) for o in ANSWERS[c.lang])),
         "detectable_format:number_highlighted_sections": Instruction(("num_highlights",), lambda x, _, c: X.highlights(x) >= c.number("num_highlights", 1, 4)),
-        "detectable_format:multiple_sections": Instruction(("section_spliter", "num_sections"), _sections, fatal=_broken("section_spliter")),
+        "detectable_format:multiple_sections": Instruction(("section_spliter", "num_sections"), _sections, patterns=_sources(r":\s?", r"\s?\d+\s?", _splitter)),
         "detectable_format:json_format": Instruction((), lambda x, _, c: X.is_json(X.unfenced(x))),
         "detectable_format:title": Instruction((), lambda x, _, c: X.title(x)),
         "combination:two_responses": Instruction((), lambda x, _, c: X.two_responses(x)),
@@ -250,7 +258,7 @@ def rules(lang: str) -> dict[str, Instruction]:
             "length_constraints:number_syllables": Instruction(("num_syllables", "relation"), _counted(X.syllables, "num_syllables", 100, 500), _rel()),
             "length_constraints:nth_paragraph_first_sentence": Instruction(("num_paragraphs", "nth_paragraph", "first_sentence"), _first_sentence, _missing("first_sentence"), needs="language"),
             "detectable_format:number_digit_lists": Instruction(("num_digit_list",), lambda x, _, c: X.digit_items(x) == c.number("num_digit_list", 1, 5)),
-            "detectable_format:constrained_custom_response": Instruction(("choices",), _custom_choice, fatal=_broken("choices")),
+            "detectable_format:constrained_custom_response": Instruction(("choices",), lambda x, _, c: _found(X.strip(x), c, every=False), patterns=_sources(r"m:^\s*", ".*$", _choices)),
             "detectable_format:markdown_format": Instruction((), lambda x, _, c: ~X.blank(X.unfenced(x))),
             "combination:rephrasing_prompt": Instruction(("prompt_to_rephrase",), lambda x, l, c: l == "yes", _required("prompt_to_rephrase"), needs="rephrase"),
             "punctuation:no_period": Instruction((), lambda x, _, c: ~F.contains(x, F.lit("."))),
@@ -279,9 +287,9 @@ def registry_table(spark: SparkSession) -> DataFrame:
 
 
 def constrained_start(x: Column, starter: Column) -> Column:
-    """Whether a line begins with a pattern; null if it doesn't compile."""
-    start = X.strip(starter)
-    return F.when(~uncompilable(start), F.regexp(x, F.concat(F.lit(f"(?md)^{X.S}*"), pattern(start))))
+    """Whether a line begins with a pattern; null if it can't be compiled."""
+    source = F.concat(F.lit(r"m:^\s*"), X.strip(starter), F.lit(".*$"))
+    return F.regexp(x, F.get(F.get(P.compiled(F.array(F.array(source))), F.lit(0)), F.lit(0))["java"])
 
 
 def key_sentences(x: Column, expected: Column, n: Column, korean: bool = False) -> Column:

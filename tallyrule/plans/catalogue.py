@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.korean import CONFIRM, NO_CONFIRM, PARTICLES, first_line, formal_text, keyword_set, may_confirm, normalized_column
 from ..functions.language import LETTERS, SCRIPTS, WORDS, detect
+from ..functions.patterns import compiled
 from ..functions.sentences import ABBREVIATIONS, count_sentences, split_sentences
 from ..operators import ingest, instructions as I
 from ..operators.evaluate import evaluate_specs, evaluate_turns, explode_specs, exploded
@@ -105,7 +107,10 @@ def rule(name: str, instruction: str, base: str, sql: str | None, hint: Callable
         RULES.append((instruction, kw, sql))
 
     def column(x: Column) -> Column:
-        return ~X.blank(x) & F.coalesce(I.REGISTRY[instruction].rule(x, hint(x) if hint else F.lit(None).cast("string"), args(lang=lang, **kw)), F.lit(False))
+        i, c = I.REGISTRY[instruction], args(lang=lang, **kw)
+        if i.patterns:
+            c = replace(c, compiled=F.get(compiled(F.array(i.patterns(c))), F.lit(0)))
+        return ~X.blank(x) & F.coalesce(i.rule(x, hint(x) if hint else F.lit(None).cast("string"), c), F.lit(False))
 
     measure(name, base, column, sql and rf"coalesce(regexp_matches(text, '{NS}') AND ({sql}), false)")
 
@@ -257,6 +262,19 @@ def _turns(spark: SparkSession, sf_dir: str, specs=SPECS) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", F.col("text").alias("response"), ids.alias("instruction_id_list"), kwargs.alias("kwargs"))
 
 
+#: Patterns in Python's dialect, and what they come to in that of the SQL; None can't be compiled.
+PATTERNS = [
+    (r"\bdes\b", rf"(?i)(^|[^{W[1:-1]}])des($|[^{W[1:-1]}])"), (r"\w+ción\W", rf"(?i){W}+ción[^{W[1:-1]}]"), (r"é\s\S", f"(?i)é{S}{NS}"), (r"\d{3}", rf"{D}{{3}}"), (r"[[(]", r"[\[(]"), (r"\w\Z", rf"{W}\z"),
+    (r"(?-i:[A-Z]\w+)$", rf"[A-Z]{W}+\n?\z"), (r"(?m:^the\b)", rf"(?i)(^|\n)the($|[^{W[1:-1]}])"), (r"(?#note)[a&&b]{2}", "(?i)[ab&]{2}"), (r"(the )?(?(1)cat|dog)", "(?i)(the cat|dog)"), (r"(?x) of \s the # two", f"(?i)of{S}the"), ("(", None), (r"(?P<x>[^\W\d_])ation(?!s)", None),
+]
+#: What RE2 has no syntax for is found by hand.
+BY_HAND = {12: rf"regexp_matches(text, '(?i)[\p{{L}}]ation($|[^sSſ])')", 11: "false"}
+PATTERN_SPECS = [("en:keywords:existence", {"keywords": [p]}) for p, _ in PATTERNS]
+QUERIES["pattern_rules"] = lambda s, d: evaluate_turns(_turns(s, d, PATTERN_SPECS), ["doc_id"], ["en:keywords:existence"]).select("doc_id", *(F.array_join(F.transform(c, lambda v: v.cast("int").cast("string")), "").alias(n) for c, n in (("strict_list", "followed"), ("is_evaluated_list", "evaluated"))))
+FOUND = [BY_HAND.get(k) or f"regexp_matches(text, '{q}')" for k, (_, q) in enumerate(PATTERNS)]
+ORACLES["pattern_rules"] = f"SELECT doc_id, {' || '.join(f'CAST(CAST(coalesce({x}, false) AND NOT blank AS INT) AS VARCHAR)' for x in FOUND)} AS followed, '{''.join(str(int(p != '(')) for p, _ in PATTERNS)}' AS evaluated FROM (SELECT doc_id, text, NOT coalesce(regexp_matches(text, '{NS}'), false) AS blank FROM documents)"
+
+
 def _done(spark: SparkSession, sf_dir: str, specs=SPECS) -> DataFrame:
     t = explode_specs(_turns(spark, sf_dir, specs), ["doc_id", "response"])
     return evaluate_specs(t, ["doc_id"], IDS).drop("response", "kwargs", "args_defaulted")
