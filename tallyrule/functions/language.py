@@ -1,56 +1,105 @@
-"""A deterministic guess of a text's language: scripts first, then frequent words and letters."""
+"""A deterministic guess of a text's language: its script, and among languages of one script their profiles of letters."""
 
 from __future__ import annotations
 
 import re
+from collections import Counter
+from functools import cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# The codes that instructions may name; zh is Korean-only.
-CODES = "en es pt ar hi fr ru de ja it bn uk th ur ta te bg ko pl he fa vi ne sw kn mr gu pa ml fi".split()
-CODES_KO = [*CODES, "zh"]
+from .samples import SAMPLES
+
+# The codes that instructions may name, with their names; zh is Korean-only.
 NAMES = {
     "en": "English", "es": "Spanish", "pt": "Portuguese", "ar": "Arabic", "hi": "Hindi", "fr": "French", "ru": "Russian", "de": "German", "ja": "Japanese", "it": "Italian", "bn": "Bengali", "uk": "Ukrainian", "th": "Thai", "ur": "Urdu", "ta": "Tamil", "te": "Telugu",
     "bg": "Bulgarian", "ko": "Korean", "pl": "Polish", "he": "Hebrew", "fa": "Persian", "vi": "Vietnamese", "ne": "Nepali", "sw": "Swahili", "kn": "Kannada", "mr": "Marathi", "gu": "Gujarati", "pa": "Punjabi", "ml": "Malayalam", "fi": "Finnish", "zh": "Chinese",
 }
+CODES_KO = list(NAMES)
+CODES = CODES_KO[:-1]
 
-SCRIPTS = [("ko", "[가-힣ㄱ-ㅣ]"), ("ja", "[぀-ヿ]"), ("zh", "[一-鿿]"), ("th", "[฀-๿]"), ("he", "[֐-׿]"), ("ar", "[؀-ۿ]"), ("hi", "[ऀ-ॿ]"), ("bn", "[ঀ-৿]"), ("pa", "[਀-੿]"), ("gu", "[઀-૿]"), ("ta", "[஀-௿]"), ("te", "[ఀ-౿]"), ("kn", "[ಀ-೿]"), ("ml", "[ഀ-ൿ]"), ("ru", "[Ѐ-ӿ]"), ("latin", "[A-Za-zÀ-ɏẠ-ỹ]")]
-SCRIPTS = [(code, re.compile(pattern)) for code, pattern in SCRIPTS]
-WORDS = {
-    "en": "the of and to in is that it was for on are with as be this have from by not or at but",
-    "de": "der die und das in den von zu mit sich ist des im dem nicht ein eine als auch es an auf für er",
-    "fr": "le la les de des et en un une du que qui dans pour pas est sur au par avec il ne se",
-    "es": "el la los las de que y en un una por con para no es se del al lo como más su",
-    "pt": "o a os as de que e em um uma por com para não é se do da no na mais",
-    "it": "il lo la gli le di che e in un una per con non è si del della al da sono",
-    "pl": "i w na z do się nie to jest że o jak po co", "fi": "ja on ei se että oli hän mutta kun niin", "sw": "na ya wa kwa ni za katika la kuwa", "vi": "và của là có không được cho các một trong",
+#: Letters of each script; a text has the script of most of its letters, the first of several.
+SCRIPTS = {
+    "ko": "가-힣ㄱ-ㅣ", "ja": "぀-ヿ", "zh": "一-鿿", "th": "฀-๿", "he": "֐-׿", "arabic": "؀-ۿ", "devanagari": "ऀ-ॿ", "bn": "ঀ-৿", "pa": "਀-੿", "gu": "઀-૿",
+    "ta": "஀-௿", "te": "ఀ-౿", "kn": "ಀ-೿", "ml": "ഀ-ൿ", "cyrillic": "Ѐ-ӿ", "latin": "A-Za-zÀ-ɏẠ-ỹ",
 }
-WORDS = {code: frozenset(words.split()) for code, words in WORDS.items()}
-LETTERS = {"de": "äöüß", "fr": "àâçèéêëîïôùûœ", "es": "ñáíóú¿¡", "pt": "ãõçáâê", "pl": "ąćęłńśźż", "fi": "äö", "vi": "đơưăạảấầ"}
+#: Languages that share a script, the first of them for a text without a known run of letters.
+SHARED = {"latin": "en es pt fr de it pl vi sw fi".split(), "cyrillic": "ru uk bg".split(), "arabic": "ar ur fa".split(), "devanagari": "hi mr ne".split()}
+#: Longest run of letters that is counted, and what is added to each count.
+RUN, ADDED = 4, 0.5
+
+NUMBER = {name: k for k, name in enumerate(SCRIPTS)}
+_bounds = [(ord(a), ord(b), NUMBER[name]) for name, spec in SCRIPTS.items() for a, b in re.findall("(.)-(.)", spec)]
+#: The script of each code point up to U+FFFF, and -1 for the others; none of the letters lies beyond.
+SCRIPT_OF = np.full(0x10000, -1, np.int8)
+for _a, _b, _k in _bounds:
+    SCRIPT_OF[_a : _b + 1] = _k
+
+
+def _points(text: str) -> np.ndarray:
+    points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    return np.where(points < 0x10000, points, 0)
+
+
+def runs(points: np.ndarray, script: int) -> np.ndarray:
+    """All runs of 1 to RUN code points of a text's words, each as one number. A word is a row of letters of the script, with a blank on either side."""
+    inside = SCRIPT_OF[points] == script
+    out = np.where(inside, points, 32).astype(np.uint64)
+    blank = np.concatenate([[True], ~inside])
+    padded = np.concatenate([[32], out]).astype(np.uint64)
+    # Of blanks in a row one is left.
+    padded = padded[~(blank & np.concatenate([[False], blank[:-1]]))]
+    if padded[-1] != 32:
+        padded = np.append(padded, np.uint64(32))
+    made = []
+    for n in range(1, RUN + 1):
+        if len(padded) < n:
+            break
+        code = np.zeros(len(padded) - n + 1, np.uint64)
+        for k in range(n):
+            code = code << np.uint64(16) | padded[k : len(padded) - n + 1 + k]
+        # A blank is a word's bound: it can't stand inside, nor alone.
+        whole = np.ones(len(code), bool)
+        for k in range(1, n - 1):
+            whole &= padded[k : len(padded) - n + 1 + k] != 32
+        made.append(code[whole & (code != 32)])
+    return np.concatenate(made)
+
+
+@cache
+def profile(script: str) -> tuple[np.ndarray, np.ndarray]:
+    """The runs that occur in the samples of a script's languages, and for each language its weights: thousandths of the
+    logarithm of a run's share, with ADDED to its count."""
+    counts = []
+    for code in SHARED[script]:
+        counts.append(Counter(runs(_points(SAMPLES[code].lower()), NUMBER[script]).tolist()))
+    known = np.array(sorted(set().union(*counts)), np.uint64)
+    n = np.array([[c[g] for g in known.tolist()] for c in counts], float)
+    weights = np.round(1000 * np.log((n + ADDED) / (n.sum(1, keepdims=True) + ADDED * len(known))))
+    return known, weights.astype(np.int64)
 
 
 def guess(text: str | None) -> str | None:
-    """A code, or None for a text without letters. Ties go to the code that comes first."""
+    """A code, or None for a text without letters of a known script. Whole texts are counted; ties go to the first."""
     if not text:
         return None
-    scripts = {code: len(pattern.findall(text)) for code, pattern in SCRIPTS}
-    best = max(scripts, key=scripts.get)
-    if not scripts[best]:
+    points = _points(text.lower())
+    found = SCRIPT_OF[points]
+    n = np.bincount(found[found >= 0], minlength=len(SCRIPTS))
+    if not n.any():
         return None
-    if best == "zh" and scripts["ja"]:
+    script = list(SCRIPTS)[int(n.argmax())]
+    if script == "zh" and n[NUMBER["ja"]]:
         return "ja"
-    if best == "ar":
-        return "ur" if re.search("[ٹڈڑےں]", text) else "fa" if re.search("[پچژگ]", text) else "ar"
-    if best == "ru":
-        return "uk" if re.search("[іїєґ]", text) else "ru"
-    if best != "latin":
-        return best
-    low = text.lower()
-    words = re.findall(r"[^\W\d_]+", low)
-    score = {code: sum(w in known for w in words) + 0.5 * sum(map(low.count, LETTERS.get(code, ""))) for code, known in WORDS.items()}
-    return max(score, key=score.get)
+    if script not in SHARED:
+        return script
+    known, weights = profile(script)
+    mine = runs(points, NUMBER[script])
+    at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+    return SHARED[script][int(weights[:, at[known[at] == mine]].sum(1).argmax())]
 
 
 def detect_each(texts: pd.Series) -> pd.Series:

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.korean import CONFIRM, NO_CONFIRM, PARTICLES, first_line, formal_text, keyword_set, may_confirm, normalized_column
-from ..functions.language import LETTERS, SCRIPTS, WORDS, detect
+from ..functions.language import ADDED, RUN, SCRIPTS, SHARED, detect
 from ..functions.patterns import compiled
+from ..functions.samples import SAMPLES
 from ..functions.sentences import ABBREVIATIONS, count_sentences, split_sentences
 from ..operators import ingest, instructions as I
 from ..operators.evaluate import evaluate_specs, evaluate_turns, explode_specs, exploded
@@ -160,23 +161,36 @@ measure("loose_variants", "mixed", lambda x: F.size(X.loose_variants(x)).cast("l
 measure("formal_text_ko", "register", formal_text, "doc_id % 2 = 0")
 
 
-def _first_best(scores: dict[str, str]) -> str:
-    """The first name whose score is the greatest."""
-    return "CASE greatest(" + ", ".join(scores.values()) + ") " + " ".join(f"WHEN {v} THEN '{k}'" for k, v in scores.items()) + " END"
-
-
-def _guess_sql() -> str:
-    """The most frequent script, and within Latin letters the most frequent words, in SQL."""
-    hits = lambda cls, x="text": f"len(regexp_extract_all({x}, '{cls}'))"
-    scripts = {code: hits(p.pattern) for code, p in SCRIPTS}
-    listed = lambda ws: "[" + ", ".join(f"'{w}'" for w in sorted(ws)) + "]"
-    latin = {code: f"(len(list_filter(w, lambda y: list_contains({listed(ws)}, y))) + 0.5 * {hits(f'[{LETTERS[code]}]', 'low') if code in LETTERS else 0})" for code, ws in WORDS.items()}
-    has = lambda cls: f"regexp_matches(text, '[{cls}]')"
-    inner = f"SELECT text, lower(text) AS low, regexp_extract_all(lower(text), '\\p{{L}}+') AS w, {_first_best(scripts)} AS script, greatest({', '.join(scripts.values())}) AS most, {scripts['ja']} AS kana"
-    return f"(SELECT CASE WHEN most = 0 THEN NULL WHEN script = 'zh' AND kana > 0 THEN 'ja' WHEN script = 'ar' THEN CASE WHEN {has('ٹڈڑےں')} THEN 'ur' WHEN {has('پچژگ')} THEN 'fa' ELSE 'ar' END WHEN script = 'ru' THEN CASE WHEN {has('іїєґ')} THEN 'uk' ELSE 'ru' END WHEN script <> 'latin' THEN script ELSE {_first_best(latin)} END FROM ({inner}))"
-
-
-measure("language_guess", "plain", lambda x: F.get(detect(F.array(x)), F.lit(0)), _guess_sql())
+def guessed_sql(base: str) -> str:
+    """(doc_id, value): the guess for each text, with profiles that SQL counts in the samples by itself."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    names, shared = list(SCRIPTS), [k for k, v in SHARED.items() for _ in v]
+    samples = ", ".join(f"({quote(script)}, {quote(code)}, {SHARED[script].index(code)}, lower({quote(SAMPLES[code])}))" for script, code in zip(shared, [c for v in SHARED.values() for c in v], strict=True))
+    letters = "CASE script " + " ".join(f"WHEN '{k}' THEN regexp_extract_all(text, '[{v}]+')" for k, v in SCRIPTS.items() if k in SHARED) + " END"
+    n_of = {k: f"len(regexp_extract_all(text, '[{v}]'))" for k, v in SCRIPTS.items()}
+    first = "CASE most " + " ".join(f"WHEN n_{k} THEN '{k}'" for k in names) + " END"
+    pieces = lambda table, key: f"""(SELECT {key}, script, substr(w, CAST(i AS INT), CAST(n AS INT)) AS g, n FROM (SELECT {key}, script, w, n, unnest(range(1, length(w) - n + 2)) AS i FROM
+      (SELECT {key}, script, ' ' || unnest({letters}) || ' ' AS w FROM {table}), (SELECT unnest(range(1, {RUN + 1})) AS n)))"""
+    return f"""(WITH s(script, code, place, text) AS (VALUES {samples}),
+      sg AS (SELECT script, code, place, g, count(*) AS n FROM {pieces("s", "code, place")} WHERE g <> ' ' GROUP BY ALL),
+      known AS (SELECT script, g, count(*) OVER (PARTITION BY script) AS v FROM (SELECT DISTINCT script, g FROM sg)),
+      total AS (SELECT script, code, place, sum(n) AS total FROM sg GROUP BY ALL),
+      weight AS (SELECT k.script, t.code, t.place, k.g, CAST(round(1000 * ln((coalesce(sg.n, 0) + {ADDED}::DOUBLE) / (t.total + {ADDED}::DOUBLE * v))) AS BIGINT) AS w
+        FROM known AS k JOIN total AS t ON t.script = k.script LEFT JOIN sg ON sg.script = k.script AND sg.code = t.code AND sg.g = k.g),
+      d AS (SELECT doc_id, lower(text) AS text FROM {_from(base)}),
+      c AS (SELECT doc_id, text, {", ".join(f"{v} AS n_{k}" for k, v in n_of.items())} FROM d),
+      m AS (SELECT *, greatest({", ".join(f"n_{k}" for k in names)}) AS most FROM c),
+      t AS (SELECT doc_id, text, n_ja, CASE WHEN most > 0 THEN {first} END AS script FROM m),
+      dg AS (SELECT doc_id, script, g, count(*) AS n FROM {pieces("t", "doc_id")} WHERE g <> ' ' GROUP BY ALL),
+      r AS (SELECT doc_id, code, row_number() OVER (PARTITION BY doc_id ORDER BY sum(n * w) DESC, any_value(place)) AS rank FROM dg JOIN weight USING (script, g) GROUP BY doc_id, code)
+      SELECT t.doc_id, CASE WHEN script = 'zh' AND n_ja > 0 THEN 'ja' {" ".join(f"WHEN script = '{k}' THEN coalesce(code, '{v[0]}')" for k, v in SHARED.items())} ELSE script END AS value FROM t LEFT JOIN r ON r.doc_id = t.doc_id AND r.rank = 1)"""
+
+
+measure("language_guess", "plain", lambda x: F.get(detect(F.array(x)), F.lit(0)), None)
+ORACLES["language_guess"] = f"SELECT doc_id, value FROM {guessed_sql('plain')}"
+#: Whether at least 95 of 100 documents of a language are told to be in it; the table says which they are in.
+QUERIES["language_accuracy"] = lambda s, d: _documents(s, d).withColumn("guess", F.get(detect(F.array("text")), F.lit(0))).groupBy("lang").agg(F.count("*").alias("documents"), (F.avg((F.coalesce("guess", F.lit("")) == F.col("lang")).cast("int")) >= 0.95).alias("told"))
+ORACLES["language_accuracy"] = "SELECT lang, count(*) AS documents, true AS told FROM documents GROUP BY lang"
 
 # Instructions.
 ee, mid = "lambda y: NOT regexp_matches(y, '%s')" % NS, rf"regexp_split_to_array(text, '{S}?\*\*\*{S}?')"
@@ -208,6 +222,11 @@ rule("no_period", "ko:punctuation:no_period", "plain", "NOT contains(text, '.')"
 english = lambda x: F.when(X.tokens(x) % 3 == 0, "de").when(X.tokens(x) % 3 == 1, "en")
 rule("all_upper", "en:change_case:english_capital", "upper", r"regexp_matches(text, '\p{Lu}') AND NOT regexp_matches(text, '[\p{Ll}\p{Lt}]') AND " + n(NS + "+") + " % 3 > 0", english)
 rule("all_lower", "en:change_case:english_lowercase", "upper", r"regexp_matches(text, '\p{Ll}') AND NOT regexp_matches(text, '[\p{Lu}\p{Lt}]') AND " + n(NS + "+") + " % 3 > 0", english)
+for _name, _id, _sql in (("upper_in_english", "en:change_case:english_capital", r"regexp_matches(text, '\p{Lu}') AND NOT regexp_matches(text, '[\p{Ll}\p{Lt}]')"), ("lower_in_english", "ko:change_case:english_lowercase", r"regexp_matches(text, '\p{Ll}') AND NOT regexp_matches(text, '[\p{Lu}\p{Lt}]')")):
+    rule(_name, _id, "upper", None, lambda x: F.get(detect(F.array(x)), F.lit(0)))
+    ORACLES[_name] = f"SELECT t.doc_id, coalesce(regexp_matches(text, '{NS}') AND {_sql} AND coalesce(g.value = 'en', true), false) AS value FROM {_from('upper')} AS t JOIN {guessed_sql('upper')} AS g ON g.doc_id = t.doc_id"
+rule("response_in_french", "en:language:response_language", "plain", None, lambda x: F.get(detect(F.array(x)), F.lit(0)), language="fr")
+ORACLES["response_in_french"] = f"SELECT t.doc_id, coalesce(regexp_matches(text, '{NS}') AND coalesce(g.value = 'fr', true), false) AS value FROM {_from('plain')} AS t JOIN {guessed_sql('plain')} AS g ON g.doc_id = t.doc_id"
 rule("bullets_equal", "en:detectable_format:number_bullet_lists", "bullets", f"({n(rf'(?m)^{S}*-.*$')} + {n(rf'(?m)^{S}*\*[^*].*$')}) = 2", num_bullets=2)
 rule("digits_equal", "ko:detectable_format:number_digit_lists", "digits", f"({n(rf'(?m)^{S}*{D}+\).*$')} + {n(rf'(?m)^{S}*{D}+\..*$')}) = 3", num_digit_list=3)
 rule("syllables_equal", "ko:length_constraints:number_syllables", "korean", n("[가-힣]") + " >= 800", num_syllables=800, relation="at least")
