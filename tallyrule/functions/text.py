@@ -142,8 +142,7 @@ def title(x: Column) -> Column:
 
 def loose_variants(x: Column) -> Column:
     """The eight texts that the lenient mode tries, without repeats; null for a null text."""
-    lines = F.split(x, "\n", -1)
-    n = F.size(lines)
-    join = lambda first, less: strip(F.array_join(F.slice(lines, F.lit(first), F.greatest(n - less, F.lit(0))), "\n"))
-    cuts = [x, join(2, 1), join(1, 1), join(2, 2)]
+    first, end = F.instr(x, "\n"), F.length(x) - F.length(F.substring_index(x, "\n", -1)) - 1
+    one = lambda y: F.when(first > 0, strip(y)).otherwise("")
+    cuts = [x, one(F.substring(x, first + 1, F.length(x))), one(F.substring(x, F.lit(1), end)), one(F.substring(x, first + 1, end - first))]
     return F.when(x.isNotNull(), F.array_distinct(F.array(*cuts, *(F.replace(c, F.lit("*"), F.lit("")) for c in cuts))))

@@ -71,16 +71,16 @@ def _decide(s: Column, pos: Column, draw: Column, name: str, i: Instruction) ->
         bad = bad | mistyped(s["kwargs"], a)
     ok = lambda x, hint: ~X.blank(x) & F.coalesce(i.rule(x, hint, c), F.lit(False))
     nothing = F.lit(None).cast("string")
-    if i.needs == "language":
-        tests = lambda first: F.exists(F.slice(PAIRS, 1, 1) if first else F.col(PAIRS), lambda p: ok(p["x"], p["l"]))
-    elif i.needs == "rephrase":
-        both = F.zip_with(TEXTS, F.get(F.col(CONFIRMED), pos), lambda x, b: F.struct(x.alias("x"), F.when(b, F.lit("yes")).alias("l")))
-        tests = lambda first: F.exists(F.slice(both, 1, 1) if first else both, lambda p: ok(p["x"], p["l"]))
+    if i.needs == "rephrase":
+        tried = F.zip_with(TEXTS, F.get(F.col(CONFIRMED), pos), lambda x, b: F.struct(x.alias("x"), F.when(b, F.lit("yes")).alias("l")))
     else:
-        tests = lambda first: F.exists(F.slice(TEXTS, 1, 1) if first else F.col(TEXTS), lambda x: ok(x, nothing))
+        tried = F.col(PAIRS if i.needs == "language" else TEXTS)
+    test = (lambda x: ok(x, nothing)) if i.needs == "text" else (lambda p: ok(p["x"], p["l"]))
     defaulted = _defaulted(i, c).alias("args_defaulted")
     out = lambda status, strict, loose: F.struct(status.alias("status"), strict.alias("strict"), loose.alias("loose"), defaulted)
-    done = out(s["status"], tests(True), tests(False))
+    # The response is decided once; its variants only if it doesn't comply.
+    strict = F.array(F.exists(F.slice(tried, 1, 1), test))
+    done = F.get(F.transform(strict, lambda v: out(s["status"], v, v | F.exists(F.slice(tried, F.lit(2), F.size(tried)), test))), F.lit(0))
     no = lambda status: out(F.lit(status), F.lit(False), F.lit(False))
     verdict = F.when(bad, no("bad_args")).otherwise(done)
     if i.patterns:
