@@ -30,7 +30,7 @@ DETAIL = {"follow_all_instructions": "{m}_all", "follow_instruction_list": "{m}_
 
 def answered(prompts: DataFrame, responses: DataFrame) -> DataFrame:
     """Prompts with their responses by prompt text; prompts without one go."""
-    return prompts.join(responses, "prompt")
+    return ingest.joined_by_text(prompts, responses, "prompt")
 
 
 def evaluate_files(spark: SparkSession, input_data: str, responses: str, output_dir: str, model: str, results: str | None = None, legacy: bool = False, assume_lang: str | None = None) -> str:

@@ -60,17 +60,33 @@ def kwargs_of(cell: Column) -> Column:
     return F.transform(items, lambda x: F.when(good(x), x).otherwise("{}"))
 
 
+def marked(text: str) -> list[Column]:
+    """128 bits that stand before a text in a key: rows are sorted by numbers, and texts compared only where both numbers meet."""
+    return [F.xxhash64(text).alias("__mark"), F.xxhash64(F.lit(1), text).alias("__mark2")]
+
+
 def dedup_first(rows: DataFrame, key: str, position: str) -> DataFrame:
     """The first row of each key, nulls being one key; of rows at one position, and of those without any, which come last, any one.
 
     An aggregate, so that rows of a key that is everywhere collapse before they are shuffled."""
     others = [c for c in rows.columns if c != key]
-    first = rows.groupBy(key).agg(F.min_by(F.struct(*others), F.struct(F.col(position).isNull(), position)).alias("__first"))
+    first = rows.groupBy(*marked(key), key).agg(F.min_by(F.struct(*others), F.struct(F.col(position).isNull(), position)).alias("__first"))
     return first.select(*(F.col(c) if c == key else F.col("__first").getField(c).alias(c) for c in rows.columns))
 
 
 def last_wins(rows: DataFrame, key: str, value: str, position: str) -> DataFrame:
-    return rows.groupBy(key).agg(F.max_by(value, position).alias(value))
+    """key and the value at the last position of each key, copies collapsing before they are shuffled."""
+    return rows.groupBy(*marked(key), key).agg(F.max_by(value, position).alias(value)).select(key, value)
+
+
+def joined_by_text(rows: DataFrame, others: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows joined with others, both by a text; rows whose text is everywhere are split by AQE, as others has each text once."""
+    mine, theirs = rows.withColumns(_marks(key)), others.withColumns(_marks(key))
+    return mine.join(theirs, ["__mark", "__mark2", key], how).drop("__mark", "__mark2").select(key, *(c for c in rows.columns if c != key), *([] if how in ("left_semi", "left_anti") else [c for c in others.columns if c != key]))
+
+
+def _marks(key: str) -> dict[str, Column]:
+    return dict(zip(("__mark", "__mark2"), marked(key), strict=True))
 
 
 def safe_name(c: Column) -> Column:
@@ -141,5 +157,6 @@ def samples(items: DataFrame, position: str, n: int = 2, chars: int = 200) -> Da
 
 
 def upsert(table: DataFrame, changed: DataFrame, key: str) -> DataFrame:
-    """table with the rows of changed in place of those with the same key."""
-    return table.join(changed.select(key), key, "left_anti").unionByName(changed)
+    """table with the rows of changed in place of those with the same key; a row without a key takes the place of those without one."""
+    gone = changed.select(F.col(key).alias("__key")).distinct()
+    return table.join(gone, F.col(key).eqNullSafe(F.col("__key")), "left_anti").unionByName(changed)

@@ -417,6 +417,9 @@ ORACLES["kwargs_validation"] = "SELECT event_id, CASE WHEN json_valid(props) AND
 QUERIES["dataset_upsert"] = lambda s, d: ingest.upsert(_table(s, d, "labels"), _table(s, d, "labels").where("doc_id % 2 = 0").withColumn("toxic", F.lit(1).cast("int")), "doc_id").select("doc_id", "quality", F.col("toxic").cast("int").alias("toxic"))
 ORACLES["dataset_upsert"] = "SELECT doc_id, quality, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE toxic END::INTEGER AS toxic FROM labels"
 
+QUERIES["upsert_null_keys"] = lambda s, d: ingest.upsert(_table(s, d, "labels").select(F.expr("CASE WHEN doc_id % 3 > 0 THEN doc_id END").alias("key"), "quality"), _table(s, d, "labels").where("doc_id % 6 IN (0, 1)").select(F.expr("CASE WHEN doc_id % 6 = 1 THEN doc_id END").alias("key"), (F.col("quality") + 10).alias("quality")), "key").select("key", F.col("quality").cast("int").alias("quality"))
+ORACLES["upsert_null_keys"] = "SELECT CASE WHEN doc_id % 3 > 0 THEN doc_id END AS key, CAST(quality + CASE WHEN doc_id % 6 IN (0, 1) THEN 10 ELSE 0 END AS INTEGER) AS quality FROM labels WHERE doc_id % 3 > 0 OR doc_id % 6 = 0"
+
 # Joins and dialogues.
 PAIRS = "(SELECT conv_id, turn, text AS prompt, CASE WHEN nr = 'assistant' THEN nt END AS response FROM (SELECT *, lead(role) OVER w AS nr, lead(text) OVER w AS nt FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user')"
 
@@ -428,7 +431,7 @@ def _exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["user_assistant_pairs"] = _exchanges
 ORACLES["user_assistant_pairs"] = f"SELECT * FROM {PAIRS}"
 ORACLES["success_counts"] = f"SELECT CAST(count(*) FILTER (WHERE e = 0) AS BIGINT) AS successful, CAST(count(*) FILTER (WHERE e > 0) AS BIGINT) AS failed FROM (SELECT conv_id, count(*) FILTER (WHERE response IS NULL) AS e FROM {PAIRS} GROUP BY conv_id)"
-QUERIES["prompt_response_join"] = lambda s, d: _exchanges(s, d).select("conv_id", "turn", "prompt").join(ingest.last_wins(_exchanges(s, d).where("response IS NOT NULL").withColumn("at", F.struct("conv_id", "turn")), "prompt", "response", "at"), "prompt").select("conv_id", "turn", "response")
+QUERIES["prompt_response_join"] = lambda s, d: ingest.joined_by_text(_exchanges(s, d).select("conv_id", "turn", "prompt"), ingest.last_wins(_exchanges(s, d).where("response IS NOT NULL").withColumn("at", F.struct("conv_id", "turn")), "prompt", "response", "at"), "prompt").select("conv_id", "turn", "response")
 ORACLES["prompt_response_join"] = f"SELECT p.conv_id, p.turn, r.response FROM {PAIRS} p JOIN (SELECT prompt, arg_max(response, conv_id * 1000000 + turn) AS response FROM {PAIRS} WHERE response IS NOT NULL GROUP BY prompt) r ON p.prompt = r.prompt"
 for kind, how in (("answered_semi", "left_semi"), ("missing_responses_anti", "left_anti")):
     QUERIES[kind] = lambda s, d, h=how: _exchanges(s, d).join(_exchanges(s, d).where("response IS NOT NULL").select(F.col("conv_id").alias("c"), F.col("turn").alias("t")), (F.col("conv_id") == F.col("c")) & (F.col("turn") == F.col("t")), h).select("conv_id", "turn")

@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ingest import last_wins
+
 PROMPTS = "key string, prompt string, instruction_id_list array<string>, kwargs array<string>"
 RESPONSES = "prompt string, response string"
 
@@ -28,7 +30,7 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
     The order is that of files and of bytes in them; lines of one split keep theirs."""
     df = spark.read.schema(RESPONSES).json(path)
     at = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
-    return df.withColumn("at", at).groupBy("prompt").agg(F.max_by("response", "at").alias("response"))
+    return last_wins(df.withColumn("at", at), "prompt", "response", "at")
 
 
 def read_wide(spark: SparkSession, path: str) -> DataFrame:
