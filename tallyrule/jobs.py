@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import ingest
-from .operators.evaluate import evaluate_turns
+from .operators.evaluate import evaluate_turns, occurring
 from .plans import report
 from .sources import files
 
@@ -39,7 +39,7 @@ def evaluate_files(spark: SparkSession, input_data: str, responses: str, output_
     prompts = files.read_prompts(spark, input_data)
     language = prompts.select("language").first()
     language, safe = (language.language if language else ""), spark.range(1).select(ingest.safe_name(F.lit(model))).first()[0]
-    done = evaluate_turns(answered(prompts, files.read_responses(spark, responses)), ["key"], assume_lang=assume_lang)
+    done = evaluate_turns(answered(prompts, files.read_responses(spark, responses)), ["key"], occurring(prompts, assume_lang), assume_lang)
     path = f"{output_dir}/{language}_{safe}"
     details = done.select(*sorted({"prompt", "response", "instruction_id_list", "is_evaluated_list", "strict_all", "strict_list", "loose_all", "loose_list"}))
     details.write.mode("overwrite").parquet(f"{path}_outcome")  # evaluated once; the reports and details read it again
@@ -79,7 +79,7 @@ def run_items(spark: SparkSession, name: str, responses: DataFrame, out: str, li
         turns = turns.join(F.broadcast(ingest.limited(turns.select("key").distinct(), "key", limit)), "key", "left_semi")  # limit rows
     rows = turns.join(responses.select("key", "turn_index", "response"), ["key", "turn_index"], "left")
     rows = rows.withColumn("error", F.when(F.col("response").isNull(), F.lit("no response")))
-    scored = report.turn_scores(evaluate_turns(rows, ["key", "turn_index"]))
+    scored = report.turn_scores(evaluate_turns(rows, ["key", "turn_index"], occurring(turns)))
     scored.write.mode("overwrite").parquet(f"{out}/scored")
     scored = spark.read.parquet(f"{out}/scored")
     flat = report.flat_results(scored.withColumnsRenamed({"prompt": "input", "response": "output"}), "key")

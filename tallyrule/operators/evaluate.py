@@ -175,6 +175,12 @@ def evaluate_turns(turns: DataFrame, key: list[str], ids: list[str] | None = Non
     return out.withColumns({"strict_all": done & every(F.col("strict_list")), "loose_all": done & every(F.col("loose_list"))})
 
 
+def occurring(turns: DataFrame, assume_lang: str | None = None) -> list[str]:
+    """The resolved ids in turns' instruction_id_list, for ids: no more than there are instructions. Only that column is read."""
+    one = turns.select(F.explode("instruction_id_list").alias("i")).select(resolve(F.col("i"), assume_lang)[0].alias("i"))
+    return sorted(r.i for r in one.where("i IS NOT NULL").distinct().collect())
+
+
 def exploded(outcome: DataFrame, keep: list[str]) -> DataFrame:
     """A row for each instruction of evaluated turns: pos, instruction_id, status, evaluated, strict and loose."""
     parts = {"instruction_id": "instruction_id_list", "status": "status_list", "evaluated": "is_evaluated_list", "strict": "strict_list", "loose": "loose_list"}
