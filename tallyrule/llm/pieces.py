@@ -47,6 +47,10 @@ def rewrites(charsmap: bytes) -> dict[str, str]:
     return {k.decode(): v.decode() for k, v in found.items()}
 
 
+#: Characters of a text that are cut out at a time when a trie is followed.
+AHEAD = 64
+
+
 def trie_of(words) -> dict:
     """Nested {character: [the word that ends there or None, what leads on]}."""
     root: dict = {}
@@ -59,13 +63,15 @@ def trie_of(words) -> dict:
 
 
 def longest(trie: dict, text: str, at: int) -> str | None:
-    """The longest word of a trie at a place of a text."""
+    """The longest word of a trie at a place of a text; only as much of the text is looked at as the trie leads on."""
     found = None
-    for c in text[at:] if len(text) - at < 64 else text[at : at + 64]:
-        if (step := trie.get(c)) is None:
-            break
-        word, trie = step
-        found = word or found
+    while at < len(text):
+        for c in text[at : at + AHEAD]:
+            if (step := trie.get(c)) is None:
+                return found
+            word, trie = step
+            found = word or found
+        at += AHEAD
     return found
 
 

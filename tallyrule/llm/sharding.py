@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import OWN, read_table, shared_dir, stored
+from .common import OWN, read_table, shared_dir, small, stored
 
 SHARD, BUCKET, PAGE, SLOT, SIZE = (OWN + x for x in ("shard", "bucket", "page", "slot", "size"))
 
@@ -42,8 +42,7 @@ def shuffle_shards(rows: DataFrame, id_col: str = "doc_id", size_col: str = "siz
     page. Rows alike in all columns share a page and get slots of their own. An empty table gives no rows. Null sizes
     count as 0."""
     held = rows.agg(F.sum(size_col).alias("total"), F.count("*").alias("n")).first()
-    # At most 4096 buckets a shard, so that the table of their first slots stays small.
-    per_shard = min(4096, max(1, -(-int(held.total or 0) // (shards * bucket_bytes))))
+    per_shard = max(1, -(-int(held.total or 0) // (shards * bucket_bytes)))
     pages = max(1, -(-held.n // (shards * per_shard * bucket_rows)))
     # A map can't be hashed or sorted; such columns travel along.
     plain = [c for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind]
@@ -61,8 +60,7 @@ def shuffle_shards(rows: DataFrame, id_col: str = "doc_id", size_col: str = "siz
     held = held.withColumn("at", F.coalesce(F.sum(F.size("rows")).over(before), F.lit(0)))
     order = fisher_yates(F.size("rows"), lambda i: F.xxhash64(F.lit(seed), SHARD, BUCKET, PAGE, i))
     held = held.withColumn("rows", F.transform(order, lambda k: F.get("rows", k)))
-    # At most 4096 rows a shard: the bound of this broadcast.
-    out = held.join(F.broadcast(starts), [SHARD, BUCKET]).select(SHARD, (F.col("start") + F.col("at")).alias("start"), F.posexplode("rows").alias("pos", "row"))
+    out = held.join(small(starts), [SHARD, BUCKET]).select(SHARD, (F.col("start") + F.col("at")).alias("start"), F.posexplode("rows").alias("pos", "row"))
     return out.select(*(F.col("row").getField(c).alias(c) for c in rows.columns), SHARD, (F.col("start") + F.col("pos")).alias(SLOT))
 
 
