@@ -31,26 +31,31 @@ INFORMAL = {
 HONORIFIC = ["께서", "이십니다", "하십니다", "하시는", "하신", "하실", "계십니다", "계시는", "계신", "계실", "주십시오", "주세요", "드립니다", "드리는", "드린", "드릴", "말씀", "여쭤", "여쭙", "모십니다", "모시는", "모신", "모실", "진지", "댁", "따님", "아드님", "영감", "할머님", "할아버님"]
 
 # What confirms a request, how confirmations end, and what is no confirmation.
-CONFIRM = [
-    r"문의[를하]?\s*(?:주셨|하셨)", r"질문[을를]?\s*(?:주셨|하셨)", r"궁금[하해]\s*(?:하신|하시는)", r"알고\s*싶[어으]\s*(?:하신|하시는)", r"[을를가]\s*(?:문의|질문)[하해]\s*(?:주셨|셨)", r"(?:에\s*대해서?|관련해서?|대하여)\s*(?:문의|질문|궁금)", r"(?:문의|질문)\s*(?:사항|내용)", r"[이가]\s*궁금[하해]",
-    r"요청[을를]?\s*(?:주셨|하셨)", r"부탁[을를]?\s*(?:드렸|하셨)", r"[해하]달라고\s*(?:하셨|요청)", r"[을를가]\s*(?:요청|부탁)[하해]\s*(?:주셨|셨)", r"도움[을를]?\s*(?:요청|부탁)", r"[을를가]\s*원[하해]\s*(?:신다|십니다)", r"[을를가]\s*희망[하해]\s*(?:신다|십니다)",
-    r"확인[을를]?\s*(?:요청|부탁|원[하해])", r"[을를가]\s*확인[하해]\s*(?:주셨|달라)", r"점검[을를]?\s*(?:요청|부탁)", r"검토[를을]?\s*(?:요청|부탁)", r"체크[를을]?\s*(?:요청|부탁)",
-    r"정보[를을]?\s*(?:요청|문의)", r"[을를가]\s*알려\s*(?:주셨|달라)", r"설명[을를]?\s*(?:요청|부탁)", r"안내[를을]?\s*(?:요청|부탁)", r"[에대에서]\s*대한?\s*(?:정보|내용|설명)", r"[은는이가]\s*어떤지\s*(?:문의|질문)",
-    r"상태[를을]?\s*(?:확인|문의)", r"현황[을를]?\s*(?:확인|문의)", r"진행\s*(?:상황|상태)[을를]?\s*(?:확인|문의)", r"[이가]\s*어떻게\s*(?:되는지|진행)", r"언제\s*(?:가능|될지|되는지)\s*(?:문의|질문)",
-    r"(?:문의|질문)[을를]?\s*(?:주셨습니다|하셨네요|드리셨네요)", r"(?:요청|부탁)[을를]?\s*(?:주셨습니다|하셨네요|드리셨네요)", r"(?:에\s*대해|관련해서?)\s*(?:문의|질문|궁금해)", r"[을를가]\s*(?:말씀|언급)[하해]?\s*(?:주셨|셨)", r"(?:라고|하고)\s*(?:하셨|말씀하셨)", r"(?:인지|는지)\s*(?:문의|질문|궁금)", r"(?:습니다|네요|군요|요)\.?$",
-]
+CONFIRM = {
+    "inquiry": [r"문의[를하]?\s*(?:주셨|하셨)", r"질문[을를]?\s*(?:주셨|하셨)", r"궁금[하해]\s*(?:하신|하시는)", r"알고\s*싶[어으]\s*(?:하신|하시는)", r"[을를가]\s*(?:문의|질문)[하해]\s*(?:주셨|셨)", r"(?:에\s*대해서?|관련해서?|대하여)\s*(?:문의|질문|궁금)", r"(?:문의|질문)\s*(?:사항|내용)", r"[이가]\s*궁금[하해]"],
+    "request": [r"요청[을를]?\s*(?:주셨|하셨)", r"부탁[을를]?\s*(?:드렸|하셨)", r"[해하]달라고\s*(?:하셨|요청)", r"[을를가]\s*(?:요청|부탁)[하해]\s*(?:주셨|셨)", r"도움[을를]?\s*(?:요청|부탁)", r"[을를가]\s*원[하해]\s*(?:신다|십니다)", r"[을를가]\s*희망[하해]\s*(?:신다|십니다)"],
+    "verification": [r"확인[을를]?\s*(?:요청|부탁|원[하해])", r"[을를가]\s*확인[하해]\s*(?:주셨|달라)", r"점검[을를]?\s*(?:요청|부탁)", r"검토[를을]?\s*(?:요청|부탁)", r"체크[를을]?\s*(?:요청|부탁)"],
+    "information": [r"정보[를을]?\s*(?:요청|문의)", r"[을를가]\s*알려\s*(?:주셨|달라)", r"설명[을를]?\s*(?:요청|부탁)", r"안내[를을]?\s*(?:요청|부탁)", r"[에대에서]\s*대한?\s*(?:정보|내용|설명)", r"[은는이가]\s*어떤지\s*(?:문의|질문)"],
+    "status": [r"상태[를을]?\s*(?:확인|문의)", r"현황[을를]?\s*(?:확인|문의)", r"진행\s*(?:상황|상태)[을를]?\s*(?:확인|문의)", r"[이가]\s*어떻게\s*(?:되는지|진행)", r"언제\s*(?:가능|될지|되는지)\s*(?:문의|질문)"],
+}
+CONFIRM_ENDINGS = [r"(?:문의|질문)[을를]?\s*(?:주셨습니다|하셨네요|드리셨네요)", r"(?:요청|부탁)[을를]?\s*(?:주셨습니다|하셨네요|드리셨네요)", r"(?:에\s*대해|관련해서?)\s*(?:문의|질문|궁금해)", r"[을를가]\s*(?:말씀|언급)[하해]?\s*(?:주셨|셨)", r"(?:라고|하고)\s*(?:하셨|말씀하셨)", r"(?:인지|는지)\s*(?:문의|질문|궁금)", r"(?:습니다|네요|군요|요)\.?$"]
 NO_CONFIRM = [r"^(?:네|예|안녕|감사)", r"^(?:죄송|미안)", r"(?:답변|대답)[을를]?\s*(?:드리|해)", r"(?:설명|안내)[을를]?\s*(?:드리|해)", r"^(?:그렇|맞|틀)"]
-PARTICLES = ["은", "는", "이", "가", "을", "를", "에", "서", "의", "와", "과", "도", "로", "부", "터", "까", "지", "만"]
+PARTICLES = "[은는이가을를에서의와과도로부터까지만]"
 
 
-def add_patterns(formal: dict[str, list[str]] | None = None, informal: dict[str, list[str]] | None = None, honorific: list[str] | None = None) -> None:
-    """Adds patterns to the sets that the registry's rule reads, by kind of sentence; a kind that is new is made."""
-    for known, more in ((FORMAL, formal), (INFORMAL, informal)):
+def add_patterns(formal: dict[str, list[str]] | None = None, informal: dict[str, list[str]] | None = None, honorific: list[str] | None = None, confirm: dict[str, list[str]] | None = None) -> None:
+    """Adds patterns to the sets that the registry's rules read, by kind of sentence or of request; a kind that is new is made."""
+    for known, more in ((FORMAL, formal), (INFORMAL, informal), (CONFIRM, confirm)):
         for kind, patterns in (more or {}).items():
             known.setdefault(kind, []).extend(p for p in patterns if p not in known.get(kind, []))
     HONORIFIC.extend(w for w in honorific or [] if w not in HONORIFIC)
 
 
+def confirmations() -> list[str]:
+    """All patterns that confirm a request: those of each kind, then the endings."""
+    return [*(p for kind in CONFIRM.values() for p in kind), *CONFIRM_ENDINGS]
+
+
 def formal_text(x: Column, formal: list[str] | None = None, informal: list[str] | None = None) -> Column:
     """Every sentence of two characters or more is polite or neutral, and at least one is polite.
 
@@ -70,14 +75,15 @@ def normalized(text: str) -> str:
 
 
 def keywords(text: str) -> set[str]:
-    stems = (re.sub(f"[{''.join(PARTICLES)}]$", "", w) for w in re.findall(r"\w+", text))
-    return {w for w in stems if len(w) >= 2 and not w.isdigit()}
+    """Words between white space, marks included, of two characters or more without a particle at their end; numbers left out."""
+    stems = (re.sub(rf"{PARTICLES}\Z", "", w) for w in text.split())
+    return {w for w in stems if len(w) >= 2 and not re.fullmatch("[0-9]+", w)}
 
 
 def keyword_set(x: Column) -> Column:
-    """keywords as a column: distinct words of two characters or more without a particle at their end, numbers left out."""
-    stems = F.transform(F.regexp_extract_all(x, F.lit(f"({W}+)"), 1), lambda w: F.regexp_replace(w, f"[{''.join(PARTICLES)}]$", ""))
-    return F.array_distinct(F.filter(stems, lambda w: (F.length(w) >= 2) & ~w.rlike(r"^\p{Nd}+$")))
+    """keywords as a column."""
+    stems = F.transform(F.split(x, f"{S}+", -1), lambda w: F.regexp_replace(w, rf"{PARTICLES}\z", ""))
+    return F.array_distinct(F.filter(stems, lambda w: (F.length(w) >= 2) & ~w.rlike(r"^[0-9]+\z")))
 
 
 def similarity(a: str, b: str) -> float:
@@ -101,7 +107,7 @@ def confirms(text: str | None, prompt: str | None, least: float = LIKE) -> bool:
     if not first or not prompt:
         return False
     first, prompt = normalized(first), normalized(prompt)
-    if any(re.search(p, first) for p in NO_CONFIRM) or not any(re.search(p, first) for p in CONFIRM):
+    if any(re.search(p, first) for p in NO_CONFIRM) or not any(re.search(p, first) for p in confirmations()):
         return False
     return similarity(first, prompt) >= least
 
@@ -120,7 +126,7 @@ def first_line(x: Column) -> Column:
 def may_confirm(line: Column) -> Column:
     """Whether a normalised line reads like the confirmation of some request."""
     any_of = lambda patterns: "|".join(p.replace(r"\s", S) for p in patterns)
-    return (line != "") & line.rlike("(?d)" + any_of(CONFIRM)) & ~line.rlike("(?d)" + any_of(NO_CONFIRM))
+    return (line != "") & line.rlike("(?d)" + any_of(confirmations())) & ~line.rlike("(?d)" + any_of(NO_CONFIRM))
 
 
 def alike_each(lines: pd.Series, prompts: pd.Series) -> pd.Series:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.korean import CONFIRM, NO_CONFIRM, PARTICLES, first_line, formal_text, keyword_set, may_confirm, normalized_column
+from ..functions.korean import NO_CONFIRM, confirmations, first_line, formal_text, keyword_set, may_confirm, normalized_column
 from ..functions.language import ADDED, RUN, SCRIPTS, SHARED, detect
 from ..functions.patterns import compiled
 from ..functions.samples import SAMPLES
@@ -258,8 +258,9 @@ BAGS = f"SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_e
 QUERIES["rephrase_overlap"] = lambda s, d: I.shared_words(_pairs(s, d), "doc_id", "text", "original")
 ORACLES["rephrase_overlap"] = f"WITH bags AS ({BAGS}) SELECT doc_id, CAST(coalesce(value, 0) AS BIGINT) AS value FROM documents LEFT JOIN (SELECT a.doc_id, sum(least(a.n, b.n)) AS value FROM bags a JOIN bags b ON b.doc_id = a.doc_id + 1 AND b.word = a.word GROUP BY a.doc_id) USING (doc_id)"
 
-#: Distinct words without particles at their ends, of documents whose letters are Korean.
-STEMS = f"list_distinct(list_filter(list_transform(regexp_extract_all(text, '{W}+'), lambda w: regexp_replace(w, '[{''.join(PARTICLES)}]$', '')), lambda w: length(w) >= 2 AND NOT regexp_matches(w, '^\\p{{Nd}}+$')))"
+#: Distinct words between white space without a particle at their ends, of documents whose letters are Korean.
+ENDS = "은|는|이|가|을|를|에|서|의|와|과|도|로|부|터|까|지|만"
+STEMS = f"list_distinct(list_filter(list_transform(regexp_extract_all(text, '{NS}+'), lambda w: regexp_replace(w, '({ENDS})$', '')), lambda w: length(w) >= 2 AND NOT regexp_matches(w, '^[0-9]+$')))"
 measure("keywords_ko", "korean", lambda x: F.size(keyword_set(x)).cast("long"), f"CAST(len({STEMS}) AS BIGINT)")
 QUERIES["keyword_overlap"] = lambda s, d: _texts(s, d, "korean").select("doc_id", F.size(F.array_intersect(keyword_set(F.col("text")), keyword_set(F.substring_index("text", "\n", 1)))).cast("long").alias("value"))
 ORACLES["keyword_overlap"] = f"SELECT doc_id, CAST(len(list_intersect({STEMS}, {STEMS.replace('(text,', '(string_split(text, chr(10))[1],', 1)})) AS BIGINT) AS value FROM {_from('korean')}"
@@ -267,7 +268,7 @@ ORACLES["keyword_overlap"] = f"SELECT doc_id, CAST(len(list_intersect({STEMS}, {
 #: Requests and answers by turns, made of documents: which first lines read like a confirmation.
 TEXTS["requests"] = "concat(CASE doc_id % 4 WHEN 0 THEN '배송 상태 확인을  요청하셨네요 .' WHEN 1 THEN '네, 알려 주셨군요.' WHEN 2 THEN 'DOC 에 대해 문의' ELSE substr(text, 1, 30) END, chr(10), text)"
 LINE = rf"regexp_replace(regexp_replace(lower(string_split({strip_sql('text')}, chr(10))[1]), '{S}+', ' ', 'g'), '{S}*([.?!,:;]){S}*', '\1 ', 'g')"
-LIKELY = " OR ".join(f"regexp_matches({strip_sql(LINE)}, '{p.replace(chr(92) + 's', S)}')" for p in CONFIRM)
+LIKELY = " OR ".join(f"regexp_matches({strip_sql(LINE)}, '{p.replace(chr(92) + 's', S)}')" for p in confirmations())
 UNLIKELY = " OR ".join(f"regexp_matches({strip_sql(LINE)}, '{p.replace(chr(92) + 's', S)}')" for p in NO_CONFIRM)
 measure("confirmation_patterns", "requests", lambda x: may_confirm(normalized_column(first_line(x))), f"({LIKELY}) AND NOT ({UNLIKELY})")
 
