@@ -48,7 +48,7 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
-def stored(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
+def stored(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """df written to the shared folder and read again: no later failure recomputes it, and its size is known."""
     path = f"{shared_dir(df.sparkSession)}/tables/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
