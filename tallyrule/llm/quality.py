@@ -24,7 +24,7 @@ for _i, _c in enumerate(CLASSES):
 GRAMS = 128
 SIZE = K * K + GRAMS + 8
 THRESHOLD = 0.3
-#: Documents that are fitted on at once.
+#: Documents that are fitted on at once, about.
 CHUNK = 8192
 #: Bins of scores for the class prior.
 BINS = 1000
@@ -129,10 +129,23 @@ def featured(docs: DataFrame, spark: SparkSession) -> DataFrame:
     return docs.mapInArrow(trimmed(run, spark), f"id {docs.schema['id'].dataType.simpleString()}, x binary")
 
 
+def dealt(rows: DataFrame, n: int) -> DataFrame:
+    """The distinct rows (id, x), of which there are about n, as one row x: array<binary> for each CHUNK of them.
+
+    A hash of the row picks its chunk and rows are sorted in it, so that chunks are the same however rows are split over
+    files and tasks. Repeats go before the shuffle; no chunk is large, as distinct rows spread evenly."""
+    chunk = F.pmod(F.xxhash64("id", "x", F.lit(11)), F.lit(max(1, round(n / CHUNK))))
+    return rows.groupBy(chunk.alias("chunk")).agg(F.array_sort(F.collect_set(F.struct("id", "x"))).alias("rows")).select(F.col("rows.x").alias("x"))
+
+
 def _chunks(batches):
-    """The rows of a task, CHUNK at a time."""
+    """The rows of a task, CHUNK at a time, or as they are dealt."""
     held = []
     for batch in batches:
+        if pa.types.is_list(batch.schema.field(0).type):
+            for rows in batch.column(0):
+                yield matrix(rows.as_py())
+            continue
         held += batch.column(0).to_pylist()
         while len(held) >= CHUNK:
             yield matrix(held[:CHUNK])
@@ -176,30 +189,32 @@ def fit(feats: DataFrame, labels: DataFrame, max_rows: int = 2000, seed: int = 3
 
     Trusted positives are documents that all their labels call 1; the model is fitted on at most max_rows of them, those of
     the lowest seeded hashes of ids and features: the bound that is documented for labelled rows. Everything else covers
-    all rows: mean and scale of the features, the class prior, and the risk on unlabelled rows. Chunks of rows are fitted
-    side by side from the same weights and averaged (iterative parameter mixing, which suits a convex risk), a few rounds.
+    all rows: mean and scale of the features, the class prior, and the risk on unlabelled rows. Chunks of distinct rows,
+    dealt by hash, are fitted side by side from the same weights and averaged (iterative parameter mixing, which suits a
+    convex risk), a few rounds. What is summed over chunks is rounded, so that the order of sums doesn't show in a score.
 
     The prior is estimated from one half of the trusted rows, all of them, against all unlabelled rows, by a model that was
     fitted on the other half: first one that tells positives from unlabelled rows, then one of the risk with that prior.
     Labels of negatives decide nothing but which documents aren't trusted. Without positives in both halves, or without
     documents, there is no model: None."""
     judged = labels.where(F.col("quality").isin(0, 1) & ~held_out("doc_id")).groupBy(F.col("doc_id").alias("id")).agg(F.min("quality").alias("q"))
-    unlabelled = feats.where(~held_out("id"))
+    fitted_on = feats.where(~held_out("id"))
+    unlabelled = stored(dealt(fitted_on, fitted_on.count()), "unlabelled")
     draw = F.xxhash64("id", "x", F.lit(seed))
-    trusted = stored(unlabelled.join(judged.where("q = 1"), "id", "left_semi").select("id", "x").distinct().withColumn("half", F.pmod(draw, F.lit(2))), "trusted")
+    trusted = stored(fitted_on.join(judged.where("q = 1"), "id", "left_semi").select("id", "x").distinct().withColumn("half", F.pmod(draw, F.lit(2))), "trusted")
     sample = trusted.orderBy(draw, "id", "x").limit(max_rows).select("x", "half").toArrow()
     first = sample["half"].to_numpy() == 0
     sums = _sums(unlabelled, _moments, 2 * SIZE + 1)
     n = sums[-1]
     if not n or first.all() or not first.any():
         return None
-    mean = sums[:SIZE] / n
-    scale = np.sqrt(np.maximum(sums[SIZE:-1] / n - mean**2, 0)) + 0.02
+    mean = np.round(sums[:SIZE] / n, 6)
+    scale = np.round(np.sqrt(np.maximum(sums[SIZE:-1] / n - mean**2, 0)) + 0.02, 6)
     p = centred(matrix(sample["x"].to_pylist()), mean, scale)
 
     def mixed(w, part, prior, steps, rate):
         total = _sums(unlabelled, partial(_fitted, p=part, mean=mean, scale=scale, w=w, prior=prior, steps=steps, rate=rate), SIZE + 2)
-        return total[:-1] / total[-1]
+        return np.round(total[:-1] / total[-1], 5)
 
     def prior_by(w):
         binned = partial(_binned, mean=mean, scale=scale, w=w)

@@ -523,6 +523,25 @@ def test_risk_and_its_minimum():
     assert quality.risk_parts(p, u[-40:], low, 0.99)[1] > quality.risk_parts(p, u[-40:], np.array([4.0, 4.0, 4.0]), 0.99)[1]
 
 
+def test_one_model_for_any_layout(spark, tmp_path, monkeypatch):
+    """The same rows in 1, 8 and 40 files, some of them repeated, are scored alike and rejected alike; so in several chunks."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    monkeypatch.setattr(quality, "CHUNK", 200)
+    got = []
+    for n in (1, 8, 40):
+        path = str(tmp_path / str(n))
+        docs.union(docs.where("doc_id < 9 * 8")).repartition(n, *([] if n == 8 else ["text"])).write.parquet(path)
+        feats = quality.featured(spark.read.parquet(path).select(F.col("doc_id").alias("id"), "text"), spark)
+        model = quality.fit(feats, labels)
+        got.append((model, feats.select("id", quality.scorer(model, False)("x").alias("score")).toPandas().groupby("id").score.first().sort_index()))
+    (a, first), *rest = got
+    for b, other in rest:
+        assert b[3] == a[3] and np.abs(other - first).max() < 1e-6 and ((other >= 0.3) == (first >= 0.3)).all()
+    n = docs.where(~quality.held_out("doc_id")).count()
+    sizes = [len(r.x) for r in quality.dealt(quality.featured(docs.select(F.col("doc_id").alias("id"), "text"), spark).where(~quality.held_out("id")), n).collect()]
+    assert sum(sizes) == n and len(sizes) == round(n / 200) and max(sizes) < 300
+
+
 def test_prior_needs_no_negatives():
     r = np.random.default_rng(1)
     bins = lambda x: np.histogram(x, quality.BINS, (0, 1))[0]
