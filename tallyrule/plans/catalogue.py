@@ -9,7 +9,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text as X
+from ..functions import boundaries, text as X
 from ..functions.korean import NO_CONFIRM, confirmations, first_line, formal_text, keyword_set, may_confirm, normalized_column
 from ..functions.language import ADDED, RUN, SCRIPTS, SHARED, detect
 from ..functions.patterns import compiled
@@ -19,6 +19,7 @@ from ..operators import ingest, instructions as I
 from ..operators.evaluate import evaluate_specs, evaluate_turns, explode_specs, exploded
 from ..sources.files import read_spread
 from ..streaming import dialogue
+from ..streaming.sinks import kept
 from . import report
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -248,6 +249,54 @@ ENDS = rf"len(regexp_extract_all(concat(regexp_replace(regexp_replace({strip_sql
 measure("number_sentences_en", "prose", count_sentences, f"CAST(CASE WHEN regexp_matches(text, '{NS}') THEN {ENDS} + 1 ELSE 0 END AS BIGINT)")
 
 
+def _learnt(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, boundaries.Boundaries]:
+    docs = read_spread(spark, f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return docs, boundaries.train(docs, keep=kept)
+
+
+def _term(k: str, m: str, q: str) -> str:
+    return f"CASE WHEN {k} > 0 THEN {k} * ln({q}) ELSE 0.0 END + CASE WHEN {m} > {k} THEN ({m} - {k}) * ln(1 - {q}) ELSE 0.0 END"
+
+
+def _log_ratio(both: str, first: str, second: str, n: str = "every") -> str:
+    """The likelihood ratio of first and second standing together, of counts as doubles."""
+    both, first, second, n = (f"CAST({c} AS DOUBLE)" for c in (both, first, second, n))
+    rest, others = f"({second} - {both})", f"({n} - {first})"
+    alone = f"({second} / {n})"
+    return f"2 * ({_term(both, first, f'({both} / {first})')} + {_term(rest, others, f'({rest} / {others})')} - ({_term(both, first, alone)}) - ({_term(rest, others, alone)}))"
+
+
+def _type(word: str) -> str:
+    bare = rf"lower(regexp_replace({word}, '[.,;:!?]+\z', ''))"
+    return rf"CASE WHEN regexp_matches({bare}, '^[0-9][0-9.,:/-]*\z') THEN '##' ELSE {bare} END"
+
+
+#: Words with their neighbours, counts by type, what follows a period, and the model of boundaries.
+LEARNT = rf"""WITH bare AS (SELECT doc_id, list_filter(list_transform(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: regexp_replace(regexp_replace(w, '^["''(\[{{“‘«]+', ''), '["'')\]}}”’»]+\z', '')), lambda w: w != '') AS w FROM documents),
+places AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM bare),
+words AS (SELECT doc_id, w[i] AS word, w[i + 1] AS next, CASE WHEN i > 1 THEN w[i - 1] END AS before FROM places),
+near AS (SELECT *, {_type('word')} AS type, CASE WHEN next IS NOT NULL THEN {_type('next')} END AS next_type, regexp_matches(word, '(^|[^.])\.\z') AS dot FROM words),
+total AS (SELECT count(*) AS every, sum(dot::BIGINT) AS dots FROM near),
+counts AS (SELECT type, count(*) AS n, sum(dot::BIGINT) AS n_dot, sum(regexp_matches(word, '^\p{{Ll}}')::BIGINT) AS n_lower, sum(regexp_matches(word, '^\p{{Lu}}')::BIGINT) AS n_upper, sum((regexp_matches(word, '^\p{{Lu}}') AND before IS NOT NULL AND NOT regexp_matches(before, '[.!?:]\z'))::BIGINT) AS n_inside FROM near GROUP BY type),
+sized AS (SELECT *, CAST(length(replace(type, '.', '')) AS DOUBLE) AS size, n - n_dot AS plain FROM counts, total),
+judged AS (SELECT *, n_lower > 0 AND n_upper > 0 AND n_inside = 0 AS opens, CASE WHEN regexp_matches(type, '^\p{{L}}') AND n_dot > 0 AND dots < every THEN 2 * (n_dot * (ln(0.99::DOUBLE) - ln(dots / every)) + plain * (ln(1 - 0.99::DOUBLE) - ln(1 - dots / every))) * exp(-size) * (length(type) - size + 1) * pow(size, -plain::DOUBLE) >= 0.3 ELSE false END AS abbreviation FROM sized),
+follows AS (SELECT type, next_type, count(*) AS n_both, bool_or(type IN (SELECT type FROM judged WHERE abbreviation) OR type = '##' OR regexp_matches(type, '^\p{{L}}\z')) AS held FROM near WHERE dot AND next_type IS NOT NULL GROUP BY ALL),
+after AS (SELECT next_type AS type, sum(n_both) AS n_after FROM follows WHERE NOT held GROUP BY next_type),
+breaks AS (SELECT sum(n_both) AS n_breaks FROM follows WHERE NOT held),
+model AS (SELECT type, abbreviation, opens, coalesce(CASE WHEN n_after / n_breaks > n / every AND regexp_matches(type, '^\p{{L}}') AND n_breaks < every THEN {_log_ratio('n_after', 'n_breaks', 'n')} >= 30 ELSE false END, false) AS starter FROM judged LEFT JOIN after USING (type), breaks),
+pairs AS (SELECT f.type, f.next_type FROM follows f JOIN counts a ON a.type = f.type JOIN counts b ON b.type = f.next_type, total WHERE held AND f.next_type != '##' AND n_both > 1 AND a.n_dot < every AND f.next_type NOT IN (SELECT type FROM model WHERE starter) AND CASE WHEN n_both / a.n_dot > b.n / every THEN {_log_ratio('n_both', 'a.n_dot', 'b.n')} >= 7.88 ELSE false END)
+"""
+QUERIES["sentence_model"] = lambda s, d: _learnt(s, d)[1].types
+ORACLES["sentence_model"] = LEARNT + "SELECT type, abbreviation, starter, opens FROM model WHERE abbreviation OR starter OR opens"
+QUERIES["sentence_pairs"] = lambda s, d: _learnt(s, d)[1].pairs
+ORACLES["sentence_pairs"] = LEARNT + "SELECT type, next_type FROM pairs"
+QUERIES["sentences_learnt"] = lambda s, d: boundaries.sentence_counts(*_learnt(s, d), "doc_id")
+ORACLES["sentences_learnt"] = LEARNT + r"""SELECT b.doc_id, CAST(sum(CASE WHEN len(b.w) > 0 THEN 1 ELSE 0 END) + coalesce(any_value(cuts), 0) AS BIGINT) AS n_sentences FROM bare b LEFT JOIN (
+SELECT n.doc_id, count(*) AS cuts FROM near n LEFT JOIN model m ON m.type = n.type LEFT JOIN model o ON o.type = n.next_type LEFT JOIN pairs p ON p.type = n.type AND p.next_type = n.next_type
+WHERE n.next IS NOT NULL AND regexp_matches(word, '[.!?]\z') AND CASE WHEN regexp_matches(word, '[!?]\z') THEN true WHEN NOT dot THEN regexp_matches(next, '^\p{Lu}') WHEN p.type IS NOT NULL THEN false
+WHEN coalesce(m.abbreviation, false) OR regexp_matches(n.type, '^\p{L}\z') THEN regexp_matches(next, '^\p{Lu}') AND coalesce(o.starter OR o.opens, false) WHEN n.type = '##' THEN NOT regexp_matches(next, '^\p{Ll}') ELSE true END GROUP BY n.doc_id) USING (doc_id) GROUP BY b.doc_id"""
+
+
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with the text of the next id, if there is one."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -18,6 +18,13 @@ def stream_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="streams-")
 
 
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """df written to the shared folder and read again, for tables that several later steps read."""
+    path = f"{stream_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def collected(stream: DataFrame, folder: str) -> DataFrame:
     """All that a stream gives for what is there now, as Parquet in a folder: for bounded inputs."""
     path = f"{folder}/{uuid.uuid4().hex}"
