@@ -486,7 +486,14 @@ ORACLES["prompt_response_join"] = f"SELECT p.conv_id, p.turn, r.response FROM {P
 for kind, how in (("answered_semi", "left_semi"), ("missing_responses_anti", "left_anti")):
     QUERIES[kind] = lambda s, d, h=how: _exchanges(s, d).join(_exchanges(s, d).where("response IS NOT NULL").select(F.col("conv_id").alias("c"), F.col("turn").alias("t")), (F.col("conv_id") == F.col("c")) & (F.col("turn") == F.col("t")), h).select("conv_id", "turn")
     ORACLES[kind] = f"SELECT conv_id, turn FROM {PAIRS} WHERE response IS {'NOT ' if how == 'left_semi' else ''}NULL"
-QUERIES["dialogue_history"] = lambda s, d: dialogue.history(_table(s, d, "conversations")).select("conv_id", "turn", F.size("history").cast("long").alias("n"), F.array_join(F.transform("history", lambda h: h["role"]), ",").alias("roles"), F.length(F.array_join(F.transform("history", lambda h: h["text"]), "|")).cast("long").alias("chars"))
+
+
+def _lengths(histories: DataFrame) -> DataFrame:
+    """Each history by its number of messages, their roles and the length of their texts."""
+    return histories.select("conv_id", "turn", F.size("history").cast("long").alias("n"), F.array_join(F.transform("history", lambda h: h["role"]), ",").alias("roles"), F.length(F.array_join(F.transform("history", lambda h: h["text"]), "|")).cast("long").alias("chars"))
+
+
+QUERIES["dialogue_history"] = lambda s, d: _lengths(dialogue.history(_table(s, d, "conversations")))
 ORACLES["dialogue_history"] = "SELECT conv_id, turn, CAST(count(*) OVER w AS BIGINT) AS n, string_agg(role, ',') OVER w AS roles, CAST(sum(length(text)) OVER w + count(*) OVER w - 1 AS BIGINT) AS chars FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 QUERIES["stop_after_error"] = lambda s, d: dialogue.until_error(_exchanges(s, d).withColumn("error", F.when(F.length("prompt") < 100, F.lit("short"))), "conv_id", "turn", "error").select("conv_id", "turn", "error")
 ORACLES["stop_after_error"] = f"SELECT conv_id, turn, error FROM (SELECT *, coalesce(sum(CASE WHEN error IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM (SELECT *, CASE WHEN length(prompt) < 100 THEN 'short' END AS error FROM {PAIRS})) WHERE b = 0"
@@ -500,3 +507,14 @@ def _fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["dialogue_stream_fold"] = _fold
 ORACLES["dialogue_stream_fold"] = "SELECT conv_id, turn, CAST(count(*) OVER w AS BIGINT) AS n_messages, CAST(sum(length(text)) OVER w AS BIGINT) AS n_chars FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)"
+
+
+def _stream_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming.sinks import collected, stream_folder
+
+    said = spark.readStream.schema("conv_id long, turn long, role string, text string").parquet(f"{sf_dir}/conversations.parquet*")
+    return _lengths(collected(dialogue.history_stream(said), stream_folder(spark)))
+
+
+QUERIES["dialogue_stream_history"] = _stream_history
+ORACLES["dialogue_stream_history"] = ORACLES["dialogue_history"]

@@ -80,3 +80,36 @@ def fold_stream(messages: DataFrame) -> DataFrame:
         yield pd.DataFrame(out, columns=["conv_id", "turn", "n_messages", "n_chars"])
 
     return messages.groupBy("conv_id").applyInPandasWithState(step, "conv_id long, turn long, n_messages long, n_chars long", "n long, chars long", "append", "NoTimeout")
+
+
+def history_stream(messages: DataFrame, error: str | None = None) -> DataFrame:
+    """conv_id, turn, role, text, late, history of a stream of messages (conv_id, turn, role, text): as `history`, turn by turn.
+
+    State holds each conversation's messages, its last turn and whether it has ended; a restart goes on from it. Within a
+    batch messages are taken in the order of their turns, null first. One that comes in a later batch than a message of its
+    own or a later turn is late: it comes out without a history, and later ones don't see it. With error, the name of a
+    column, a conversation ends with its first message that has one, as with `until_error`: later ones don't come out."""
+    kinds = "conv_id {}, turn long, role string, text string, late boolean, history array<struct<role:string,text:string>>"
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        roles, texts, last, ended = state.get if state.exists else ([], [], None, False)
+        roles, texts, seen, out = list(roles), list(texts), len(roles) > 0, []
+        before = last
+        rows = pd.concat(list(frames)).sort_values("turn", na_position="first", kind="stable")
+        for turn, role, text, failed in rows[["turn", "role", "text", "__error"]].itertuples(index=False):
+            turn = None if pd.isna(turn) else int(turn)
+            if ended:
+                break
+            late = seen and (turn is None or (before is not None and turn <= before))
+            if not late:
+                roles.append(role)
+                texts.append(text)
+                last, ended = turn, bool(failed)
+            out.append((key[0], turn, role, text, late, None if late else [{"role": r, "text": t} for r, t in zip(roles, texts, strict=True)]))
+        state.update((roles, texts, last, ended))
+        yield pd.DataFrame(out, columns=["conv_id", "turn", "role", "text", "late", "history"]).astype({"turn": "Int64"})
+
+    failed = F.col(error).isNotNull() if error else F.lit(False)
+    rows = messages.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text", failed.alias("__error"))
+    kinds = kinds.format(messages.schema["conv_id"].dataType.simpleString())
+    return rows.groupBy("conv_id").applyInPandasWithState(step, kinds, "roles array<string>, texts array<string>, last long, ended boolean", "append", "NoTimeout")
