@@ -129,11 +129,18 @@ def unfenced(x: Column) -> Column:
 def is_json(x: Column) -> Column:
     """JSON, scalars, duplicate keys and the names NaN, Infinity and -Infinity included.
 
-    String literals are put aside; outside them the three names are read as 0. Needs
+    String literals are put aside; outside them the three names are read as 0. The parser stops behind the first value, so
+    the text has to stand in an array before a mark that it can't hold: its own hash. Needs
     spark.sql.variant.allowDuplicateKeys=true for duplicate keys."""
     plain = F.regexp_replace(x, r'("(?:[^"\\]|\\.)*")|-?Infinity|NaN', "$1~")
     numbers = F.regexp_replace(F.regexp_replace(plain, r'("(?:[^"\\]|\\.)*")~', "$1"), r'(?<![\w"~])~(?![\w"])', "0")
-    return F.try_parse_json(F.when(x.rlike("NaN|Infinity"), numbers).otherwise(x)).isNotNull()
+    mark = F.sha2(x, 256)
+
+    def whole(y: Column) -> Column:
+        held = F.try_parse_json(F.concat(F.lit("["), y, F.lit(',"'), mark, F.lit('"]')))
+        return F.try_parse_json(y).isNotNull() & F.coalesce(F.try_variant_get(held, "$[1]", "string") == mark, F.lit(False))
+
+    return F.when(x.rlike("NaN|Infinity"), whole(numbers)).otherwise(whole(x))
 
 
 def title(x: Column) -> Column:
