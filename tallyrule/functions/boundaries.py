@@ -27,10 +27,21 @@ class Boundaries:
     pairs: DataFrame
 
 
+#: White space between words; marks that open a word and such that close one, each as a class of its own.
+SPACE, OPENING, CLOSING = r"[\x20\x09-\x0D]", r"[\"'(\[{“‘«]", r"[\"')\]}”’»]"
+
+
+def _bare(x: Column) -> Column:
+    """A text without opening marks before its words and closing ones behind them.
+
+    The marks go in two passes over the text, not word by word; all else is passed over at its first sign."""
+    out = F.regexp_replace(F.coalesce(x, F.lit("")), rf"{OPENING}(?<![^\x20\x09-\x0D](?s:.)){OPENING}*+", "")
+    return F.regexp_replace(out, rf"{CLOSING}++(?=\z|{SPACE})", "")
+
+
 def words(x: Column) -> Column:
     """The words of a text without opening marks before and closing ones behind them; those without any other sign go."""
-    bare = F.transform(F.split(F.coalesce(x, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: F.regexp_replace(F.regexp_replace(w, r"^[\"'(\[{“‘«]+", ""), r"[\"')\]}”’»]+\z", ""))
-    return F.filter(bare, lambda w: w != "")
+    return F.array_remove(F.split(_bare(x), rf"{SPACE}+"), "")
 
 
 def type_of(w: Column) -> Column:
@@ -47,15 +58,24 @@ def log_ratio(n_both: Column, n_first: Column, n_second: Column, n: Column) -> C
     return 2 * (term(n_both, n_first, p1) + term(rest, others, p2) - term(n_both, n_first, p) - term(rest, others, p))
 
 
-def _neighbours(docs: DataFrame, text: str, *keep: str) -> DataFrame:
-    """A row for each word of docs: type, dot (it ends in one period), mark (it ends in any), upper, lower, and of the next
-    word next_type, next_upper, next_lower; null after the last."""
-    w = docs.select(*keep, words(F.col(text)).alias("__w"))
-    at = F.transform("__w", lambda x, i: F.struct(x.alias("word"), F.get("__w", i + 1).alias("next"), F.get("__w", i - 1).alias("before")))
-    w = w.select(*keep, F.explode(at).alias("__a")).select(*keep, "__a.*")
-    shape = {"type": type_of(F.col("word")), "dot": F.col("word").rlike(r"(^|[^.])\.\z"), "mark": F.col("word").rlike(r"[.!?]\z"), "upper": F.col("word").rlike(r"^\p{Lu}"), "lower": F.col("word").rlike(r"^\p{Ll}")}
-    after = {"next_type": type_of(F.col("next")), "next_upper": F.col("next").rlike(r"^\p{Lu}"), "next_lower": F.col("next").rlike(r"^\p{Ll}")}
-    return w.withColumns({**shape, **after, "inside": F.col("before").isNotNull() & ~F.col("before").rlike(r"[.!?:]\z")})
+def _runs(x: Column, marks: str, sign: str) -> Column:
+    """The words of a text, cut where sign has a line break; sign stands between words of which the first ends in one of marks."""
+    lines = F.regexp_replace(F.btrim(_bare(x), F.lit(" \t\n\x0b\x0c\r")), rf"{SPACE}+", "\n")
+    return F.split(F.concat(F.lit("\t" if "\n" in sign else ""), F.regexp_replace(lines, rf"(?<=[{marks}])\n", sign)), "\n")
+
+
+def _neighbours(docs: DataFrame, text: str, marks: str, *keep: str) -> DataFrame:
+    """A row for each word of docs that ends in one of marks, with the next one; none for the last. No other word gets a row."""
+    runs = docs.select(*keep, F.explode(_runs(F.col(text), marks, "\t")).alias("__r")).where(F.contains("__r", F.lit("\t")))
+    w = runs.select(*keep, F.split("__r", "\t").alias("__w"))
+    rest = F.size("__w") - 1
+    return w.select(*keep, F.inline(F.arrays_zip(F.slice("__w", F.lit(1), rest).alias("word"), F.slice("__w", F.lit(2), rest).alias("next"))))
+
+
+def _shapes(distinct: DataFrame) -> DataFrame:
+    """Words with type, dot (it ends in one period), upper and lower."""
+    shape = {"type": type_of(F.col("word")), "dot": F.col("word").rlike(r"(^|[^.])\.\z"), "upper": F.col("word").rlike(r"^\p{Lu}"), "lower": F.col("word").rlike(r"^\p{Ll}")}
+    return distinct.withColumns(shape)
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -66,9 +86,12 @@ def train(docs: DataFrame, text: str = "text", keep=lambda df, name: df) -> Boun
     """A model of the texts of docs. keep(df, name) may store a table on the way, so that a later step reads it again.
 
     Null and empty texts have no words; rows that repeat count as often as they stand. Without words the model is empty."""
-    near = _neighbours(docs, text)
-    one = lambda c: F.sum(c.cast("long"))
-    counts = near.groupBy("type").agg(F.count("*").alias("n"), one(F.col("dot")).alias("n_dot"), one(F.col("lower")).alias("n_lower"), one(F.col("upper")).alias("n_upper"), one(F.col("upper") & F.col("inside")).alias("n_inside"))
+    # Words are counted as they stand; what they look like is found out once for each distinct one. A tab stands before
+    # those that open a text or follow a mark.
+    forms = docs.select(F.explode(_runs(F.col(text), ".!?:", "\n\t")).alias("form")).groupBy("form").agg(F.count("*").alias("n"))
+    forms = _shapes(forms.select(F.ltrim("form", F.lit("\t")).alias("word"), "n", F.when(F.startswith("form", F.lit("\t")), 0).otherwise(F.col("n")).alias("inside")).where("word != ''"))
+    of = lambda c, n="n": F.sum(F.when(F.col(c), F.col(n)).otherwise(0))
+    counts = forms.groupBy("type").agg(F.sum("n").alias("n"), of("dot").alias("n_dot"), of("lower").alias("n_lower"), of("upper").alias("n_upper"), of("upper", "inside").alias("n_inside"))
     counts = keep(counts, "types")
     total = F.broadcast(counts.agg(F.sum("n").alias("all"), F.sum("n_dot").alias("dots")))  # one row
     p, plain = F.col("dots") / F.col("all"), F.col("n") - F.col("n_dot")
@@ -81,7 +104,8 @@ def train(docs: DataFrame, text: str = "text", keep=lambda df, name: df) -> Boun
     known = keep(judged.where("abbreviation").select("type"), "abbreviations")
 
     # What follows a period, by what stands before it: after an end, or after an abbreviation, a letter or a number.
-    follows = near.where("dot AND next_type IS NOT NULL").groupBy("type", "next_type").agg(F.count("*").alias("n_both"))
+    follows = _shapes(_neighbours(docs, text, ".").groupBy("word", "next").agg(F.count("*").alias("n")))
+    follows = follows.where("dot").withColumn("next_type", type_of(F.col("next"))).groupBy("type", "next_type").agg(F.sum("n").alias("n_both"))
     follows = follows.join(_small(known.withColumn("abbreviation", F.lit(True))), "type", "left").withColumn("held", F.coalesce("abbreviation", F.lit(False)) | (F.col("type") == "##") | F.col("type").rlike(r"^\p{L}\z"))
     follows = keep(follows.select("type", "next_type", "n_both", "held"), "follows")
     ends = follows.where("NOT held").groupBy(F.col("next_type").alias("type")).agg(F.sum("n_both").alias("n_after"))
@@ -105,7 +129,9 @@ def ends(docs: DataFrame, model: Boundaries, key: str, text: str = "text") -> Da
     ! and ? end one always, dots in a row before a capital. A period does, unless the word is an abbreviation or a single
     letter: then only before a capital that starts sentences, or is else written small; or a number before a small letter.
     Pairs that stand together across a period are never cut."""
-    at = _neighbours(docs, text, key).where("mark AND next_type IS NOT NULL").select(key, "word", "type", "dot", "next_type", "next_upper", "next_lower")
+    at = _shapes(_neighbours(docs, text, ".!?", key))
+    after = {"next_type": type_of(F.col("next")), "next_upper": F.col("next").rlike(r"^\p{Lu}"), "next_lower": F.col("next").rlike(r"^\p{Ll}")}
+    at = at.withColumns(after).select(key, "word", "type", "dot", "next_type", "next_upper", "next_lower")
     types = model.types
     at = at.join(_small(types.select("type", "abbreviation").where("abbreviation")), "type", "left")
     at = at.join(_small(types.where("starter OR opens").select(F.col("type").alias("next_type"), F.lit(True).alias("begins"))), "next_type", "left")
@@ -121,6 +147,6 @@ def ends(docs: DataFrame, model: Boundaries, key: str, text: str = "text") -> Da
 
 def sentence_counts(docs: DataFrame, model: Boundaries, key: str, text: str = "text") -> DataFrame:
     """key and n_sentences for each distinct key of docs, over all its rows; 0 where there are no words."""
-    base = docs.groupBy(key).agg(F.sum((F.size(words(F.col(text))) > 0).cast("long")).alias("some"))
+    base = docs.groupBy(key).agg(F.sum(_bare(F.col(text)).rlike(r"[^\x20\x09-\x0D]").cast("long")).alias("some"))
     cuts = ends(docs, model, key, text).groupBy(F.col(key).alias("__k")).agg(F.count("*").alias("cuts"))
     return base.join(cuts, F.col(key).eqNullSafe(F.col("__k")), "left").select(key, (F.col("some") + F.coalesce("cuts", F.lit(0))).alias("n_sentences"))

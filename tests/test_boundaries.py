@@ -116,3 +116,16 @@ def test_no_words(spark):
         model = boundaries.train(docs)
         assert not model.types.count() and not model.pairs.count()
         assert {r.id: r.n_sentences for r in boundaries.sentence_counts(docs, model, "id").collect()} == {i: 0 for i, _ in rows}
+
+
+def test_words_are_counted_before_their_shapes_are_found_out(spark):
+    """One aggregation lies below all patterns on words: they see distinct words, not each one."""
+    docs = spark.createDataFrame([(1, "The (dog) barks. It's “fine”, e.g. \"so\". A 'b'c' ((x)) '' .\" ok")], "id long, text string")
+    seen = {}
+    boundaries.train(docs, keep=lambda df, name: seen.setdefault(name, df))
+    for name in ("types", "follows"):
+        plan = seen[name]._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        deepest = max(i for i, line in enumerate(plan) if "Aggregate [" in line)
+        assert not [x for x in ("RLIKE", "lambda", "lower(") if x in "".join(plan[deepest + 1 :])]
+    got = docs.select(boundaries.words(docs.text).alias("w")).first().w
+    assert got == words(docs.first().text) and "b'c" in got
