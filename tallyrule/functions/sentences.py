@@ -47,7 +47,8 @@ def count_sentences(x: Column) -> Column:
 
     A period after an abbreviation or a single letter is no end; dots in a row are one only before a capital."""
     known = "|".join([*(a.replace(".", r"\.") for a in ABBREVIATIONS), r"\p{L}"])
-    end = rf"(?:[?!]{CLOSING}|\.{{2,}}{CLOSING}(?={S}+\p{{Lu}})|(?<!\.)(?<!(?:^|[^\p{{L}}\p{{N}}.])(?i:{known}))\.{CLOSING})(?={S}+[^\x00-\x20])"
+    # Only at a mark is anything looked at behind it.
+    end = rf"(?=[.?!])(?:[?!]{CLOSING}|\.{{2,}}{CLOSING}(?={S}+\p{{Lu}})|(?<!\.)(?<!(?:^|[^\p{{L}}\p{{N}}.])(?i:{known}))\.{CLOSING})(?={S}+[^\x00-\x20])"
     return F.when(blank(x), F.lit(0)).otherwise(count(strip(x), end) + 1).cast("long")
 
 
