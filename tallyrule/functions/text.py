@@ -100,10 +100,14 @@ def capital_words(x: Column) -> Column:
 
 def star_paragraphs(x: Column) -> Column:
     """Number of paragraphs between ***; null if one in the middle is blank."""
-    p = F.split(x, rf"{S}?\*\*\*{S}?", -1)
-    middle = F.slice(p, F.lit(2), F.greatest(F.size(p) - 2, F.lit(0)))
-    ends = F.when(blank(F.get(p, F.lit(0))), 1).otherwise(0) + F.when((F.size(p) > 1) & blank(F.element_at(p, -1)), 1).otherwise(0)
-    return F.when(F.forall(middle, lambda y: ~blank(y)), (F.size(p) - ends).cast("long"))
+
+    def counted(p: Column) -> Column:
+        middle = F.slice(p, F.lit(2), F.greatest(F.size(p) - 2, F.lit(0)))
+        ends = F.when(blank(F.get(p, F.lit(0))), 1).otherwise(0) + F.when((F.size(p) > 1) & blank(F.element_at(p, -1)), 1).otherwise(0)
+        return F.when(F.forall(middle, lambda y: ~blank(y)), (F.size(p) - ends).cast("long"))
+
+    # Cut once; white space around *** only goes to the pieces, whose number and blankness it doesn't change.
+    return F.get(F.transform(F.array(F.split(x, r"\*\*\*", -1)), counted), F.lit(0))
 
 
 def two_responses(x: Column) -> Column:
