@@ -17,7 +17,7 @@ from ..functions.samples import SAMPLES
 from ..functions.sentences import ABBREVIATIONS, count_sentences, split_sentences
 from ..operators import ingest, instructions as I
 from ..operators.evaluate import evaluate_specs, evaluate_turns, explode_specs, exploded
-from ..sources.files import read_spread
+from ..sources.files import read_spread, stored_size
 from ..streaming import dialogue
 from ..streaming.sinks import kept
 from . import report
@@ -297,10 +297,17 @@ WHERE n.next IS NOT NULL AND regexp_matches(word, '[.!?]\z') AND CASE WHEN regex
 WHEN coalesce(m.abbreviation, false) OR regexp_matches(n.type, '^\p{L}\z') THEN regexp_matches(next, '^\p{Lu}') AND coalesce(o.starter OR o.opens, false) WHEN n.type = '##' THEN NOT regexp_matches(next, '^\p{Ll}') ELSE true END GROUP BY n.doc_id) USING (doc_id) GROUP BY b.doc_id"""
 
 
+#: Bytes of documents, as stored, whose words are counted by one task.
+PART = 1 << 20
+
+
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with the text of the next id, if there is one."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("original")), "doc_id", "left")
+    # A part's words are counted in memory, so the parts grow in number with the input, not in size.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), stored_size(docs) // PART + 1)
+    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("original"))
+    return docs.repartition(parts, "doc_id").join(after.repartition(parts, "doc_id"), "doc_id", "left")
 
 
 BAGS = f"SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{W}+')) AS word FROM documents) GROUP BY doc_id, word"

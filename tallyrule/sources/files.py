@@ -117,13 +117,17 @@ def write_dataset(df: DataFrame, name: str, valid: dict[str, str] | None = None)
 ROW_GROUP = 128 << 20
 
 
+def stored_size(df: DataFrame) -> int:
+    """Bytes of the files that df reads, as Spark estimates them for its columns."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def read_spread(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet table for work that is heavy by row: dealt out evenly if it has too few row groups to occupy all cores.
 
     That is so for small files, whatever splits they are cut into; large tables are read as they are, without a shuffle."""
     df, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if cores > 1 and size < cores * ROW_GROUP else df
+    return df.repartition(cores) if cores > 1 and stored_size(df) < cores * ROW_GROUP else df
 
 
 def drop_dataset(spark: SparkSession, name: str, yes: bool = False) -> None:
