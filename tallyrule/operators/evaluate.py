@@ -12,6 +12,7 @@ from ..functions.patterns import compiled
 from .instructions import ARGS_SCHEMA, LIST_ARGS, NORMALISED, NUMBER_ARGS, REGISTRY, Context, Instruction, nfc
 
 SPECS, TEXTS, PAIRS, CONFIRMED, PATTERNS, OUTCOMES = ("__specs", "__texts", "__pairs", "__confirmed", "__patterns", "__outcomes")
+STARLESS = "__starless"
 EVALUATED = ("ok", "fallback_en")
 
 
@@ -80,7 +81,12 @@ def _decide(s: Column, pos: Column, draw: Column, name: str, i: Instruction) ->
     out = lambda status, strict, loose: F.struct(status.alias("status"), strict.alias("strict"), loose.alias("loose"), defaulted)
     # The response is decided once; its variants only if it doesn't comply.
     strict = F.array(F.exists(F.slice(tried, 1, 1), test))
-    done = F.get(F.transform(strict, lambda v: out(s["status"], v, v | F.exists(F.slice(tried, F.lit(2), F.size(tried)), test))), F.lit(0))
+    rest = F.slice(tried, F.lit(2), F.size(tried))
+    loose = F.exists(rest, test)
+    if i.parts and i.needs == "text":
+        # Lines are cut off at white space, so it may suffice to try the whole text without stars.
+        loose = F.exists(F.col(STARLESS), test) | F.exists(rest, lambda x: i.parts(x, c) & test(x))
+    done = F.get(F.transform(strict, lambda v: out(s["status"], v, v | loose)), F.lit(0))
     no = lambda status: out(F.lit(status), F.lit(False), F.lit(False))
     verdict = F.when(bad, no("bad_args")).otherwise(done)
     if i.patterns:
@@ -111,6 +117,9 @@ def with_outcomes(rows: DataFrame, specs: Column, response: Column, seed: Column
 
         out = out.withColumn(PATTERNS, compiled(F.transform(SPECS, sources)))
     out = out.withColumn(TEXTS, texts)
+    if any(i.parts for i in own.values()):
+        star = F.lit("*")
+        out = out.withColumn(STARLESS, F.when(F.contains(response, star), F.array(F.replace(response, star, F.lit("")))).otherwise(F.array().cast("array<string>")))
     if needs("language"):
         out = out.withColumn(PAIRS, detect(F.when(occurs("language"), F.col(TEXTS))))
         out = out.withColumn(PAIRS, F.zip_with(TEXTS, PAIRS, lambda x, l: F.struct(x.alias("x"), l.alias("l"))))
@@ -131,7 +140,7 @@ def with_outcomes(rows: DataFrame, specs: Column, response: Column, seed: Column
         return F.struct(x["instruction_id"].alias("instruction_id"), x["resolved_id"].alias("resolved_id"), o["status"].alias("status"), o["status"].isin(*EVALUATED).alias("evaluated"), o["strict"].alias("strict"), o["loose"].alias("loose"), o["args_defaulted"].alias("args_defaulted"))
 
     out = out.withColumn(OUTCOMES, F.transform(F.transform(SPECS, outcome), flat))
-    return out.drop(SPECS, TEXTS, PAIRS, CONFIRMED, PATTERNS)
+    return out.drop(SPECS, TEXTS, STARLESS, PAIRS, CONFIRMED, PATTERNS)
 
 
 def evaluate_specs(specs: DataFrame, key: list[str], ids: list[str] | None = None, assume_lang: str | None = None) -> DataFrame:

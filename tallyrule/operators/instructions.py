@@ -32,7 +32,7 @@ KEYWORDS = ["western", "sentence", "signal", "dump", "spot", "opposite", "bottom
 @dataclass(frozen=True)
 class Context:
     """What a rule may use: args (a struct column), lang of the rule, a stable number of the row for defaults, and the
-    instruction's patterns as compiled: (java, groups) each."""
+    instruction's patterns as compiled: (java, groups, reach) each."""
 
     args: Column
     lang: str
@@ -76,7 +76,8 @@ class Instruction:
     """rule(text, language, context) is true if the text complies; bad(context) if the arguments can't be used.
 
     patterns(context): the sources (see functions.patterns) that the rule finds in context.compiled; the instruction is
-    fatal where one can't be compiled."""
+    fatal where one can't be compiled. parts(text, context): false if a part of
+    a text, cut at white space, can't comply unless the whole text does."""
 
     accepts: tuple[str, ...]
     rule: Rule
@@ -84,6 +85,7 @@ class Instruction:
     fatal: Callable[[Context], Column] | None = None
     needs: str = "text"  # text, language or rephrase
     patterns: Callable[[Context], Column] | None = None
+    parts: Callable[[Column, Context], Column] | None = None
 
 
 def _missing(*names: str):
@@ -143,7 +145,14 @@ def _java(c: Context) -> Column:
 
 
 def _found(x: Column, c: Context, every: bool) -> Column:
-    return (F.forall if every else F.exists)(c.compiled, lambda p: F.regexp(x, p["java"]))
+    where = lambda p: F.when(p["reach"] == "tail", F.substring_index(x, " ", -1)).otherwise(x)
+    return (F.forall if every else F.exists)(c.compiled, lambda p: F.regexp(where(p), p["java"]))
+
+
+def _found_at_ends(x: Column, c: Context) -> Column:
+    """Whether a pattern may be found in the first or last word, or reaches anywhere."""
+    ends = lambda p: F.regexp(F.substring_index(x, " ", 1), p["java"]) | F.regexp(F.substring_index(x, " ", -1), p["java"])
+    return F.exists(c.compiled, lambda p: p["reach"].isNull()) | F.exists(c.compiled, lambda p: (p["reach"] != "local") & ends(p))
 
 
 def _sources(before: str, behind: str, of: Callable[[Context], Column]):
@@ -225,7 +234,7 @@ def rules(lang: str) -> dict[str, Instruction]:
     ko = lang == "ko"
     n_words = X.tokens if ko else X.words
     out = {
-        "keywords:existence": Instruction(("keywords",), lambda x, _, c: _found(x, c, every=True), _empty("keywords"), patterns=_sources("i:", "", lambda c: _words_or_drawn(c, "keywords"))),
+        "keywords:existence": Instruction(("keywords",), lambda x, _, c: _found(x, c, every=True), _empty("keywords"), patterns=_sources("i:", "", lambda c: _words_or_drawn(c, "keywords")), parts=_found_at_ends),
         "keywords:frequency": Instruction(("keyword", "frequency", "relation"), lambda x, _, c: c.relation("relation", X.count(x, _java(c)), c.number("frequency", 1, 3)), _either(_missing("keyword"), _rel()), patterns=_sources("i:", "", lambda c: F.array(F.coalesce(c.stripped("keyword"), c.choice(KEYWORDS))))),
         "keywords:forbidden_words": Instruction(("forbidden_words",), lambda x, _, c: ~_found(x, c, every=False), _empty("forbidden_words"), patterns=_sources(r"i:\b", r"\b", lambda c: _words_or_drawn(c, "forbidden_words"))),
         "keywords:letter_frequency": Instruction(("letter", "let_frequency", "let_relation"), _letter_frequency, _rel("let_relation")),
