@@ -27,8 +27,8 @@ def strip(x: Column) -> Column:
 
 
 def blank(x: Column) -> Column:
-    """True for null as well."""
-    return ~F.coalesce(x.rlike(NOT_S), F.lit(False))
+    """True for null as well. Read from the start to the first sign that isn't white space."""
+    return F.coalesce(F.ltrim(x, F.lit(SPACES)) == "", F.lit(True))
 
 
 def count(x: Column, pattern: Column | str) -> Column:
@@ -151,9 +151,23 @@ def title(x: Column) -> Column:
     return F.exists(F.regexp_extract_all(x, F.lit(r"<<[^\n]+>>"), 0), lambda t: ~blank(F.regexp_replace(t, r"\A<+|>+\z", "")))
 
 
+def _strip_long(x: Column) -> Column:
+    """strip, which reads no further from the end than to the last blank before a word."""
+    tail = F.substring_index(x, " ", -1)
+    bare = F.rtrim(tail, F.lit(SPACES))
+    cut = F.substring(x.cast("binary"), F.lit(1), F.octet_length(x) - F.octet_length(tail) + F.octet_length(bare)).cast("string")
+    return F.ltrim(F.when(bare == "", F.rtrim(x, F.lit(SPACES))).when(bare == tail, x).otherwise(cut), F.lit(SPACES))
+
+
 def loose_variants(x: Column) -> Column:
-    """The eight texts that the lenient mode tries, without repeats; null for a null text."""
-    first, end = F.instr(x, "\n"), F.length(x) - F.length(F.substring_index(x, "\n", -1)) - 1
-    one = lambda y: F.when(first > 0, strip(y)).otherwise("")
-    cuts = [x, one(F.substring(x, first + 1, F.length(x))), one(F.substring(x, F.lit(1), end)), one(F.substring(x, first + 1, end - first))]
-    return F.when(x.isNotNull(), F.array_distinct(F.array(*cuts, *(F.replace(c, F.lit("*"), F.lit("")) for c in cuts))))
+    """The eight texts that the lenient mode tries, without repeats; null for a null text.
+
+    Lines are cut off by bytes, and stars removed only where there are some."""
+    raw, size = x.cast("binary"), F.octet_length(x)
+    first, end = F.octet_length(F.substring_index(x, "\n", 1)) + 1, size - F.octet_length(F.substring_index(x, "\n", -1)) - 1
+    piece = lambda start, n: _strip_long(F.substring(raw, start, n).cast("string"))
+    cuts = [piece(first + 1, size), piece(F.lit(1), end), piece(first + 1, end - first)]
+    whole = F.when(F.contains(x, F.lit("\n")), F.array(x, *cuts)).otherwise(F.array(x, F.lit("")))
+    bare = lambda a: F.transform(a, lambda c: F.replace(c, F.lit("*"), F.lit("")))
+    made = F.get(F.transform(F.array(whole), lambda a: F.when(F.contains(x, F.lit("*")), F.concat(a, bare(a))).otherwise(a)), F.lit(0))
+    return F.when(x.isNotNull(), F.array_distinct(made))

@@ -64,8 +64,10 @@ def _defaulted(i: Instruction, c: Context) -> Column:
     return out
 
 
-def _decide(s: Column, pos: Column, draw: Column, name: str, i: Instruction) -> Column:
-    """status, strict, loose and args_defaulted of a spec that resolves to an instruction."""
+def _decide(s: Column, pos: Column, draw: Column, name: str, i: Instruction, variants: Column | None = None) -> Column:
+    """status, strict, loose and args_defaulted of a spec that resolves to an instruction.
+
+    variants: what makes the variants of the response where they are needed, if they aren't in TEXTS."""
     c = Context(s["args"], name.split(":")[0], draw, F.get(F.col(PATTERNS), pos) if i.patterns else None)
     bad = i.bad(c) if i.bad else F.lit(False)
     for a in i.accepts:
@@ -81,7 +83,8 @@ def _decide(s: Column, pos: Column, draw: Column, name: str, i: Instruction) ->
     out = lambda status, strict, loose: F.struct(status.alias("status"), strict.alias("strict"), loose.alias("loose"), defaulted)
     # The response is decided once; its variants only if it doesn't comply.
     strict = F.array(F.exists(F.slice(tried, 1, 1), test))
-    rest = F.slice(tried, F.lit(2), F.size(tried))
+    whole = tried if variants is None or i.needs != "text" else variants
+    rest = F.slice(whole, F.lit(2), F.size(whole)) if whole is tried else F.slice(whole, 2, 7)
     loose = F.exists(rest, test)
     if i.parts and i.needs == "text":
         # Lines are cut off at white space, so it may suffice to try the whole text without stars.
@@ -95,10 +98,11 @@ def _decide(s: Column, pos: Column, draw: Column, name: str, i: Instruction) ->
     return F.when(i.fatal(c), no("fatal")).otherwise(verdict) if i.fatal else verdict
 
 
-def with_outcomes(rows: DataFrame, specs: Column, response: Column, seed: Column, ids: list[str] | None = None, assume_lang: str | None = None) -> DataFrame:
+def with_outcomes(rows: DataFrame, specs: Column, response: Column, seed: Column, ids: list[str] | None = None, assume_lang: str | None = None, single: bool = False) -> DataFrame:
     """rows with __outcomes: (instruction_id, resolved_id, status, evaluated, strict, loose, args_defaulted) for each of specs.
 
-    One pass: nothing is shuffled or joined, and each row's variants are made once for all its instructions. Python runs
+    One pass: nothing is shuffled or joined, and each row's variants are made once for all its instructions; with a single
+    instruction only if it needs them. Python runs
     only if an instruction that needs a guess of the language, the likeness to a prompt, or patterns may occur (ids), and
     gets the texts of those rows alone; of patterns those that are more than words. seed(pos) is what decides defaults."""
     own = {n: i for n, i in REGISTRY.items() if ids is None or n in ids}
@@ -116,7 +120,10 @@ def with_outcomes(rows: DataFrame, specs: Column, response: Column, seed: Column
             return made
 
         out = out.withColumn(PATTERNS, compiled(F.transform(SPECS, sources)))
-    out = out.withColumn(TEXTS, texts)
+    if single:
+        out = out.withColumn(TEXTS, F.when(occurs("language") | occurs("rephrase"), texts).otherwise(F.array(response)))
+    else:
+        out = out.withColumn(TEXTS, texts)
     if any(i.parts for i in own.values()):
         star = F.lit("*")
         out = out.withColumn(STARLESS, F.when(F.contains(response, star), F.array(F.replace(response, star, F.lit("")))).otherwise(F.array().cast("array<string>")))
@@ -131,7 +138,7 @@ def with_outcomes(rows: DataFrame, specs: Column, response: Column, seed: Column
         none = F.struct(s["status"].alias("status"), F.lit(False).alias("strict"), F.lit(False).alias("loose"), F.lit(False).alias("args_defaulted"))
         made = none if not own else None
         for n, i in own.items():
-            one = _decide(s, pos, draw, n, i)
+            one = _decide(s, pos, draw, n, i, texts if single else None)
             made = F.when(s["resolved_id"] == n, one) if made is None else made.when(s["resolved_id"] == n, one)
         return F.struct(s["instruction_id"].alias("instruction_id"), s["resolved_id"].alias("resolved_id"), (made.otherwise(none) if own else none).alias("o"))
 
@@ -154,7 +161,7 @@ def evaluate_specs(specs: DataFrame, key: list[str], ids: list[str] | None = Non
 
     ids: the resolved ids that occur, where the caller knows them; rules of others are then left out of the plan."""
     one = F.array(F.struct(F.col("instruction_id").alias("instruction_id"), F.col("kwargs").alias("kwargs")))
-    out = with_outcomes(specs, one, F.col("response"), lambda _: F.xxhash64(*key, "pos"), ids, assume_lang)
+    out = with_outcomes(specs, one, F.col("response"), lambda _: F.xxhash64(*key, "pos"), ids, assume_lang, single=True)
     o = F.get(F.col(OUTCOMES), F.lit(0))
     return out.select(*specs.columns, *(o[c].alias(c) for c in ("resolved_id", "status", "evaluated", "strict", "loose", "args_defaulted")))
 
