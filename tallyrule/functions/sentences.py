@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from .text import D, S, blank, count, strip
 
 # Abbreviations that don't end a sentence.
-TITLES = "(Mr|St|Mrs|Ms|Dr)[.]"
-SITES = "[.](com|net|org|io|gov|edu|me)"
+TITLES = "(?:Mr|St|Mrs|Ms|Dr)"
+SITES = "(?:com|net|org|io|gov|edu|me)"
 SUFFIXES = "(Inc|Ltd|Jr|Sr|Co)"
 STARTERS = rf"(Mr|Mrs|Ms|Dr|Prof|Capt|Cpt|Lt|He{S}|She{S}|It{S}|They{S}|Their{S}|Our{S}|We{S}|But{S}|However{S}|That{S}|This{S}|Wherever)"
 ACRONYMS = "([A-Z][.][A-Z][.](?:[A-Z][.])?)"
@@ -17,24 +17,28 @@ LATIN, MIXED, MARKERS = "([A-Za-z])", "([A-Za-z가-힣])", "([가나다라마바
 
 
 def split_sentences(x: Column, korean: bool = False) -> Column:
-    """The sentences of a text, stripped; of empty ones only one at the end goes."""
-    steps = [("\n", " "), (TITLES, "$1<prd>"), (SITES, "<prd>$1"), ("([0-9])[.]([0-9])", "$1<prd>$2")]
-    steps += [(r"(\.{2,})", "$1<stop>"), (r"\.(?=\.|<stop>)", "<prd>"), (r"Ph\.D\.", "Ph<prd>D<prd>")]
+    """The sentences of a text, stripped; of empty ones only one at the end goes.
+
+    Steps that are about a period look for it first, and behind it only there; texts without signs are replaced as such."""
     letter = MIXED if korean else LATIN
+    # A period after one of these signs, which no earlier match of the same step has taken.
+    after = lambda what: rf"[.](?<={what}[.])"
+    steps: list[tuple[bool, str, str]] = [(True, "\n", " "), (False, rf"[.](?:(?<={TITLES}[.])|(?={SITES})|(?<=[0-9](?!\G)[.])([0-9]))", "<prd>$1")]
+    steps += [(False, r"\.{2,}", "$0<stop>"), (False, r"\.(?=\.|<stop>)", "<prd>"), (True, "Ph.D.", "Ph<prd>D<prd>")]
     if not korean:
-        steps += [(rf"{S}{LATIN}[.] ", " $1<prd> "), (f"{ACRONYMS} {STARTERS}", "$1<stop> $2")]
-    steps += [(f"{letter}[.]{letter}[.]{letter}[.]", "$1<prd>$2<prd>$3<prd>"), (f"{letter}[.]{letter}[.]", "$1<prd>$2<prd>")]
+        steps += [(False, rf"(?=(?s:..)[.] ){S}{LATIN}[.] ", " $1<prd> "), (False, f"{ACRONYMS} {STARTERS}", "$1<stop> $2")]
+    steps += [(False, f"{after(letter)}{letter}[.]{letter}[.]", "<prd>$2<prd>$3<prd>"), (False, f"{after(letter)}{letter}[.]", "<prd>$2<prd>")]
     if not korean:
-        steps += [(f" {SUFFIXES}[.] {STARTERS}", " $1<stop> $2")]
-    steps += [(f" {SUFFIXES}[.]", " $1<prd>"), (f" {LATIN}[.]", " $1<prd>")]
+        steps += [(False, f" {SUFFIXES}[.] {STARTERS}", " $1<stop> $2")]
+    steps += [(False, after(f" (?:{SUFFIXES}|{LATIN})"), "<prd>")]
     if korean:
-        steps += [(rf"{S}{LATIN}[.]{S}+(?=[가-힣])", " $1<prd> "), (rf"{S}{MARKERS}[.]{S}+", " $1<prd> ")]
-    steps += [(r"\.”", "”."), (r'\."', '".'), ('!"', '"!'), (r'\?"', '"?'), (r"([.?!])", "$1<stop>"), ("<prd>", ".")]
+        steps += [(False, rf"(?=(?s:..)[.]){S}{LATIN}[.]{S}+(?=[가-힣])", " $1<prd> "), (False, rf"(?=(?s:..)[.]){S}{MARKERS}[.]{S}+", " $1<prd> ")]
+    steps += [(True, ".”", "”."), (True, '."', '".'), (True, '!"', '"!'), (True, '?"', '"?'), (False, "[.?!]", "$0<stop>"), (True, "<prd>", ".")]
     text = F.concat(F.lit(" "), x, F.lit("  "))
-    for pattern, to in steps:
-        text = F.regexp_replace(text, pattern, to)
-    out = F.transform(F.split(text, "<stop>", -1), strip)
-    return F.when(F.element_at(out, -1) == "", F.slice(out, F.lit(1), F.size(out) - 1)).otherwise(out)
+    for plain, pattern, to in steps:
+        text = F.replace(text, F.lit(pattern), F.lit(to)) if plain else F.regexp_replace(text, pattern, to)
+    whole = lambda out: F.when(F.element_at(out, -1) == "", F.slice(out, F.lit(1), F.size(out) - 1)).otherwise(out)
+    return F.get(F.transform(F.array(F.transform(F.split(text, "<stop>", -1), strip)), whole), F.lit(0))
 
 
 #: Abbreviations after which a period ends no sentence, and single letters; in any case.
