@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,10 +11,10 @@ from ..functions import text as X
 from ..functions.korean import confirming
 from ..functions.language import detect
 from ..functions.patterns import compiled
-from .instructions import ARGS_SCHEMA, LIST_ARGS, NORMALISED, NUMBER_ARGS, REGISTRY, Context, Instruction, nfc
+from .instructions import ARGS_SCHEMA, LIST_ARGS, NORMALISED, NUMBER_ARGS, REGISTRY, Context, Instruction, nfc, twins
 
 SPECS, TEXTS, PAIRS, CONFIRMED, PATTERNS, OUTCOMES = ("__specs", "__texts", "__pairs", "__confirmed", "__patterns", "__outcomes")
-STARLESS = "__starless"
+STARLESS, FIRST = "__starless", "__first"
 EVALUATED = ("ok", "fallback_en")
 
 
@@ -49,11 +51,15 @@ def bound(specs: Column, assume_lang: str | None = None) -> Column:
     return F.transform(F.transform(specs, parsed), normalised)
 
 
-def mistyped(kwargs: Column, name: str) -> Column:
+def mistyped(kwargs: Column, names: tuple[str, ...]) -> Column:
     """Whether an argument is there with a type that its instruction can't use."""
-    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(kwargs), f"$.{name}", "variant"))
-    fits = "^(BIGINT|DECIMAL|DOUBLE|FLOAT)" if name in NUMBER_ARGS else "^ARRAY<(STRING|VOID)" if name in LIST_ARGS else "^STRING"
-    return F.coalesce((kind != "VOID") & ~kind.rlike(fits), F.lit(False))
+
+    def wrong(parsed: Column, name: str) -> Column:
+        kind = F.schema_of_variant(F.try_variant_get(parsed, f"$.{name}", "variant"))
+        fits = "^(BIGINT|DECIMAL|DOUBLE|FLOAT)" if name in NUMBER_ARGS else "^ARRAY<(STRING|VOID)" if name in LIST_ARGS else "^STRING"
+        return F.coalesce((kind != "VOID") & ~kind.rlike(fits), F.lit(False))
+
+    return X.bind(F.try_parse_json(kwargs), lambda parsed: reduce(Column.__or__, (wrong(parsed, a) for a in names)))
 
 
 def _defaulted(i: Instruction, c: Context) -> Column:
@@ -64,14 +70,34 @@ def _defaulted(i: Instruction, c: Context) -> Column:
     return out
 
 
-def _decide(s: Column, pos: Column, draw: Column, name: str, i: Instruction, variants: Column | None = None) -> Column:
+def _same(s: Column, pos: Column, names: list[str]) -> Column:
+    """A text that is equal for specs of a row which the same verdict holds for, whatever their language.
+
+    That is so for the rules named, if the arguments are spelled alike, all there, and mean the same in both languages."""
+    name, one = F.substring_index(s["resolved_id"], ":", -2), F.lit(False)
+    for n in reversed(names):
+        i, c = REGISTRY[f"en:{n}"], Context(s["args"], "en", F.lit(0))
+        given = ~_defaulted(i, c)
+        for a in i.accepts:
+            if a in LIST_ARGS:
+                given = given & (F.size(c[a]) > 0)
+            elif a not in NUMBER_ARGS:
+                given = given & (c[a] != "equal to") & ~X.blank(c[a])
+        one = F.when(name == n, F.coalesce(given, F.lit(False))).otherwise(one)
+    kwargs = F.coalesce(s["kwargs"], F.lit(""))
+    alike = ~kwargs.rlike(r"[^\x00-\x7f]|\\u") & one
+    return F.when(F.coalesce(alike, F.lit(False)), F.concat(name, F.lit(" "), kwargs)).otherwise(pos.cast("string"))
+
+
+def _decide(s: Column, pos: Column, draw: Column, name: str, i: Instruction, variants: Column | None = None, known: Column | None = None) -> Column:
     """status, strict, loose and args_defaulted of a spec that resolves to an instruction.
 
-    variants: what makes the variants of the response where they are needed, if they aren't in TEXTS."""
+    variants: what makes the variants of the response where they are needed, if they aren't in TEXTS. known: whether an
+    earlier spec's verdict holds; strict and loose are then null unless the arguments are refused."""
     c = Context(s["args"], name.split(":")[0], draw, F.get(F.col(PATTERNS), pos) if i.patterns else None)
     bad = i.bad(c) if i.bad else F.lit(False)
-    for a in i.accepts:
-        bad = bad | mistyped(s["kwargs"], a)
+    if i.accepts:
+        bad = bad | mistyped(s["kwargs"], i.accepts)
     ok = lambda x, hint: ~X.blank(x) & F.coalesce(i.rule(x, hint, c), F.lit(False))
     nothing = F.lit(None).cast("string")
     if i.needs == "rephrase":
@@ -89,8 +115,14 @@ def _decide(s: Column, pos: Column, draw: Column, name: str, i: Instruction, var
     if i.parts and i.needs == "text":
         # Lines are cut off at white space, so it may suffice to try the whole text without stars.
         loose = F.exists(F.col(STARLESS), test) | F.exists(rest, lambda x: i.parts(x, c) & test(x))
+    elif i.whole and i.needs == "text":
+        alone = i.whole(F.get(F.col(TEXTS), F.lit(0)), c) & F.forall(F.col(STARLESS), lambda x: i.whole(x, c))
+        loose = F.exists(F.when(F.coalesce(alone, F.lit(False)), F.col(STARLESS)).otherwise(rest), test)
     done = F.get(F.transform(strict, lambda v: out(s["status"], v, v | loose)), F.lit(0))
     no = lambda status: out(F.lit(status), F.lit(False), F.lit(False))
+    if known is not None:
+        unsaid = F.lit(None).cast("boolean")
+        done = F.when(known, out(s["status"], unsaid, unsaid)).otherwise(done)
     verdict = F.when(bad, no("bad_args")).otherwise(done)
     if i.patterns:
         broken = F.exists(c.compiled, lambda p: p.isNotNull() & p["java"].isNull())
@@ -124,9 +156,13 @@ def with_outcomes(rows: DataFrame, specs: Column, response: Column, seed: Column
         out = out.withColumn(TEXTS, F.when(occurs("language") | occurs("rephrase"), texts).otherwise(F.array(response)))
     else:
         out = out.withColumn(TEXTS, texts)
-    if any(i.parts for i in own.values()):
+    if any(i.parts or i.whole for i in own.values()):
         star = F.lit("*")
         out = out.withColumn(STARLESS, F.when(F.contains(response, star), F.array(F.replace(response, star, F.lit("")))).otherwise(F.array().cast("array<string>")))
+    both = [] if single else twins(own)
+    if both:
+        same = F.transform(SPECS, lambda s, pos: _same(s, pos, both))
+        out = out.withColumn(FIRST, X.bind(same, lambda keys: F.transform(keys, lambda k: (F.array_position(keys, k) - 1).cast("int"))))
     if needs("language"):
         out = out.withColumn(PAIRS, detect(F.when(occurs("language"), F.col(TEXTS))))
         out = out.withColumn(PAIRS, F.zip_with(TEXTS, PAIRS, lambda x, l: F.struct(x.alias("x"), l.alias("l"))))
@@ -136,18 +172,36 @@ def with_outcomes(rows: DataFrame, specs: Column, response: Column, seed: Column
     def outcome(s: Column, pos: Column) -> Column:
         draw = number(pos)
         none = F.struct(s["status"].alias("status"), F.lit(False).alias("strict"), F.lit(False).alias("loose"), F.lit(False).alias("args_defaulted"))
-        made = none if not own else None
-        for n, i in own.items():
-            one = _decide(s, pos, draw, n, i, texts if single else None)
-            made = F.when(s["resolved_id"] == n, one) if made is None else made.when(s["resolved_id"] == n, one)
-        return F.struct(s["instruction_id"].alias("instruction_id"), s["resolved_id"].alias("resolved_id"), (made.otherwise(none) if own else none).alias("o"))
+
+        def one(n: str) -> Column:
+            known = F.get(F.col(FIRST), pos) != pos if n.split(":", 1)[1] in both else None
+            return _decide(s, pos, draw, n, own[n], texts if single else None, known)
+
+        def among(number: Column, first: int, names: list[str]) -> Column:
+            """What the name with a number, from first on, comes to: found by halves, as there are many."""
+            if len(names) == 1:
+                return one(names[0])
+            half = len(names) // 2
+            return F.when(number < first + half, among(number, first, names[:half])).otherwise(among(number, first + half, names[half:]))
+
+        names = list(own)
+        made = none
+        if own:
+            made = X.bind(F.coalesce(F.array_position(F.array(*map(F.lit, names)), s["resolved_id"]), F.lit(0)), lambda k: F.when(k > 0, among(k, 1, names)).otherwise(none))
+        return F.struct(s["instruction_id"].alias("instruction_id"), s["resolved_id"].alias("resolved_id"), made.alias("o"))
 
     def flat(x: Column) -> Column:
         o = x["o"]
         return F.struct(x["instruction_id"].alias("instruction_id"), x["resolved_id"].alias("resolved_id"), o["status"].alias("status"), o["status"].isin(*EVALUATED).alias("evaluated"), o["strict"].alias("strict"), o["loose"].alias("loose"), o["args_defaulted"].alias("args_defaulted"))
 
-    out = out.withColumn(OUTCOMES, F.transform(F.transform(SPECS, outcome), flat))
-    return out.drop(SPECS, TEXTS, STARLESS, PAIRS, CONFIRMED, PATTERNS)
+    def told(made: Column) -> Column:
+        """The outcomes, with verdicts that are null taken from the earlier spec."""
+        earlier = lambda x, pos, name: F.coalesce(x["o"][name], F.get(made, F.get(F.col(FIRST), pos))["o"][name]).alias(name)
+        return F.transform(made, lambda x, pos: flat(x.withField("o", F.struct(x["o"]["status"].alias("status"), earlier(x, pos, "strict"), earlier(x, pos, "loose"), x["o"]["args_defaulted"].alias("args_defaulted")))))
+
+    outcomes = F.transform(SPECS, outcome)
+    out = out.withColumn(OUTCOMES, X.bind(outcomes, told) if both else F.transform(outcomes, flat))
+    return out.drop(SPECS, TEXTS, STARLESS, FIRST, PAIRS, CONFIRMED, PATTERNS)
 
 
 def evaluate_specs(specs: DataFrame, key: list[str], ids: list[str] | None = None, assume_lang: str | None = None) -> DataFrame:

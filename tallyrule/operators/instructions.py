@@ -53,8 +53,11 @@ class Context:
     def choice(self, options: list[str]) -> Column:
         return F.get(F.array(*map(F.lit, options)), F.pmod(self.draw, F.lit(len(options))).cast("int"))
 
+    def related(self, name: str) -> Column:
+        return F.coalesce(self.args[name], self.choice(RELATIONS[self.lang]))
+
     def relation(self, name: str, value: Column, least: Column) -> Column:
-        r = F.coalesce(self.args[name], self.choice(RELATIONS[self.lang]))
+        r = self.related(name)
         out = F.when(r == "less than", value < least).when(r == "at least", value >= least)
         return out.when(r == "equal to", value == least) if self.lang == "ko" else out
 
@@ -76,8 +79,9 @@ class Instruction:
     """rule(text, language, context) is true if the text complies; bad(context) if the arguments can't be used.
 
     patterns(context): the sources (see functions.patterns) that the rule finds in context.compiled; the instruction is
-    fatal where one can't be compiled. parts(text, context): false if a part of
-    a text, cut at white space, can't comply unless the whole text does."""
+    fatal where one can't be compiled. parts(part, context): false if a part of
+    a text, cut at white space, can't comply unless the whole text does. whole(text, context): true if no such part of the
+    text, made of lines, can."""
 
     accepts: tuple[str, ...]
     rule: Rule
@@ -86,6 +90,7 @@ class Instruction:
     needs: str = "text"  # text, language or rephrase
     patterns: Callable[[Context], Column] | None = None
     parts: Callable[[Column, Context], Column] | None = None
+    whole: Callable[[Column, Context], Column] | None = None
 
 
 def _missing(*names: str):
@@ -115,13 +120,39 @@ def _counted(measure, arg: str, low: int, high: int, relation: str = "relation")
     return lambda x, _, c: c.relation(relation, measure(x), c.number(arg, low, high))
 
 
+def _fewer(count, least, relation: str = "relation"):
+    """whole, for a number (count and least of a text and a context) of which a part has no more than the whole text."""
+    return lambda x, c: (c.related(relation) == "at least") | ((c.related(relation) == "equal to") & (count(x, c) < least(c)))
+
+
+def _worded(korean: bool) -> Rule:
+    """A number of words; it is read no further than to the number asked for, unless that is to be met or beyond MOST."""
+    measure, enough = (X.tokens, X.tokens_reach) if korean else (X.words, X.words_reach)
+
+    def rule(x: Column, _: Column, c: Context) -> Column:
+        least, r = c.number("num_words", 100, 500), c.related("relation")
+        counted = c.relation("relation", measure(x), least)
+        reached = enough(x, F.ceil(least))
+        return F.when((r == "equal to") | (least > MOST) | F.isnan(least), counted).when(r == "less than", ~reached).when(r == "at least", reached)
+
+    return rule
+
+
+#: The largest number that a pattern counts to.
+MOST = 1_000_000
+
+
+def _always(x: Column, c: Context) -> Column:
+    return F.lit(True)
+
+
 def _letter(c: Context) -> Column:
     x = F.lower(X.strip(c["letter"]))
     return F.when(x.rlike("^[a-z]$"), x).otherwise(F.chr(F.pmod(c.draw, F.lit(26)) + 97))
 
 
 def _letter_frequency(x: Column, _: Column, c: Context) -> Column:
-    n, least = X.letters(x, _letter(c)), c.number("let_frequency", 1, 10)
+    n, least = X.bind(_letter(c), lambda a: X.letters(x, a)), c.number("let_frequency", 1, 10)
     return c.relation("let_relation", n, least)
 
 
@@ -135,8 +166,8 @@ def _marks(c: Context) -> Column:
 
 
 def _postscript(x: Column, _: Column, c: Context) -> Column:
-    mark, low = _mark(c), F.lower(x)
-    return F.when(mark == "P.P.S", low.rlike(rf"p\.{X.S}?p\.{X.S}?s")).when(mark == "P.S.", low.rlike(rf"p\.{X.S}?s\.")).otherwise(F.regexp(low, _java(c)))
+    mark, dot = _mark(c), F.contains(x, F.lit("."))
+    return F.when(mark == "P.P.S", dot & x.rlike(rf"[Pp]\.{X.S}?[Pp]\.{X.S}?[Ss]")).when(mark == "P.S.", dot & x.rlike(rf"[Pp]\.{X.S}?[Ss]\.")).otherwise(F.regexp(F.lower(x), _java(c)))
 
 
 def _java(c: Context) -> Column:
@@ -160,6 +191,19 @@ def _sources(before: str, behind: str, of: Callable[[Context], Column]):
     return lambda c: F.transform(of(c), lambda x: F.concat(F.lit(before), x, F.lit(behind)))
 
 
+def _keyword(c: Context) -> Column:
+    return F.coalesce(c.stripped("keyword"), c.choice(KEYWORDS))
+
+
+def _frequency(x: Column, c: Context) -> Column:
+    return X.count(x, _java(c))
+
+
+def _frequent(x: Column, c: Context) -> Column:
+    """Of a word's places, a part has no more than the whole text; other patterns may find more."""
+    return P.plain(F.concat(F.lit("i:"), _keyword(c))) & _fewer(_frequency, lambda c: c.number("frequency", 1, 3))(x, c)
+
+
 def _nth(c: Context) -> tuple[Column, Column]:
     n = c.number("num_paragraphs", 1, 5)
     nth = F.when((c["nth_paragraph"] > 0) & (c["nth_paragraph"] <= n), c["nth_paragraph"]).otherwise(F.pmod(c.draw, (n + 1).cast("long")) + 1)
@@ -170,7 +214,7 @@ def _nth_paragraph(x: Column, c: Context) -> tuple[Column, Column]:
     """The paragraph, and whether the number of paragraphs is right. The nth is taken of all pieces, blank ones too."""
     n, nth = _nth(c)
     pieces, full = X.double_line_paragraphs(x)
-    return X.strip(F.get(pieces, nth - 1)), (nth <= full) & (full == n)
+    return X.strip(F.get(pieces, nth - 1)), (full == n) & (nth <= n)
 
 
 def _first_word(x: Column, _: Column, c: Context) -> Column:
@@ -192,27 +236,68 @@ def _key_sentences(x: Column, _: Column, c: Context) -> Column:
 
 
 def _splitter(c: Context) -> Column:
-    return F.array(F.coalesce(c.stripped("section_spliter"), c.choice(SPLITTERS[c.lang])))
+    return F.coalesce(c.stripped("section_spliter"), c.choice(SPLITTERS[c.lang]))
+
+
+def _word(splitter: Column) -> Column:
+    """Whether a splitter is words without digits: it has a place wherever it stands before one."""
+    return splitter.rlike(r"\A[\p{L}_](?:[\p{L}_ ]*[\p{L}_])?\z")
+
+
+def _splitters(c: Context) -> Column:
+    """The splitter's pattern, unless it is words."""
+    return F.when(_word(_splitter(c)), F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit(r":\s?"), _splitter(c), F.lit(r"\s?\d+\s?"))))
 
 
 def _sections(x: Column, _: Column, c: Context) -> Column:
     """Pieces after the first; a split at a pattern with groups also gives the groups' texts."""
-    return X.count(x, _java(c)) * (1 + F.get(c.compiled, F.lit(0))["groups"]) >= c.number("num_sections", 1, 5)
+    places = X.count(x, F.concat(F.regexp_replace(_splitter(c), r"\A(.)", "[$1]"), F.lit(f"{X.S}?{X.D}")))
+    n = F.when(_word(_splitter(c)), F.when(F.contains(x, _splitter(c)), places).otherwise(0)).otherwise(X.count(x, _java(c)) * (1 + F.get(c.compiled, F.lit(0))["groups"]))
+    return n >= c.number("num_sections", 1, 5)
 
 
 def _choices(c: Context) -> Column:
     return F.when(F.size(c["choices"]) > 0, c["choices"]).otherwise(F.array(*map(F.lit, ANSWERS["ko"])))
 
 
+def _plain_choices(c: Context) -> Column:
+    return F.forall(_choices(c), lambda k: F.coalesce(P.plain(F.concat(F.lit("m:"), k)), F.lit(False)))
+
+
+def _chosen(x: Column, _: Column, c: Context) -> Column:
+    """A line begins with a choice; what is words has to stand somewhere."""
+    some = F.exists(_choices(c), lambda k: F.coalesce(F.contains(x, k), F.lit(False))) | ~_plain_choices(c)
+    return some & X.bind(X.strip_long(x), lambda s: _found(s, c, every=False))
+
+
+#: A letter whose lower case depends on what stands around it.
+SIGMA = "\u03a3"
+
+
+def _low(x: Column, piece: Column) -> Column:
+    """x in lower case, as far as its first or last signs go that piece has."""
+    return X.bind(piece, lambda p: F.when(F.contains(p, F.lit(SIGMA)), F.lower(x)).otherwise(F.lower(p)))
+
+
+def _begin(x: Column, _: Column, c: Context) -> Column:
+    """Of the text only as many signs are lower-cased as the prompt has: in lower case they are no fewer."""
+    whole = F.ltrim(x, F.lit(X.SPACES))
+    return X.bind(F.lower(c.stripped("prompt_to_repeat")), lambda p: F.startswith(_low(whole, F.left(whole, F.length(p))), p))
+
+
 def _end(x: Column, _: Column, c: Context) -> Column:
-    end = F.lower(F.coalesce(c.stripped("end_phrase"), c.choice(ENDINGS[c.lang])))
-    return F.endswith(F.lower(F.regexp_replace(X.strip(x), r'\A"+|"+\z', "")), end)
+    end, mark = F.lower(F.coalesce(c.stripped("end_phrase"), c.choice(ENDINGS[c.lang]))), F.lit('"')
+    bare = lambda s: F.when(F.startswith(s, mark) | F.endswith(s, mark), F.regexp_replace(s, r'\A"+|"+\z', "")).otherwise(s)
+    # A sign has four bytes at most.
+    last = lambda s, n: F.right(F.substring(s.cast("binary"), -4 * n - 4, 4 * n + 4).cast("string"), n)
+    ends = lambda s: X.bind(end, lambda e: F.endswith(_low(s, last(s, F.length(e))), e))
+    return X.bind(X.bind(X.strip_long(x), bare), ends)
 
 
 def _quoted(mark: str) -> Rule:
     def rule(x, _, c):
-        s = X.strip(x)
-        return (F.length(s) > 1) & F.startswith(s, F.lit(mark)) & F.endswith(s, F.lit(mark))
+        fits = lambda s: (F.length(s) > 1) & F.endswith(s, F.lit(mark))
+        return F.startswith(F.ltrim(x, F.lit(X.SPACES)), F.lit(mark)) & X.bind(X.strip_long(x), fits)
 
     return rule
 
@@ -232,29 +317,29 @@ def _either(*tests):
 def rules(lang: str) -> dict[str, Instruction]:
     """The instructions of a language by group:name."""
     ko = lang == "ko"
-    n_words = X.tokens if ko else X.words
+    n_words = X.tokens if ko else X.words  # of which _worded tells whether there are enough
     out = {
         "keywords:existence": Instruction(("keywords",), lambda x, _, c: _found(x, c, every=True), _empty("keywords"), patterns=_sources("i:", "", lambda c: _words_or_drawn(c, "keywords")), parts=_found_at_ends),
-        "keywords:frequency": Instruction(("keyword", "frequency", "relation"), lambda x, _, c: c.relation("relation", X.count(x, _java(c)), c.number("frequency", 1, 3)), _either(_missing("keyword"), _rel()), patterns=_sources("i:", "", lambda c: F.array(F.coalesce(c.stripped("keyword"), c.choice(KEYWORDS))))),
+        "keywords:frequency": Instruction(("keyword", "frequency", "relation"), lambda x, _, c: c.relation("relation", _frequency(x, c), c.number("frequency", 1, 3)), _either(_missing("keyword"), _rel()), patterns=_sources("i:", "", lambda c: F.array(_keyword(c))), whole=_frequent),
         "keywords:forbidden_words": Instruction(("forbidden_words",), lambda x, _, c: ~_found(x, c, every=False), _empty("forbidden_words"), patterns=_sources(r"i:\b", r"\b", lambda c: _words_or_drawn(c, "forbidden_words"))),
-        "keywords:letter_frequency": Instruction(("letter", "let_frequency", "let_relation"), _letter_frequency, _rel("let_relation")),
+        "keywords:letter_frequency": Instruction(("letter", "let_frequency", "let_relation"), _letter_frequency, _rel("let_relation"), whole=_fewer(lambda x, c: X.letters(x, _letter(c)), lambda c: c.number("let_frequency", 1, 10), "let_relation")),
         "language:response_language": Instruction(("language",), lambda x, l, c: F.coalesce(l == F.coalesce(c["language"], c.choice(CODES)), F.lit(True)), fatal=_code_unknown, needs="language"),
         "length_constraints:number_sentences": Instruction(("num_sentences", "relation"), _counted(lambda x: F.size(split_sentences(x, korean=True)).cast("long") if ko else count_sentences(x), "num_sentences", 1, 20), _rel()),
         "length_constraints:number_paragraphs": Instruction(("num_paragraphs",), lambda x, _, c: X.star_paragraphs(x) == c.number("num_paragraphs", 1, 5)),
-        "length_constraints:number_words": Instruction(("num_words", "relation"), _counted(n_words, "num_words", 100, 500), _rel()),
+        "length_constraints:number_words": Instruction(("num_words", "relation"), _worded(ko), _rel(), whole=_fewer(lambda x, _: n_words(x), lambda c: c.number("num_words", 100, 500))),
         "length_constraints:nth_paragraph_first_word": Instruction(("num_paragraphs", "nth_paragraph", "first_word"), _first_word, _missing("first_word")),
-        "detectable_content:number_placeholders": Instruction(("num_placeholders",), lambda x, _, c: X.placeholders(x) >= c.number("num_placeholders", 1, 4)),
-        "detectable_content:postscript": Instruction(("postscript_marker",), _postscript, patterns=_marks),
-        "detectable_format:number_bullet_lists": Instruction(("num_bullets",), lambda x, _, c: X.bullets(x) == c.number("num_bullets", 1, 5)),
-        "detectable_format:constrained_response": Instruction((), lambda x, _, c: _any(F.contains(x, F.lit(o)) for o in ANSWERS[c.lang])),
-        "detectable_format:number_highlighted_sections": Instruction(("num_highlights",), lambda x, _, c: X.highlights(x) >= c.number("num_highlights", 1, 4)),
-        "detectable_format:multiple_sections": Instruction(("section_spliter", "num_sections"), _sections, patterns=_sources(r":\s?", r"\s?\d+\s?", _splitter)),
+        "detectable_content:number_placeholders": Instruction(("num_placeholders",), lambda x, _, c: X.placeholders(x) >= c.number("num_placeholders", 1, 4), whole=_always),
+        "detectable_content:postscript": Instruction(("postscript_marker",), _postscript, patterns=_marks, whole=lambda x, c: _mark(c).isin(POSTSCRIPTS)),
+        "detectable_format:number_bullet_lists": Instruction(("num_bullets",), lambda x, _, c: X.bullets(x) == c.number("num_bullets", 1, 5), whole=lambda x, c: X.bullets(x) < c.number("num_bullets", 1, 5)),
+        "detectable_format:constrained_response": Instruction((), lambda x, _, c: _any(F.contains(x, F.lit(o)) for o in ANSWERS[c.lang]), whole=_always),
+        "detectable_format:number_highlighted_sections": Instruction(("num_highlights",), lambda x, _, c: X.highlights(x) >= c.number("num_highlights", 1, 4), whole=_always),
+        "detectable_format:multiple_sections": Instruction(("section_spliter", "num_sections"), _sections, patterns=_splitters, whole=lambda x, c: _word(_splitter(c))),
         "detectable_format:json_format": Instruction((), lambda x, _, c: X.is_json(X.unfenced(x))),
-        "detectable_format:title": Instruction((), lambda x, _, c: X.title(x)),
+        "detectable_format:title": Instruction((), lambda x, _, c: X.title(x), whole=_always),
         "combination:two_responses": Instruction((), lambda x, _, c: X.two_responses(x)),
-        "combination:repeat_prompt": Instruction(("prompt_to_repeat",), lambda x, _, c: F.startswith(F.lower(X.strip(x)), F.lower(c.stripped("prompt_to_repeat"))), _required("prompt_to_repeat")),
+        "combination:repeat_prompt": Instruction(("prompt_to_repeat",), _begin, _required("prompt_to_repeat")),
         "startend:end_checker": Instruction(("end_phrase",), _end),
-        "change_case:capital_word_frequency": Instruction(("capital_frequency", "capital_relation"), lambda x, _, c: c.relation("capital_relation", X.capital_words(x), F.coalesce(c["capital_frequency"], c.number("capital_frequency", 1, 20))), _rel("capital_relation")),
+        "change_case:capital_word_frequency": Instruction(("capital_frequency", "capital_relation"), lambda x, _, c: c.relation("capital_relation", X.capital_words(x), F.coalesce(c["capital_frequency"], c.number("capital_frequency", 1, 20))), _rel("capital_relation"), whole=_fewer(lambda x, _: X.capital_words(x), lambda c: F.coalesce(c["capital_frequency"], c.number("capital_frequency", 1, 20)), "capital_relation")),
         "change_case:english_capital": Instruction((), lambda x, l, c: X.has_upper_only(x) & F.coalesce(l == "en", F.lit(True)), needs="language"),
         "change_case:english_lowercase": Instruction((), lambda x, l, c: X.has_lower_only(x) & F.coalesce(l == "en", F.lit(True)), needs="language"),
         "punctuation:no_comma": Instruction((), lambda x, _, c: ~F.contains(x, F.lit(","))),
@@ -264,10 +349,10 @@ def rules(lang: str) -> dict[str, Instruction]:
         out |= {
             "keywords:key_sentences": Instruction(("key_sentences", "num_sentences"), _key_sentences, _empty("key_sentences")),
             "language:formal_text": Instruction((), lambda x, l, c: F.coalesce(l == "ko", F.lit(False)) & korean.formal_text(x), needs="language"),
-            "length_constraints:number_syllables": Instruction(("num_syllables", "relation"), _counted(X.syllables, "num_syllables", 100, 500), _rel()),
+            "length_constraints:number_syllables": Instruction(("num_syllables", "relation"), _counted(X.syllables, "num_syllables", 100, 500), _rel(), whole=_fewer(lambda x, _: X.syllables(x), lambda c: c.number("num_syllables", 100, 500))),
             "length_constraints:nth_paragraph_first_sentence": Instruction(("num_paragraphs", "nth_paragraph", "first_sentence"), _first_sentence, _missing("first_sentence"), needs="language"),
-            "detectable_format:number_digit_lists": Instruction(("num_digit_list",), lambda x, _, c: X.digit_items(x) == c.number("num_digit_list", 1, 5)),
-            "detectable_format:constrained_custom_response": Instruction(("choices",), lambda x, _, c: _found(X.strip(x), c, every=False), patterns=_sources(r"m:^\s*", ".*$", _choices)),
+            "detectable_format:number_digit_lists": Instruction(("num_digit_list",), lambda x, _, c: X.digit_items(x) == c.number("num_digit_list", 1, 5), whole=lambda x, c: X.digit_items(x) < c.number("num_digit_list", 1, 5)),
+            "detectable_format:constrained_custom_response": Instruction(("choices",), _chosen, whole=lambda x, c: _plain_choices(c), patterns=_sources(r"m:^\s*", ".*$", _choices)),
             "detectable_format:markdown_format": Instruction((), lambda x, _, c: ~X.blank(X.unfenced(x))),
             "combination:rephrasing_prompt": Instruction(("prompt_to_rephrase",), lambda x, l, c: l == "yes", _required("prompt_to_rephrase"), needs="rephrase"),
             "punctuation:no_period": Instruction((), lambda x, _, c: ~F.contains(x, F.lit("."))),
@@ -276,9 +361,25 @@ def rules(lang: str) -> dict[str, Instruction]:
     return out
 
 
+#: Rules that are the same in both languages where all arguments are there.
+NEUTRAL = [
+    "keywords:existence", "keywords:frequency", "keywords:forbidden_words", "length_constraints:number_paragraphs", "detectable_content:number_placeholders", "detectable_content:postscript", "detectable_format:number_bullet_lists", "detectable_format:number_highlighted_sections",
+    "detectable_format:multiple_sections", "detectable_format:json_format", "detectable_format:title", "combination:two_responses", "combination:repeat_prompt", "startend:end_checker", "change_case:capital_word_frequency", "punctuation:no_comma", "startend:quotation",
+]
+
+
 REGISTRY: dict[str, Instruction] = {f"{lang}:{name}": i for lang in ("en", "ko") for name, i in rules(lang).items()}
 
 
+#: The registry's own instructions, by identity: one that is replaced is no twin.
+OWN = dict(REGISTRY)
+
+
+def twins(ids) -> list[str]:
+    """The neutral rules of which ids hold both languages' instructions."""
+    return [n for n in NEUTRAL if all(i in ids and REGISTRY[i] is OWN[i] for i in (f"en:{n}", f"ko:{n}"))]
+
+
 def register_instruction(instruction_id: str, instruction: Instruction) -> None:
     """Add or replace an instruction; its id begins with the language."""
     if instruction_id.split(":")[0] not in RELATIONS:
