@@ -267,7 +267,7 @@ def _plain_choices(c: Context) -> Column:
 def _chosen(x: Column, _: Column, c: Context) -> Column:
     """A line begins with a choice; what is words has to stand somewhere."""
     some = F.exists(_choices(c), lambda k: F.coalesce(F.contains(x, k), F.lit(False))) | ~_plain_choices(c)
-    return some & X.bind(X.strip_long(x), lambda s: _found(s, c, every=False))
+    return some & _found(X.strip_long(x), c, every=False)
 
 
 #: A letter whose lower case depends on what stands around it.
